@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.ordering import BLOCK, Ordered, OrderBlocks, order_blocks
+from fleetlens.ordering import BLOCK, Ordered, OrderBlocks, block_rows, order_blocks
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, named: dict[str, float],
@@ -107,3 +107,43 @@ def cumulative_counts(df: DataFrame, keys: list[str], column: str, weights: dict
     for n in weights:
         seq = seq.running_sum(n, f"cum_{n}").total("sum", n, f"all_{n}")
     return seq.lead(column, "next_value").frame()
+
+
+def prefix_quantiles(df: DataFrame, column: str, named: dict[str, float], blocks: OrderBlocks | None = None) -> DataFrame:
+    """Exact quantiles of the growing prefixes ``_first`` .. ``_last`` of a stepped table.
+
+    Rows carry ``_step`` and the constants ``_first`` and ``_last``; prefix s holds
+    the rows with ``_step`` <= s.  Counts per (value block, step) locate the blocks
+    that hold the wanted ranks; only rows of those blocks meet the prefixes.
+    """
+    if blocks is None:
+        fine = max(1000, df.count() // 20_000)
+        blocks = order_blocks(df.select(column), column, min(fine, block_rows(df.sparkSession)))
+    at = F.greatest(F.col("_step"), F.col("_first"))
+    tagged = blocks.tag(df.select(column, at.alias("_step"), "_last"))
+    counted = tagged.groupBy(BLOCK, column, "_step", "_last").agg(F.count(F.lit(1)).alias("_c"))
+    per_block = tagged.groupBy(BLOCK, "_step", "_last").agg(F.count(F.lit(1)).alias("_c"))
+    grown = per_block.select(BLOCK, "_c", F.explode(F.sequence("_step", "_last")).alias("_s")).groupBy(
+        "_s", BLOCK).agg(F.sum("_c").alias("_bc"))
+    prefix = Window.partitionBy("_s")
+    offsets = grown.withColumns({
+        "_off": F.sum("_bc").over(prefix.orderBy(BLOCK)) - F.col("_bc"), "_n": F.sum("_bc").over(prefix)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in named.items()]))
+    exact = F.col("w.p") * (F.col("_n") - 1)
+    targets = offsets.select("*", wanted.alias("w")).select(
+        "_s", BLOCK, "_bc", "_off", F.col("w.name").alias("_name"), (exact - F.floor(exact)).alias("_t"),
+        F.floor(exact).alias("_lo"), F.ceil(exact).alias("_hi"),
+    ).filter((F.col("_lo") < F.col("_off") + F.col("_bc")) & (F.col("_hi") >= F.col("_off")))
+    part = ["_s", "_name", BLOCK]
+    met = counted.join(targets, BLOCK).filter(F.col("_step") <= F.col("_s")).groupBy(
+        *part, "_off", "_lo", "_hi", "_t", column).agg(F.sum("_c").alias("_c"))
+    ranked = met.withColumn(
+        "_to", F.col("_off") + F.sum("_c").over(Window.partitionBy(*part).orderBy(column))
+    ).withColumn("_from", F.col("_to") - F.col("_c"))
+
+    def at_rank(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")), F.col(column)))
+
+    points = ranked.groupBy("_s", "_name").agg(at_rank("_lo").alias("_a"), at_rank("_hi").alias("_b"), F.max("_t").alias("_t"))
+    lerp = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
+    return points.groupBy(F.col("_s").alias("_step")).agg(*[F.max(F.when(F.col("_name") == n, lerp)).alias(n) for n in named])
