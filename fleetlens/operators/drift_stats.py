@@ -177,22 +177,45 @@ def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str = "p_value", a
 
 
 def categorical_psi(reference: DataFrame, current: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """PSI over the union of categories, shares floored at 1e-4 and renormalised."""
-    floor = 1e-4
-    groups = current.select(*keys, "feature").distinct()
-    ref = groups.join(reference.select("feature", "category", F.col("records").alias("_r")), "feature")
-    on = [*keys, "feature", "category"]
-    full = ref.join(current.select(*on, F.col("records").alias("_c")), on, "full_outer").fillna(0, ["_r", "_c"])
-    per = Window.partitionBy(*keys, "feature")
+    """PSI over the union of categories, shares floored at 1e-4 and renormalised.
 
-    def share(c: str) -> Column:
-        return F.greatest(F.col(c) / F.greatest(F.sum(c).over(per), F.lit(1)), F.lit(floor))
-
-    floored = full.withColumns({"_p": share("_r"), "_q": share("_c")})
-    scaled = floored.withColumns({c: F.col(c) / F.sum(c).over(per) for c in ("_p", "_q")})
-    part = (F.col("_q") - F.col("_p")) * F.ln(F.col("_q") / F.col("_p"))
-    return scaled.groupBy(*keys, "feature").agg(F.greatest(F.sum(part), F.lit(0.0)).alias("psi"),
-                                                F.count(F.lit(1)).alias("categories"))
+    Reference categories a window lacks enter through totals of the reference
+    (count, sum p, sum ln p, sum p ln p), so a large vocabulary is not repeated
+    for every window.
+    """
+    floor = 1e-4
+    total = F.sum("records").over(Window.partitionBy("feature"))
+    p_ref = reference.select("feature", "category",
+                             F.greatest(F.col("records") / total, F.lit(floor)).alias("_p"))
+    p = F.col("_p")
+    totals = p_ref.groupBy("feature").agg(F.count(F.lit(1)).alias("_k"), F.sum(p).alias("_A"),
+                                          F.sum(F.ln(p)).alias("_B"), F.sum(p * F.ln(p)).alias("_C"))
+    sizes = current.groupBy(*keys, "feature").agg(F.sum("records").alias("_n"))
+    seen = current.join(sizes, [*keys, "feature"]).join(p_ref, ["feature", "category"], "left")
+    known = p.isNotNull()
+    q = F.greatest(F.col("records") / F.col("_n"), F.lit(floor))
+    own = F.coalesce(p, F.lit(floor))
+    zero = F.lit(0.0)
+    sums = seen.groupBy(*keys, "feature").agg(
+        F.count_if(known).alias("m"), F.count_if(~known).alias("new"),
+        F.sum(F.when(known, p).otherwise(zero)).alias("mA"),
+        F.sum(F.when(known, F.ln(p)).otherwise(zero)).alias("mB"),
+        F.sum(F.when(known, p * F.ln(p)).otherwise(zero)).alias("mC"),
+        F.sum(q).alias("Q"), F.sum(own).alias("P"),
+        F.sum(q * F.ln(q)).alias("QlQ"), F.sum(q * F.ln(own)).alias("QlP"),
+        F.sum(own * F.ln(q)).alias("PlQ"), F.sum(own * F.ln(own)).alias("PlP"),
+    ).join(totals, "feature")
+    c = F.col
+    absent = c("_k") - c("m")
+    scaled = sums.withColumns({"Sp": c("_A") + c("new") * floor, "Sq": c("Q") + absent * floor})
+    shift = F.ln(c("Sp")) - F.ln(c("Sq"))
+    present = ((c("QlQ") - c("QlP") + c("Q") * shift) / c("Sq")) - ((c("PlQ") - c("PlP") + c("P") * shift) / c("Sp"))
+    q0 = F.lit(floor) / c("Sq")
+    lead = F.ln(q0) + F.ln(c("Sp"))
+    missing = (absent * q0 * lead - q0 * (c("_B") - c("mB"))
+               - lead * (c("_A") - c("mA")) / c("Sp") + (c("_C") - c("mC")) / c("Sp"))
+    return scaled.select(*keys, "feature", F.greatest(present + missing, zero).alias("psi"),
+                         (c("_k") + c("new")).alias("categories"))
 
 
 def feature_rows(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
