@@ -7,7 +7,8 @@ from functools import reduce
 from math import sqrt
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,27 +40,25 @@ def tree_stages(categorical: Sequence[str] = tuple(CATEGORICAL_FEATURES),
     return [index, VectorAssembler(inputCols=[*[f"{c}_code" for c in categorical], *numerical], outputCol="features")]
 
 
-def linear_stages(categorical: Sequence[str] = tuple(CATEGORICAL_FEATURES),
+def linear_stages(rows: int, categorical: Sequence[str] = tuple(CATEGORICAL_FEATURES),
                   numerical: Sequence[str] = tuple(NUMERICAL_FEATURES)) -> list:
     """Scaled numbers and one-hot categories; unknown categories are all zero.
 
-    ``dropLast`` drops the extra slot that 'keep' adds for unknown values.
+    ``dropLast`` drops the extra slot that 'keep' adds for unknown values.  Spark
+    scales by the sample deviation; the factor turns that into the population one.
     """
+    factor = Vectors.dense([sqrt(rows / (rows - 1))] * len(numerical))
     codes, hot = [f"{c}_code" for c in categorical], [f"{c}_hot" for c in categorical]
     return [
         StringIndexer(inputCols=list(categorical), outputCols=codes, stringOrderType="alphabetAsc", handleInvalid="keep"),
         OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=list(numerical), outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=[*hot, "scaled"], outputCol="features"),
+        ElementwiseProduct(inputCol="scaled", outputCol="standard", scalingVec=factor),
+        VectorAssembler(inputCols=[*hot, "standard"], outputCol="features"),
     ]
 
 
-def population_scale(rows: int) -> float:
-    """Factor from sample-std scaling to population-std scaling."""
-    return sqrt(rows / (rows - 1))
-
-
 def median_prediction(train: DataFrame, rows: DataFrame, target: str = TARGET) -> DataFrame:
     """Constant baseline: the training median as a scalar subquery."""
     keyed = train.select(F.lit(1).alias("_all"), target)
@@ -67,15 +66,14 @@ def median_prediction(train: DataFrame, rows: DataFrame, target: str = TARGET) -
     return rows.withColumn("prediction", median)
 
 
-def ridge(train: DataFrame, alpha: float = 10.0, target: str = TARGET) -> LinearRegression:
+def ridge(rows: int, deviation: float, alpha: float = 10.0, target: str = TARGET) -> LinearRegression:
     """L2 penalty in the sum-of-squares form.
 
     Spark divides the loss by the row count and works with a label scaled to unit
     deviation, so the penalty is alpha / n times the label's sample deviation.
     """
-    row = train.agg(F.count(target).alias("n"), F.stddev_samp(target).alias("s")).first()
     return LinearRegression(featuresCol="features", labelCol=target, elasticNetParam=0.0, standardization=False,
-                            regParam=alpha / row["n"] * row["s"])
+                            regParam=alpha / rows * deviation)
 
 
 def fit(train: DataFrame, algorithm: str, target: str = TARGET, categorical: Sequence[str] = tuple(CATEGORICAL_FEATURES),
@@ -88,7 +86,9 @@ def fit(train: DataFrame, algorithm: str, target: str = TARGET, categorical: Seq
     data = coerce(train, categorical, numerical)
     widest = max(32, params.pop("max_categories", 256))
     if algorithm == "ridge":
-        stages = [*linear_stages(categorical, numerical), ridge(data, params.pop("alpha", 10.0), target)]
+        size = data.agg(F.count(target).alias("n"), F.stddev_samp(target).alias("s")).first()
+        stages = [*linear_stages(size["n"], categorical, numerical),
+                  ridge(size["n"], size["s"], params.pop("alpha", 10.0), target)]
     elif algorithm == "random_forest":
         settings = {"numTrees": 100, "maxDepth": 16, "minInstancesPerNode": 4, "seed": 42, "maxBins": widest,
                     "maxMemoryInMB": 1024, **params}

@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 
 def _schema(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields.items()])
 
 
 GTFS_ROUTES = _schema(route_id="string", route_short_name="string", route_long_name="string")
