@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,22 +84,25 @@ class Scenario:
             condition &= is_peak(ts)
         return condition
 
-    def apply(self, df: DataFrame, ts: str = "timestamp_utc", segment: str = "segment") -> DataFrame:
-        """Adjust the affected rows; several steps round after each, in order."""
-        if not self.synthetic:
-            return df.withColumn(APPLIED, F.lit(False))
-        out = df.withColumn(APPLIED, F.coalesce(self.active(F.col(ts), F.col(segment)), F.lit(False)))
-        for step in self.steps:
-            changes = {}
+    def applied(self, ts: str, segment: str) -> Column:
+        return F.coalesce(self.active(F.col(ts), F.col(segment)), F.lit(False))
+
+    def adjusted(self, df: DataFrame, applied: Column) -> dict[str, Column]:
+        """New value per touched column; several steps round after each, in order."""
+        values: dict[str, Column] = {}
+        for step in self.steps if self.synthetic else ():
+            before = dict(values)
             for a in step:
-                if a.column not in df.columns:
-                    continue
-                new = a.value(F.col(a.column), self.intensity)
-                new = new if a.digits is None else round_to(new, a.digits)
-                kept = F.when(F.col(APPLIED), new).otherwise(F.col(a.column))
-                changes[a.column] = kept.cast(df.schema[a.column].dataType)
-            out = out.withColumns(changes)
-        return out
+                if a.column in df.columns:
+                    new = a.value(before.get(a.column, F.col(a.column)), self.intensity)
+                    values[a.column] = new if a.digits is None else round_to(new, a.digits)
+        return {c: F.when(applied, v).otherwise(F.col(c)).cast(df.schema[c].dataType) for c, v in values.items()}
+
+    def apply(self, df: DataFrame, ts: str = "timestamp_utc", segment: str = "segment") -> DataFrame:
+        """Adjust the affected rows and mark them."""
+        marked = df.withColumn(APPLIED, self.applied(ts, segment))
+        changes = self.adjusted(df, F.col(APPLIED))
+        return marked.withColumns(changes) if changes else marked
 
     def at(self, intensity: float) -> "Scenario":
         return replace(self, intensity=intensity)
@@ -138,14 +140,23 @@ def register(scenario: Scenario) -> None:
     CATALOG[scenario.scenario_id] = scenario
 
 
-def scenario_rows(df: DataFrame, scenarios: Sequence[Scenario] | None = None) -> DataFrame:
+def scenario_rows(df: DataFrame, scenarios: Sequence[Scenario] | None = None, ts: str = "timestamp_utc",
+                  segment: str = "segment") -> DataFrame:
     """Every scenario over the same rows, tagged with ``scenario_id``.
 
-    Each scenario is a projection of the same input, so the union has no shuffle.
+    The input is computed once: each row becomes one struct per scenario, without
+    a join or a shuffle.
     """
     chosen = list(scenarios or CATALOG.values())
-    tagged = [s.apply(df).select(F.lit(s.scenario_id).alias("scenario_id"), "*") for s in chosen]
-    return reduce(DataFrame.unionByName, tagged)
+    touched = sorted({a.column for s in chosen for step in s.steps for a in step} & set(df.columns))
+    versions = []
+    for s in chosen:
+        hit = s.applied(ts, segment)
+        new = s.adjusted(df, hit)
+        versions.append(F.struct(F.lit(s.scenario_id).alias("scenario_id"), hit.alias(APPLIED),
+                                 *[new.get(c, F.col(c)).alias(c) for c in touched]))
+    rest = [c for c in df.columns if c not in touched]
+    return df.select(*rest, F.explode(F.array(*versions)).alias("_s")).select(*rest, "_s.*")
 
 
 def describe(df: DataFrame, scenarios: Sequence[Scenario] | None = None) -> DataFrame:

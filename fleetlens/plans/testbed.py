@@ -116,14 +116,23 @@ def _prediction_sql(share: float) -> str:
 
 
 def scored(spark: SparkSession, sf_dir: str, blocks: OrderBlocks | None = None) -> DataFrame:
-    """Features with the outcome, a champion and a candidate prediction and their errors."""
-    rows = feature_table(spark, sf_dir, blocks).withColumns({
+    """Features with the outcome, a champion and a candidate prediction and their errors.
+
+    Computed features are cut to 9 digits, so that rounding rules further on start
+    from the same numbers in both engines.
+    """
+    table_ = feature_table(spark, sf_dir, blocks)
+    rows = table_.withColumns({c: F.round(c, 9) for c in COMPUTED}).withColumns({
         "actual": F.col("run_time_in_seconds"), "predicted": _prediction(0.75), "candidate": _prediction(0.5)})
     return evaluation.with_errors(rows, "actual", "predicted")
 
 
+COMPUTED = ["sin_hour", "cos_hour", "sin_time_of_day", "cos_time_of_day", "trip_progress_ratio", "previous_segment_run_time",
+            "rolling_prev_segment_mean", "rolling_prev_segment_std", "cumulative_trip_time_sec",
+            "historical_segment_time_mean", "segment_delay_ratio", *WEATHER_FEATURES]
+cte("feats9", "SELECT * REPLACE (" + ", ".join(f"round({c}, 9) AS {c}" for c in COMPUTED) + ") FROM feats", "feats")
 cte("preds", f"""SELECT *, run_time_in_seconds AS actual, {_prediction_sql(0.75)} AS predicted,
-  {_prediction_sql(0.5)} AS candidate FROM feats""", "feats")
+  {_prediction_sql(0.5)} AS candidate FROM feats9""", "feats9")
 cte("scored", """SELECT *, actual - predicted AS signed_error_sec, abs(actual - predicted) AS absolute_error_sec,
   row_number() OVER (ORDER BY timestamp_utc, event_id) - 1 AS idx, count(*) OVER () AS n FROM preds""", "preds")
 
