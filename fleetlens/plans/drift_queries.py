@@ -56,10 +56,10 @@ cte("profile", f"""SELECT feature, count(*) AS sample_count, CAST(0 AS BIGINT) A
     WHEN len(list_distinct(quantile_cont(value, {_DECILES}))) < 2 THEN [min(value) - 1e-3::DOUBLE, max(value) + 1e-3::DOUBLE]
     ELSE list_sort(list_distinct(quantile_cont(value, {_DECILES}))) END AS edges FROM ref_low GROUP BY 1""", "ref_low")
 cte("grid", "SELECT feature, len(edges) - 1 AS bins, unnest(range(len(edges) - 1)) AS bin FROM profile", "profile")
-_BIN = "len(list_filter(edges[2:len(edges) - 1], e -> e <= value))"
+_BIN = "len(list_filter(edges[2:len(edges) - 1], lambda e: e <= value))"
 cte("ref_bins", f"SELECT feature, {_BIN} AS bin, count(*) AS r FROM ref_long JOIN profile USING (feature) GROUP BY ALL", "ref_long", "profile")
 cte("ref_cdf", """SELECT feature, value, sum(count(*)) OVER (PARTITION BY feature ORDER BY value) / sum(count(*)) OVER (PARTITION BY feature) AS f
-  FROM ref_long GROUP BY ALL""", "ref_long")
+  FROM ref_long GROUP BY feature, value""", "ref_long")
 cte("ref_sizes", "SELECT feature, count(*) AS n_ref FROM ref_long GROUP BY 1", "ref_long")
 
 _FULL = "(CASE WHEN n >= 500 THEN (n - 500) // 250 + 1 ELSE 0 END)"
@@ -95,7 +95,7 @@ def window_ctes(prefix: str, source: str) -> None:
       JOIN (SELECT s.scenario_id, s.window_id, s.feature, s.value, r.f AS f0 FROM {c('steps')} s ASOF LEFT JOIN ref_cdf r
         ON s.feature = r.feature AND s.value > r.value) USING (scenario_id, window_id, feature, value) GROUP BY ALL""", c("steps"), "ref_cdf")
     cte(c("p"), f"""SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(2 * list_sum(list_transform(range(1, 101),
-      k -> (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * x * x))), 0), 1) END AS p_value
+      lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * x * x))), 0), 1) END AS p_value
       FROM (SELECT *, ks_statistic * sqrt(m * n_ref / (m + n_ref)) AS x FROM {c('ks')} JOIN ref_sizes USING (feature))""", c("ks"), "ref_sizes")
     cte(c("bh"), f"""SELECT *, least(min(scaled) OVER (PARTITION BY scenario_id, window_id ORDER BY p_value, feature
       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS adjusted_p FROM (SELECT *, p_value * count(*) OVER (PARTITION BY scenario_id, window_id)
@@ -117,7 +117,7 @@ def window_ctes(prefix: str, source: str) -> None:
           WHEN abs(curr_mean - ref_mean) / greatest(ref_std, 0.1) >= 3 THEN 'LOW' ELSE 'NONE' END
         WHEN feature = 'is_peak_period' AND curr_mean >= 0.8 THEN 'LOW' ELSE 'NONE' END AS severity FROM {c('stats')}""", c("stats"))
     cte(c("perf_rows"), f"""SELECT *, CAST(unnest(list_concat(list_filter(range(greatest(CAST(floor((idx - 500) / 250.0) AS BIGINT) + 1, 0), least(idx // 250, {_LAST}) + 1),
-        w -> w < {_FULL}), CASE WHEN idx >= n - 500 AND n - {_FULL} * 250 >= 100 THEN [{_FULL}] ELSE [] END)) AS BIGINT) AS window_id FROM {source}""", source)
+        lambda w: w < {_FULL}), CASE WHEN idx >= n - 500 AND n - {_FULL} * 250 >= 100 THEN [{_FULL}] ELSE [] END)) AS BIGINT) AS window_id FROM {source}""", source)
     cte(c("perf"), f"""SELECT *, CASE WHEN greatest(mae_ratio, rmse_ratio) >= 2.2 THEN 'CRITICAL' WHEN greatest(mae_ratio, rmse_ratio) >= 1.6 THEN 'HIGH'
       WHEN mae_ratio >= 1.3 THEN 'MEDIUM' ELSE 'NONE' END AS severity FROM (SELECT *, mae / 38.77 AS mae_ratio, rmse / 60.83 AS rmse_ratio FROM (
       SELECT scenario_id, window_id, min(idx) AS window_start_idx, max(idx) AS window_end_idx, count(*) AS sample_count, avg(abs(actual - predicted)) AS mae,
@@ -218,7 +218,7 @@ _TWO_SAMPLE = f"""SELECT feature, value, f1, f2, lead(value) OVER (PARTITION BY
 
 
 @query("o03_ks_test", f"""SELECT feature, {s6('dd')} AS ks_statistic, {s6('''CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(2 * list_sum(list_transform(range(1, 101),
-  k -> (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * x * x))), 0), 1) END''')} AS p_value FROM (SELECT feature, dd, dd * sqrt(n1 * n2 / (n1 + n2)) AS x
+  lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * x * x))), 0), 1) END''')} AS p_value FROM (SELECT feature, dd, dd * sqrt(n1 * n2 / (n1 + n2)) AS x
   FROM (SELECT feature, max(abs(f1 - f2)) AS dd, max(n1) AS n1, max(n2) AS n2 FROM ({_TWO_SAMPLE}) GROUP BY 1))""", ("ref_long", "cur"))
 def ks_test(spark, d):
     reference, current = inputs(spark, d)

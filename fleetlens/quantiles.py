@@ -74,9 +74,12 @@ def summarize(df: DataFrame, keys: list[str], aggregates: dict[str, Column],
         for c in columns[1:]:
             blocks[c] = OrderBlocks(c) if first.single else order_blocks(df.select(c), c)
     if all(blocks[c].single for c in columns):
-        inline = {n: F.percentile(F.col(c), F.lit(float(p))) for n, (c, p) in quantiles.items()}
-        named = [e.alias(n) for n, e in {**aggregates, **inline}.items()]
-        return df.groupBy(*keys).agg(*named) if keys else df.agg(*named)
+        # one percentile buffer per column, whatever the number of quantiles
+        shares = {c: sorted({p for col, p in quantiles.values() if col == c}) for c in columns}
+        packed = [F.percentile(F.col(c), F.array(*[F.lit(float(p)) for p in ps])).alias(f"_q_{c}") for c, ps in shares.items()]
+        out = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggregates.items()], *packed)
+        return out.select(*keys, *aggregates, *[
+            F.col(f"_q_{c}")[shares[c].index(p)].alias(n) for n, (c, p) in quantiles.items()])
 
     work, on = (df, keys) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
     out = work.groupBy(*on).agg(*[e.alias(n) for n, e in aggregates.items()]) if aggregates else None
