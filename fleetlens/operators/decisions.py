@@ -79,7 +79,8 @@ def recent_alarms(alarms: DataFrame, policy: TriggerPolicy = TriggerPolicy(), ev
     """
     first = F.ceil(F.col("idx") / every)
     last = F.floor((F.col("idx") + policy.alarm_window) / every)
-    reach = alarms.withColumn("stream_index", F.explode(F.sequence(first, last)) * every)
+    points = F.transform(F.sequence(first, last), lambda step: step * every)
+    reach = alarms.withColumn("stream_index", F.explode(points))
     id_digest = F.conv(F.substring(F.md5(F.col("event_id").cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
     return reach.groupBy(*keys, "stream_index").agg(
         F.count(F.lit(1)).alias("recent_alarms"), F.sum(id_digest).cast("string").alias("alarm_set"))

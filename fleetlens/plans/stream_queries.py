@@ -1 +1,122 @@
-"""Queries."""
+"""Streaming queries; each drains a replay of the given tables and must equal its batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.operators import sequential, whatif
+from fleetlens.operators.drift_windows import DriftConfig
+from fleetlens.plans import testbed as T
+from fleetlens.plans.decision_queries import LABEL
+from fleetlens.plans.drift_queries import CFG
+from fleetlens.plans.evaluation_queries import _LATEST, scenario_sql
+from fleetlens.plans.registry import clean_time, query, rounded, s6
+from fleetlens.session import materialize, scratch_path
+from fleetlens.sources import readers, writers
+from fleetlens.streaming import jobs
+
+ROWS_PER_FILE = 25_000
+
+
+def replayed(df: DataFrame, label: str, order: tuple[str, ...] = ("timestamp_utc", "event_id")) -> DataFrame:
+    """A table as a time-ordered stream of files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    # at least four files, so that state crosses micro-batches even on small tables
+    readers.write_replay_files(df, path, order, min(ROWS_PER_FILE, -(-df.count() // 4)))
+    return readers.replay_stream(spark, path, df.schema)
+
+
+@query("stream_a06_event_log", "SELECT event_type, count(*) AS records FROM obs GROUP BY 1", ("obs",))
+def event_log(spark, d):
+    rows = T.observations(spark, d)
+    path = scratch_path(spark, "stream-log")
+    writers.stream_events(replayed(rows, "events"), path, scratch_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema(rows.schema).json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("stream_a10_whatif", f"SELECT event_id, CAST(hit AS BIGINT) AS applied, {s6('actual')} AS actual FROM ({scenario_sql('ROAD_INCIDENT')})", ("scored",))
+def whatif_stream(spark, d):
+    stream = jobs.disturb(replayed(T.scored(spark, d).select("event_id", "timestamp_utc", "segment", "actual"), "whatif"), whatif.ROAD_INCIDENT)
+    out = jobs.collect_stream(stream.select("event_id", F.col(whatif.APPLIED).cast("long").alias("applied"), "actual"), "whatif-out")
+    return rounded(out, "actual")
+
+
+@query("stream_n02_resolution", f"""SELECT idx, {s6('predicted')} AS predicted, {s6('actual')} AS actual, timestamp_utc AS predicted_at FROM scored""", ("scored",))
+def resolution(spark, d):
+    rows = T.scored_stream(spark, d)
+    rows = materialize(rows.select("idx", "predicted", "actual", "timestamp_utc", "event_id"), "stream-rows")
+    predicted = replayed(rows.select("idx", "predicted", F.col("timestamp_utc").alias("predicted_at"),
+                                     F.format_string("PRED_%06d", "idx").alias("prediction_id")), "predictions", ("predicted_at", "idx"))
+    # the outcome is known when the segment has been driven
+    seen = F.timestamp_micros(F.unix_micros("timestamp_utc") + F.round(F.col("actual") * 1e6).cast("long"))
+    observed = replayed(rows.select(F.format_string("PRED_%06d", "idx").alias("prediction_id"), "actual", seen.alias("observed_at")), "outcomes", ("observed_at",))
+    out = jobs.collect_stream(jobs.resolve_outcomes(predicted, observed, "2 HOURS"), "resolved")
+    return rounded(out.select("idx", "predicted", "actual", clean_time("predicted_at").alias("predicted_at")), "predicted", "actual")
+
+
+@query("stream_n04_latest_state", _LATEST, ("obs",))
+def latest_state(spark, d):
+    rows = T.observations(spark, d).select("deviceid", "event_id", "timestamp_utc", "segment")
+    latest = jobs.latest_state(replayed(rows, "latest"), "deviceid", T.TIME_ORDER)
+    out = jobs.collect_updates(latest, "latest-out", ["deviceid"])
+    return out.withColumn("timestamp_utc", clean_time("timestamp_utc"))
+
+
+@query("stream_n05_running_metrics", f"""SELECT direction, count(*) AS records, {s6('avg(absolute_error_sec)')} AS mae_sec,
+  {s6('sqrt(avg(absolute_error_sec * absolute_error_sec))')} AS rmse_sec, {s6('avg(signed_error_sec)')} AS bias_sec FROM scored GROUP BY 1""", ("scored",))
+def running_metrics(spark, d):
+    rows = T.scored(spark, d).select("direction", "timestamp_utc", "event_id", "absolute_error_sec", "signed_error_sec")
+    out = jobs.collect_updates(jobs.running_metrics(replayed(rows, "metrics"), ["direction"]), "metrics-out", ["direction"])
+    return rounded(out.select("direction", "records", "mae_sec", "rmse_sec", "bias_sec"), "mae_sec", "rmse_sec", "bias_sec")
+
+
+@query("stream_n12_sessions", """SELECT trip_id, arg_max(event_id, (timestamp_utc, event_id)) AS event_id, max(timestamp_utc) AS timestamp_utc FROM obs GROUP BY 1""", ("obs",))
+def sessions(spark, d):
+    rows = T.observations(spark, d).select("trip_id", "event_id", "timestamp_utc")
+    folder = scratch_path(spark, "sessions")
+    jobs.upsert_sessions(replayed(rows, "session-rows"), "trip_id", T.TIME_ORDER, folder, scratch_path(spark, "checkpoint")).awaitTermination()
+    versions = spark.read.parquet(folder)
+    last = versions.agg(F.max("version")).scalar()
+    return versions.filter(F.col("version") == last).select("trip_id", "event_id", clean_time("timestamp_utc").alias("timestamp_utc"))
+
+
+_DIRECTION_IDX = "SELECT *, row_number() OVER (PARTITION BY direction ORDER BY timestamp_utc, event_id) - 1 AS i FROM scored"
+
+
+@query("stream_o09_count_windows", f"""SELECT direction, window_id, min(i) AS window_start_idx, max(i) AS window_end_idx, count(*) AS sample_count,
+  {s6('avg(absolute_error_sec)')} AS mae, {s6('sqrt(avg(signed_error_sec * signed_error_sec))')} AS rmse, {s6('avg(signed_error_sec)')} AS mean_signed_error
+  FROM (SELECT *, CAST(unnest(range(greatest(CAST(floor((i - 500) / 250.0) AS BIGINT) + 1, 0), i // 250 + 1)) AS BIGINT) AS window_id FROM ({_DIRECTION_IDX}))
+  GROUP BY 1, 2 HAVING count(*) = 500""", ("scored",))
+def count_windows(spark, d):
+    rows = T.scored(spark, d).select("direction", "timestamp_utc", "event_id", "signed_error_sec")
+    stream = jobs.count_windows(replayed(rows, "window-rows"), ["direction"], T.TIME_ORDER, "signed_error_sec", DriftConfig())
+    out = jobs.collect_stream(stream, "windows")
+    return rounded(out.drop("severity"), "mae", "rmse", "mean_signed_error")
+
+
+@query("stream_o14_page_hinkley")
+def page_hinkley(spark, d):
+    rows = T.scored(spark, d).select("deviceid", "timestamp_utc", "event_id", "signed_error_sec")
+    stream = sequential.stream_detect(replayed(rows, "ph-rows"), ["deviceid"], T.TIME_ORDER, "signed_error_sec",
+                                      sequential.PageHinkley.from_config(CFG), alarms_only=False)
+    return rounded(jobs.collect_stream(stream, "ph").drop("timestamp_utc"), "statistic")
+
+
+@query("stream_o15_split_window")
+def split_window(spark, d):
+    rows = T.scored(spark, d).select("direction", "timestamp_utc", "event_id", "signed_error_sec")
+    stream = sequential.stream_detect(replayed(rows, "sw-rows"), ["direction"], T.TIME_ORDER, "signed_error_sec",
+                                      sequential.SplitWindow(min_gain=2.0), alarms_only=False)
+    return rounded(jobs.collect_stream(stream, "sw").drop("timestamp_utc"), "statistic")
+
+
+@query("stream_k02_scoring")
+def scoring(spark, d):
+    from fleetlens.operators import models
+    from fleetlens.plans.decision_queries import _parts
+    train, validation = _parts(spark, d)
+    model = models.fit(train, "ridge", "label")
+    stream = models.score(model, replayed(validation.drop(LABEL), "score-rows"), "model_ridge", "v1")
+    return jobs.collect_stream(stream.select("event_id", "predicted"), "scored-stream")

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from fleetlens import schemas
 from fleetlens.columns import nan_to_null
+from fleetlens.ordering import order_blocks
+from fleetlens.session import materialize, scratch_path
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
@@ -51,9 +53,21 @@ def replay(df: DataFrame, where: dict[str, object] | None = None, order: tuple[s
     return out.orderBy(*order)
 
 
-def write_replay_files(df: DataFrame, path: str, order: tuple[str, ...], files: int) -> None:
-    """Time-ordered files for a replayed stream: range-partitioned, named in order."""
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+def write_replay_files(df: DataFrame, path: str, order: tuple[str, ...], rows_per_file: int = 1_000_000) -> None:
+    """Time-ordered files for a replayed stream, of bounded size.
+
+    The file source reads files by modification time, so the time ranges are
+    written one after another; rows are tagged with their range and stored once.
+    """
+    spark = df.sparkSession
+    stored = materialize(df, "replay-rows")
+    blocks = order_blocks(stored.select(order[0]), order[0], rows_per_file)
+    ranged = scratch_path(spark, "replay-ranges")
+    blocks.tag(stored, "_range").write.partitionBy("_range").parquet(ranged)
+    source = spark.read.parquet(ranged)
+    for number in range(len(blocks.cuts) + 1):
+        part = source.filter(F.col("_range") == number).drop("_range")
+        part.select(*df.columns).coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(path)
 
 
 def replay_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
