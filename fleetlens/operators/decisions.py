@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.stats import hash_route
 from fleetlens.operators.evaluation import regression_metrics
-from fleetlens.ordering import Ordered
+from fleetlens.ordering import Ordered, OrderBlocks
 from fleetlens.quantiles import summarize
 
 
@@ -166,13 +166,14 @@ def promotion_gate(metrics: DataFrame, limits: GateLimits = GateLimits()) -> Dat
                       passed({**a, **b, **c}).alias("passed"), reasons({**a, **b, **c}).alias("failure_reasons"))
 
 
-def holdout_metrics(parts: dict[str, DataFrame], models: dict[str, str], actual: str) -> DataFrame:
+def holdout_metrics(parts: dict[str, DataFrame], models: dict[str, str], actual: str,
+                    blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
     """Gate metrics per (model, holdout) from tables holding both models' predictions."""
     out = None
     for holdout, df in parts.items():
         stacked = df.select(F.col(actual).alias("_y"), *[F.col(p).alias(m) for m, p in models.items()]).unpivot(
             ["_y"], list(models), "model", "_p")
-        rows = regression_metrics(stacked, "_y", "_p", ["model"], gate_variant=True).withColumn("holdout", F.lit(holdout))
+        rows = regression_metrics(stacked, "_y", "_p", ["model"], gate_variant=True, blocks=blocks).withColumn("holdout", F.lit(holdout))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -201,7 +202,7 @@ def shadow_check(df: DataFrame, actual: str, champion: str, candidate: str, rows
 
 def canary_stage(df: DataFrame, percent: int, actual: str, champion: str, candidate: str, trip: str = "trip_id",
                  ts: str = "timestamp_utc", start: int = 0, rows: int = 300, tolerance: float = 1.05,
-                 min_samples: int = 15) -> DataFrame:
+                 min_samples: int = 15, blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
     """Both models on the hash-routed trips of one stage's records."""
     stage = df.filter((F.col("idx") >= start) & (F.col("idx") < start + rows))
     routed = hash_route(F.col(trip), percent)
@@ -214,7 +215,7 @@ def canary_stage(df: DataFrame, percent: int, actual: str, champion: str, candid
         "champion_rmse": F.sqrt(F.avg(F.col("champion_error") * F.col("champion_error"))),
         "candidate_rmse": F.sqrt(F.avg(F.col("candidate_error") * F.col("candidate_error"))),
         "unmatched_records": F.count_if(F.col("champion_error").isNull() != F.col("candidate_error").isNull()),
-    }, {"champion_p95": ("champion_error", 0.95), "candidate_p95": ("candidate_error", 0.95)})
+    }, {"champion_p95": ("champion_error", 0.95), "candidate_p95": ("candidate_error", 0.95)}, blocks)
     total = pairs.agg(F.count(F.lit(1))).scalar()
     out = row.withColumns({"total_records": total, "canary_percentage": F.lit(percent).cast("long"),
                            "mae_ratio": ratio(F.col("candidate_mae"), F.col("champion_mae"))})

@@ -86,7 +86,8 @@ BREAKDOWNS = {
 }
 
 
-def stratified_errors(df: DataFrame, breakdowns: dict[str, str] | None = None) -> DataFrame:
+def stratified_errors(df: DataFrame, breakdowns: dict[str, str] | None = None,
+                      blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
     """Error metrics per value of every dimension.
 
     Rows become (dimension, label, errors) and are aggregated once; partial
@@ -103,7 +104,7 @@ def stratified_errors(df: DataFrame, breakdowns: dict[str, str] | None = None) -
         long.withColumn("dimension", dimension), ["dimension", "label"],
         {"records": F.count(F.lit(1)), "mae_sec": F.avg(e), "rmse_sec": F.sqrt(F.avg(e * e)),
          "mape_pct": F.avg("pct_error"), "mean_actual_sec": F.avg("actual"), "mean_pred_sec": F.avg("predicted")},
-        {"median_ae_sec": ("absolute_error_sec", 0.5), "p90_error_sec": ("absolute_error_sec", 0.9)})
+        {"median_ae_sec": ("absolute_error_sec", 0.5), "p90_error_sec": ("absolute_error_sec", 0.9)}, blocks)
 
 
 def mae_by(df: DataFrame, key: str) -> DataFrame:
@@ -133,9 +134,9 @@ def residual_histogram(df: DataFrame, low: float = -150.0, high: float = 150.0,
                          (F.col("records") / (total * width)).alias("density"))
 
 
-def residual_center(df: DataFrame) -> DataFrame:
+def residual_center(df: DataFrame, blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
     rows = df.select((F.col("actual") - F.col("predicted")).alias("r"))
-    return summarize(rows, [], {"mean_residual": F.avg("r")}, {"median_residual": ("r", 0.5)})
+    return summarize(rows, [], {"mean_residual": F.avg("r")}, {"median_residual": ("r", 0.5)}, blocks)
 
 
 def error_cdf(df: DataFrame, blocks: OrderBlocks | None = None) -> DataFrame:

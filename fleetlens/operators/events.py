@@ -56,7 +56,8 @@ def latest_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return last.select(key, "r.*", "records")
 
 
-def online_metrics(df: DataFrame, keys: Sequence[str] = (), latency: str | None = None) -> DataFrame:
+def online_metrics(df: DataFrame, keys: Sequence[str] = (), latency: str | None = None,
+                   blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
     """Running totals of the evaluation stream: errors, bias and latency."""
     e = F.col("absolute_error_sec")
     aggregates = {"records": F.count(F.lit(1)), "mae_sec": F.avg(e), "rmse_sec": F.sqrt(F.avg(e * e)),
@@ -66,7 +67,7 @@ def online_metrics(df: DataFrame, keys: Sequence[str] = (), latency: str | None
         aggregates.pop("avg_latency_ms")
     return summarize(df, list(keys), aggregates, {
         "median_ae_sec": ("absolute_error_sec", 0.5), "p90_error_sec": ("absolute_error_sec", 0.9),
-        "p95_error_sec": ("absolute_error_sec", 0.95)})
+        "p95_error_sec": ("absolute_error_sec", 0.95)}, blocks)
 
 
 def metric_snapshots(df: DataFrame, order: Sequence[str], every: int = 50, keep: int = 200,

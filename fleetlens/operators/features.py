@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetlens.columns import clip, flag, melt, resolve, with_default
 from fleetlens.functions.calendar import cycle, is_peak, minute_of_day
 from fleetlens.functions.geo import haversine_km
-from fleetlens.ordering import Ordered, OrderBlocks, order_blocks
+from fleetlens.ordering import Ordered, OrderBlocks, order_blocks, small_like
 from fleetlens.quantiles import exact_quantiles
 from fleetlens.schemas import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, TARGET, WEATHER_FEATURES
 
@@ -145,7 +145,7 @@ def delay_features(df: DataFrame) -> DataFrame:
 
 
 def impute_median(df: DataFrame, columns: Sequence[str] = tuple(WEATHER_FEATURES),
-                  source: DataFrame | None = None) -> DataFrame:
+                  source: DataFrame | None = None, blocks: OrderBlocks | None = None) -> DataFrame:
     """Fill nulls with the column's exact median; 0 for an all-null or absent column.
 
     The medians come from one long-form pass and enter the plan as scalar subqueries.
@@ -156,7 +156,7 @@ def impute_median(df: DataFrame, columns: Sequence[str] = tuple(WEATHER_FEATURES
     if not present:
         return out
     long = melt(source if source is not None else df, [], present).withColumn("_all", F.lit(1))
-    medians = exact_quantiles(long, ["feature"], "value", {"median": 0.5})
+    medians = exact_quantiles(long, ["feature"], "value", {"median": 0.5}, blocks)
     row = medians.agg(*[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in present])
     wide = row.select(F.struct(*present).alias("m")).scalar()
     return out.withColumns({
@@ -190,7 +190,7 @@ def run_time_features(df: DataFrame, order: Sequence[str] = ("timestamp_utc", "s
     placed = Ordered(out.withColumn("_one", F.lit(1)), ["trip_id"], list(order), blocks).row_number("_rn").total(
         "count", "_one", "_total").lag("run_time_in_seconds", 1, "_previous").frame()
     out = delay_features(_fill_and_roll(_progress(placed), order, "trip_id", blocks))
-    out = impute_median(out, source=impute_from)
+    out = impute_median(out, source=impute_from, blocks=(small_like(blocks, "value") or {}).get("value"))
     check_feature_names(CATEGORICAL_FEATURES + NUMERICAL_FEATURES)
     return out.withColumn("deviceid", F.col("deviceid").cast("string"))
 

@@ -76,6 +76,14 @@ def order_blocks(df: DataFrame, column: str, rows_per_block: int | None = None)
     return OrderBlocks(column, tuple(finite))
 
 
+def small_like(blocks: OrderBlocks, *columns: str) -> dict[str, OrderBlocks] | None:
+    """Other columns of a table that is known to fit one block need no cut points either.
+
+    Saves counting an expensive frame again; None means they have to be found.
+    """
+    return {c: OrderBlocks(c) for c in columns} if blocks.single else None
+
+
 @dataclass
 class Ordered:
     """Collects ordered columns over ``keys`` and computes them together.

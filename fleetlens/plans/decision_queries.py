@@ -9,7 +9,7 @@ from fleetlens.functions.stats import hash_route
 from fleetlens.operators import decisions, lifecycle, models
 from fleetlens.operators.decisions import GateLimits, TriggerPolicy
 from fleetlens.plans import testbed as T
-from fleetlens.plans.evaluation_queries import METRICS, metrics_sql
+from fleetlens.plans.evaluation_queries import ABS, METRICS, metrics_sql
 from fleetlens.plans.registry import clean_time, cte, query, rounded, s6
 
 # windows of the derived data differ by a few percent, so a low ratio makes runs visible
@@ -128,7 +128,7 @@ MODELS = {"champion": "predicted", "candidate": "candidate"}
 
 @query("p07_holdout_metrics", "SELECT * FROM gate_metrics", ("gate_metrics",))
 def holdout_metrics(spark, d):
-    return rounded(decisions.holdout_metrics(holdouts(spark, d), MODELS, "actual"), *METRICS)
+    return rounded(decisions.holdout_metrics(holdouts(spark, d), MODELS, "actual", T.fits(spark, d, ABS)), *METRICS)
 
 
 @query("p07_promotion_gate", f"""SELECT *, CAST(gate_a = 1 AND gate_b = 1 AND gate_c = 1 AS BIGINT) AS passed, concat_ws('; ',
@@ -141,7 +141,7 @@ def holdout_metrics(spark, d):
     {s6(_ratio('recent', 'mae_sec'))} AS recent_mae_ratio, {s6(_ratio('original', 'rmse_sec'))} AS original_rmse_ratio,
     {s6(_ratio('original', 'p95_error_sec'))} AS original_p95_ratio))""", ("gate_metrics",))
 def promotion_gate(spark, d):
-    metrics = rounded(decisions.holdout_metrics(holdouts(spark, d), MODELS, "actual"), *METRICS)
+    metrics = rounded(decisions.holdout_metrics(holdouts(spark, d), MODELS, "actual", T.fits(spark, d, ABS)), *METRICS)
     out = decisions.promotion_gate(metrics, GateLimits())
     return rounded(out, "original_mae_ratio", "original_r2_drop", "recent_mae_ratio", "original_rmse_ratio", "original_p95_ratio")
 
@@ -174,7 +174,8 @@ _CANARY = ["champion_mae", "candidate_mae", "champion_rmse", "candidate_rmse", "
     {s6('quantile_cont(abs(actual - predicted), 0.95)')} AS champion_p95, {s6('quantile_cont(abs(actual - candidate), 0.95)')} AS candidate_p95,
     {s6('avg(abs(actual - candidate)) / avg(abs(actual - predicted))')} AS mae_ratio FROM scored WHERE idx >= 600 AND idx < 900 AND {_ROUTE} < 50)""", ("scored",))
 def canary_stage(spark, d):
-    out = decisions.canary_stage(T.scored_stream(spark, d), 50, "actual", "predicted", "candidate", start=600)
+    out = decisions.canary_stage(T.scored_stream(spark, d), 50, "actual", "predicted", "candidate", start=600,
+                                 blocks=T.fits(spark, d, "champion_error", "candidate_error"))
     return rounded(out.withColumns({c: clean_time(c) for c in ("time_range_start", "time_range_end")}), *_CANARY)
 
 
@@ -316,7 +317,7 @@ def leaderboard(spark, d):
   FROM ({metrics_sql('preds')})""", ("preds",))
 def performance_gate(spark, d):
     from fleetlens.operators.evaluation import regression_metrics
-    out = models.performance_gate(regression_metrics(T.scored(spark, d), "actual", "predicted"))
+    out = models.performance_gate(regression_metrics(T.scored(spark, d), "actual", "predicted", blocks=T.fits(spark, d, ABS)))
     return rounded(out.select("samples", "mae_sec", "r2", "p95_error_sec", "failure_reasons", "passed"), "mae_sec", "r2", "p95_error_sec")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import drift_detect, drift_events, drift_stats, drift_windows, evaluation, sequential, whatif
 from fleetlens.operators.drift_windows import DriftConfig
+from fleetlens.ordering import OrderBlocks, order_blocks, small_like
 from fleetlens.plans import testbed as T
 from fleetlens.plans.evaluation_queries import predict_again, scenario_sql, SCENARIO_SQL
 from fleetlens.plans.registry import cte, query, rounded, s6
@@ -153,9 +154,14 @@ def reference_long(reference: DataFrame) -> DataFrame:
     return drift_stats.feature_rows(reference, [], FEATURES)
 
 
+def value_blocks(rows: DataFrame) -> OrderBlocks | None:
+    """Counting stored rows is cheap; only a large table needs cut points for its values."""
+    return (small_like(order_blocks(rows.select("idx"), "idx"), "value") or {}).get("value")
+
+
 def profile_of(reference: DataFrame) -> DataFrame:
     """Profiles are a row per feature; written so that every use reads the same edges."""
-    return materialize(drift_stats.numeric_profile(reference_long(reference)), "profile")
+    return materialize(drift_stats.numeric_profile(reference_long(reference), blocks=value_blocks(reference)), "profile")
 
 
 def windowed_long(rows: DataFrame) -> DataFrame:
@@ -163,7 +169,8 @@ def windowed_long(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    stats = drift_detect.window_feature_stats(windowed_long(rows), profile_of(reference), reference_long(reference), KEYS, CFG)
+    stats = drift_detect.window_feature_stats(windowed_long(rows), profile_of(reference), reference_long(reference), KEYS, CFG,
+                                              value_blocks(reference))
     return drift_detect.classify_numeric(stats, CFG)
 
 
@@ -172,13 +179,13 @@ _PROFILE = ["mean", "std", "min", "q25", "median", "q75", "max"]
 
 @query("o01_reference_profile", "SELECT feature, sample_count, missing_count, " + ", ".join(f"{s6(c)} AS {c}" for c in _PROFILE) + " FROM profile", ("profile",))
 def reference_profile(spark, d):
-    out = drift_stats.numeric_profile(reference_long(inputs(spark, d)[0]))
+    out = profile_of(inputs(spark, d)[0])
     return rounded(out.select("feature", "sample_count", "missing_count", *_PROFILE), *_PROFILE)
 
 
 @query("o01_bin_edges", f"SELECT feature, CAST(i - 1 AS BIGINT) AS position, {s6('edges[i]')} AS edge FROM (SELECT *, unnest(range(1, len(edges) + 1)) AS i FROM profile)", ("profile",))
 def bin_edges(spark, d):
-    out = drift_stats.numeric_profile(reference_long(inputs(spark, d)[0]))
+    out = profile_of(inputs(spark, d)[0])
     return rounded(out.select("feature", F.posexplode("bin_edges").alias("position", "edge")).withColumn("position", F.col("position").cast("long")), "edge")
 
 
@@ -222,21 +229,23 @@ _TWO_SAMPLE = f"""SELECT feature, value, f1, f2, lead(value) OVER (PARTITION BY
   FROM (SELECT feature, max(abs(f1 - f2)) AS dd, max(n1) AS n1, max(n2) AS n2 FROM ({_TWO_SAMPLE}) GROUP BY 1))""", ("ref_long", "cur"))
 def ks_test(spark, d):
     reference, current = inputs(spark, d)
-    out = drift_stats.ks_two_sample(reference_long(reference), drift_stats.feature_rows(current, [], FEATURES))
+    out = drift_stats.ks_two_sample(reference_long(reference), drift_stats.feature_rows(current, [], FEATURES),
+                                    blocks=value_blocks(reference))
     return rounded(out.select("feature", "ks_statistic", "p_value"), "ks_statistic", "p_value")
 
 
 @query("o06_wasserstein", f"SELECT feature, {s6('coalesce(sum(abs(f1 - f2) * gap), 0)')} AS wasserstein FROM ({_TWO_SAMPLE}) GROUP BY 1", ("ref_long", "cur"))
 def wasserstein(spark, d):
     reference, current = inputs(spark, d)
-    out = drift_stats.ks_two_sample(reference_long(reference), drift_stats.feature_rows(current, [], FEATURES))
+    out = drift_stats.ks_two_sample(reference_long(reference), drift_stats.feature_rows(current, [], FEATURES),
+                                    blocks=value_blocks(reference))
     return rounded(out.select("feature", "wasserstein"), "wasserstein")
 
 
 @query("o04_benjamini_hochberg", f"SELECT window_id, feature, {s6('adjusted_p')} AS adjusted_p, CAST(adjusted_p <= 0.05 AS BIGINT) AS rejected FROM one_bh", ("one_bh",))
 def benjamini_hochberg(spark, d):
     reference, current = inputs(spark, d)
-    ks = drift_stats.windowed_ks(reference_long(reference), windowed_long(one_scenario(current)), KEYS)
+    ks = drift_stats.windowed_ks(reference_long(reference), windowed_long(one_scenario(current)), KEYS, value_blocks(reference))
     out = drift_stats.benjamini_hochberg(ks, KEYS)
     return rounded(out.select("window_id", "feature", "adjusted_p", "rejected"), "adjusted_p")
 
@@ -274,7 +283,7 @@ _STATS = ["psi", "js_distance", "ks_statistic", "adjusted_p", "curr_mean", "ref_
 @query("o08_window_features", "SELECT window_id, feature, sample_count, ref_sample_count, " + ", ".join(f"{s6(c)} AS {c}" for c in _STATS) + " FROM one_stats", ("one_stats",))
 def window_features(spark, d):
     reference, current = inputs(spark, d)
-    out = drift_detect.window_feature_stats(windowed_long(one_scenario(current)), profile_of(reference), reference_long(reference), KEYS, CFG)
+    out = drift_detect.window_feature_stats(windowed_long(one_scenario(current)), profile_of(reference), reference_long(reference), KEYS, CFG, value_blocks(reference))
     return rounded(out.select("window_id", "feature", "sample_count", "ref_sample_count", *_STATS), *_STATS)
 
 

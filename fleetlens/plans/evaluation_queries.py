@@ -10,6 +10,7 @@ from fleetlens.operators import evaluation, events, whatif
 from fleetlens.plans import testbed as T
 from fleetlens.plans.registry import clean_time, cte, half_up, query, r6, rounded, s6
 
+ABS = "absolute_error_sec"
 METRICS = ["mae_sec", "rmse_sec", "r2", "mape_pct", "smape_pct", "non_positive_pct", "excessive_pct",
            "median_ae_sec", "p90_error_sec", "p95_error_sec", "p99_error_sec"]
 
@@ -39,17 +40,17 @@ def metrics_sql(source: str, keys: str = "", gate: bool = False, y: str = "actua
 
 @query("l01_regression_metrics", metrics_sql("preds"), ("preds",))
 def regression_metrics(spark, d):
-    return rounded(evaluation.regression_metrics(T.scored(spark, d), "actual", "predicted"), *METRICS)
+    return rounded(evaluation.regression_metrics(T.scored(spark, d), "actual", "predicted", blocks=T.fits(spark, d, ABS)), *METRICS)
 
 
 @query("l02_gate_metrics", metrics_sql("preds", gate=True), ("preds",))
 def gate_metrics(spark, d):
-    return rounded(evaluation.regression_metrics(T.scored(spark, d), "actual", "predicted", gate_variant=True), *METRICS)
+    return rounded(evaluation.regression_metrics(T.scored(spark, d), "actual", "predicted", gate_variant=True, blocks=T.fits(spark, d, ABS)), *METRICS)
 
 
 @query("l02_metrics_by_segment", metrics_sql("preds", "segment"), ("preds",))
 def metrics_by_segment(spark, d):
-    return rounded(evaluation.regression_metrics(T.scored(spark, d), "actual", "predicted", ["segment"]), *METRICS)
+    return rounded(evaluation.regression_metrics(T.scored(spark, d), "actual", "predicted", ["segment"], blocks=T.fits(spark, d, ABS)), *METRICS)
 
 
 def _case(column: str, edges, names) -> str:
@@ -84,7 +85,7 @@ def _strata_sql(names) -> str:
 
 @query("l03_stratified_errors", _strata_sql(list(_DIMENSIONS)), ("dimensions",))
 def stratified_errors(spark, d):
-    return rounded(evaluation.stratified_errors(T.scored(spark, d)), *_STRATA)
+    return rounded(evaluation.stratified_errors(T.scored(spark, d), blocks=T.fits(spark, d, ABS)), *_STRATA)
 
 
 @query("l04_percent_error", f"SELECT event_id, {s6('pct')} AS pct_error FROM dimensions", ("dimensions",))
@@ -128,7 +129,7 @@ def residual_histogram(spark, d):
 @query("l09_residual_center", f"""SELECT {s6('avg(actual - predicted)')} AS mean_residual, {s6('median(actual - predicted)')} AS median_residual
   FROM preds""", ("preds",))
 def residual_center(spark, d):
-    return rounded(evaluation.residual_center(T.scored(spark, d)), "mean_residual", "median_residual")
+    return rounded(evaluation.residual_center(T.scored(spark, d), T.fits(spark, d, "r")), "mean_residual", "median_residual")
 
 
 @query("l10_error_cdf", f"""SELECT e AS absolute_error_sec, CAST(sum(c) AS BIGINT) AS records, {s6('max(cd)')} AS cdf FROM (
@@ -137,7 +138,7 @@ def error_cdf(spark, d):
     rows = T.scored(spark, d)
     # both inputs are rounded so that equal errors are equal in both engines
     rows = rows.select(r6("absolute_error_sec").alias("actual"), F.lit(0.0).alias("predicted"))
-    return evaluation.error_cdf(rows).select("absolute_error_sec", "records", r6("cdf").alias("cdf"))
+    return evaluation.error_cdf(rows, (T.fits(spark, d, ABS) or {}).get(ABS)).select("absolute_error_sec", "records", r6("cdf").alias("cdf"))
 
 
 _BUCKETS = "CASE " + " ".join(f"WHEN absolute_error_sec >= {low} THEN '{n}'" for low, n in reversed(list(zip(*L.ERROR_BUCKETS)))) + " END"
@@ -277,7 +278,7 @@ cte("rescored", f"SELECT * REPLACE ({T._prediction_sql(0.75)} AS predicted) FROM
   FROM ({metrics_sql('rescored', 'scenario_id')}) m""", ("rescored",))
 def scenario_benchmark(spark, d):
     rows = predict_again(whatif.scenario_rows(T.scored(spark, d)))
-    metrics = evaluation.regression_metrics(rows, "actual", "predicted", ["scenario_id"])
+    metrics = evaluation.regression_metrics(rows, "actual", "predicted", ["scenario_id"], blocks=T.fits(spark, d, ABS))
     hits = whatif.describe(T.observations(spark, d)).select("scenario_id", F.col("affected_rows").alias("affected_events"))
     return rounded(metrics.join(hits, "scenario_id"), *METRICS)
 
@@ -331,7 +332,7 @@ _ONLINE = ["mae_sec", "rmse_sec", "bias_sec", "median_ae_sec", "p90_error_sec",
   {s6('median(absolute_error_sec)')} AS median_ae_sec, {s6('quantile_cont(absolute_error_sec, 0.9)')} AS p90_error_sec,
   {s6('quantile_cont(absolute_error_sec, 0.95)')} AS p95_error_sec FROM scored""", ("scored",))
 def online_metrics(spark, d):
-    return rounded(events.online_metrics(T.scored(spark, d)), *_ONLINE)
+    return rounded(events.online_metrics(T.scored(spark, d), blocks=T.fits(spark, d, ABS)), *_ONLINE)
 
 
 _SNAPSHOTS = """SELECT idx, (idx + 1) // 50 AS window_index, count(*) OVER w AS sample_count, avg(absolute_error_sec) OVER w AS mae_sec,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.columns import clip, round_to
 from fleetlens.operators import evaluation, features, splits, topology
 from fleetlens.operators.drift_windows import indexed
-from fleetlens.ordering import Ordered, OrderBlocks, order_blocks
+from fleetlens.ordering import Ordered, OrderBlocks, order_blocks, small_like
 from fleetlens.plans.registry import cte, half_up
 from fleetlens.schemas import NUMERICAL_FEATURES, WEATHER_FEATURES
 
@@ -61,6 +61,11 @@ def time_blocks(spark: SparkSession, sf_dir: str) -> OrderBlocks:
     return order_blocks(table(spark, sf_dir, "events").select(F.col("ts").alias("timestamp_utc")), "timestamp_utc")
 
 
+def fits(spark: SparkSession, sf_dir: str, *columns: str) -> dict[str, OrderBlocks] | None:
+    """Block choice for other columns of frames derived row by row from the events."""
+    return small_like(time_blocks(spark, sf_dir), *columns)
+
+
 def with_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.hourly_weather_join(observations(spark, sf_dir), weather(spark, sf_dir))
 
