@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import drift_stats as S
-from fleetlens.operators.drift_windows import DriftConfig
+from fleetlens.operators.drift_windows import DriftConfig, pane_counts, panes_to_windows
 from fleetlens.ordering import OrderBlocks
 from fleetlens.schemas import KINEMATIC_FEATURES, WEATHER_FEATURES
 
@@ -21,19 +21,30 @@ WEATHER_Z = (3.0, 4.0)
 PEAK_MEAN = 0.8
 
 
-def window_feature_stats(long: DataFrame, profile: DataFrame, reference: DataFrame, keys: Sequence[str],
-                         cfg: DriftConfig = DriftConfig(), blocks: OrderBlocks | None = None) -> DataFrame:
-    """PSI, JS, KS, adjusted p and means per (keys, feature) of windowed (keys, feature, value) rows."""
+def window_feature_stats(rows: DataFrame, features: Sequence[str], profile: DataFrame, reference: DataFrame,
+                         keys: Sequence[str] = (), cfg: DriftConfig = DriftConfig(),
+                         blocks: OrderBlocks | None = None) -> DataFrame:
+    """PSI, JS, KS, adjusted p and means per (keys, window, feature) of indexed wide rows.
+
+    All statistics come from one table of value counts per pane; sums and bins are
+    reduced per pane before panes are repeated for their windows.
+    """
     keys = list(keys)
-    per = [*keys, "feature"]
-    means = long.filter(F.col("value").isNotNull()).groupBy(*per).agg(
-        F.avg("value").alias("curr_mean"), F.count(F.lit(1)).alias("sample_count"),
-        F.avg(F.when(F.col("value") >= HEAVY_RAIN_CODE, 1.0).otherwise(0.0)).alias("share_heavy"))
-    ref_bins = S.binned_counts(reference, profile)
-    distances = S.binned_distances(ref_bins, S.binned_counts(long, profile, keys), profile, keys)
-    ks = S.windowed_ks(reference, long, keys, blocks).drop("current_count", "reference_count")
-    joined = means.join(distances, per).join(ks, per)
-    tested = S.benjamini_hochberg(joined, keys, alpha=cfg.ks_alpha)
+    per = [*keys, "window_id", "feature"]
+    pane = [*keys, "n", "pane"]
+    counts = pane_counts(rows, keys, features, cfg)
+    c, v = F.col("records"), F.col("value")
+    sums = counts.groupBy(*pane, "feature").agg(
+        F.sum(c).alias("_n"), F.sum(v * c).alias("_s"), F.sum(F.when(v >= HEAVY_RAIN_CODE, c).otherwise(0)).alias("_h"))
+    means = panes_to_windows(sums, cfg).groupBy(*per).agg(
+        F.sum("_n").alias("sample_count"), (F.sum("_s") / F.sum("_n")).alias("curr_mean"),
+        (F.sum("_h") / F.sum("_n")).alias("share_heavy"))
+    bins = panes_to_windows(S.binned_counts(counts, profile, pane, "records"), cfg).groupBy(*per, "bin").agg(
+        F.sum("records").alias("records"))
+    distances = S.binned_distances(S.binned_counts(reference, profile), bins, profile, [*keys, "window_id"])
+    ranked = counts.join(S.reference_ranks(reference, counts, blocks), ["feature", "value"])
+    ks = S.ks_from_ranks(panes_to_windows(ranked, cfg), per, "records").drop("current_count", "reference_count")
+    tested = S.benjamini_hochberg(means.join(distances, per).join(ks, per), [*keys, "window_id"], alpha=cfg.ks_alpha)
     return tested.join(profile.select("feature", F.col("mean").alias("ref_mean"), F.col("std").alias("ref_std"),
                                       F.col("sample_count").alias("ref_sample_count")), "feature")
 

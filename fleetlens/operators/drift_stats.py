@@ -66,12 +66,12 @@ def bin_number(value: Column, edges: Column) -> Column:
     return F.size(F.filter(inner, lambda e: e <= value))
 
 
-def binned_counts(long: DataFrame, profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows per (keys, feature, bin), only bins that occur."""
+def binned_counts(long: DataFrame, profile: DataFrame, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Rows (or summed weights) per (keys, feature, bin), only bins that occur."""
     edges = profile.select("feature", "bin_edges")
     rows = long.filter(F.col("value").isNotNull()).join(edges, "feature")
     return rows.groupBy(*keys, "feature", bin_number(F.col("value"), F.col("bin_edges")).alias("bin")).agg(
-        F.count(F.lit(1)).alias("records"))
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("records"))
 
 
 def bin_grid(profile: DataFrame) -> DataFrame:
@@ -142,28 +142,35 @@ def reference_ranks(reference: DataFrame, values: DataFrame, blocks: OrderBlocks
     return ranked.filter(F.col("_wanted") > 0).drop("_wanted")
 
 
-def windowed_ks(reference: DataFrame, current: DataFrame, keys: Sequence[str] = ("window_id",),
-                blocks: OrderBlocks | None = None) -> DataFrame:
-    """KS of every window against one large reference.
+def ks_from_ranks(steps: DataFrame, per: Sequence[str], weight: str) -> DataFrame:
+    """KS per group from its values, their weights and their places in the reference.
 
-    The window's steps are its own values, so the largest gap lies at one of them,
+    The group's steps are its own values, so the largest gap lies at one of them,
     from the left or from the right; the reference is looked up there, not copied
-    into every window.
+    into every group.
     """
-    known = current.filter(F.col("value").isNotNull())
-    per = [*keys, "feature"]
-    steps = known.groupBy(*per, "value").agg(F.count(F.lit(1)).alias("_c"))
-    ranks = reference_ranks(reference, known, blocks)
-    w = Window.partitionBy(*per)
-    placed = steps.join(ranks, ["feature", "value"]).withColumns({
-        "_cum": F.sum("_c").over(w.orderBy("value")), "_n": F.sum("_c").over(w)})
-    right = F.abs(F.col("_cum") / F.col("_n") - F.col("ref_through") / F.col("ref_all"))
-    left = F.abs((F.col("_cum") - F.col("_c")) / F.col("_n") - (F.col("ref_through") - F.col("ref_at")) / F.col("ref_all"))
+    group = Window.partitionBy(*per)
+    ordered = group.orderBy("value")
+    equal = ordered.rangeBetween(Window.currentRow, Window.currentRow)
+    placed = steps.withColumns({
+        "_through": F.sum(weight).over(ordered), "_at": F.sum(weight).over(equal), "_n": F.sum(weight).over(group)})
+    right = F.abs(F.col("_through") / F.col("_n") - F.col("ref_through") / F.col("ref_all"))
+    left = F.abs((F.col("_through") - F.col("_at")) / F.col("_n")
+                 - (F.col("ref_through") - F.col("ref_at")) / F.col("ref_all"))
     out = placed.groupBy(*per).agg(F.max(F.greatest(right, left)).alias("ks_statistic"),
                                    F.max("_n").alias("current_count"), F.max("ref_all").alias("reference_count"))
     return out.withColumn("p_value", kolmogorov_p(F.col("ks_statistic"), F.col("reference_count"), F.col("current_count")))
 
 
+def windowed_ks(reference: DataFrame, current: DataFrame, keys: Sequence[str] = ("window_id",),
+                blocks: OrderBlocks | None = None) -> DataFrame:
+    """KS of every window of (keys, feature, value) rows against one large reference."""
+    known = current.filter(F.col("value").isNotNull())
+    per = [*keys, "feature"]
+    steps = known.groupBy(*per, "value").agg(F.count(F.lit(1)).alias("records"))
+    return ks_from_ranks(steps.join(reference_ranks(reference, steps, blocks), ["feature", "value"]), per, "records")
+
+
 def benjamini_hochberg(df: DataFrame, keys: Sequence[str], p: str = "p_value", alpha: float = 0.05,
                        tie: str = "feature") -> DataFrame:
     """Adjusted p-values and rejections within each key (a few tests per key)."""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.columns import melt
 from fleetlens.ordering import OrderBlocks, with_index
 
 SEVERITIES = ["NONE", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
@@ -75,6 +77,25 @@ def sliding_windows(df: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFram
     return df.withColumn("window_id", F.explode(window_numbers(F.col("idx"), F.col("n"), cfg)))
 
 
+def pane_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str], cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """Counts per (keys, pane, feature, value): everything the feature statistics need, in one shuffle.
+
+    A pane is a run of records that always share their windows, so windows are sums of panes.
+    """
+    unit = gcd(cfg.window_size, cfg.step_size)
+    ids = [*keys, "n", "pane"]
+    rows = df.withColumn("pane", F.floor(F.col("idx") / unit).cast("long"))
+    long = melt(rows, ids, list(features)).filter(F.col("value").isNotNull())
+    return long.groupBy(*ids, "feature", "value").agg(F.count(F.lit(1)).alias("records"))
+
+
+def panes_to_windows(panes: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """Repeat pane aggregates for the windows that hold the pane."""
+    unit = gcd(cfg.window_size, cfg.step_size)
+    ids = window_numbers(F.col("pane") * unit, F.col("n"), cfg)
+    return panes.withColumn("window_id", F.explode(ids)).drop("pane", "n")
+
+
 def window_bounds(windowed: DataFrame, keys: Sequence[str] = (), ts: str | None = None) -> DataFrame:
     extra = [F.max_by(ts, "idx").alias("window_end_time")] if ts else []
     return windowed.groupBy(*keys, "window_id").agg(

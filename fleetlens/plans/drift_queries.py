@@ -169,7 +169,7 @@ def windowed_long(rows: DataFrame) -> DataFrame:
 
 
 def judged(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    stats = drift_detect.window_feature_stats(windowed_long(rows), profile_of(reference), reference_long(reference), KEYS, CFG,
+    stats = drift_detect.window_feature_stats(rows, FEATURES, profile_of(reference), reference_long(reference), ["scenario_id"], CFG,
                                               value_blocks(reference))
     return drift_detect.classify_numeric(stats, CFG)
 
@@ -283,7 +283,8 @@ _STATS = ["psi", "js_distance", "ks_statistic", "adjusted_p", "curr_mean", "ref_
 @query("o08_window_features", "SELECT window_id, feature, sample_count, ref_sample_count, " + ", ".join(f"{s6(c)} AS {c}" for c in _STATS) + " FROM one_stats", ("one_stats",))
 def window_features(spark, d):
     reference, current = inputs(spark, d)
-    out = drift_detect.window_feature_stats(windowed_long(one_scenario(current)), profile_of(reference), reference_long(reference), KEYS, CFG, value_blocks(reference))
+    out = drift_detect.window_feature_stats(one_scenario(current), FEATURES, profile_of(reference), reference_long(reference),
+                                            ["scenario_id"], CFG, value_blocks(reference))
     return rounded(out.select("window_id", "feature", "sample_count", "ref_sample_count", *_STATS), *_STATS)
 
 
@@ -435,4 +436,5 @@ def scenario_drift(spark, d):
     """All scenarios in one job; the scenario leads every key."""
     reference, current = inputs(spark, d)
     rows = evaluation.with_errors(predict_again(whatif.scenario_rows(current)), "actual", "predicted")
+    rows = materialize(rows.select("scenario_id", "idx", "n", "signed_error_sec", "absolute_error_sec", *FEATURES), "disturbed")
     return drift_events.summary(window_events(rows, reference), ["scenario_id"])
