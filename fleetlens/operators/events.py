@@ -152,7 +152,15 @@ def trailing_moments(df: DataFrame, order: Sequence[str], value: str, width: int
     late = F.col("idx") % span >= span - width + 1
     spans = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
     spread = placed.withColumn("_own", own).withColumn("_span", F.explode(spans))
-    w = Window.partitionBy("_span").orderBy("idx").rowsBetween(-(width - 1), 0)
-    return spread.withColumns({
-        "mean_residual": F.avg(value).over(w), "variance_residual": F.var_pop(value).over(w),
-    }).filter(F.col("_span") == F.col("_own")).drop("_own", "_span")
+    ordered = Window.partitionBy("_span").orderBy("idx")
+    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(value).cast("double")
+    totals = spread.withColumns({"_c": F.count(x).over(running), "_s": F.coalesce(F.sum(x).over(running), F.lit(0.0)),
+                                 "_q": F.coalesce(F.sum(x * x).over(running), F.lit(0.0))})
+    # totals up to the record minus totals before the window: no frame is summed twice
+    inside = totals.withColumns({c: F.col(c) - F.coalesce(F.lag(c, width).over(ordered), F.lit(0)) for c in ("_c", "_s", "_q")})
+    n = F.nullif(F.col("_c"), F.lit(0))
+    mean = F.col("_s") / n
+    return inside.withColumns({
+        "mean_residual": mean, "variance_residual": F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0)),
+    }).filter(F.col("_span") == F.col("_own")).drop("_own", "_span", "_c", "_s", "_q")
