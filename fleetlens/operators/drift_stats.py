@@ -12,11 +12,12 @@ from fleetlens.functions.stats import kolmogorov_p
 from fleetlens.ordering import OrderBlocks, Ordered, order_blocks
 from fleetlens.quantiles import cumulative_counts, exact_quantiles, summarize
 
+BINS = 10
 POINT_MASS_SHARE = 0.25
 POINT_MASS_PAD = 1e-4
 
 
-def numeric_profile(long: DataFrame, bins: int = 10, blocks: OrderBlocks | None = None) -> DataFrame:
+def numeric_profile(long: DataFrame, bins: int = BINS, blocks: OrderBlocks | None = None) -> DataFrame:
     """Reference profile per feature of (feature, value) rows, with bin edges.
 
     Edges are distinct deciles.  When at least a quarter of the values equal the
@@ -60,17 +61,26 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter(F.col("category").isNotNull()).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("records"))
 
 
-def bin_number(value: Column, edges: Column) -> Column:
-    """0-based bin with open ends: left-closed bins between the inner edges."""
-    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.size(F.filter(inner, lambda e: e <= value))
+def bin_number(value: Column, edges: Column, bins: int = BINS) -> Column:
+    """0-based bin with open ends: left-closed bins between the inner edges.
+
+    A profile has at most ``bins`` + 2 edges, so the search is written out as
+    comparisons, which stay inside generated code.
+    """
+    most = bins + 2
+    number = F.lit(0)
+    for i in range(1, most - 1):
+        inner = F.lit(i) < F.size(edges) - 1
+        number = number + F.when(inner & (F.get(edges, F.lit(i)) <= value), 1).otherwise(0)
+    return F.when(F.size(edges) <= most, number).otherwise(F.raise_error(F.lit("profile has more edges than bins allow")))
 
 
-def binned_counts(long: DataFrame, profile: DataFrame, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def binned_counts(long: DataFrame, profile: DataFrame, keys: Sequence[str] = (), weight: str | None = None,
+                  bins: int = BINS) -> DataFrame:
     """Rows (or summed weights) per (keys, feature, bin), only bins that occur."""
     edges = profile.select("feature", "bin_edges")
     rows = long.filter(F.col("value").isNotNull()).join(edges, "feature")
-    return rows.groupBy(*keys, "feature", bin_number(F.col("value"), F.col("bin_edges")).alias("bin")).agg(
+    return rows.groupBy(*keys, "feature", bin_number(F.col("value"), F.col("bin_edges"), bins).alias("bin")).agg(
         (F.sum(weight) if weight else F.count(F.lit(1))).alias("records"))
 
 
