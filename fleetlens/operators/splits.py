@@ -78,12 +78,15 @@ def table_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def provenance(train: DataFrame, original_holdout: DataFrame, recent_holdout: DataFrame,
                keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One manifest row: sizes, content hashes and the disjointness check."""
-    def hashed(df: DataFrame, prefix: str) -> DataFrame:
-        return table_hash(df, columns).select(
-            F.lit(1).alias("_k"), F.col("row_count").alias(f"{prefix}_rows"), F.col("content_hash").alias(f"{prefix}_hash"))
+    def hashed(df: DataFrame) -> Column:
+        return table_hash(df, columns).select(F.struct("row_count", "content_hash")).scalar()
 
     checks = overlap(train, original_holdout.select(*keys).unionByName(recent_holdout.select(*keys)), keys)
-    row = hashed(train, "train").join(hashed(original_holdout, "original_holdout"), "_k").join(
-        hashed(recent_holdout, "recent_holdout"), "_k").join(checks.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    row = table_hash(train, columns).select(F.col("row_count").alias("train_rows"), F.col("content_hash").alias("train_hash"))
+    for prefix, df in (("original_holdout", original_holdout), ("recent_holdout", recent_holdout)):
+        side = hashed(df)
+        row = row.withColumns({f"{prefix}_rows": side.getField("row_count"), f"{prefix}_hash": side.getField("content_hash")})
+    check = checks.select(F.struct("shared_rows", "is_disjoint")).scalar()
     total = F.col("train_rows") + F.col("recent_holdout_rows")
-    return row.withColumn("holdout_share", F.col("recent_holdout_rows") / total)
+    return row.withColumns({"shared_rows": check.getField("shared_rows"), "is_disjoint": check.getField("is_disjoint"),
+                            "holdout_share": F.col("recent_holdout_rows") / total})
