@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import packing
+from fleetlens.llm import packing, toxicity
+from fleetlens.llm.common import table
 from fleetlens.session import materialize, ship_package
 
 
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text isn't judged toxic."""
+    model = toxicity.fitted(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.passing(docs, model)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of what is left."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [("toxicity", clean_language), ("best_fit_packing", packed)]
 
 ORACLE_SQL = None
 
