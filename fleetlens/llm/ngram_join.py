@@ -22,14 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import arrow_map, keyed_text, mix64
+from fleetlens.llm.common import arrow_map, by_group, keyed_text, mix64
 from fleetlens.llm.components import components
 from fleetlens.llm.words import hashed_words, shingles
 from fleetlens.session import materialize
@@ -120,49 +119,6 @@ def alike(sketches: list[np.ndarray], whole: np.ndarray, left: np.ndarray, right
     return out
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1
-        for s, e in zip(np.r_[0, change], np.r_[change, batch.num_rows], strict=True):
-            here = tuple(c[s] for c in columns)
-            if held and here != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
-            last = here
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def by_group(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
-    """Rows dealt by the keys; the function takes one table per key and returns columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    target = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in target]
-        for group in grouped(batches, keys):
-            got = function(group)
-            for column, f in zip(held, target, strict=True):
-                column.extend(got[f.name])
-            if len(held[0]) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, target, strict=True)], schema=target)
-                held = [[] for _ in target]
-        if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, target, strict=True)], schema=target)
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
-
-
 def in_blocks(members: DataFrame, group: str, size: str, small: int = SMALL) -> DataFrame:
     """Adds block pairs (bi, bj): a group up to ``small`` rows is one block; larger ones are dealt to blocks, and each row goes
     to every pair that its block is part of. ``mine`` is the row's block."""

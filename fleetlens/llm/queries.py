@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat_format, ngram_join, packing, toxicity
+from fleetlens.llm import chat_format, ngram_join, packing, substring_dedup, toxicity
 from fleetlens.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: function for name, function in globals().items() if name.startswith("op") and callable(function)}
 
