@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat_format, exact_search, line_dedup, ngram_join, packing, substring_dedup, toxicity
+from fleetlens.llm import chat_format, exact_search, line_dedup, neighbour_graph, ngram_join, packing, substring_dedup, toxicity
 from fleetlens.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -53,6 +53,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_graph.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 ORACLE["op9_exact_top_k"] = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
     WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
