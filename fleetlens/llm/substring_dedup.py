@@ -3,14 +3,15 @@
 A document loses each word that lies in a run of ``size`` words which also starts in a document with a smaller key.
 
 1. Runs have an owner: the first of the least hashes among their n-grams of ``GRAM`` words, which depends on the run alone. An
-   owner hash that one document alone has can't own a repeated run; only owners of several documents go on.
-2. The words around such an owner that its runs cover are its passage. Equal passages of documents become one, with the
-   least document that has it.
-3. Passages are the reference text. They are dealt into shards by their owner, of about ``SHARD`` passages; an owner with more
-   passages than a shard holds is dealt by its single runs. Each shard becomes a suffix automaton whose states know the least
-   document that has their words. Passages are streamed through the automaton of their shard; where matching statistics
-   reach ``size`` words, the state of the last ``size`` words tells the first document that has them.
-4. Each occurrence takes the answer of its passage; runs first seen in a smaller document are marked and their union cut.
+   owner hash that one document alone has can't own a repeated run; only owners of several documents go on. What a batch of
+   texts has several times is known to be shared at once, and only its least and greatest document are told to others, so no
+   owner sends more than two rows a batch to one task.
+2. The words around such an owner that its runs cover are its passage. Equal passages of a batch become one row.
+3. Passages are the reference text. They are dealt by their owner into shards of about ``SHARD`` rows; an owner of more than
+   ``SHARD`` documents is taken apart into single runs, dealt by their words. Each shard becomes a suffix automaton whose states
+   know the least document that has their words. Passages are streamed through the automaton of their shard; where matching
+   statistics reach ``size`` words, the state of the last ``size`` words tells the first document that has them.
+4. Runs first seen in a smaller document are marked in each occurrence of their passage, and the union of marks is cut.
 
 A whole-corpus automaton that is broadcast would have to meet every document with every shard, work that grows with the
 square of the corpus; dealing by owner brings each run only to the one shard that can hold its like.
@@ -22,18 +23,19 @@ Words are compared as symbols of 32 bits, whole runs by all their symbols and 64
 
 from __future__ import annotations
 
+import hashlib
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import arrow_map, by_group, keyed_text, mix64
 from fleetlens.llm.words import Words, hashed_words, shingles
 from fleetlens.session import materialize
 
-SIZE, GRAM, SHARD = 13, 5, 3000
+SIZE, GRAM, SHARD = 13, 5, 4000
 
 
 def owners(part: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,28 +55,42 @@ def owners(part: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def owner_hashes(docs: DataFrame, key: str, text: str, size: int, gram: int) -> DataFrame:
-    """Distinct (key, row, owner) within a chunk of texts."""
-    def run(batch: pa.RecordBatch) -> dict:
-        rows, found = [], []
-        for part in hashed_words(batch.column(2)):
-            runs, at, grams = owners(part, size, gram)
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
-            doc, owner = np.searchsorted(part.offsets, at[first], "right") - 1, grams[at[first]] if len(at) else grams
-            order = np.lexsort((owner, doc))
-            doc, owner = doc[order], owner[order]
-            new = np.r_[True, (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])] if len(doc) else np.zeros(0, bool)
-            rows.append(doc[new] + part.first)
-            found.append(owner[new].view(np.int64))
-        row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        return {key: batch.column(0).take(pa.array(row)), "row": batch.column(1).take(pa.array(row)), "owner": np.concatenate(found) if found else np.zeros(0, np.int64)}
-
-    return arrow_map(docs, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, row long, owner long")
+    """(deal, owner, key, known): owners by document. ``known`` rows are of owners that several documents of the batch have; they
+    are dealt evenly, and only the least and the greatest of these documents are dealt by the owner."""
 
+    def run(batch: pa.RecordBatch) -> dict:
+        keys, docs_of, owner_of = batch.column(0).to_numpy(), [], []
+        for part in hashed_words(batch.column(1)):
+            _, at, grams = owners(part, size, gram)
+            if len(at):
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                docs_of.append(np.searchsorted(part.offsets, at[first], "right") - 1 + part.first)
+                owner_of.append(grams[at[first]])
+        if not docs_of:
+            return None
+        key_of, owner = keys[np.concatenate(docs_of)], np.concatenate(owner_of)
+        order = np.lexsort((key_of, owner))
+        key_of, owner = key_of[order], owner[order]
+        new = np.r_[True, (key_of[1:] != key_of[:-1]) | (owner[1:] != owner[:-1])]
+        key_of, owner = key_of[new], owner[new]
+        first = np.r_[True, owner[1:] != owner[:-1]]
+        last = np.r_[first[1:], True]
+        known = ~(first & last)
+        deal = np.r_[owner[first | last], mix64(owner[known] ^ mix64(key_of[known].astype(np.uint64)))]
+        every = np.r_[np.flatnonzero(first | last), np.flatnonzero(known)]
+        return {"deal": deal.view(np.int64), "owner": owner[every].view(np.int64), key: key_of[every], "known": np.arange(len(every)) >= (first | last).sum()}
+
+    return arrow_map(docs.select(key, text), run, f"deal long, owner long, `{key}` {docs.schema[key].dataType.simpleString()}, known boolean")
+
+
+def passages(docs: DataFrame, key: str, text: str, size: int, gram: int, shards: int) -> DataFrame:
+    """(shard, owner, symbols, keys, rows, starts): passages of a batch with their occurrences. ``docs`` has the columns key, row,
+    text, the asked owners and those of them that are taken apart."""
+    kind = docs.schema[key].dataType.simpleString()
 
-def passages(docs: DataFrame, key: str, text: str, size: int, gram: int) -> DataFrame:
-    """(key, row, owner, digest, start, symbols): the words that the runs of each asked owner cover. ``asked`` lists owners."""
     def run(batch: pa.RecordBatch) -> dict:
-        rows, owner_of, digests, starts, symbols = [], [], [], [], []
+        keys, rows = (batch.column(c).to_pylist() for c in (0, 1))
+        found: dict[tuple[int, bytes, bool], list[tuple[int, int]]] = {}
         for part in hashed_words(batch.column(2)):
             runs, at, grams = owners(part, size, gram)
             if not len(runs):
@@ -82,22 +98,22 @@ def passages(docs: DataFrame, key: str, text: str, size: int, gram: int) -> Data
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             last = np.r_[first[1:], len(at)] - 1
             doc = np.searchsorted(part.offsets, at[first], "right") - 1
-            asked = batch.column(3).slice(part.first, len(part.counts))
-            lists = np.split(asked.flatten().to_numpy(), np.cumsum(asked.value_lengths().to_numpy())[:-1])
-            hashes = grams[at[first]].view(np.int64)
-            bounds = np.searchsorted(doc, np.arange(len(part.counts) + 1))
-            keep = np.concatenate([np.isin(hashes[bounds[d]:bounds[d + 1]], lists[d]) for d in range(len(part.counts))])
-            short = mix64(part.hashes).astype("<u4")
-            for k in np.flatnonzero(keep).tolist():
-                s, e = runs[first[k]], runs[last[k]] + size
-                packed = short[s:e].tobytes()
-                rows.append(part.first + doc[k])
-                owner_of.append(hashes[k])
-                starts.append(s - part.offsets[doc[k]])
-                symbols.append(packed)
-        return {key: batch.column(0).take(pa.array(rows, pa.int64())), "row": batch.column(1).take(pa.array(rows, pa.int64())), "owner": owner_of, "start": starts, "symbols": symbols}
-
-    return arrow_map(docs, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, row long, owner long, start int, symbols binary").withColumn("digest", F.xxhash64("symbols"))
+            hashes, bounds = grams[at[first]].view(np.int64), np.searchsorted(doc, np.arange(len(part.counts) + 1))
+            asked, apart = (batch.column(c).slice(part.first, len(part.counts)) for c in (3, 4))
+            here = np.concatenate([np.isin(hashes[bounds[d]:bounds[d + 1]], asked[d].values.to_numpy()) for d in range(len(part.counts))])
+            taken = {d: set(apart[d].as_py()) for d in np.flatnonzero(apart.value_lengths().to_numpy()).tolist()}
+            short = mix64(part.hashes).astype("<u4").tobytes()
+            offsets = part.offsets.tolist()
+            chosen = np.flatnonzero(here)
+            for d, owner, s, e in zip(doc[chosen].tolist(), hashes[chosen].tolist(), runs[first[chosen]].tolist(), (runs[last[chosen]] + size).tolist(), strict=True):
+                single = owner in taken.get(d, ())
+                for a, b in [(k, k + size) for k in range(s, e - size + 1)] if single else [(s, e)]:
+                    found.setdefault((owner, short[4 * a:4 * b], single), []).append((part.first + d, a - offsets[d]))
+        deal = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") if single else o for o, w, single in found]
+        return {"shard": [(int(mix64(np.array([x & (2**64 - 1)], np.uint64))[0]) % shards) for x in deal], "owner": [o for o, _, _ in found], "symbols": [w for _, w, _ in found],
+                "keys": [[keys[d] for d, _ in x] for x in found.values()], "rows": [[rows[d] for d, _ in x] for x in found.values()], "starts": [[at for _, at in x] for x in found.values()]}
+
+    return arrow_map(docs, run, f"shard int, owner long, symbols binary, keys array<{kind}>, rows array<long>, starts array<int>")
 
 
 class Automaton:
@@ -175,62 +191,67 @@ class Automaton:
         return out
 
 
-def answered(size: int):
-    """First documents of the runs of all passages of a shard; ``first`` is the least document that has the passage."""
+def answered(key: str, size: int):
+    """Word spans to cut, by occurrence, from all passages of a shard."""
 
     def answer(group: pa.Table) -> dict:
+        occurrences: dict[bytes, list[tuple]] = {}
+        for words, *where in zip(*(group.column(c).to_pylist() for c in ("symbols", "keys", "rows", "starts")), strict=True):
+            occurrences.setdefault(words, []).append(where)
+        texts = {w: np.frombuffer(w, "<u4").tolist() for w in occurrences}
         automaton = Automaton()
-        texts = [np.frombuffer(s, "<u4").tolist() for s in group.column("symbols").to_pylist()]
-        for symbols, document in zip(texts, group.column("first").to_pylist(), strict=True):
-            automaton.add(symbols, document)
+        for w, symbols in texts.items():
+            automaton.add(symbols, min(min(keys) for keys, _, _ in occurrences[w]))
         automaton.settle()
-        found = [automaton.first_documents(t, size) for t in texts]
-        return {"owner": group.column("owner").to_pylist(), "digest": group.column("digest").to_pylist(), "shift": group.column("shift").to_pylist(), "firsts": found}
+        out: dict[str, list] = {c: [] for c in (key, "row", "start", "end")}
+        for w, symbols in texts.items():
+            firsts = automaton.first_documents(symbols, size)
+            least = min(firsts)
+            for me, row, at in ((k, r, s) for part in occurrences[w] for k, r, s in zip(*part, strict=True)):
+                if least < me:
+                    end = -1
+                    for n, first in enumerate(firsts):
+                        if first < me:
+                            if n > end:  # a gap since the last span
+                                out[key].append(me)
+                                out["row"].append(row)
+                                out["start"].append(at + n)
+                                out["end"].append(at + n + size)
+                            out["end"][-1] = at + n + size
+                            end = n + size
+        return out
 
     return answer
 
 
-def sharded(distinct: DataFrame, size: int, shard: int) -> DataFrame:
-    """Passages with their shard. An owner with more passages than a shard is taken apart into single runs, dealt by their words."""
-    many = distinct.groupBy("owner").agg(F.count("*").alias("passages")).where(f"passages > {shard}").select("owner", F.lit(True).alias("hot"))
-    marked = distinct.join(many, "owner", "left")
-    runs = F.sequence(F.lit(0), (F.length("symbols") / 4).cast("int") - size)
-    single = marked.where("hot").select("owner", "digest", "first", F.explode(runs).alias("shift"), "symbols").withColumn("symbols", F.expr(f"substring(symbols, shift * 4 + 1, {4 * size})"))
-    plain = marked.where("hot is null").select("owner", "digest", "first", F.lit(0).alias("shift"), "symbols")
-    return plain.withColumn("deal", F.col("owner")).unionByName(single.withColumn("deal", F.xxhash64("owner", "symbols")))
-
-
-def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """All rows as (key, text, found), where ``found`` lists (start, first documents of the runs from there on)."""
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """All rows as (key, text, spans), where ``spans`` lists word spans [start, end) that an earlier document has, unordered."""
     docs = keyed_text(df, key, text).select(key, F.xxhash64(text).alias("row"), text)
     kind = docs.schema[key].dataType.simpleString()
     hashes = owner_hashes(docs.where(F.col(key).isNotNull()), key, text, size, gram)
-    shared = hashes.groupBy("owner").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least < most").select("owner")
-    asked = hashes.join(shared, "owner").groupBy(key, "row").agg(F.collect_set("owner").alias("asked"))
-    found = passages(docs.join(asked, [key, "row"]), key, text, size, gram)
-    distinct = materialize(found.groupBy("owner", "digest").agg(F.min(key).alias("first"), F.min("symbols").alias("symbols")), "passages")
-    shards = max(1, -(-distinct.count() // shard))
-    dealt = sharded(distinct, size, shard).withColumn("shard", F.pmod("deal", F.lit(shards))).select("shard", "owner", "digest", "shift", "first", "symbols")
-    answers = by_group(dealt, ["shard"], answered(size), f"owner long, digest long, shift int, firsts array<{kind}>")
-    occurrences = found.select(key, "row", "owner", "digest", "start")
-    per_row = occurrences.join(answers, ["owner", "digest"]).where(F.exists("firsts", lambda f: f < F.col(key))).groupBy(key, "row").agg(F.collect_list(F.struct((F.col("start") + F.col("shift")).alias("start"), "firsts")).alias("found"))
-    return docs.join(per_row, [key, "row"], "left").select(key, text, "found")
+    same = Window.partitionBy("deal")
+    shared = hashes.withColumns({"least": F.min(key).over(same), "most": F.max(key).over(same)}).where("known or least < most")
+    asked = materialize(shared.select(key, "owner"), "shared-owners")
+    apart = materialize(asked.groupBy("owner").agg(F.count("*").alias("n")).where(f"n > {shard}").select("owner", F.col("owner").alias("apart")), "frequent-owners")
+    lists = asked.join(apart, "owner", "left").groupBy(key).agg(F.collect_set("owner").alias("asked"), F.collect_set("apart").alias("apart"))
+    found = passages(docs.join(lists, key).select(key, "row", text, "asked", "apart"), key, text, size, gram, max(1, -(-asked.count() // shard)))
+    spans = by_group(found, ["shard"], answered(key, size), f"`{key}` {kind}, row long, start int, end int")
+    per_row = spans.groupBy(key, "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({key: "_key", "row": "_row"})
+    return docs.join(per_row, (F.col(key) == F.col("_key")) & (F.col("row") == F.col("_row")), "left").select(key, text, "spans")
 
 
 def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(key, n_words, n_removed, kept, spans): the kept words joined by one space, and the word spans [start, end) that were cut."""
-    found = repeated_runs(df, key, text, size, gram, shard)
+    found = repeated_spans(df, key, text, size, gram, shard)
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept", "spans")}
-        for me, value, marks in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        for value, marks in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
             words = value.encode().split()
             gone = np.zeros(len(words) + 1, np.int32)
             for m in marks or []:
-                for k, first in enumerate(m["firsts"]):
-                    if first is not None and first < me:
-                        gone[m["start"] + k] += 1
-                        gone[m["start"] + k + size] -= 1
+                gone[m["start"]] += 1
+                gone[m["end"]] -= 1
             covered = np.cumsum(gone)[:-1] > 0
             edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
             out["n_words"].append(len(words))
