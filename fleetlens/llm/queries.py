@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat_format, exact_search, line_dedup, neighbour_graph, ngram_join, packing, substring_dedup, toxicity
+from fleetlens.llm import chat_format, exact_search, licences, line_dedup, neighbour_graph, ngram_join, packing, substring_dedup, toxicity
 from fleetlens.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = licences.documents_with_licences(docs, licences.fit(docs))
+    return got.select("doc_id", "n_paragraphs", "n_licences", F.array_join("families", ",").alias("families"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = toxicity.score(docs, toxicity.fitted(spark, docs, table(spark, sf_dir, "labels")))
