@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat_format, exact_search, licences, line_dedup, neighbour_graph, ngram_join, packing, substring_dedup, toxicity
+from fleetlens.llm import chat_format, exact_search, licences, line_dedup, neighbour_graph, ngram_join, packing, sampled_pieces, substring_dedup, toxicity
 from fleetlens.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    said = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("crc")).groupBy("doc_id").agg(F.collect_set("crc").alias("said"))
+    got = sampled_pieces.checksums(sampled_pieces.encode_samples(docs))
+    return got.join(said, "doc_id").select("doc_id", "sample", "n_pieces", "score", "inclusion", "ids_crc32", F.array_contains("said", F.col("text_crc32")).alias("round_trip"))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = licences.documents_with_licences(docs, licences.fit(docs))
