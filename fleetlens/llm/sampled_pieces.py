@@ -33,7 +33,7 @@ from fleetlens.llm.common import arrow_map, keyed_text
 SAMPLES, ALPHA = 2, 1.0
 SPACE = "▁"
 #: lattice places and characters of a unit up to which a worker remembers them
-PLACES, UNIT = 3_000_000, 48
+PLACES, UNIT = 4_000_000, 48
 
 
 class Pieces:
@@ -54,7 +54,7 @@ class Pieces:
         self.pieces = {model.id_to_piece(i): (i, float(s)) for i, s in zip(plain, scores, strict=True)}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown = float(scores.min()) - 10.0
-        self.longest = max(map(len, self.pieces))
+        self.beginnings = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         self.spelt = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.spelt[i] = p.replace(SPACE, " ").encode()
@@ -67,55 +67,67 @@ class Pieces:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.places = self.edges = 0
-        self.first = np.zeros(1 << 12, np.int32)  # first edge of a place
-        self.cdf, self.lp = np.zeros(1 << 14, "f4"), np.zeros(1 << 14)
-        self.next, self.code, self.place = (np.zeros(1 << 14, np.int32) for _ in range(3))
+        self.first = np.zeros(1 << 12, np.int32)  # first edge of a place; places of a unit run from its end to its start
+        self.cdf, self.lp, self.next, self.code = (np.zeros(1 << 14, kind) for kind in ("f4", "f4", "i4", "i4"))
+        self.fresh: tuple[list, ...] = ([], [], [], [], [])
         self.spellings: list[list[int]] = []
 
     def lattice(self, unit: str) -> int:
-        """The first place of a unit."""
-        text, n = unit.replace(" ", SPACE), len(unit)
-        beta, out = [0.0] * (n + 1), [None] * n
+        """The place at the start of a unit; its places and edges wait in ``fresh``."""
+        first, cdf, lp, nxt, code = self.fresh
+        text, n, base, edges = unit.replace(" ", SPACE), len(unit), self.places + len(self.fresh[0]), self.edges
+        beta, pieces, beginnings = [0.0] * (n + 1), self.pieces, self.beginnings
         for i in range(n - 1, -1, -1):
-            edges = []
+            scores, ends, ids, end = [], [], [], i
             if unit[i] != SPACE:
-                for end in range(i + 1, min(n, i + self.longest) + 1):
-                    if end > i + 1 and unit[end - 1] == SPACE:
+                while end < n and (end == i or unit[end] != SPACE):
+                    end += 1
+                    part = text[i:end]
+                    if part not in beginnings:
                         break
-                    found = self.pieces.get(text[i:end])
-                    if found:
-                        edges.append((found[1] + beta[end], end, found[0]))
-            if not edges or edges[0][1] != i + 1:  # no piece for this character alone
+                    found = pieces.get(part)
+                    if found is not None:
+                        scores.append(found[1] + beta[end])
+                        ends.append(end)
+                        ids.append(found[0])
+            if not ends or ends[0] != i + 1:  # no piece for this character alone
                 self.spellings.append([self.bytes[b] for b in unit[i].encode()])
-                edges.append((self.unknown * len(self.spellings[-1]) + beta[i + 1], i + 1, -len(self.spellings)))
-            top = max(e[0] for e in edges)
-            beta[i] = top + math.log(sum(math.exp(e[0] - top) for e in edges))
-            out[i] = edges
-        base = self.places
-        total = self.edges + sum(map(len, out))
-        while len(self.first) < base + n + 1:
+                scores.append(self.unknown * len(self.spellings[-1]) + beta[i + 1])
+                ends.append(i + 1)
+                ids.append(-len(self.spellings))
+            first.append(edges + len(cdf))
+            if len(scores) == 1:
+                beta[i] = scores[0]
+                cdf.append(2.0)
+                lp.append(0.0)
+            else:
+                top = max(scores)
+                weights = [math.exp(x - top) for x in scores]
+                total = sum(weights)
+                beta[i] = whole = top + math.log(total)
+                seen = 0.0
+                for w, x in zip(weights, scores, strict=True):
+                    seen += w / total
+                    cdf.append(seen)
+                    lp.append(x - whole)
+                cdf[-1] = 2.0
+            nxt += [base + n - 1 - e if e < n else -1 for e in ends]
+            code += ids
+        return base + n - 1
+
+    def settle(self) -> None:
+        """Append the fresh places and edges to the arrays."""
+        first, *edges = self.fresh
+        while len(self.first) <= self.places + len(first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        total = self.edges + len(edges[0])
         while len(self.cdf) < total:
-            self.cdf, self.lp, self.next, self.code, self.place = (np.concatenate([a, np.zeros_like(a)]) for a in (self.cdf, self.lp, self.next, self.code, self.place))
-        at = self.edges
-        firsts, cdf, lp, nxt, code, place = [], [], [], [], [], []
-        for i, edges in enumerate(out):
-            firsts.append(at + len(cdf))
-            seen = 0.0
-            for k, (score, end, piece) in enumerate(edges):
-                p = math.exp(score - beta[i])
-                seen += p
-                cdf.append(2.0 if k == len(edges) - 1 else seen)
-                lp.append(0.0 if len(edges) == 1 else score - beta[i])
-                nxt.append(base + end if end < n else -1)
-                code.append(piece)
-                place.append(base + i)
-        firsts.append(total)
-        self.first[base:base + n + 1] = firsts
-        for mine, values in ((self.cdf, cdf), (self.lp, lp), (self.next, nxt), (self.code, code), (self.place, place)):
-            mine[at:total] = values
-        self.places, self.edges = base + n, total
-        return base
+            self.cdf, self.lp, self.next, self.code = (np.concatenate([a, np.zeros_like(a)]) for a in (self.cdf, self.lp, self.next, self.code))
+        self.first[self.places:self.places + len(first)] = first
+        self.first[self.places + len(first)] = total
+        for mine, values in zip((self.cdf, self.lp, self.next, self.code), edges, strict=True):
+            mine[self.edges:total] = values
+        self.places, self.edges, self.fresh = self.places + len(first), total, ([], [], [], [], [])
 
     def starts(self, text: str) -> np.ndarray:
         """First places of the units of a text."""
@@ -129,6 +141,8 @@ class Pieces:
                 if len(unit) <= UNIT:
                     self.known[unit] = at
             out.append(at)
+        if self.fresh[0]:
+            self.settle()
         return np.array(out, np.int32)
 
     def draw(self, places: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +167,15 @@ class Pieces:
 
     def ids(self, path: np.ndarray) -> np.ndarray:
         code = self.code[path]
-        if (code >= 0).all():
+        spelt = np.flatnonzero(code < 0)
+        if not len(spelt):
             return code
-        return np.array([i for c in code.tolist() for i in ([c] if c >= 0 else self.spellings[-c - 1])], np.int32)
+        parts = [self.spellings[-c - 1] for c in code[spelt].tolist()]
+        sizes = np.ones(len(code), np.int64)
+        sizes[spelt] = [len(x) for x in parts]
+        out = np.repeat(code, sizes)
+        out[out < 0] = [i for x in parts for i in x]
+        return out
 
     def samples(self, text: str, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float]]:
         """Up to k distinct (ids, log probability, inclusion), in the order of their perturbed values."""
@@ -173,7 +193,7 @@ class Pieces:
 
         def add(value: float, path: np.ndarray, counts: np.ndarray, fresh: int) -> None:
             """Take a path; the sets of paths that leave it at one of its edges from number ``fresh`` on join the agenda."""
-            lp = self.lp[path]
+            lp = self.lp[path].astype(float)
             before = np.cumsum(lp) - lp
             paths.append((path, counts, before))
             found.append((self.ids(path), float(lp.sum()), value))
@@ -187,11 +207,11 @@ class Pieces:
         while agenda and len(found) < k:
             value, owner, number, drawn = agenda.pop(max(range(len(agenda)), key=lambda i: agenda[i][0]))
             path, counts, before = paths[owner]
-            place = self.place[path[number]]
+            place = int(np.searchsorted(self.first[:self.places], path[number], "right")) - 1
             edges = np.arange(self.first[place], self.first[place + 1])
-            left = np.where(np.isin(edges, drawn), 0.0, np.exp(self.lp[edges]))
+            left = np.where(np.isin(edges, drawn), 0.0, np.exp(self.lp[edges].astype(float)))
             edge = int(edges[min(np.searchsorted(np.cumsum(left), rng.random() * left.sum(), "right"), np.flatnonzero(left)[-1])])
-            others = left.sum() - math.exp(self.lp[edge])
+            others = left.sum() - math.exp(float(self.lp[edge]))
             if len(edges) > len(drawn) + 1 and others > 0:
                 agenda.append((float(rest(value, np.array([before[number] + math.log(others)]))[0]), owner, number, (*drawn, edge)))
             unit = int(np.searchsorted(np.cumsum(counts), number, "right"))
