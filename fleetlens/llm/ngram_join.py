@@ -6,10 +6,11 @@ members the next level samples tokens again with a hash of the path so far, and
 document alone, so all paths come from one pass over the texts; levels are read only where buckets are large. Runs are
 repeated until the recall that branching-process survival promises for a pair at the threshold reaches ``RECALL``.
 
-1. Equal sets become one representative, the least document; nothing else is compared within such a class.
-2. Bottom-k sketches compare bucket members: first each member with its bucket's least one, which ties large groups of copies
-   together in linear work, then, where buckets still hold several components, all pairs of different components. Buckets
-   beyond ``SMALL`` on the last level are compared in pairs of blocks, so none is cut.
+1. Equal sets are one node from the start; nothing is compared within such a class.
+2. Buckets that hold several nodes are kept, and of those with more than ``SMALL`` nodes their next level instead. Bottom-k sketches
+   compare nodes: first each node with the least one of its bucket, in one of ``LEADERS`` buckets, which ties large groups of
+   copies together in linear work; then, where buckets still hold several components, all pairs of different components.
+   Buckets beyond ``SMALL`` on the last level are compared in pairs of blocks, so none is cut.
 3. Every pair within a component is compared exactly, by whole sets in pairs of blocks; only counts and spanning edges leave.
 
 The result has a row per document: ``class_id`` (least document of the connected class) and ``n_links`` (documents within the
@@ -33,7 +34,7 @@ from fleetlens.llm.components import components
 from fleetlens.llm.words import hashed_words, shingles
 from fleetlens.session import materialize
 
-WORDS, SIMILARITY, RECALL, LEVELS, SMALL, SKETCH = 5, 0.8, 0.9999, 3, 128, 64
+WORDS, SIMILARITY, RECALL, LEVELS, SMALL, SKETCH, LEADERS = 5, 0.8, 0.9999, 2, 128, 64, 4
 #: what a sketch may be short of the similarity: four standard deviations
 SLACK = 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / SKETCH)
 
@@ -47,54 +48,57 @@ def runs(recall: float = RECALL, levels: int = LEVELS) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
 
 
-def chosen(tokens: np.ndarray, path: int, share: int) -> np.ndarray:
+def sampled(tokens: np.ndarray, parents: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that the parents' hashes pick: number of the parent, and the path that the token adds to it."""
     with np.errstate(over="ignore"):
-        x = (tokens ^ np.uint64(path)) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-    return tokens[x < np.uint64(share)]
+        parent, token = np.nonzero(tokens[None, :] * (mix64(parents) | np.uint64(1))[:, None] < np.uint64(share))
+        return parent, mix64(tokens[token] + parents[parent])
 
 
-def paths(tokens: np.ndarray, similarity: float, n_runs: int, levels: int) -> list[list[tuple[int, int]]]:
-    """(parent, path) pairs of each level; the parents of the first level are the runs."""
+def paths(tokens: np.ndarray, similarity: float, n_runs: int, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(number of the parent, path) of each level; the parents of the first level are the runs."""
     share = min(2**64 - 1, int(2**64 / (similarity * len(tokens)))) if len(tokens) else 0
-    parents = mix64(np.arange(n_runs, dtype=np.uint64) + np.uint64(1)).tolist()
-    found: list[list[tuple[int, int]]] = []
+    parents, found = mix64(np.arange(n_runs, dtype=np.uint64) + np.uint64(1)), []
     for _ in range(levels):
-        level = []
-        for p in parents:
-            got = chosen(tokens, p, share)
-            if len(got):
-                level += [(p, k) for k in mix64(got + np.uint64(p)).tolist()]
-        found.append(level)
-        parents = [k for _, k in level]
+        found.append(sampled(tokens, parents, share))
+        parents = found[-1][1]
     return found
 
 
-SCHEMA = "key binary, size int, sketch binary, " + ", ".join(f"level{i} array<struct<parent:long,path:long>>" for i in range(LEVELS))
+def sets_of(column: pa.Array, n: int):
+    """The sorted distinct n-gram hashes of each text."""
+    for part in hashed_words(column):
+        at, grams = part.offsets.tolist(), shingles(part.hashes, n)
+        for d, words in enumerate(part.counts.tolist()):
+            yield np.unique(grams[at[d]:at[d + 1] - n + 1] if words >= n else shingles(part.hashes[at[d]:at[d + 1]], n))
 
 
-def signed(pairs: list[tuple[int, int]]) -> list[dict]:
-    values = np.array(pairs, np.uint64).reshape(-1, 2).astype(np.int64)
-    return [{"parent": a, "path": b} for a, b in values.tolist()]
+SCHEMA = "key binary, node long, size int, sketch binary, " + ", ".join(f"level{i} array<struct<parent:int,path:long>>" for i in range(LEVELS))
+
+
+def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    ends = np.r_[0, np.cumsum([len(p) for p, _ in parts])].astype("i4")
+    parent, path = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(parent.astype("i4")), pa.array(path.view(np.int64))], ["parent", "path"]))
 
 
 def read_sets(df: DataFrame, key: str, text: str, n: int, similarity: float) -> DataFrame:
-    """Per document: a digest of its set of n-grams (null if empty), the set's size, its bottom-k sketch and its paths."""
+    """Per document: digests of its set of n-grams (null if empty; ``node`` is the short one), the set's size, bottom-k sketch
+    (upper halves of the least hashes) and paths."""
     n_runs = runs()
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(batch: pa.RecordBatch) -> dict | None:
+        if not batch.num_rows:
+            return None
         out: dict[str, list] = {c: [] for c in ["key", "size", "sketch", *(f"level{i}" for i in range(LEVELS))]}
-        for part in hashed_words(batch.column(1)):
-            at = part.offsets
-            for d in range(len(part.counts)):
-                tokens = np.unique(shingles(part.hashes[at[d]:at[d + 1]], n))
-                out["key"].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                out["size"].append(len(tokens))
-                out["sketch"].append(tokens[:SKETCH].tobytes())
-                for i, level in enumerate(paths(tokens, similarity, n_runs, LEVELS)):
-                    out[f"level{i}"].append(signed(level))
-        return out | {"doc": batch.column(0)}
+        for tokens in sets_of(batch.column(1), n):
+            out["key"].append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
+            out["size"].append(len(tokens))
+            out["sketch"].append((tokens[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+            for i, level in enumerate(paths(tokens, similarity, n_runs, LEVELS)):
+                out[f"level{i}"].append(level)
+        nodes = [k and int.from_bytes(k[:8], "little", signed=True) for k in out["key"]]
+        return out | {"doc": batch.column(0), "node": nodes} | {f"level{i}": lists(out[f"level{i}"]) for i in range(LEVELS)}
 
     slim = keyed_text(df, key, text).where(F.col(key).isNotNull())
     return arrow_map(slim, run, f"doc {slim.schema[key].dataType.simpleString()}, {SCHEMA}")
@@ -103,7 +107,7 @@ def read_sets(df: DataFrame, key: str, text: str, n: int, similarity: float) ->
 def alike(sketches: list[np.ndarray], whole: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarities of the pairs (left, right). Below the smaller of two sketches' ends both show all they
     have, so the share there estimates that of the sets; a whole set has no end."""
-    high = np.uint64(2**64 - 1)
+    high = np.uint32(2**32 - 1)
     table = np.full((len(sketches), SKETCH), high)
     for i, s in enumerate(sketches):
         table[i, :len(s)] = s
@@ -119,10 +123,10 @@ def alike(sketches: list[np.ndarray], whole: np.ndarray, left: np.ndarray, right
     return out
 
 
-def in_blocks(members: DataFrame, group: str, size: str, small: int = SMALL) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, member: str, size: str, small: int = SMALL) -> DataFrame:
     """Adds block pairs (bi, bj): a group up to ``small`` rows is one block; larger ones are dealt to blocks, and each row goes
     to every pair that its block is part of. ``mine`` is the row's block."""
-    blocks = members.withColumn("blocks", F.ceil(F.col(size) / small).cast("int")).withColumn("mine", F.expr(f"pmod(xxhash64({group}, doc), blocks)").cast("int"))
+    blocks = members.withColumn("blocks", F.ceil(F.col(size) / small).cast("int")).withColumn("mine", F.expr(f"pmod(xxhash64({group}, {member}), blocks)").cast("int"))
     return blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj")).drop("other", "blocks")
 
 
@@ -130,7 +134,7 @@ def linked_by_sketch(similarity: float):
     """Spanning edges among members of different components whose sketches look alike."""
 
     def compare(group: pa.Table) -> dict:
-        labels, docs, mine = (group.column(c).to_numpy() for c in ("root", "doc", "mine"))
+        labels, docs, mine = (group.column(c).to_numpy() for c in ("root", "node", "mine"))
         if labels.min() == labels.max():
             return {"a": [], "b": []}
         bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
@@ -139,7 +143,7 @@ def linked_by_sketch(similarity: float):
         if bi != bj:
             keep &= mine[left] != mine[right]
         left, right = left[keep], right[keep]
-        sketches = [np.frombuffer(s, np.uint64) for s in group.column("sketch").to_pylist()]
+        sketches = [np.frombuffer(s, "<u4") for s in group.column("sketch").to_pylist()]
         hit = alike(sketches, group.column("size").to_numpy() <= SKETCH, left, right) >= similarity - SLACK
         return {"a": docs[left[hit]].tolist(), "b": docs[right[hit]].tolist()} if hit.sum() <= len(docs) else spanning(docs, left[hit], right[hit])
 
@@ -162,32 +166,28 @@ def spanning(docs: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
 
 
 def leader_edges(batch: pa.RecordBatch, similarity: float) -> dict:
-    sketches = [np.frombuffer(s, np.uint64) for c in ("sketch", "lead_sketch") for s in batch.column(c).to_pylist()]
+    sketches = [np.frombuffer(s, "<u4") for c in ("sketch", "lead_sketch") for s in batch.column(c).to_pylist()]
     n = batch.num_rows
     whole = np.concatenate([batch.column(c).to_numpy() <= SKETCH for c in ("size", "lead_size")])
     hit = np.flatnonzero(alike(sketches, whole, np.arange(n), np.arange(n) + n) >= similarity - SLACK) if n else []
-    return {"a": batch.column("doc").take(pa.array(hit, pa.int64())), "b": batch.column("lead").take(pa.array(hit, pa.int64()))}
-
-
-def bucket_rows(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, doc, members) of buckets to compare: of each level, those not too large, and all that are left on the last.
-    With labels, only buckets that hold several components, and their rows also have ``root``."""
-    named = sets.select("doc", *(f"level{i}" for i in range(LEVELS)))
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    else:
-        named = named.withColumn("root", F.col("doc"))
-    named, out, large = materialize(named, "paths"), None, None
+    return {"a": batch.column("node").take(pa.array(hit, pa.int64())), "b": batch.column("lead").take(pa.array(hit, pa.int64()))}
+
+
+def bucket_rows(sets: DataFrame) -> DataFrame:
+    """(bucket, node, members) of buckets that hold several nodes: those of each level that aren't too large, and all that are left
+    on the last."""
+    out, large = None, None
     for i in range(LEVELS):
-        rows = named.select("doc", "root", F.explode(f"level{i}").alias("p")).select("doc", "root", "p.parent", "p.path")
+        above = F.col("p.parent") if i == 0 else F.get(F.col(f"level{i - 1}.path"), F.col("p.parent"))
+        rows = sets.select("*", F.explode(f"level{i}").alias("p")).select("node", above.alias("parent"), F.col("p.path").alias("bucket"))
         if large is not None:
             rows = rows.join(large, "parent", "left_semi")
-        sizes = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).where("members > 1 and least != most").drop("least", "most")
-        sizes = materialize(sizes, "bucket-sizes")
-        here = sizes if i == LEVELS - 1 else sizes.where(f"members <= {SMALL}")
-        found = rows.join(here, "path").select(F.col("path").alias("bucket"), "doc", "root", "members")
+        mixed = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("bucket")
+        held = materialize(rows.join(mixed, "bucket").select("bucket", "node").distinct(), "bucket-nodes")
+        sizes = held.groupBy("bucket").agg(F.count("*").alias("members"))
+        found = held.join(sizes if i == LEVELS - 1 else sizes.where(f"members <= {SMALL}"), "bucket")
         out = found if out is None else out.unionByName(found)
-        large = sizes.where(f"members > {SMALL}").select(F.col("path").alias("parent"))
+        large = materialize(sizes.where(f"members > {SMALL}").select(F.col("bucket").alias("parent")), "large-buckets")
     return out
 
 
@@ -195,6 +195,7 @@ def exact_links(similarity: float):
     """Links and spanning edges of a pair of blocks, from whole sets."""
 
     def compare(group: pa.Table) -> dict:
+        group = group.take(pa.array(np.unique(group.column("doc").to_numpy(), return_index=True)[1]))  # repeated rows count once
         docs, mine, copies = (group.column(c).to_numpy() for c in ("doc", "mine", "copies"))
         bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
         sets = [np.frombuffer(s, np.uint64) for s in group.column("tokens").to_pylist()]
@@ -221,16 +222,12 @@ def exact_links(similarity: float):
 
 
 def token_sets(df: DataFrame, text: str, n: int) -> DataFrame:
-    """Rows (doc, ..., text) with the text replaced by its set of n-grams."""
+    """The rows with their text replaced by its set of n-grams."""
     others = [c for c in df.columns if c != text]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(others).schema)
 
     def run(batch: pa.RecordBatch) -> dict:
-        sets = []
-        for part in hashed_words(batch.column(batch.schema.get_field_index(text))):
-            at = part.offsets
-            sets += [np.unique(shingles(part.hashes[at[d]:at[d + 1]], n)).tobytes() for d in range(len(part.counts))]
-        return {c: batch.column(batch.schema.get_field_index(c)) for c in others} | {"tokens": sets}
+        return {c: batch.column(c) for c in others} | {"tokens": [t.tobytes() for t in sets_of(batch.column(text), n)]}
 
     return arrow_map(df, run, f"{kinds}, tokens binary")
 
@@ -240,31 +237,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     docs = keyed_text(df, key, text)
     sets = materialize(read_sets(docs, key, text, n, similarity), "ngram-sets")
     kind = sets.schema["doc"].dataType.simpleString()
-    # 1: one representative of equal sets
-    classes = sets.where("size > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.countDistinct("doc").alias("copies"))
-    members = materialize(sets.select("doc", "key").distinct().join(classes, "key", "left").select("doc", F.coalesce("rep", "doc").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "ngram-members")
-    reps = sets.where("size > 0").join(members.where("doc = rep").select("doc"), "doc", "left_semi")
-    slim = sets.select("doc", "size", "sketch")
-    # 2: components of what looks alike, first by each bucket's least member, then among components
-    first = materialize(bucket_rows(reps, None), "buckets")
-    leads = first.groupBy("bucket").agg(F.min("doc").alias("lead"))
-    led = first.join(leads, "bucket").where("doc != lead").select("doc", "lead").distinct()
-    lead_slim = slim.select(F.col("doc").alias("lead"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch"))
-    edges = arrow_map(led.join(slim, "doc").join(lead_slim, "lead"), lambda b: leader_edges(b, similarity), f"a {kind}, b {kind}")
-    edges = materialize(edges, "leader-edges")
-    tied = components(edges)
-    mixed = in_blocks(bucket_rows(reps, tied), "bucket", "members").join(slim, "doc")
-    more = by_group(mixed, ["bucket", "bi", "bj"], linked_by_sketch(similarity), f"a {kind}, b {kind}")
+    # 1: classes of equal sets
+    classes = materialize(sets.where("size > 0").groupBy("key").agg(F.min("node").alias("node"), F.min("doc").alias("rep"), F.countDistinct("doc").alias("copies")), "ngram-classes")
+    # 2: components of what looks alike, first by each bucket's least node, then among components
+    buckets = materialize(bucket_rows(sets.where("size > 0")), "buckets")
+    slim = sets.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    slim = materialize(slim, "sketches")
+    some = buckets.where(F.pmod("bucket", F.lit(LEADERS)) == 0)
+    leads = some.groupBy("bucket").agg(F.min("node").alias("lead"))
+    led = some.join(leads, "bucket").where("node != lead").select("node", "lead").distinct()
+    lead_slim = slim.select(F.col("node").alias("lead"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch"))
+    edges = materialize(arrow_map(led.join(slim, "node").join(lead_slim, "lead"), lambda b: leader_edges(b, similarity), "a long, b long"), "leader-edges")
+    labelled = buckets.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
+    open_pairs = in_blocks(labelled.join(mixed, "bucket"), "bucket", "node", "members").join(slim, "node")
+    more = by_group(open_pairs, ["bucket", "bi", "bj"], linked_by_sketch(similarity), "a long, b long")
     loose = components(edges.unionByName(more))
     # 3: exact links within components
     sizes = loose.groupBy("root").agg(F.count("*").alias("members"))
-    asked = loose.join(sizes, "root").select(F.col("node").alias("doc"), "root", "members").join(members.where("doc = rep").select("doc", "copies"), "doc")
-    whole = token_sets(asked.join(docs.select(F.col(key).alias("doc"), text).dropDuplicates(["doc"]), "doc"), text, n)
-    exact = materialize(by_group(in_blocks(whole, "root", "members"), ["root", "bi", "bj"], exact_links(similarity), f"doc {kind}, links long, near {kind}"), "exact-links")
+    asked = materialize(loose.join(sizes, "root").join(classes, "node").select(F.col("rep").alias("doc"), "root", "members", "copies"), "asked")
+    whole = token_sets(asked.join(docs.select(F.col(key).alias("doc"), text), "doc"), text, n)
+    exact = materialize(by_group(in_blocks(whole, "root", "doc", "members"), ["root", "bi", "bj"], exact_links(similarity), f"doc {kind}, links long, near {kind}"), "exact-links")
     final = components(exact.where("near is not null").select(F.col("doc").alias("a"), F.col("near").alias("b")))
     links = exact.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))
-    out = members.join(links, "rep", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select(F.col("doc").alias(key), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = classes.join(links, "rep", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    found = found.select("key", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = sets.select("doc", "key").distinct().join(found, "key", "left")
+    return out.select(F.col("doc").alias(key), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
