@@ -26,31 +26,41 @@ EDITS, MIN_CHARS, CROWD = 2, 20, 64
 PER_DOC = 2**31
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 0) and size of the i-th of even parts; the last ones are longer by one where it doesn't come out even."""
     size = F.floor(length / parts).cast("int")
     longer = parts - (length - size * parts)
-    return size * i + F.greatest(F.lit(0), F.lit(i) - longer), size + F.when(F.lit(i) >= longer, 1).otherwise(0)
+    return size * i + F.greatest(F.lit(0), i - longer), size + F.when(i >= longer, 1).otherwise(0)
 
 
-def segment_rows(above: Column | None, text: Column, edits: int, probes: bool) -> Column:
-    """Structs (key, rest) of the segments that stand for a line, or of the substrings that can be a partner's segment."""
-    length, out = F.char_length(text), []
+def places(edits: int, probes: bool) -> Column:
+    """A constant array of where to look: for probes, how much shorter the partner is, which segment, and how far it moved."""
+    found = []
     for shorter in range(edits + 1 if probes else 1):
         for i in range(edits + 1):
-            start, size = segment(length - shorter, i, edits + 1)
             shifts = range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1) if probes else (0,)
-            for shift in shifts:
-                at = start + shift
-                key = F.xxhash64(*([] if above is None else [above]), F.lit(i), length - shorter, F.substring(text, at + 1, size))
-                rest = F.concat(F.substring(text, F.lit(1), at), F.substring(text, at + size + 1, length))
-                out.append(F.when((at >= 0) & (at + size <= length) & (length - shorter > edits), F.struct(key.alias("key"), rest.alias("rest"))))
-    return F.explode(F.array_compact(F.array(*out)))
+            found += [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for shift in shifts]
+    return F.array(*found)
 
 
-def keys_of(lines: DataFrame, edits: int, probes: bool, rest: bool = False) -> DataFrame:
-    rows = lines.select("id", segment_rows(None, F.col("line"), edits, probes).alias("s"))
-    return rows.select("id", "s.key", *(["s.rest"] if rest else []))
+def segment_rows(lines: DataFrame, above: str | None, text: str, edits: int, probes: bool, rest: bool) -> DataFrame:
+    """(id, key[, rest]) of the segments that stand for a line, or of the substrings that can be a partner's segment. One short
+    expression per row of places: a single expression for all of them would be too long to be compiled."""
+    rows = lines.withColumn("chars", F.char_length(text)).withColumn("look", F.explode(places(edits, probes)))
+    chars = F.col("chars") - F.col("look.shorter")
+    start, size = segment(chars, F.col("look.i"), edits + 1)
+    rows = rows.where(chars > edits).select("*", (start + F.col("look.shift")).alias("at"), size.alias("size"), chars.alias("theirs")).where("at >= 0 and at + size <= chars")
+    key = F.xxhash64(*([F.col(above)] if above else []), F.col("look.i"), F.col("theirs"), F.substring(text, F.col("at") + 1, F.col("size")))
+    left = F.concat(F.substring(text, F.lit(1), F.col("at")), F.substring(text, F.col("at") + F.col("size") + 1, F.col("chars")))
+    return rows.select("id", key.alias("key"), *([left.alias("rest")] if rest else []))
+
+
+def keys_of(lines: DataFrame, edits: int, probes: bool) -> DataFrame:
+    return segment_rows(lines, None, "line", edits, probes, False)
+
+
+def rests_of(rows: DataFrame, above: str | None, text: str, edits: int, probes: bool) -> DataFrame:
+    return segment_rows(rows, above, text, edits, probes, True)
 
 
 def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
@@ -92,8 +102,8 @@ def crowded_pairs(index: DataFrame, probe: DataFrame, edits: int, crowd: int) ->
         if again.isEmpty():
             return pairs
         hot = again.select("key").distinct()
-        next_index = again.select("id", segment_rows(F.col("key"), F.col("rest"), edits, False).alias("s")).select("id", "s.key", "s.rest").distinct()
-        next_probe = probe.join(hot, "key", "left_semi").select("id", segment_rows(F.col("key"), F.col("rest"), edits, True).alias("s")).select("id", "s.key", "s.rest").distinct()
+        next_index = rests_of(again, "key", "rest", edits, False).distinct()
+        next_probe = rests_of(probe.join(hot, "key", "left_semi"), "key", "rest", edits, True).distinct()
         shared = next_index.groupBy("key").agg(F.count("*").alias("n")).select("key")
         index, probe = next_index, materialize(next_probe.join(shared, "key", "left_semi"), "crowded-probes")
 
@@ -108,7 +118,10 @@ def candidates(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
     shared = met.where("low != high").select("key").distinct()
     if shared.isEmpty():
         return alone
-    rows = [materialize(keys_of(lines, edits, probes, rest=True).join(shared, "key", "left_semi").distinct(), "shared-segments") for probes in (False, True)]
+    rows = []
+    for probes in (False, True):
+        ids = keys_of(lines, edits, probes).join(shared, "key", "left_semi").select("id").distinct()
+        rows.append(materialize(rests_of(lines.join(ids, "id", "left_semi").distinct(), None, "line", edits, probes).join(shared, "key", "left_semi"), "shared-segments"))
     return alone.unionByName(crowded_pairs(*rows, edits, crowd))
 
 
@@ -143,15 +156,30 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS, min_
     return firsts.join(near, "id", "left").where("near or n > 1").select("id", F.when(F.col("near").isNull(), F.col("place")).alias("place"))
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
-    """(key, kept, n_lines, n_removed, removed): the text of the kept lines and the numbers (from 0) of those that went."""
-    docs = keyed_text(df, key, text)
+def removed_numbers(docs: DataFrame, key: str, text: str, edits: int, min_chars: int, crowd: int) -> DataFrame:
+    """(doc, removed): numbers of the lines to drop, for documents that lose any."""
     acts = materialize(dropped_lines(docs, key, text, edits, min_chars, crowd), "dropped-lines")
     doc = F.floor(F.col("at") / F.lit(PER_DOC).cast("decimal(11,0)")).cast("long")
     gone = numbered_lines(docs, key, text).select("id", F.col("place").alias("at")).join(acts, "id").where("place is null or at > place").withColumn("doc", doc)
     number = (F.col("at") - F.col("doc").cast("decimal(20,0)") * F.lit(PER_DOC).cast("decimal(11,0)")).cast("int")
-    lists = gone.groupBy("doc").agg(F.sort_array(F.collect_set(number)).alias("removed"))
-    rows = docs.join(lists, docs[key] == lists.doc, "left").withColumn("lines", F.split(text, "\n"))
-    kept = F.array_join(F.filter("lines", lambda line, i: ~F.array_contains("removed", i)), "\n")
-    return rows.select(key, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept).alias("kept"), F.size("lines").cast("long").alias("n_lines"),
+    return gone.groupBy("doc").agg(F.sort_array(F.collect_set(number)).alias("removed"))
+
+
+def kept_lines(text: str) -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+
+
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+    """(key, kept, n_lines, n_removed, removed): the text of the kept lines and the numbers (from 0) of those that went."""
+    docs = keyed_text(df, key, text)
+    lists = removed_numbers(docs, key, text, edits, min_chars, crowd)
+    rows = docs.join(lists, docs[key] == lists.doc, "left").withColumn("n_lines", F.size(F.split(text, "\n")).cast("long"))
+    return rows.select(key, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept_lines(text)).alias("kept"), "n_lines",
                        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+
+
+def without_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+    """The rows, with all their columns, without their repeated lines; a document that lost lines and has but blank ones left goes."""
+    lists = removed_numbers(keyed_text(df, key, text), key, text, edits, min_chars, crowd).withColumnRenamed("doc", "_doc")
+    rows = df.join(lists, F.col(key) == F.col("_doc"), "left").withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept_lines(text)))
+    return rows.where(F.col("removed").isNull() | (F.trim(F.regexp_replace(text, "\n", "")) != "")).select(*df.columns)
