@@ -55,8 +55,9 @@ def owners(part: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def owner_hashes(docs: DataFrame, key: str, text: str, size: int, gram: int) -> DataFrame:
-    """(deal, owner, key, known): owners by document. ``known`` rows are of owners that several documents of the batch have; they
-    are dealt evenly, and only the least and the greatest of these documents are dealt by the owner."""
+    """(deal, owner, key): owners by document. Rows that name an owner are of owners that several documents of the batch have; they
+    are dealt evenly. Of these documents the least and the greatest are dealt by the owner too, as all documents of other
+    owners are; such rows have no other owner than ``deal``."""
 
     def run(batch: pa.RecordBatch) -> dict:
         keys, docs_of, owner_of = batch.column(0).to_numpy(), [], []
@@ -78,9 +79,10 @@ def owner_hashes(docs: DataFrame, key: str, text: str, size: int, gram: int) ->
         known = ~(first & last)
         deal = np.r_[owner[first | last], mix64(owner[known] ^ mix64(key_of[known].astype(np.uint64)))]
         every = np.r_[np.flatnonzero(first | last), np.flatnonzero(known)]
-        return {"deal": deal.view(np.int64), "owner": owner[every].view(np.int64), key: key_of[every], "known": np.arange(len(every)) >= (first | last).sum()}
+        plain = np.arange(len(every)) < (first | last).sum()
+        return {"deal": deal.view(np.int64), "owner": pa.array(owner[every].view(np.int64), mask=plain), key: key_of[every]}
 
-    return arrow_map(docs.select(key, text), run, f"deal long, owner long, `{key}` {docs.schema[key].dataType.simpleString()}, known boolean")
+    return arrow_map(docs.select(key, text), run, f"deal long, owner long, `{key}` {docs.schema[key].dataType.simpleString()}")
 
 
 def passages(docs: DataFrame, key: str, text: str, size: int, gram: int, shards: int) -> DataFrame:
@@ -224,35 +226,44 @@ def answered(key: str, size: int):
     return answer
 
 
+def with_row(df: DataFrame, key: str, text: str) -> DataFrame:
+    return keyed_text(df, key, text).select(key, F.xxhash64(text).alias("row"), text)
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """All rows as (key, text, spans), where ``spans`` lists word spans [start, end) that an earlier document has, unordered."""
-    docs = keyed_text(df, key, text).select(key, F.xxhash64(text).alias("row"), text)
+    """(_key, _row, spans) of documents with word spans [start, end) that an earlier document has; ``_row`` is the text's hash."""
+    docs = with_row(df, key, text)
     kind = docs.schema[key].dataType.simpleString()
     hashes = owner_hashes(docs.where(F.col(key).isNotNull()), key, text, size, gram)
     same = Window.partitionBy("deal")
-    shared = hashes.withColumns({"least": F.min(key).over(same), "most": F.max(key).over(same)}).where("known or least < most")
-    asked = materialize(shared.select(key, "owner"), "shared-owners")
+    shared = hashes.withColumns({"least": F.min(key).over(same), "most": F.max(key).over(same)}).where("owner is not null or least < most")
+    asked = materialize(shared.select(key, F.coalesce("owner", "deal").alias("owner")), "shared-owners")
     apart = materialize(asked.groupBy("owner").agg(F.count("*").alias("n")).where(f"n > {shard}").select("owner", F.col("owner").alias("apart")), "frequent-owners")
     lists = asked.join(apart, "owner", "left").groupBy(key).agg(F.collect_set("owner").alias("asked"), F.collect_set("apart").alias("apart"))
     found = passages(docs.join(lists, key).select(key, "row", text, "asked", "apart"), key, text, size, gram, max(1, -(-asked.count() // shard)))
     spans = by_group(found, ["shard"], answered(key, size), f"`{key}` {kind}, row long, start int, end int")
-    per_row = spans.groupBy(key, "row").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({key: "_key", "row": "_row"})
-    return docs.join(per_row, (F.col(key) == F.col("_key")) & (F.col("row") == F.col("_row")), "left").select(key, text, "spans")
+    return spans.groupBy(F.col(key).alias("_key"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def kept_words(value: str, spans: list | None) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text, and which of them are cut."""
+    words = value.encode().split()
+    gone = np.zeros(len(words) + 1, np.int32)
+    for m in spans or []:
+        gone[m["start"]] += 1
+        gone[m["end"]] -= 1
+    return words, np.cumsum(gone)[:-1] > 0
 
 
 def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(key, n_words, n_removed, kept, spans): the kept words joined by one space, and the word spans [start, end) that were cut."""
-    found = repeated_spans(df, key, text, size, gram, shard)
+    spans, docs = repeated_spans(df, key, text, size, gram, shard), with_row(df, key, text)
+    found = docs.join(spans, (F.col(key) == F.col("_key")) & (F.col("row") == F.col("_row")), "left").select(key, text, "spans")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept", "spans")}
         for value, marks in zip(*(batch.column(c).to_pylist() for c in (1, 2)), strict=True):
-            words = value.encode().split()
-            gone = np.zeros(len(words) + 1, np.int32)
-            for m in marks or []:
-                gone[m["start"]] += 1
-                gone[m["end"]] -= 1
-            covered = np.cumsum(gone)[:-1] > 0
+            words, covered = kept_words(value, marks)
             edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
             out["n_words"].append(len(words))
             out["n_removed"].append(int(covered.sum()))
@@ -262,3 +273,24 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 
     kind = found.schema[key].dataType.simpleString()
     return arrow_map(found, run, f"`{key}` {kind}, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>")
+
+
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
+    """The rows, with all their columns, without words that an earlier document has: a text that loses words is its kept words joined
+    by a space, other texts stay as they are, and a document of which nothing is left goes."""
+    spans = repeated_spans(df, key, text, size, gram, shard).withColumnRenamed("spans", "_spans")
+    rows = df.join(spans, (F.col(key) == F.col("_key")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_row")), "left").select(*df.columns, "_spans")
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            for i in np.flatnonzero(batch.column(len(df_columns)).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                words, covered = kept_words(texts[i], batch.column(len(df_columns))[i].as_py())
+                texts[i] = b" ".join(compress(words, (~covered).tolist())).decode()
+                keep[i] = not covered.all()
+            columns = [pa.array(texts, batch.schema.field(at).type) if c == at else batch.column(c) for c in range(len(df_columns))]
+            yield pa.RecordBatch.from_arrays(columns, names=df_columns).filter(pa.array(keep))
+
+    df_columns = df.columns
+    return rows.mapInArrow(run, df.schema)
