@@ -18,6 +18,8 @@ all are returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -142,18 +144,19 @@ def walk(graph: DataFrame, slim: DataFrame, queries: DataFrame, kind: str, pool:
 
         return arrow_map(both, run, f"query {kind}, node {kind}, away float")
 
+    def in_pool(rows: DataFrame) -> DataFrame:
+        return best(rows, "query", pool, F.col("away"), F.col("node")).drop("rank")
+
     start = queries.join(roads, "id").select(F.col("id").alias("query"), F.col("near").alias("node"))
-    seen = materialize(measured(start).withColumn("opened", F.lit(False)), "walk")
-    while True:
-        ranked = best(seen, "query", pool, F.col("away"), F.col("node")).drop("rank")
-        fresh = ranked.where("not opened").select("query", "node")
-        found = fresh.join(roads, fresh.node == roads.id).select("query", F.col("near").alias("node")).where("query != node").distinct().join(seen.select("query", "node"), ["query", "node"], "left_anti")
-        # what falls out of the pool stays seen, so that it isn't measured again
-        opened = seen.join(fresh.withColumn("now", F.lit(True)), ["query", "node"], "left").select("query", "node", "away", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
-        after = materialize(opened.unionByName(measured(found).withColumn("opened", F.lit(False))), "walk")
-        if best(after, "query", pool, F.col("away"), F.col("node")).where("not opened").isEmpty():
-            return best(after, "query", pool, F.col("away"), F.col("node")).select("query", "node")
-        seen = after
+    seen = [materialize(measured(start), "walk")]  # a table per round: what was measured isn't written again
+    kept = materialize(in_pool(seen[0].withColumn("opened", F.lit(False))), "pool")
+    while not kept.where("not opened").isEmpty():
+        fresh = kept.where("not opened").select("query", "node")
+        past = reduce(DataFrame.unionByName, [s.select("query", "node") for s in seen])
+        found = fresh.join(roads, fresh.node == roads.id).select("query", F.col("near").alias("node")).where("query != node").distinct().join(past, ["query", "node"], "left_anti")
+        seen.append(materialize(measured(found), "walk"))
+        kept = materialize(in_pool(kept.withColumn("opened", F.lit(True)).unionByName(seen[-1].withColumn("opened", F.lit(False)))), "pool")
+    return kept.select("query", "node")
 
 
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", is_query: Column | None = None, k: int = 10, pool: int = POOL) -> DataFrame:
