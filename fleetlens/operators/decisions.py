@@ -183,11 +183,12 @@ def paired_errors(df: DataFrame, actual: str, champion: str, candidate: str) ->
                            "candidate_error": F.abs(F.col(actual) - F.col(candidate))})
 
 
-def shadow_check(df: DataFrame, actual: str, champion: str, candidate: str, rows: int = 300,
+def shadow_check(df: DataFrame, actual: str, champion: str, candidate: str, rows: int | None = None,
                  tolerance: float = 1.02) -> DataFrame:
-    """Candidate beside champion on the first ``rows`` indexed records."""
+    """Candidate beside champion on all records, or on those with an index below ``rows``."""
     p = F.col(candidate)
-    pairs = paired_errors(df.filter(F.col("idx") < rows), actual, champion, candidate)
+    seen = df if rows is None else df.filter(F.col("idx") < rows)
+    pairs = paired_errors(seen, actual, champion, candidate)
     row = pairs.agg(
         F.count(F.lit(1)).alias("sample_count"), F.avg("champion_error").alias("champion_mae"),
         F.avg("candidate_error").alias("candidate_mae"), F.count_if(p.isNull()).alias("exceptions"),
@@ -201,10 +202,11 @@ def shadow_check(df: DataFrame, actual: str, champion: str, candidate: str, rows
 
 
 def canary_stage(df: DataFrame, percent: int, actual: str, champion: str, candidate: str, trip: str = "trip_id",
-                 ts: str = "timestamp_utc", start: int = 0, rows: int = 300, tolerance: float = 1.05,
+                 ts: str = "timestamp_utc", start: int = 0, rows: int | None = None, tolerance: float = 1.05,
                  min_samples: int = 15, blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
-    """Both models on the hash-routed trips of one stage's records."""
-    stage = df.filter((F.col("idx") >= start) & (F.col("idx") < start + rows))
+    """Both models on the hash-routed trips of a stage's records: all of them, unless ``start`` or ``rows`` bound their index."""
+    stage = df.filter(F.col("idx") >= start) if start else df
+    stage = stage if rows is None else stage.filter(F.col("idx") < start + rows)
     routed = hash_route(F.col(trip), percent)
     pairs = paired_errors(stage, actual, champion, candidate).withColumn("_routed", routed)
     chosen = pairs.filter("_routed")
@@ -225,10 +227,10 @@ def canary_stage(df: DataFrame, percent: int, actual: str, champion: str, candid
         "passed", F.when(F.col("failure_reasons") == "", 1).otherwise(0).cast("long"))
 
 
-def watchdog(evaluations: DataFrame, baseline_mae: float = 38.77, rows: int = 500, max_ratio: float = 1.25,
+def watchdog(evaluations: DataFrame, baseline_mae: float = 38.77, rows: int | None = None, max_ratio: float = 1.25,
              max_latency_ms: float = 20.0, latency: str | None = None, exception: str | None = None) -> DataFrame:
-    """Whether the first evaluations after a promotion call for a rollback."""
-    first = evaluations.filter(F.col("idx") < rows)
+    """Whether the evaluations after a promotion, or the first ``rows`` of them, call for a rollback."""
+    first = evaluations if rows is None else evaluations.filter(F.col("idx") < rows)
     row = first.agg(
         F.count("absolute_error_sec").alias("samples"), F.avg("absolute_error_sec").alias("observed_mae"),
         (F.coalesce(F.avg(latency), F.lit(0.0)) if latency else F.lit(0.0)).alias("avg_latency_ms"),

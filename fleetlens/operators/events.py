@@ -70,9 +70,9 @@ def online_metrics(df: DataFrame, keys: Sequence[str] = (), latency: str | None
         "p95_error_sec": ("absolute_error_sec", 0.95)}, blocks)
 
 
-def metric_snapshots(df: DataFrame, order: Sequence[str], every: int = 50, keep: int = 200,
+def metric_snapshots(df: DataFrame, order: Sequence[str], every: int = 50, keep: int | None = None,
                      blocks: OrderBlocks | None = None) -> DataFrame:
-    """Cumulative MAE and RMSE at every ``every``-th record, the last ``keep`` snapshots.
+    """Cumulative MAE and RMSE at every ``every``-th record; of all, or of the last ``keep`` snapshots.
 
     Rows are first reduced to one partial per step, so the running sums are over
     1/every of the rows, again in blocks.
@@ -84,7 +84,7 @@ def metric_snapshots(df: DataFrame, order: Sequence[str], every: int = 50, keep:
     complete = steps.filter(F.col("_c") == every)
     cumulative = Ordered(complete, [], ["_step"]).running_sum("_c", "sample_count").running_sum(
         "_s", "_sum").running_sum("_q", "_sq").frame()
-    recent = cumulative.filter(F.col("_step") >= F.floor(F.col("_n") / every) - keep)
+    recent = cumulative if keep is None else cumulative.filter(F.col("_step") >= F.floor(F.col("_n") / every) - keep)
     return recent.select((F.col("_step") + 1).cast("long").alias("window_index"), "sample_count",
                          (F.col("_sum") / F.col("sample_count")).alias("mae_sec"),
                          F.sqrt(F.col("_sq") / F.col("sample_count")).alias("rmse_sec"))

@@ -22,7 +22,6 @@ ALLOWED = {
     "ROLLED_BACK": [],
     "ARCHIVED": ["PRODUCTION"],
 }
-DEFAULT_CHAMPION = "model_lightgbm_v1"
 
 
 def is_allowed(before: Column, after: Column) -> Column:
@@ -61,7 +60,7 @@ def production_counts(checked: DataFrame, order: Sequence[str], blocks: OrderBlo
     return Ordered(steps, [], list(order), blocks).running_sum("_change", "in_production").frame().drop("_change")
 
 
-def rollback_targets(status: DataFrame, models: DataFrame, default: str = DEFAULT_CHAMPION) -> DataFrame:
+def rollback_targets(status: DataFrame, models: DataFrame, default: str) -> DataFrame:
     """For each production model the parent to restore, with the parent's status."""
     live = status.filter(F.col("status") == "PRODUCTION").join(models, "model_id", "left")
     target = live.select("model_id", F.coalesce("parent_model_id", F.lit(default)).alias("rollback_to"))

@@ -84,7 +84,10 @@ def fit(train: DataFrame, algorithm: str, target: str = TARGET, categorical: Seq
     """
     check_feature_names([*categorical, *numerical])
     data = coerce(train, categorical, numerical)
-    widest = max(32, params.pop("max_categories", 256))
+    widest = 32
+    if algorithm != "ridge" and categorical:  # a tree needs as many bins as its widest category has values, and one for others
+        counts = data.agg(*[F.count_distinct(F.col(c)).alias(c) for c in categorical]).first()
+        widest = max(widest, *(counts[c] + 2 for c in categorical))
     if algorithm == "ridge":
         size = data.agg(F.count(target).alias("n"), F.stddev_samp(target).alias("s")).first()
         stages = [*linear_stages(size["n"], categorical, numerical),

@@ -133,7 +133,7 @@ def _fields(df: DataFrame, columns: Sequence[str]) -> list[T.StructField]:
 
 
 def detect(df: DataFrame, keys: Sequence[str], order: Sequence[str], error: str, detector: Detector,
-           alarms_only: bool = True, blocks: OrderBlocks | None = None, max_rounds: int | None = None) -> DataFrame:
+           alarms_only: bool = True, blocks: OrderBlocks | None = None) -> DataFrame:
     """Detector output per row of every key (alarm rows only by default).
 
     A key that fits one block is folded once.  A longer key is cut into blocks
@@ -179,9 +179,7 @@ def detect(df: DataFrame, keys: Sequence[str], order: Sequence[str], error: str,
     begin = F.array(*[F.lit(float(v)) for v in detector.start])
     entries = materialize(tagged.select(*part).distinct().withColumn("state", begin), "entries")
     known = materialize(cogroup(tagged, entries, leave, exit_schema), "exits")
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
+    while True:
         previous = F.lag("state").over(Window.partitionBy(*keys).orderBy(BLOCK))
         moved = known.withColumn("state", F.coalesce(previous, begin))
         old = entries.select(*part, F.col("state").alias("_old"))

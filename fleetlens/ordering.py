@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 BLOCK_ROWS_CONF = "spark.fleetlens.blockRows"
 BLOCK_ROWS = 4_000_000
-MAX_BLOCKS = 65_536
 BLOCK = "_block"
 
 
@@ -60,12 +59,12 @@ class OrderBlocks:
 def order_blocks(df: DataFrame, column: str, rows_per_block: int | None = None) -> OrderBlocks:
     """Choose cut points from approximate quantiles of the order column.
 
-    The driver receives at most ``MAX_BLOCKS`` numbers.  A table that fits one
-    block is only counted.
+    The driver receives one number per block.  A table that fits one block is
+    only counted.
     """
     per_block = rows_per_block or block_rows(df.sparkSession)
     total = df.count()
-    blocks = min(MAX_BLOCKS, -(-total // per_block))
+    blocks = -(-total // per_block)
     if blocks <= 1:
         return OrderBlocks(column)
     shares = [i / blocks for i in range(1, blocks)]

@@ -146,10 +146,11 @@ def promotion_gate(spark, d):
     return rounded(out, "original_mae_ratio", "original_r2_drop", "recent_mae_ratio", "original_rmse_ratio", "original_p95_ratio")
 
 
-@query("p08_shadow_check", f"""SELECT *, CASE WHEN mae_ratio > 1.02 THEN 'MAE ratio' ELSE '' END AS failure_reasons, CAST(mae_ratio <= 1.02 AS BIGINT) AS passed FROM (
+@query("p08_shadow_check", f"""SELECT *, concat_ws('; ', CASE WHEN non_positive > 0 THEN 'non-positive predictions' END, CASE WHEN excessive > 0 THEN 'excessive predictions' END,
+    CASE WHEN mae_ratio > 1.02 THEN 'MAE ratio' END) AS failure_reasons, CAST(non_positive = 0 AND excessive = 0 AND mae_ratio <= 1.02 AS BIGINT) AS passed FROM (
   SELECT count(*) AS sample_count, {s6('avg(abs(actual - predicted))')} AS champion_mae, {s6('avg(abs(actual - candidate))')} AS candidate_mae,
     CAST(0 AS BIGINT) AS exceptions, count(*) FILTER (WHERE candidate <= 0) AS non_positive, count(*) FILTER (WHERE candidate > 3600) AS excessive,
-    {s6('avg(abs(actual - candidate)) / avg(abs(actual - predicted))')} AS mae_ratio FROM scored WHERE idx < 300)""", ("scored",))
+    {s6('avg(abs(actual - candidate)) / avg(abs(actual - predicted))')} AS mae_ratio FROM scored)""", ("scored",))
 def shadow_check(spark, d):
     return rounded(decisions.shadow_check(T.scored_stream(spark, d), "actual", "predicted", "candidate"), "champion_mae", "candidate_mae", "mae_ratio")
 
@@ -168,20 +169,20 @@ _CANARY = ["champion_mae", "candidate_mae", "champion_rmse", "candidate_rmse", "
 
 @query("p10_canary_stage", f"""SELECT *, concat_ws('; ', CASE WHEN selected_records < 15 THEN 'too few samples' END, CASE WHEN mae_ratio > 1.05 THEN 'MAE ratio' END) AS failure_reasons,
   CAST(selected_records >= 15 AND mae_ratio <= 1.05 AS BIGINT) AS passed FROM (SELECT count(*) AS selected_records, count(DISTINCT trip_id) AS unique_trips,
-    min(timestamp_utc) AS time_range_start, max(timestamp_utc) AS time_range_end, CAST(0 AS BIGINT) AS unmatched_records, CAST(300 AS BIGINT) AS total_records,
+    min(timestamp_utc) AS time_range_start, max(timestamp_utc) AS time_range_end, CAST(0 AS BIGINT) AS unmatched_records, (SELECT count(*) FROM scored) AS total_records,
     CAST(50 AS BIGINT) AS canary_percentage, {s6('avg(abs(actual - predicted))')} AS champion_mae, {s6('avg(abs(actual - candidate))')} AS candidate_mae,
     {s6('sqrt(avg(pow(actual - predicted, 2)))')} AS champion_rmse, {s6('sqrt(avg(pow(actual - candidate, 2)))')} AS candidate_rmse,
     {s6('quantile_cont(abs(actual - predicted), 0.95)')} AS champion_p95, {s6('quantile_cont(abs(actual - candidate), 0.95)')} AS candidate_p95,
-    {s6('avg(abs(actual - candidate)) / avg(abs(actual - predicted))')} AS mae_ratio FROM scored WHERE idx >= 600 AND idx < 900 AND {_ROUTE} < 50)""", ("scored",))
+    {s6('avg(abs(actual - candidate)) / avg(abs(actual - predicted))')} AS mae_ratio FROM scored WHERE {_ROUTE} < 50)""", ("scored",))
 def canary_stage(spark, d):
-    out = decisions.canary_stage(T.scored_stream(spark, d), 50, "actual", "predicted", "candidate", start=600,
+    out = decisions.canary_stage(T.scored_stream(spark, d), 50, "actual", "predicted", "candidate",
                                  blocks=T.fits(spark, d, "champion_error", "candidate_error"))
     return rounded(out.withColumns({c: clean_time(c) for c in ("time_range_start", "time_range_end")}), *_CANARY)
 
 
 @query("p11_watchdog", f"""SELECT *, CASE WHEN mae_ratio > 1.05 THEN 'MAE' ELSE '' END AS rollback_reason, CAST(mae_ratio > 1.05 AS BIGINT) AS rollback_triggered FROM (
   SELECT count(*) AS samples, {s6('avg(absolute_error_sec)')} AS observed_mae, CAST(0 AS DOUBLE) AS avg_latency_ms, CAST(0 AS BIGINT) AS exceptions,
-    {s6('avg(absolute_error_sec) / 30')} AS mae_ratio FROM scored WHERE idx < 500)""", ("scored",))
+    {s6('avg(absolute_error_sec) / 30')} AS mae_ratio FROM scored)""", ("scored",))
 def watchdog(spark, d):
     return rounded(decisions.watchdog(T.scored_stream(spark, d), baseline_mae=30.0, max_ratio=1.05), "observed_mae", "mae_ratio")
 
@@ -225,11 +226,11 @@ def production_invariant(spark, d):
     return lifecycle.production_counts(checked, LOG_ORDER).filter(F.col("in_production") != 1).select("event_id", "in_production")
 
 
-@query("q05_rollback_targets", """SELECT s.model_id, coalesce(p.parent_model_id, 'model_lightgbm_v1') AS rollback_to, t.status AS target_status
-  FROM status s LEFT JOIN parents p USING (model_id) LEFT JOIN status t ON t.model_id = coalesce(p.parent_model_id, 'model_lightgbm_v1')
+@query("q05_rollback_targets", """SELECT s.model_id, coalesce(p.parent_model_id, 'champion_v1') AS rollback_to, t.status AS target_status
+  FROM status s LEFT JOIN parents p USING (model_id) LEFT JOIN status t ON t.model_id = coalesce(p.parent_model_id, 'champion_v1')
   WHERE s.status = 'PRODUCTION'""", ("status", "parents"))
 def rollback_targets(spark, d):
-    return lifecycle.rollback_targets(lifecycle.current_status(T.transitions(spark, d), LOG_ORDER), T.parents(spark, d))
+    return lifecycle.rollback_targets(lifecycle.current_status(T.transitions(spark, d), LOG_ORDER), T.parents(spark, d), "champion_v1")
 
 
 @query("q06_latest_non_production", "SELECT model_id, status FROM status WHERE status <> 'PRODUCTION' ORDER BY ts DESC, event_id DESC LIMIT 1", ("status",))

@@ -340,7 +340,7 @@ _SNAPSHOTS = """SELECT idx, (idx + 1) // 50 AS window_index, count(*) OVER w AS
 
 
 @query("n06_metric_snapshots", f"""SELECT window_index, sample_count, {s6('mae_sec')} AS mae_sec, {s6('rmse_sec')} AS rmse_sec
-  FROM ({_SNAPSHOTS}) WHERE (idx + 1) % 50 = 0 AND window_index > n // 50 - 200""", ("scored",))
+  FROM ({_SNAPSHOTS}) WHERE (idx + 1) % 50 = 0""", ("scored",))
 def metric_snapshots(spark, d):
     return rounded(events.metric_snapshots(T.scored(spark, d), T.TIME_ORDER, blocks=T.time_blocks(spark, d)), "mae_sec", "rmse_sec")
 

@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[4]",
@@ -19,6 +19,7 @@ def spark():
         spark__ui__enabled="false",
         spark__driver__memory="6g",
         spark__driver__host="127.0.0.1",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('checkpoints')}",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

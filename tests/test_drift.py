@@ -292,4 +292,4 @@ def test_lifecycle_rules(spark):
     status = lifecycle.current_status(log, ["ts"])
     assert status.first().status == "PRODUCTION"
     models = spark.createDataFrame([("m", None)], "model_id string, parent_model_id string")
-    assert lifecycle.rollback_targets(status, models).first().rollback_to == lifecycle.DEFAULT_CHAMPION
+    assert lifecycle.rollback_targets(status, models, "first_champion").first().rollback_to == "first_champion"
