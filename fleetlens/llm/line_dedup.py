@@ -108,20 +108,19 @@ def crowded_pairs(index: DataFrame, probe: DataFrame, edits: int, crowd: int) ->
         index, probe = next_index, materialize(next_probe.join(shared, "key", "left_semi"), "crowded-probes")
 
 
-def candidates(lines: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Pairs (a, b) of ids of different lines that share a segment. ``lines``: (id, line), repeats allowed."""
+def met_segments(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, low, high, id): probes that meet a segment of another line; ``low`` and ``high`` are the least and the greatest line
+    with the segment. A line probes its own segments too, so all lines of a segment that several have are among its ids."""
     index = keys_of(lines, edits, False).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     probe = keys_of(lines, edits, True)
-    met = probe.join(index, (probe.key == index.key) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("id")))).select(index.key, "low", "high", "id").distinct()
-    met = materialize(met, "met-segments")
+    return probe.join(index, (probe.key == index.key) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("id")))).select(index.key, "low", "high", "id").distinct()
+
+
+def candidates(met: DataFrame, texts: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of ids of different lines that share a segment; ``texts`` holds the lines of ``met``."""
     alone = met.where("low = high").select(F.col("low").alias("a"), F.col("id").alias("b"))
     shared = met.where("low != high").select("key").distinct()
-    if shared.isEmpty():
-        return alone
-    rows = []
-    for probes in (False, True):
-        ids = keys_of(lines, edits, probes).join(shared, "key", "left_semi").select("id").distinct()
-        rows.append(materialize(rests_of(lines.join(ids, "id", "left_semi").distinct(), None, "line", edits, probes).join(shared, "key", "left_semi"), "shared-segments"))
+    rows = [materialize(rests_of(texts.select("id", "line"), None, "line", edits, probes).join(shared, "key", "left_semi").distinct(), "shared-segments") for probes in (False, True)]
     return alone.unionByName(crowded_pairs(*rows, edits, crowd))
 
 
@@ -145,9 +144,10 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS, min_
     """(id, place): lines that may go. An occurrence goes if its place is behind ``place``, or in any case where that is null."""
     every = numbered_lines(docs, key, text)
     firsts = materialize(every.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), "first-lines")
-    pairs = materialize(candidates(every.where(F.char_length("line") >= min_chars).select("id", "line"), edits, crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = lines_at(docs, key, text, firsts.join(ids, "id", "left_semi").select("id", "place"))
+    met = materialize(met_segments(every.where(F.char_length("line") >= min_chars).select("id", "line"), edits), "met-segments")
+    ids = met.select(F.explode(F.array("low", "high", "id")).alias("id")).distinct()
+    texts = materialize(lines_at(docs, key, text, firsts.join(ids, "id", "left_semi").select("id", "place")), "line-texts")
+    pairs = candidates(met, texts, edits, crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (texts.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "place", "line"))) for side in "ab")
     both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
     a_longer = F.char_length("a_line") > F.char_length("b_line")
