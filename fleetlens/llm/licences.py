@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import keyed_text
 from fleetlens.session import materialize
 
-UNKNOWN, UNKNOWN_ROWS, FEATURES, SURE, CONFIRMED = "unknown", 3000, 1 << 15, 0.5, 0.6
+UNKNOWN, UNKNOWN_ROWS, FEATURES, SURE, CONFIRMED = "unknown", 3000, 1 << 14, 0.5, 0.6
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 # Names and usual notices of public licences.
@@ -114,7 +114,9 @@ def training_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(line, label, weight, fold): notices, and a bounded sample of paragraphs that no template is found in."""
     spark = docs.sparkSession
     told = spark.createDataFrame([(t, float(FAMILIES.index(f))) for f, t in notices()], "line string, label double")
-    sample = paragraphs(docs, key, text).select("line").distinct().orderBy(F.xxhash64("line"), "line").limit(UNKNOWN_ROWS).withColumn("words", words_of(F.col("line")))
+    hashed = paragraphs(docs, key, text).select("line", F.xxhash64("line").alias("hash"))
+    least = hashed.select("hash").distinct().orderBy("hash").limit(UNKNOWN_ROWS)  # hashes alone are shuffled
+    sample = hashed.join(F.broadcast(least), "hash", "left_semi").select("line").distinct().withColumn("words", words_of(F.col("line")))
     looks = sample.crossJoin(F.broadcast(templates(spark))).groupBy("line").agg(F.max(template_share(F.col("words"), F.col("pairs"))).alias("share"))  # bounded sample, constant table
     rows = told.unionByName(looks.where(f"share < {CONFIRMED}").select("line", F.lit(float(FAMILIES.index(UNKNOWN))).alias("label")))
     return rows.withColumn("fold", F.pmod(F.xxhash64("line"), F.lit(3)))
@@ -139,7 +141,7 @@ def calibrated(df: DataFrame, temperature: float) -> DataFrame:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> LicenceModel:
     rows = materialize(features(training_rows(docs, key, text), "line").select("features", "label", "fold").coalesce(4), "licence-training")
-    regression = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", standardization=False)
+    regression = LogisticRegression(maxIter=25, regParam=1e-3, family="multinomial", standardization=False)
     every = rows.agg(F.max("label")).first()[0]
     if every < FAMILIES.index(UNKNOWN):  # no paragraph to learn unknown from: one blank row keeps the class
         rows = rows.unionByName(features(docs.sparkSession.createDataFrame([("",)], "line string"), "line").select("features", F.lit(float(FAMILIES.index(UNKNOWN))).alias("label"), F.lit(1).cast("long").alias("fold")))
