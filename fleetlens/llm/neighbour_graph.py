@@ -32,8 +32,8 @@ from fleetlens.session import materialize
 NEIGHBOURS, POOL, CELLS, CELL_BLOCK, ROUNDS = 20, 200, 3, 512, 8
 #: share of changed list entries below which the graph counts as settled
 SETTLED = 0.02
-#: vectors per pivot that the number of pivots aims at, and the most pivots
-PER_PIVOT, PIVOTS = 1000, 256
+#: vectors per pivot that the number of pivots aims at, the most pivots, and the next blocks that a block of a cell meets
+PER_PIVOT, PIVOTS, CIRCLE = 1000, 256, 8
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,13 +76,14 @@ def first_lists(slim: DataFrame, kind: str) -> DataFrame:
     filed = materialize(arrow_map(slim, cells, f"id {kind}, cell int, slim binary"), "cells")
     sizes = filed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("blocks"))
     dealt = filed.join(F.broadcast(sizes), "cell")  # at most PIVOTS rows
-    dealt = dealt.withColumn("mine", F.expr("pmod(xxhash64(id), blocks)").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), "id", "mine", "slim")
+    # a block meets itself and the next ones around the cell's circle of blocks: all of a small cell, linear work in a large one
+    dealt = dealt.withColumn("mine", F.expr("pmod(xxhash64(id), blocks)").cast("int")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.least(F.lit(CIRCLE), F.floor(F.col("blocks") / 2).cast("int")))))
+    dealt = dealt.withColumn("bi", F.explode(F.array_distinct(F.array(F.col("mine"), F.pmod(F.col("mine") - F.col("bj"), F.col("blocks")))))).select("cell", "bi", "bj", "id", "mine", "slim")
 
     def compare(group: pa.Table) -> dict:
         ids, mine, x = group.column("id").to_numpy(), group.column("mine").to_numpy(), halves(group.column("slim"))
         keep = ~np.eye(len(ids), dtype=bool)
-        if group.column("bi")[0].as_py() != group.column("bj")[0].as_py():
+        if group.column("bj")[0].as_py():
             keep &= mine[:, None] != mine
         return nearer(ids, squared(x, x), keep, NEIGHBOURS)
 
