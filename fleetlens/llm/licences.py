@@ -99,9 +99,9 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
-def template_share(words: Column, pairs: Column) -> Column:
-    """The share of a template's pairs (or of its one word) that stand in a paragraph."""
-    return F.size(F.array_intersect(pairs, F.concat(words, inner_pairs(words)))) / F.size(pairs)
+def template_share(told: Column, pairs: Column) -> Column:
+    """The share of a template's pairs (or of its one word) that stand among a paragraph's words and pairs."""
+    return F.size(F.array_intersect(pairs, told)) / F.size(pairs)
 
 
 def notices() -> list[tuple[str, str]]:
@@ -117,7 +117,8 @@ def training_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     hashed = paragraphs(docs, key, text).select("line", F.xxhash64("line").alias("hash"))
     least = hashed.select("hash").distinct().orderBy("hash").limit(UNKNOWN_ROWS)  # hashes alone are shuffled
     sample = hashed.join(F.broadcast(least), "hash", "left_semi").select("line").distinct().withColumn("words", words_of(F.col("line")))
-    looks = sample.crossJoin(F.broadcast(templates(spark))).groupBy("line").agg(F.max(template_share(F.col("words"), F.col("pairs"))).alias("share"))  # bounded sample, constant table
+    sample = sample.select("line", F.concat("words", inner_pairs(F.col("words"))).alias("told"))  # once a line, before it meets the templates
+    looks = sample.crossJoin(F.broadcast(templates(spark))).groupBy("line").agg(F.max(template_share(F.col("told"), F.col("pairs"))).alias("share"))  # bounded sample, constant table
     rows = told.unionByName(looks.where(f"share < {CONFIRMED}").select("line", F.lit(float(FAMILIES.index(UNKNOWN))).alias("label")))
     return rows.withColumn("fold", F.pmod(F.xxhash64("line"), F.lit(3)))
 
@@ -161,8 +162,9 @@ def scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "t
     likely = scored.select(key, "paragraph", "words", F.array_max("probabilities").alias("probability"), F.element_at(families, F.array_position("probabilities", F.array_max("probabilities")).cast("int")).alias("family"))
     likely = likely.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
     kept = templates(df.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
+    likely = likely.withColumn("told", F.concat("words", inner_pairs(F.col("words"))))
     shared = likely.join(F.broadcast(kept), "family")  # a constant table
-    similarity = F.array_max(F.transform("templates", lambda t: template_share(F.col("words"), t)))
+    similarity = F.array_max(F.transform("templates", lambda t: template_share(F.col("told"), t)))
     return shared.withColumn("similarity", similarity).where(f"similarity >= {CONFIRMED}").select(key, "paragraph", "family", "probability", "similarity")
 
 
