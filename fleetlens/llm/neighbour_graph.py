@@ -9,8 +9,8 @@ bounds the work around hubs; this is the sampling that NN-descent itself has.
 
 A query starts from its own neighbours (it is a row of the table) and keeps the ``POOL`` nearest nodes seen; all of them that
 haven't been opened yet are opened at once, and the walk ends when there are none. All rounds are joins of (query, node)
-pairs; vectors travel as half-precision shares of the greatest component, and the last step measures the pool in double
-precision on the original vectors.
+pairs; vectors travel whole, as doubles scaled by one power of two, so that an outlier neither coarsens the others nor overflows
+when squared, and all distances are doubles. The last step measures the pool on the original vectors.
 
 Defined results: see ``taking_part`` for rows that take no part; vectors of zeros take none either; with at most k other rows
 all are returned; an empty table gives no rows.
@@ -32,6 +32,8 @@ from fleetlens.session import materialize
 NEIGHBOURS, POOL, CELLS, CELL_BLOCK, ROUNDS = 20, 200, 3, 512, 8
 #: share of changed list entries below which the graph counts as settled
 SETTLED = 0.02
+#: exponent of the greatest component that travels: its square, summed over all components, is far from overflow
+GREATEST = 480
 #: vectors per pivot that the number of pivots aims at, the most pivots, and the next blocks that a block of a cell meets
 PER_PIVOT, PIVOTS, CIRCLE = 1000, 256, 8
 
@@ -40,14 +42,16 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T))
 
 
-def halves(column: pa.Array) -> np.ndarray:
-    return unpacked(column, "f2").astype("f4")
+def doubles(column: pa.Array) -> np.ndarray:
+    return unpacked(column, "f8")
 
 
 def slim_vectors(nodes: DataFrame, most: float) -> DataFrame:
-    """(id, slim): components as half-precision shares of the greatest one."""
+    """(id, slim): components as doubles, scaled by the power of two that brings the greatest one to about ``GREATEST``."""
+    shift = int(GREATEST - np.frexp(most)[1])
+
     def run(batch: pa.RecordBatch) -> dict:
-        return {"id": batch.column(0), "slim": [v.tobytes() for v in (matrix(batch.column(1)) / most).astype("f2")]}
+        return {"id": batch.column(0), "slim": [v.tobytes() for v in np.ldexp(matrix(batch.column(1)), shift)]}
 
     return arrow_map(nodes, run, f"id {nodes.schema['id'].dataType.simpleString()}, slim binary")
 
@@ -65,10 +69,10 @@ def first_lists(slim: DataFrame, kind: str) -> DataFrame:
     """Neighbours within shared cells, compared in pairs of blocks."""
     n = slim.count()
     sample = slim.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, n // PER_PIVOT))).collect()
-    pivots = np.stack([np.frombuffer(r["slim"], "f2").astype("f4") for r in sample])
+    pivots = np.stack([np.frombuffer(r["slim"], "f8") for r in sample])
 
     def cells(batch: pa.RecordBatch) -> dict:
-        part = np.argsort(squared(halves(batch.column("slim")), pivots), 1)[:, :CELLS] if batch.num_rows else np.zeros((0, 1), int)
+        part = np.argsort(squared(doubles(batch.column("slim")), pivots), 1)[:, :CELLS] if batch.num_rows else np.zeros((0, 1), int)
         each = part.shape[1]
         row = pa.array(np.repeat(np.arange(batch.num_rows), each))
         return {"id": batch.column("id").take(row), "cell": part.ravel(), "slim": batch.column("slim").take(row)}
@@ -81,13 +85,13 @@ def first_lists(slim: DataFrame, kind: str) -> DataFrame:
     dealt = dealt.withColumn("bi", F.explode(F.array_distinct(F.array(F.col("mine"), F.pmod(F.col("mine") - F.col("bj"), F.col("blocks")))))).select("cell", "bi", "bj", "id", "mine", "slim")
 
     def compare(group: pa.Table) -> dict:
-        ids, mine, x = group.column("id").to_numpy(), group.column("mine").to_numpy(), halves(group.column("slim"))
+        ids, mine, x = group.column("id").to_numpy(), group.column("mine").to_numpy(), doubles(group.column("slim"))
         keep = ~np.eye(len(ids), dtype=bool)
         if group.column("bj")[0].as_py():
             keep &= mine[:, None] != mine
         return nearer(ids, squared(x, x), keep, NEIGHBOURS)
 
-    return by_group(dealt, ["cell", "bi", "bj"], compare, f"id {kind}, near {kind}, away float")
+    return by_group(dealt, ["cell", "bi", "bj"], compare, f"id {kind}, near {kind}, away double")
 
 
 def nearest_lists(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -98,7 +102,7 @@ def nearest_lists(edges: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
 
 def introductions(graph: DataFrame, slim: DataFrame, kind: str) -> DataFrame:
     """Pairs of neighbours of one node that are nearer to each other than the last of their lists."""
-    last = graph.groupBy("id").agg(F.when(F.count("*") >= NEIGHBOURS, F.max("away")).otherwise(float("inf")).cast("float").alias("last"))
+    last = graph.groupBy("id").agg(F.when(F.count("*") >= NEIGHBOURS, F.max("away")).otherwise(float("inf")).alias("last"))
     listed = graph.select(F.col("id").alias("host"), F.col("near").alias("guest"), "new")
     naming = best(graph.select(F.col("near").alias("host"), F.col("id").alias("guest"), "new"), "host", NEIGHBOURS, F.desc("new"), F.xxhash64("host", "guest")).drop("rank")
     guests = listed.unionByName(naming).groupBy("host", "guest").agg(F.max("new").alias("new"))
@@ -106,14 +110,14 @@ def introductions(graph: DataFrame, slim: DataFrame, kind: str) -> DataFrame:
     seated = guests.join(lively, "host", "left_semi").join(slim.join(last, "id", "left").withColumnRenamed("id", "guest"), "guest")
 
     def introduce(group: pa.Table) -> dict:
-        ids, new, x = group.column("guest").to_numpy(), group.column("new").to_numpy(), halves(group.column("slim"))
-        last_of = group.column("last").to_numpy().astype("f4")
+        ids, new, x = group.column("guest").to_numpy(), group.column("new").to_numpy(), doubles(group.column("slim"))
+        last_of = group.column("last").to_numpy().astype("f8")
         last_of = np.where(np.isnan(last_of), np.inf, last_of)
         distance = squared(x, x)
         keep = (new[:, None] | new) & (distance < last_of[:, None]) & ~np.eye(len(ids), dtype=bool)
         return nearer(ids, distance, keep, NEIGHBOURS)
 
-    return by_group(seated, ["host"], introduce, f"id {kind}, near {kind}, away float")
+    return by_group(seated, ["host"], introduce, f"id {kind}, near {kind}, away double")
 
 
 def descend(slim: DataFrame, kind: str) -> DataFrame:
@@ -140,10 +144,10 @@ def walk(graph: DataFrame, slim: DataFrame, queries: DataFrame, kind: str, pool:
         both = pairs.join(slim.withColumnRenamed("id", "node"), "node").join(asked, "query").select("query", "node", "slim", "mine")
 
         def run(batch: pa.RecordBatch) -> dict:
-            gap = halves(batch.column("slim")) - halves(batch.column("mine")) if batch.num_rows else np.zeros((0, 1), "f4")
+            gap = doubles(batch.column("slim")) - doubles(batch.column("mine")) if batch.num_rows else np.zeros((0, 1))
             return {"query": batch.column("query"), "node": batch.column("node"), "away": (gap * gap).sum(1)}
 
-        return arrow_map(both, run, f"query {kind}, node {kind}, away float")
+        return arrow_map(both, run, f"query {kind}, node {kind}, away double")
 
     def in_pool(rows: DataFrame) -> DataFrame:
         return best(rows, "query", pool, F.col("away"), F.col("node")).drop("rank")

@@ -50,3 +50,13 @@ def test_odd_rows(spark):
     few = by_query(neighbour_graph.nearest(df.where("vec_id in (0, 3, 100)")))
     assert {q: {i for i, _ in f} for q, f in few.items()} == {0: {3, 100}, 100: {0, 3}}
     assert neighbour_graph.nearest(df.where("vec_id = 100")).count() == 0
+
+
+def test_an_outlier_leaves_the_others_their_distances(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(6).round(1).tolist()) for i in range(400)] + [(1000 + i, [0.5] * 6) for i in range(120)]
+    for great in (1e6, 1e8, 1e300):
+        whole = [*rows, (3000, [great, 0.0, 0.0, 0.0, 0.0, 1.0])]
+        got, want = by_query(neighbour_graph.nearest(spark.createDataFrame(whole, "vec_id long, embedding array<double>"))), brute(whole)
+        assert set(got) == set(want) and recall(got, want) >= 0.95, great
+        assert got[1000] == [(1000 + i, 0.0) for i in range(1, 11)]
