@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 Each word enters with word inputs (how much more often it stands in toxic training documents), character inputs (the same for
-its character n-grams and its beginning) and a trained embedding of its character trigrams. Forward and backward gated
+its character n-grams and its beginning) and a trained embedding of its character trigrams. A run of more than ``PIECE`` word
+characters (long identifiers, clauses of scripts without spaces) counts as several words: pieces that overlap by ``OVERLAP``
+characters, so that each n-gram of the run stands whole in one of them. Forward and backward gated
 recurrent units read windows of ``WINDOW`` words that start every ``STRIDE`` words, so that windows overlap; attention pools each
 window into one logit. A document's logit is that of its worst window, calibrated on the training documents. A training
 document sees frequencies without its own words (leave one out), else rare words would look telling.
@@ -32,16 +34,26 @@ TRIGRAMS, EMBEDDED, TOLD = 4096, 6, 6
 #: words whose inputs a worker remembers
 REMEMBERED = 400_000
 THRESHOLD = 0.7
+#: most characters of a word, and how many of them the next piece of a longer run repeats; n-grams have at most 5
+PIECE, OVERLAP = 40, 8
 WORD = re.compile(r"\w+").findall
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; longer runs as overlapping pieces that cover them."""
+    words = WORD(text.lower())
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[s:s + PIECE] for w in words for s in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
+
+
 def grams(word: str) -> list[str]:
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     return [marked[i:i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
 
 
 def trigram_rows(word: str) -> list[int]:
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     return [zlib.crc32(marked[i:i + 3].encode("utf-8", "replace")) % TRIGRAMS for i in range(len(marked) - 2)]
 
 
@@ -237,7 +249,7 @@ def train(documents: list[tuple[str, int]], seed: int = 7, rounds: int = 5, pass
         return {"constant": float(labels.mean()) if len(labels) else 0.5}
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    plain = [np.array([index.setdefault(w, len(index)) for w in WORD(t.lower())], int) for t, _ in documents]
+    plain = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], int) for t, _ in documents]
     vocabulary = list(index) or [""]
     evidence, told = gathered_evidence(list(index), plain, labels) if index else (Evidence({}, {}), np.zeros((2, TOLD), "f4"))
     ids = [i + len(index) * y for i, y in zip(plain, labels, strict=True)]  # words as their document's label sees them
@@ -352,7 +364,7 @@ class Scorer:
                 self.forget()
 
         for d, text in enumerate(texts):
-            words = WORD(text.lower())
+            words = words_of(text)
             ids.append(np.fromiter(map(self.types.__getitem__, words), np.int32, len(words)))
             for s, e in windows(len(words)):
                 owner.append(d)

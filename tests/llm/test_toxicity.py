@@ -72,3 +72,22 @@ def test_odd_rows(spark):
 
 def test_texts_without_words_train(spark):
     assert "slope" in toxicity.train([("", 0), ("!", 1), ("", 1)])
+
+
+def test_toxic_passages_behind_a_long_beginning_count():
+    rng = np.random.default_rng(3)
+    plain, rude = ["river", "stone", "garden", "window", "letter", "summer"], ["stupidfool", "worthlessidiot"]
+    some = lambda n: [plain[i] for i in rng.integers(0, len(plain), n)]
+    documents = [(" ".join(some(20) + [rude[i % 2]] + some(20)), 1) for i in range(60)] + [(" ".join(some(41)), 0) for _ in range(120)]
+    start = "_".join(some(12))[:48]
+    runs = [f"{start}_stupidfool", f"{start}_garden", "_".join(some(8) + ["worthlessidiot"] + some(8)), "_".join(some(17))]
+    assert all(len(x) > 48 for x in runs)
+    got = toxicity.Scorer(toxicity.train(documents)).scores(runs)
+    assert got[0] > got[1] + 0.3 and got[2] > got[3] + 0.3, got
+
+
+def test_pieces_of_long_runs_hold_all_their_grams():
+    for n in (1, 40, 41, 48, 49, 72, 73, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.words_of(f"a {run} b")[1:-1]
+        assert {g for p in pieces for g in toxicity.grams(p)} >= set(toxicity.grams(run)) and max(map(len, pieces)) <= 40 and (n > 40 or pieces == [run])
