@@ -1,11 +1,16 @@
 """Licence scan: which paragraphs state a licence, and of which family.
 
-Paragraphs (lines that aren't blank) become sparse counts of hashed words and word pairs; a multinomial logistic regression,
+A notice may stand on one line or be wrapped over several, so both are judged: lines that aren't blank, and windows of ``WINDOW``
+words over blocks (runs of lines that hold letters or digits; comment marks are no words). Windows start every ``STRIDE`` words and
+overlap by more words than any template has. What a block's windows find counts once for the block, unless one of its lines states
+that family already. Lines and windows become sparse counts of hashed words and word pairs; a multinomial logistic regression,
 trained here, gives the probabilities of the licence families and of ``unknown``. It learns from notices that are composed of the
 families' names and common phrases, from the families' own texts, and from at most ``UNKNOWN_ROWS`` paragraphs of the corpus that look
 like no template, taken by the smallest hashes of their texts. A temperature, fitted on a held-out third, calibrates the
-probabilities. A paragraph counts if a family has at least ``SURE`` probability and a template of that family confirms it: at
-least ``CONFIRMED`` of the template's word pairs stand in the paragraph.
+probabilities. The likeliest family counts if it has at least ``SURE`` probability and a template of that family confirms it: at
+least ``CONFIRMED`` of the template's word pairs stand in the line or window. Any other family counts beside it if it is at least
+``SURE`` against ``unknown`` alone and one of its templates stands whole (names of different families share most of their pairs);
+a name of one word ("mit" is a German word as well) then has to stand beside a word of ``BEFORE``, ``AFTER`` or another's name.
 
 All of it is DataFrame expressions and feature stages of Spark ML. Defined results: null and empty texts have no paragraph and no
 licence; equal paragraphs get equal results; rows that share a key are one document; a null key is a key like any other; paragraphs
@@ -28,6 +33,7 @@ from fleetlens.llm.common import keyed_text
 from fleetlens.session import materialize
 
 UNKNOWN, UNKNOWN_ROWS, FEATURES, SURE, CONFIRMED = "unknown", 3000, 1 << 14, 0.5, 0.6
+WINDOW, STRIDE = 60, 24
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 # Names and usual notices of public licences.
@@ -65,6 +71,8 @@ TEXTS = {
     "CC0": ["The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide"],
 }
 FAMILIES = [*NAMES, UNKNOWN]
+# Words that tie a name of one word to a notice that states another family as well.
+BEFORE, AFTER = ["or", "and", "the", "under", "identifier", "either"], ["or", "and", "license", "licence", "licenses", "licences"]
 
 
 def words_of(text: Column) -> Column:
@@ -88,9 +96,21 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, template string").select("family", F.array_distinct(inner_pairs(words_of(F.col("template")))).alias("pairs"))
 
 
+def beside(family: str) -> list[list[str]]:
+    """Pairs, each of which is a template, for one-word names of a family that isn't the likeliest."""
+    firsts = sorted({n.split()[0].split("-")[0].lower() for f, names in NAMES.items() if f != family for n in names})
+    words = [n.lower() for n in NAMES[family] if n.isalnum()]
+    return [[f"{b} {w}"] for w in words for b in BEFORE] + [[f"{w} {a}"] for w in words for a in [*AFTER, *firsts]]
+
+
 def features(df: DataFrame, text: str) -> DataFrame:
     """Adds ``words`` and the sparse counts ``features``."""
-    terms = df.withColumn("words", words_of(F.col(text))).withColumn("terms", F.concat("words", pairs_of(F.col("words"))))
+    return counted(df.withColumn("words", words_of(F.col(text))))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Adds the sparse counts ``features`` of ``words``."""
+    terms = df.withColumn("terms", F.concat("words", pairs_of(F.col("words"))))
     return HashingTF(numFeatures=FEATURES, inputCol="terms", outputCol="features", binary=True).transform(terms).drop("terms")
 
 
@@ -99,6 +119,16 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.trim("line") != "")
 
 
+def units(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, said, block, line, words) of lines, and of windows over blocks (line is null); ``said`` tells texts of one key apart."""
+    blocks = docs.select(key, F.xxhash64(text).alias("said"), F.posexplode(F.split(text, r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*")).alias("block", "body"))
+    lines = blocks.select(key, "said", "block", F.posexplode(F.split("body", "\n")).alias("line", "text")).where(F.trim("text") != "").withColumn("words", words_of(F.col("text"))).drop("text")
+    joined = blocks.withColumn("words", words_of(F.regexp_replace("body", r"(?mi)^\s*(rem|dnl)\b", " "))).where(F.contains("body", F.lit("\n")) | (F.size("words") > WINDOW))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - (WINDOW - STRIDE) - 1), F.lit(STRIDE))
+    wide = joined.withColumn("start", F.explode(starts)).select(key, "said", "block", F.lit(None).cast("int").alias("line"), F.slice("words", F.col("start") + 1, F.lit(WINDOW)).alias("words"))
+    return lines.unionByName(wide)
+
+
 def template_share(told: Column, pairs: Column) -> Column:
     """The share of a template's pairs (or of its one word) that stand among a paragraph's words and pairs."""
     return F.size(F.array_intersect(pairs, told)) / F.size(pairs)
@@ -155,17 +185,27 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> LicenceMode
 
 
 def scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, paragraph, family, probability, similarity): confirmed licence paragraphs."""
-    docs = keyed_text(df, key, text)
-    scored = model.probabilities(features(paragraphs(docs, key, text), "line").select(key, "paragraph", "words", "features"))
-    families = F.array(*[F.lit(f) for f in FAMILIES])
-    likely = scored.select(key, "paragraph", "words", F.array_max("probabilities").alias("probability"), F.element_at(families, F.array_position("probabilities", F.array_max("probabilities")).cast("int")).alias("family"))
-    likely = likely.where((F.col("family") != UNKNOWN) & (F.col("probability") >= SURE))
-    kept = templates(df.sparkSession).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
+    """(key, block, line, family, probability, similarity): confirmed licences of lines, and of blocks beyond their lines (line is null).
+    The probability is the family's against unknown alone."""
+    spark, docs = df.sparkSession, keyed_text(df, key, text)
+    scored = model.probabilities(counted(units(docs, key, text))).select(key, "said", "block", "line", "words", "probabilities")
+    own, unknown = F.col("f.own"), F.element_at("probabilities", len(FAMILIES))
+    each = F.array(*[F.struct(F.lit(f).alias("family"), F.element_at("probabilities", i + 1).alias("own")) for i, f in enumerate(FAMILIES[:-1])])
+    sure = F.filter(each, lambda f: f["own"] >= SURE * (f["own"] + unknown))
+    most = F.array_max("probabilities")
+    likely = scored.withColumn("f", F.explode(sure)).select(key, "said", "block", "line", "words", F.col("f.family").alias("family"), (own / (own + unknown)).alias("probability"), ((own == most) & (own >= SURE)).alias("first"))
+    kept = templates(spark).groupBy("family").agg(F.collect_list("pairs").alias("templates"))
     likely = likely.withColumn("told", F.concat("words", inner_pairs(F.col("words"))))
     shared = likely.join(F.broadcast(kept), "family")  # a constant table
-    similarity = F.array_max(F.transform("templates", lambda t: template_share(F.col("told"), t)))
-    return shared.withColumn("similarity", similarity).where(f"similarity >= {CONFIRMED}").select(key, "paragraph", "family", "probability", "similarity")
+    tied = spark.createDataFrame([(f, beside(f)) for f in NAMES], "family string, tied array<array<string>>")
+    shared = shared.join(F.broadcast(tied), "family")  # a constant table
+    fitting = F.when(F.col("first"), F.col("templates")).otherwise(F.concat(F.filter("templates", lambda t: (F.size(t) > 1) | F.contains(t[0], F.lit(" "))), F.col("tied")))
+    similarity = F.array_max(F.transform(fitting, lambda t: template_share(F.col("told"), t)))
+    confirmed = shared.withColumn("similarity", similarity).where(F.col("similarity") >= F.when(F.col("first"), CONFIRMED).otherwise(1.0)).where("first")
+    found = confirmed.groupBy(key, "said", "block", "family").agg(
+        F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "probability", "similarity"))).alias("lines"), F.max(F.struct(F.lit(None).cast("int").alias("line"), "probability", "similarity")).alias("whole"))
+    hits = F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("whole"))
+    return found.select(key, "block", "family", F.explode(hits).alias("hit")).select(key, "block", "hit.line", "family", "hit.probability", "hit.similarity")
 
 
 def documents_with_licences(df: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "text") -> DataFrame:

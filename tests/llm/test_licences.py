@@ -35,3 +35,16 @@ def test_odd_rows_and_other_wordings(spark):
 def test_fit_without_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert licences.fit(empty).temperature in licences.TEMPERATURES
+
+
+WRAPPED = {
+    "BSD": "Copyright (c) 2019, The Authors\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code",
+    "ISC": "/*\n * Copyright (c) 2019 The Authors\n *\n * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice appear in all copies.\n */\nint main;",
+    "Apache-2.0": "# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n# http://www.apache.org/licenses/LICENSE-2.0",
+}
+
+
+def test_wrapped_notices(spark):
+    df = spark.createDataFrame(list(enumerate(WRAPPED.values())), "doc_id long, text string")
+    got = licences.documents_with_licences(df, licences.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))).collect()
+    assert {r["doc_id"]: r["families"] for r in got} == {i: [f] for i, f in enumerate(WRAPPED)}
