@@ -201,7 +201,7 @@ def scan(df: DataFrame, model: LicenceModel, key: str = "doc_id", text: str = "t
     shared = shared.join(F.broadcast(tied), "family")  # a constant table
     fitting = F.when(F.col("first"), F.col("templates")).otherwise(F.concat(F.filter("templates", lambda t: (F.size(t) > 1) | F.contains(t[0], F.lit(" "))), F.col("tied")))
     similarity = F.array_max(F.transform(fitting, lambda t: template_share(F.col("told"), t)))
-    confirmed = shared.withColumn("similarity", similarity).where(F.col("similarity") >= F.when(F.col("first"), CONFIRMED).otherwise(1.0)).where("first")
+    confirmed = shared.withColumn("similarity", similarity).where(F.col("similarity") >= F.when(F.col("first"), CONFIRMED).otherwise(1.0))
     found = confirmed.groupBy(key, "said", "block", "family").agg(
         F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "probability", "similarity"))).alias("lines"), F.max(F.struct(F.lit(None).cast("int").alias("line"), "probability", "similarity")).alias("whole"))
     hits = F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("whole"))

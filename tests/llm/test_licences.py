@@ -44,7 +44,13 @@ WRAPPED = {
 }
 
 
-def test_wrapped_notices(spark):
-    df = spark.createDataFrame(list(enumerate(WRAPPED.values())), "doc_id long, text string")
-    got = licences.documents_with_licences(df, licences.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))).collect()
-    assert {r["doc_id"]: r["families"] for r in got} == {i: [f] for i, f in enumerate(WRAPPED)}
+def test_wrapped_notices_and_dual_licences(spark):
+    dual = {"Licensed under either of Apache License, Version 2.0 or the MIT License": ["Apache-2.0", "MIT"], "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"],
+            "Licensed under the GNU General Public License or the GNU Lesser General Public License, version 3.": ["GPL", "LGPL"], "This work is licensed under CC BY-NC 4.0.": ["CC-BY-NC"],
+            "Distributed under the GNU Lesser General Public License.": ["LGPL"]}
+    cases = [(t, [f]) for f, t in WRAPPED.items()] + list(dual.items())
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    model = licences.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    got = {r["doc_id"]: r["families"] for r in licences.documents_with_licences(df, model).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    assert max(len(re.findall(r"[^\W_]+", t)) for texts in (*licences.NAMES.values(), *licences.TEXTS.values()) for t in texts) <= licences.WINDOW - licences.STRIDE
