@@ -90,14 +90,14 @@ def metric_snapshots(df: DataFrame, order: Sequence[str], every: int = 50, keep:
                          F.sqrt(F.col("_sq") / F.col("sample_count")).alias("rmse_sec"))
 
 
-def snapshot_quantiles(df: DataFrame, order: Sequence[str], every: int = 50, keep: int = 200,
+def snapshot_quantiles(df: DataFrame, order: Sequence[str], every: int = 50, keep: int | None = None,
                        named: dict[str, float] | None = None, blocks: OrderBlocks | None = None) -> DataFrame:
-    """Exact cumulative error quantiles at the kept snapshots."""
+    """Exact cumulative error quantiles at every ``every``-th record; of all, or of the last ``keep`` snapshots."""
     placed = with_index(df, list(order), "_idx", "_n", blocks)
     last = F.floor(F.col("_n") / every)
     steps = placed.filter(F.col("_idx") < last * every).select(
         "absolute_error_sec", F.floor(F.col("_idx") / every).alias("_step"),
-        F.greatest(last - keep, F.lit(0)).alias("_first"), (last - 1).alias("_last"))
+        (F.lit(0) if keep is None else F.greatest(last - keep, F.lit(0))).cast("long").alias("_first"), (last - 1).alias("_last"))
     out = prefix_quantiles(steps, "absolute_error_sec", named or {"median_ae_sec": 0.5, "p90_error_sec": 0.9})
     return out.select((F.col("_step") + 1).cast("long").alias("window_index"),
                       *[c for c in out.columns if c != "_step"])

@@ -230,3 +230,16 @@ def test_all_scenarios_equal_one_by_one(spark):
         for r in scenario.apply(rows).collect():
             got = together[(name, r.segment)]
             assert {k: got[k] for k in r.asDict()} == r.asDict()
+
+
+def test_snapshot_quantiles_keep_all_snapshots(spark):
+    import numpy as np
+
+    from fleetlens.operators import events
+    errors = [float((i * 7919) % 1009) for i in range(10_150)]
+    df = spark.createDataFrame(list(enumerate(errors)), "event_id long, absolute_error_sec double")
+    got = {r.window_index: (r.median_ae_sec, r.p90_error_sec) for r in events.snapshot_quantiles(df, ["event_id"]).collect()}
+    assert set(got) == set(range(1, 204)) == {r.window_index for r in events.metric_snapshots(df, ["event_id"]).collect()}
+    for w in (1, 2, 3, 100, 203):
+        assert got[w] == pytest.approx(tuple(np.quantile(errors[:50 * w], [0.5, 0.9])))
+    assert {r.window_index for r in events.snapshot_quantiles(df, ["event_id"], keep=2).collect()} == {202, 203}
