@@ -256,12 +256,20 @@ def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
 
 
-SMALL = {"random_forest": {"numTrees": 10, "maxDepth": 6}, "boosted_trees": {"maxIter": 10}, "ridge": {}}
+ALGORITHMS = ["random_forest", "boosted_trees", "ridge"]
+
+
+def _fitted(train: DataFrame, validation: DataFrame, algorithm: str):
+    """A model with full settings; boosting stops early by the validation rows."""
+    if algorithm != "boosted_trees":
+        return models.fit(train, algorithm, "label")
+    both = train.withColumn("is_validation", F.lit(False)).unionByName(validation.withColumn("is_validation", F.lit(True)))
+    return models.fit(both, algorithm, "label", validation="is_validation")
 
 
 def _scored_by(spark, d, algorithm: str) -> DataFrame:
     train, validation = _parts(spark, d)
-    model = models.fit(train, algorithm, "label", **SMALL[algorithm])
+    model = _fitted(train, validation, algorithm)
     return models.score(model, validation, f"model_{algorithm}", "v1")
 
 
@@ -308,7 +316,7 @@ _model_query("j07_boosted_trees", "boosted_trees")
 @query("j08_leaderboard")
 def leaderboard(spark, d):
     train, validation = _parts(spark, d)
-    scored = {a: models.score(models.fit(train, a, "label", **SMALL[a]), validation) for a in SMALL}
+    scored = {a: models.score(_fitted(train, validation, a), validation) for a in ALGORITHMS}
     scored["median"] = models.median_prediction(train, validation, "label").withColumnRenamed("prediction", "predicted")
     return rounded(models.leaderboard(scored, "label", "predicted"), *METRICS)
 
@@ -324,14 +332,14 @@ def performance_gate(spark, d):
 
 @query("j10_importances")
 def importances(spark, d):
-    train, _ = _parts(spark, d)
-    return rounded(models.importances(models.fit(train, "random_forest", "label", **SMALL["random_forest"]), spark), "importance")
+    train, validation = _parts(spark, d)
+    return rounded(models.importances(_fitted(train, validation, "random_forest"), spark), "importance")
 
 
 @query("j11_candidate_fit")
 def candidate_fit(spark, d):
     train, validation = _parts(spark, d)
-    model = models.fit(train, "boosted_trees", "label", maxIter=5, maxDepth=3)
+    model = _fitted(train, validation, "boosted_trees")
     return rounded(models.score(model, validation, "candidate", "v1.1").select("event_id", "predicted", "predicted_model_version"), "predicted")
 
 
@@ -343,6 +351,6 @@ def score_table(spark, d):
 @query("k03_dual_scoring")
 def dual_scoring(spark, d):
     train, validation = _parts(spark, d)
-    champion = models.fit(train, "ridge", "label")
-    candidate = models.fit(train, "boosted_trees", "label", maxIter=5, maxDepth=3)
+    champion = _fitted(train, validation, "ridge")
+    candidate = _fitted(train, validation, "boosted_trees")
     return models.dual_score(champion, candidate, validation).select("event_id", "label", "champion", "candidate")

@@ -67,3 +67,20 @@ def test_performance_gate(spark):
     df = spark.createDataFrame([(float(y), y + 100.0) for y in range(20, 60)], "y double, p double")
     got = models.performance_gate(regression_metrics(df, "y", "p")).first()
     assert got.passed == 0 and got.failure_reasons == "MAE; R2"
+
+
+@pytest.mark.parametrize("name", ["j06_random_forest", "j07_boosted_trees", "j08_leaderboard", "j10_importances", "j11_candidate_fit", "k03_dual_scoring"])
+def test_registered_models_have_full_settings(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    full, fits = models.fit, []
+
+    def recorded(train, algorithm, target, validation=None, **params):
+        fits.append((algorithm, params, validation and {r[0] for r in train.select(validation).distinct().collect()}))
+        return full(train, "ridge", target)
+
+    monkeypatch.setattr(models, "fit", recorded)
+    monkeypatch.setattr(models, "importances", lambda model, spark: spark.createDataFrame([("u", 1.0)], "feature string, importance double"))
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert fits and all(params == {} for _, params, _ in fits)
+    assert all(held == ({False, True} if algorithm == "boosted_trees" else None) for algorithm, _, held in fits)
