@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat_format, exact_search, licences, line_dedup, neighbour_graph, ngram_join, packing, sampled_pieces, substring_dedup, toxicity
+from fleetlens.llm import chat_format, exact_search, licences, line_dedup, merkle, neighbour_graph, ngram_join, packing, sampled_pieces, substring_dedup, toxicity
 from fleetlens.llm.common import table
 
 ORACLE: dict[str, str] = {}
@@ -88,6 +88,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: letters of ASCII, for texts of which only those change case
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE
+    step(i, bit, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, bit + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE bit < 8),
+    crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE bit = 8),
+    rows AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 3 = 0 AS tampered FROM documents, crc),
+    found AS (SELECT *, CASE WHEN tampered THEN translate(text, '{UPPER}', '{LOWER}') ELSE text END AS late FROM rows),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM (
+        SELECT doc_id, lang, sha256({_FIELDS} || {_FIELD.format("text")}) AS leaf, sha256({_FIELDS} || {_FIELD.format("late")}) AS seen FROM found)),
+    nodes(lang, level, pos, digest, n) AS (SELECT lang, 0, pos, leaf, n FROM leaves
+        UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8),
+    subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS top, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    tops(level, pos, digest, n) AS (SELECT 0, top, subroot, n FROM subroots
+        UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, pos // 8),
+    numbered AS (SELECT *, row_number() OVER () AS row FROM leaves JOIN (SELECT lang AS named, subroot, top FROM subroots) s ON lang IS NOT DISTINCT FROM named),
+    sides AS (SELECT row, level, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < mine), '') AS before, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > mine), '') AS after FROM (
+        SELECT row, level, k.pos, digest, CAST(floor(r.pos / pow(8, level)) AS BIGINT) AS mine FROM numbered r JOIN nodes k ON r.lang IS NOT DISTINCT FROM k.lang AND k.n > 1 AND k.pos // 8 = CAST(floor(r.pos / pow(8, level + 1)) AS BIGINT)
+        UNION ALL SELECT row, 100 + level, k.pos, digest, CAST(floor(top / pow(8, level)) AS BIGINT) FROM numbered JOIN tops k ON k.n > 1 AND k.pos // 8 = CAST(floor(top / pow(8, level + 1)) AS BIGINT)) GROUP BY row, level),
+    paths AS (SELECT row, list(struct_pack(b := before, a := after) ORDER BY level) AS path, string_agg(before || after, '' ORDER BY level) AS proof FROM sides GROUP BY row),
+    folds(row, k, digest, path) AS (SELECT row, 0, seen, coalesce(path, []) FROM numbered LEFT JOIN paths USING (row)
+        UNION ALL SELECT row, k + 1, sha256(path[k + 1].b || digest || path[k + 1].a), path FROM folds WHERE k < len(path))
+SELECT doc_id, leaf, subroot, tops.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, folds.digest AS folded_root, folds.digest = tops.digest AS verified
+FROM numbered JOIN folds USING (row) LEFT JOIN paths USING (row) JOIN tops ON tops.n = 1 WHERE k = len(folds.path)"""
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    late = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    got = merkle.manifest(docs, seen={"text": late})
+    return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: function for name, function in globals().items() if name.startswith("op") and callable(function)}
 
