@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat_format, exact_search, licences, line_dedup, merkle, neighbour_graph, ngram_join, packing, sampled_pieces, substring_dedup, toxicity
-from fleetlens.llm.common import table
+from fleetlens.llm import chat_format, decontamination, exact_search, lexical_search, licences, line_dedup, merkle, neighbour_graph, ngram_join, packing, sampled_pieces, substring_dedup, toxicity
+from fleetlens.llm.common import LOWER, UPPER, table
 
 ORACLE: dict[str, str] = {}
 
@@ -88,8 +88,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: letters of ASCII, for texts of which only those change case
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op11_lexical_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, words, len(words) AS n FROM (SELECT doc_id, {_WORDS} AS words FROM documents WHERE text IS NOT NULL) WHERE len(words) > 0),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM docs) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest(words) AS term FROM (SELECT item_id, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL)),
+scores AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * corpus.docs) // length)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN docs USING (r), corpus GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scores JOIN docs USING (r) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) <= 10"""
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+ORACLE["op12_decontamination"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS words FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (SELECT DISTINCT item, size, list_slice(words, spot, spot + size - 1) AS w FROM (SELECT item, words, least(len(words), 10) AS size, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS spot FROM items WHERE len(words) > 0)),
+runs AS (SELECT r, spot, size, list_slice(words, spot, spot + size - 1) AS w FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS spot FROM docs, (SELECT DISTINCT size FROM windows))),
+met AS (SELECT r, spot, size, item FROM runs JOIN windows USING (size, w)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(spot, spot + size)) AS place FROM met) GROUP BY r),
+said AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN said USING (r)"""
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
 _FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
 ORACLE["op13_merkle_manifest"] = f"""
