@@ -20,7 +20,9 @@ from fleetlens.session import materialize
 
 WINDOW = 10
 #: windows and references to items in one broadcast hash set, some 100 bytes each
-BROADCAST = 400_000
+BROADCAST = 200_000
+#: range of the slots that hashes fall on before they are folded
+SLOTS = 1 << 40
 
 
 def windows_at(words: Column, size: Column, made) -> Column:
@@ -36,12 +38,35 @@ def item_windows(items: DataFrame, item: str, text: str, window: int) -> DataFra
     return runs.groupBy("window").agg(F.sort_array(F.collect_set("named")).alias("items")).select(F.xxhash64("window").alias("hash"), F.size("window").alias("size"), "window", "items")
 
 
+def marked(windows: DataFrame) -> bytes:
+    """A byte per slot, 1 where a window's hash falls; 32 slots or more per window."""
+    slots = [r["slot"] for r in windows.select(F.pmod("hash", F.lit(SLOTS)).alias("slot")).distinct().collect()]  # at most ``BROADCAST`` numbers
+    n = 1 << max(16, (32 * len(slots)).bit_length())
+    found = bytearray(n)
+    for slot in slots:
+        found[slot % n] = 1
+    return bytes(found)
+
+
 def found_windows(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(key, digest, n_words, at, size, items) of each occurrence of a window, and a row per document without an occurrence."""
+    """(key, digest, n_words, at, size, items) of each occurrence of a window, and a row per document without an occurrence.
+
+    The slots of the hash set travel with the plan, so that only windows that fall on a marked one become rows; those meet the set.
+    """
+    slots = marked(windows)
     sized = docs.withColumn("long", F.explode(F.array(*(F.lit(s) for s in sizes))))
-    hashes = F.concat(F.array(F.lit(0).cast("long")), windows_at(F.col("words"), F.col("long"), F.xxhash64))  # the first stands for the document
-    runs = sized.select("key", "digest", "words", "long", F.posexplode(hashes).alias("at", "looked"))
-    same = (F.col("looked") == F.col("hash")) & (F.col("at") > 0) & (F.slice("words", F.greatest(F.col("at"), F.lit(1)), F.col("long")) == F.col("window"))
+    starts = F.when(F.size("words") >= F.col("long"), F.sequence(F.lit(1), F.size("words") - F.col("long") + 1)).otherwise(F.array().cast("array<int>"))
+
+    def looked(at: Column) -> Column:
+        return F.xxhash64(F.slice("words", at, F.col("long")))
+
+    def is_marked(at: Column) -> Column:
+        return F.substring(F.lit(slots), F.pmod(looked(at), F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
+    # 0 stands for the document; explode_outer, since Spark would look all windows up again to filter empty arrays before explode
+    runs = sized.withColumn("at", F.explode_outer(F.concat(F.array(F.lit(0)), F.filter(starts, is_marked))))
+    runs = runs.withColumn("looked", F.when(F.col("at") > 0, looked(F.col("at"))))
+    same = (F.col("looked") == F.col("hash")) & (F.slice("words", F.greatest("at", F.lit(1)), F.col("long")) == F.col("window"))
     met = runs.join(F.broadcast(windows), same, "left").where("at = 0 or hash is not null")
     return met.select("key", "digest", F.size("words").alias("n_words"), (F.col("at") - 1).alias("at"), "size", "items")
 

@@ -46,7 +46,7 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [400_000, 40])
+@pytest.mark.parametrize("block", [200_000, 40])
 def test_odd_rows_equal_brute_force(spark, monkeypatch, tables, block):
     """Nulls, short items, shared windows, repeated keys and rows, a long text; a small block forces several hash sets."""
     monkeypatch.setattr(decontamination, "BROADCAST", block)
