@@ -183,13 +183,18 @@ def paired_errors(df: DataFrame, actual: str, champion: str, candidate: str) ->
                            "candidate_error": F.abs(F.col(actual) - F.col(candidate))})
 
 
+def windowed(df: DataFrame, size: int | None) -> tuple[DataFrame, list[str]]:
+    """The frame with the number of each record's window, and the keys to group by; none without a size."""
+    return (df, []) if size is None else (df.withColumn("window_index", F.floor(F.col("idx") / size)), ["window_index"])
+
+
 def shadow_check(df: DataFrame, actual: str, champion: str, candidate: str, rows: int | None = None,
-                 tolerance: float = 1.02) -> DataFrame:
-    """Candidate beside champion on all records, or on those with an index below ``rows``."""
+                 tolerance: float = 1.02, window: int | None = None) -> DataFrame:
+    """Candidate beside champion on all records, or on those with an index below ``rows``; with ``window``, a verdict per so many records."""
     p = F.col(candidate)
-    seen = df if rows is None else df.filter(F.col("idx") < rows)
+    seen, keys = windowed(df if rows is None else df.filter(F.col("idx") < rows), window)
     pairs = paired_errors(seen, actual, champion, candidate)
-    row = pairs.agg(
+    row = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_count"), F.avg("champion_error").alias("champion_mae"),
         F.avg("candidate_error").alias("candidate_mae"), F.count_if(p.isNull()).alias("exceptions"),
         F.count_if(p <= 0).alias("non_positive"), F.count_if(p > 3600).alias("excessive"))
@@ -203,14 +208,13 @@ def shadow_check(df: DataFrame, actual: str, champion: str, candidate: str, rows
 
 def canary_stage(df: DataFrame, percent: int, actual: str, champion: str, candidate: str, trip: str = "trip_id",
                  ts: str = "timestamp_utc", start: int = 0, rows: int | None = None, tolerance: float = 1.05,
-                 min_samples: int = 15, blocks: dict[str, OrderBlocks] | None = None) -> DataFrame:
-    """Both models on the hash-routed trips of a stage's records: all of them, unless ``start`` or ``rows`` bound their index."""
+                 min_samples: int = 15, blocks: dict[str, OrderBlocks] | None = None, window: int | None = None) -> DataFrame:
+    """Both models on the hash-routed trips of a stage's records: all of them, unless ``start`` or ``rows`` bound their index.
+    With ``window``, a verdict per so many records, those without a routed one too."""
     stage = df.filter(F.col("idx") >= start) if start else df
-    stage = stage if rows is None else stage.filter(F.col("idx") < start + rows)
-    routed = hash_route(F.col(trip), percent)
-    pairs = paired_errors(stage, actual, champion, candidate).withColumn("_routed", routed)
-    chosen = pairs.filter("_routed")
-    row = summarize(chosen, [], {
+    stage, keys = windowed(stage if rows is None else stage.filter(F.col("idx") < start + rows), window)
+    pairs = paired_errors(stage, actual, champion, candidate).withColumn("_routed", hash_route(F.col(trip), percent))
+    row = summarize(pairs.filter("_routed"), keys, {
         "selected_records": F.count(F.lit(1)), "unique_trips": F.count_distinct(trip),
         "time_range_start": F.min(ts), "time_range_end": F.max(ts),
         "champion_mae": F.avg("champion_error"), "candidate_mae": F.avg("candidate_error"),
@@ -218,26 +222,43 @@ def canary_stage(df: DataFrame, percent: int, actual: str, champion: str, candid
         "candidate_rmse": F.sqrt(F.avg(F.col("candidate_error") * F.col("candidate_error"))),
         "unmatched_records": F.count_if(F.col("champion_error").isNull() != F.col("candidate_error").isNull()),
     }, {"champion_p95": ("champion_error", 0.95), "candidate_p95": ("candidate_error", 0.95)}, blocks)
-    total = pairs.agg(F.count(F.lit(1))).scalar()
-    out = row.withColumns({"total_records": total, "canary_percentage": F.lit(percent).cast("long"),
-                           "mae_ratio": ratio(F.col("candidate_mae"), F.col("champion_mae"))})
+    if keys:
+        row = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_records")).join(row, keys, "left").fillna(
+            0, ["selected_records", "unique_trips", "unmatched_records"])
+    else:
+        row = row.withColumn("total_records", pairs.agg(F.count(F.lit(1))).scalar())
+    out = row.withColumns({"canary_percentage": F.lit(percent).cast("long"), "mae_ratio": ratio(F.col("candidate_mae"), F.col("champion_mae"))})
     rules = {"record ids differ": (F.col("unmatched_records") > 0) | (F.col("selected_records") == 0),
              "too few samples": F.col("selected_records") < min_samples, "MAE ratio": F.col("mae_ratio") > tolerance}
     return out.withColumn("failure_reasons", reasons(rules)).withColumn(
         "passed", F.when(F.col("failure_reasons") == "", 1).otherwise(0).cast("long"))
 
 
-def watchdog(evaluations: DataFrame, baseline_mae: float = 38.77, rows: int | None = None, max_ratio: float = 1.25,
-             max_latency_ms: float = 20.0, latency: str | None = None, exception: str | None = None) -> DataFrame:
-    """Whether the evaluations after a promotion, or the first ``rows`` of them, call for a rollback."""
-    first = evaluations if rows is None else evaluations.filter(F.col("idx") < rows)
-    row = first.agg(
+def watchdog_windows(evaluations: DataFrame, baseline_mae: float = 38.77, size: int = 500, max_ratio: float = 1.25,
+                     max_latency_ms: float = 20.0, latency: str | None = None, exception: str | None = None) -> DataFrame:
+    """Whether each window of ``size`` evaluations after a promotion, the last incomplete one too, calls for a rollback."""
+    rows, keys = windowed(evaluations, size)
+    out = rows.groupBy(*keys).agg(
         F.count("absolute_error_sec").alias("samples"), F.avg("absolute_error_sec").alias("observed_mae"),
         (F.coalesce(F.avg(latency), F.lit(0.0)) if latency else F.lit(0.0)).alias("avg_latency_ms"),
-        (F.count_if(F.col(exception)) if exception else F.lit(0)).cast("long").alias("exceptions"))
-    out = row.withColumn("mae_ratio", F.coalesce(F.col("observed_mae") / baseline_mae, F.lit(0.0)))
+        (F.count_if(F.col(exception)) if exception else F.lit(0)).cast("long").alias("exceptions"),
+    ).withColumn("mae_ratio", F.coalesce(F.col("observed_mae") / baseline_mae, F.lit(0.0)))
     rules = {"MAE": F.col("mae_ratio") > max_ratio, "latency": F.col("avg_latency_ms") > max_latency_ms,
              "exceptions": F.col("exceptions") > 0}
     why = F.when(F.col("samples") > 0, reasons(rules)).otherwise("")
     return out.withColumn("rollback_reason", why).withColumn(
         "rollback_triggered", F.when(F.col("rollback_reason") == "", 0).otherwise(1).cast("long"))
+
+
+def watchdog(evaluations: DataFrame, baseline_mae: float = 38.77, size: int = 500, max_ratio: float = 1.25,
+             max_latency_ms: float = 20.0, latency: str | None = None, exception: str | None = None) -> DataFrame:
+    """One row: the first window that calls for a rollback, or else the last one, with the number of windows judged and tripped.
+
+    Every window of ``size`` records is judged by itself, so a bad stretch isn't averaged away by good records around it.
+    Without evaluations there is nothing to roll back: 0 samples, not triggered.
+    """
+    windows = watchdog_windows(evaluations, baseline_mae, size, max_ratio, max_latency_ms, latency, exception)
+    whole = F.struct(*windows.columns)
+    chosen = F.coalesce(F.min_by(whole, F.when(F.col("rollback_triggered") == 1, F.col("window_index"))), F.max_by(whole, "window_index"))
+    row = windows.agg(chosen.alias("w"), F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum("rollback_triggered"), F.lit(0)).alias("tripped_windows"))
+    return row.select("w.*", "windows", "tripped_windows").fillna(0, ["samples", "exceptions", "rollback_triggered"]).fillna("", ["rollback_reason"])

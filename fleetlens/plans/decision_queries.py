@@ -180,11 +180,55 @@ def canary_stage(spark, d):
     return rounded(out.withColumns({c: clean_time(c) for c in ("time_range_start", "time_range_end")}), *_CANARY)
 
 
-@query("p11_watchdog", f"""SELECT *, CASE WHEN mae_ratio > 1.05 THEN 'MAE' ELSE '' END AS rollback_reason, CAST(mae_ratio > 1.05 AS BIGINT) AS rollback_triggered FROM (
-  SELECT count(*) AS samples, {s6('avg(absolute_error_sec)')} AS observed_mae, CAST(0 AS DOUBLE) AS avg_latency_ms, CAST(0 AS BIGINT) AS exceptions,
-    {s6('avg(absolute_error_sec) / 30')} AS mae_ratio FROM scored)""", ("scored",))
+_WINDOWS = "SELECT *, idx // 500 AS window_index FROM scored"
+
+
+@query("p08_shadow_windows", f"""SELECT *, concat_ws('; ', CASE WHEN non_positive > 0 THEN 'non-positive predictions' END, CASE WHEN excessive > 0 THEN 'excessive predictions' END,
+    CASE WHEN mae_ratio > 1.02 THEN 'MAE ratio' END) AS failure_reasons, CAST(non_positive = 0 AND excessive = 0 AND mae_ratio <= 1.02 AS BIGINT) AS passed FROM (
+  SELECT window_index, count(*) AS sample_count, {s6('avg(abs(actual - predicted))')} AS champion_mae, {s6('avg(abs(actual - candidate))')} AS candidate_mae,
+    CAST(0 AS BIGINT) AS exceptions, count(*) FILTER (WHERE candidate <= 0) AS non_positive, count(*) FILTER (WHERE candidate > 3600) AS excessive,
+    {s6('avg(abs(actual - candidate)) / avg(abs(actual - predicted))')} AS mae_ratio FROM ({_WINDOWS}) GROUP BY 1)""", ("scored",))
+def shadow_windows(spark, d):
+    out = decisions.shadow_check(T.scored_stream(spark, d), "actual", "predicted", "candidate", window=500)
+    return rounded(out, "champion_mae", "candidate_mae", "mae_ratio")
+
+
+@query("p10_canary_windows", f"""SELECT *, concat_ws('; ', CASE WHEN selected_records = 0 THEN 'record ids differ' END, CASE WHEN selected_records < 15 THEN 'too few samples' END, CASE WHEN mae_ratio > 1.05 THEN 'MAE ratio' END) AS failure_reasons,
+  CAST(selected_records >= 15 AND mae_ratio <= 1.05 AS BIGINT) AS passed FROM (SELECT window_index, total_records, coalesce(selected_records, 0) AS selected_records, coalesce(unique_trips, 0) AS unique_trips,
+    CAST(10 AS BIGINT) AS canary_percentage, {s6('champion_mae')} AS champion_mae, {s6('candidate_mae')} AS candidate_mae, {s6('coalesce(candidate_mae / champion_mae, 1)')} AS mae_ratio
+  FROM (SELECT window_index, count(*) AS total_records FROM ({_WINDOWS}) GROUP BY 1) LEFT JOIN (SELECT window_index, count(*) AS selected_records, count(DISTINCT trip_id) AS unique_trips,
+    avg(abs(actual - predicted)) AS champion_mae, avg(abs(actual - candidate)) AS candidate_mae FROM ({_WINDOWS}) WHERE {_ROUTE} < 10 GROUP BY 1) USING (window_index))""", ("scored",))
+def canary_windows(spark, d):
+    out = decisions.canary_stage(T.scored_stream(spark, d), 10, "actual", "predicted", "candidate", blocks=T.fits(spark, d, "champion_error", "candidate_error"), window=500)
+    return rounded(out.select("window_index", "total_records", "selected_records", "unique_trips", "canary_percentage", "champion_mae", "candidate_mae", "mae_ratio", "failure_reasons", "passed"),
+                   "champion_mae", "candidate_mae", "mae_ratio")
+
+
+# The event number stands for a latency; some event types count as exceptions.
+cte("watched", f"""SELECT *, CAST(rollback_reason <> '' AS BIGINT) AS rollback_triggered FROM (
+  SELECT *, concat_ws('; ', CASE WHEN mae_ratio > 1.05 THEN 'MAE' END, CASE WHEN avg_latency_ms > 18.2 THEN 'latency' END, CASE WHEN exceptions > 0 THEN 'exceptions' END) AS rollback_reason FROM (
+    SELECT window_index, count(*) AS samples, {s6('avg(absolute_error_sec)')} AS observed_mae, {s6('avg(event_id % 37)')} AS avg_latency_ms,
+      count(*) FILTER (WHERE event_type = 'error' AND event_id % 101 = 0) AS exceptions, {s6('avg(absolute_error_sec) / 30')} AS mae_ratio FROM ({_WINDOWS}) GROUP BY 1))""", "scored")
+
+
+def _watched(spark, d) -> DataFrame:
+    rows = T.scored_stream(spark, d)
+    return rows.select("idx", "absolute_error_sec", (F.col("event_id") % 37).cast("double").alias("latency_ms"),
+                       ((F.col("event_type") == "error") & (F.col("event_id") % 101 == 0)).alias("failed"))
+
+
+_LIMITS = {"baseline_mae": 30.0, "max_ratio": 1.05, "max_latency_ms": 18.2, "latency": "latency_ms", "exception": "failed"}
+
+
+@query("p11_watchdog_windows", "SELECT * FROM watched", ("watched",))
+def watchdog_windows(spark, d):
+    return rounded(decisions.watchdog_windows(_watched(spark, d), **_LIMITS), "observed_mae", "mae_ratio", "avg_latency_ms")
+
+
+@query("p11_watchdog", """SELECT watched.*, (SELECT count(*) FROM watched) AS windows, (SELECT CAST(sum(rollback_triggered) AS BIGINT) FROM watched) AS tripped_windows FROM watched
+  ORDER BY rollback_triggered DESC, CASE WHEN rollback_triggered = 1 THEN window_index ELSE -window_index END LIMIT 1""", ("watched",))
 def watchdog(spark, d):
-    return rounded(decisions.watchdog(T.scored_stream(spark, d), baseline_mae=30.0, max_ratio=1.05), "observed_mae", "mae_ratio")
+    return rounded(decisions.watchdog(_watched(spark, d), **_LIMITS), "observed_mae", "mae_ratio", "avg_latency_ms")
 
 
 # --- lifecycle --------------------------------------------------------------------------

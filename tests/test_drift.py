@@ -279,6 +279,24 @@ def test_shadow_canary_and_watchdog(spark):
     assert decisions.watchdog(seen, baseline_mae=80.0).first().rollback_triggered == 0
 
 
+def test_a_bad_stretch_is_not_averaged_away(spark):
+    """The only bad window is found wherever it stands, the incomplete last one too; latency and exceptions trip by themselves."""
+    for bad in (0, 3, 8):
+        rows = pairs(spark, 4200, 110.0, 105.0).withColumns({"absolute_error_sec": F.when(F.floor(F.col("idx") / 500) == bad, 77.0).otherwise(1.0),
+                                                             "latency_ms": F.lit(1.0), "failed": F.lit(False)})
+        got = decisions.watchdog(rows, latency="latency_ms", exception="failed").first()
+        assert (got.rollback_triggered, got.window_index, got.rollback_reason, got.windows, got.tripped_windows) == (1, bad, "MAE", 9, 1)
+        worse = rows.withColumn("b", F.when(F.floor(F.col("idx") / 500) == bad, 140.0).otherwise(F.col("b")))
+        for verdicts in (decisions.shadow_check(worse, "y", "a", "b", window=500), decisions.canary_stage(worse, 100, "y", "a", "b", window=500)):
+            assert {r.window_index for r in verdicts.filter("passed = 0").collect()} == {bad} and verdicts.count() == 9
+        assert decisions.shadow_check(worse, "y", "a", "b").first().passed == 1
+    calm = rows.withColumn("absolute_error_sec", F.lit(1.0))
+    slow = calm.withColumn("latency_ms", F.when(F.col("idx").between(1000, 1499), 30.0).otherwise(1.0))
+    assert [decisions.watchdog(x, latency="latency_ms", exception="failed").first().rollback_reason for x in (calm, slow, calm.withColumn("failed", F.col("idx") == 4100))] == ["", "latency", "exceptions"]
+    empty = decisions.watchdog(calm.limit(0)).first()
+    assert (empty.samples, empty.rollback_triggered, empty.windows) == (0, 0, 0)
+
+
 CHAIN = ["CANDIDATE", "VALIDATED", "SHADOW", "CANARY_10", "CANARY_50", "PROMOTION_CANDIDATE", "PRODUCTION"]
 
 
