@@ -19,7 +19,9 @@ labels of one document count as toxic if any is; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from fleetlens.llm.common import arrow_map, keyed_text
 WINDOW, STRIDE, HIDDEN, ATTENTION = 48, 36, 8, 8
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
 TRIGRAMS, EMBEDDED, TOLD = 4096, 6, 6
-#: words whose inputs a worker remembers
-REMEMBERED = 400_000
+#: bytes of words and their inputs that a worker remembers, and what a word takes besides its letters and inputs
+REMEMBERED, PER_WORD = 100_000_000, 200
 THRESHOLD = 0.7
 #: most characters of a word, and how many of them the next piece of a longer run repeats; n-grams have at most 5
 PIECE, OVERLAP = 40, 8
@@ -326,15 +328,16 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        outer = self
+        self.types: dict[str, int] = {}
+        self.fresh, self.letters, self.table = [], 0, np.empty((1 << 12, 6 * HIDDEN), "f4")
 
-        class Types(dict):
-            def __missing__(self, word: str) -> int:
-                outer.fresh.append(word)
-                self[word] = n = len(self)
-                return n
-
-        self.types, self.fresh, self.table = Types(), [], np.empty((1 << 12, 6 * HIDDEN), "f4")
+    def numbers(self, words: list[str]) -> np.ndarray:
+        for word in dict.fromkeys(words):
+            if word not in self.types:
+                self.types[word] = len(self.types)
+                self.fresh.append(word)
+                self.letters += len(word)
+        return np.fromiter(map(self.types.__getitem__, words), np.int32, len(words))
 
     def learn(self) -> None:
         for k in range(0, len(self.fresh), 20_000):
@@ -360,12 +363,12 @@ class Scorer:
                 for k in range(0, len(spans), 2048):
                     np.maximum.at(worst, who[k:k + 2048], self.net.forward(*gather(self.table, flat, spans[k:k + 2048])))
             ids, owner, spans, at = [], [], [], 0
-            if len(self.types) > REMEMBERED:
+            if 4 * self.letters + (self.table.itemsize * self.table.shape[1] + PER_WORD) * len(self.types) > REMEMBERED:
                 self.forget()
 
         for d, text in enumerate(texts):
             words = words_of(text)
-            ids.append(np.fromiter(map(self.types.__getitem__, words), np.int32, len(words)))
+            ids.append(self.numbers(words))
             for s, e in windows(len(words)):
                 owner.append(d)
                 spans.append((at + s, at + e))
@@ -388,17 +391,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC
 _SCORERS: dict[str, Scorer] = {}
 
 
-def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (key, score, predicted)."""
-    import uuid
-
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+def shared_scorer(spark: SparkSession, model: dict) -> Callable[[], Scorer]:
+    """Gives the one scorer of the model in a worker; a worker keeps no scorer of another model."""
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def get() -> Scorer:
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(shared.value)
-        got = _SCORERS[name].scores(batch.column(1).to_pylist())
+        return _SCORERS[name]
+
+    return get
+
+
+def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (key, score, predicted)."""
+    scorer = shared_scorer(docs.sparkSession, model)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        got = scorer().scores(batch.column(1).to_pylist())
         return {key: batch.column(0), "score": got, "predicted": (got >= threshold).astype("i4")}
 
     slim = keyed_text(docs, key, text)
@@ -412,13 +423,12 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
 def passing(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score stays below the threshold, with all their columns; scored in place, without a join."""
     kind = docs.schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scorer = shared_scorer(docs.sparkSession, model)
     at = docs.columns.index(text)
 
     def run(batches):
-        scorer = Scorer(shared.value)
         for batch in batches:
-            got = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
+            got = scorer().scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(got < threshold))
 
     return docs.mapInArrow(run, kind)
