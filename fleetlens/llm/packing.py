@@ -12,6 +12,7 @@ a null key is kept. The shorter piece of a cut document is its first one.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 
@@ -32,15 +33,18 @@ SHARE = 256
 
 class WordCodes(dict):
     """Codes of words with the white space before them, as packed 32-bit ids. No piece of the byte-level vocabulary crosses from
-    text into the white space after it, so words can be coded alone."""
+    text into the white space after it, so words can be coded alone. Special tokens inside a text get their own ids."""
 
-    def __init__(self, ranks_file: str, pattern: str) -> None:
+    def __init__(self, ranks_file: str, pattern: str, specials: dict[str, int]) -> None:
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.specials = {t: np.array([n], "<u4").tobytes() for t, n in specials.items()}
+        longest_first = sorted(specials, key=len, reverse=True)
+        self.parts = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if specials else lambda text: [text]
 
     def __missing__(self, word: str) -> bytes:
         code = np.array(self.encode(word), "<u4").tobytes()
@@ -49,19 +53,23 @@ class WordCodes(dict):
         return code
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.words(text)))
+        parts = self.parts(text)
+        return b"".join(self.specials[part] if k % 2 else b"".join(map(self.__getitem__, self.words(part))) for k, part in enumerate(parts))
 
 
 _CODES: dict[tuple, WordCodes] = {}
 
 
-def word_codes(ranks_file: str | None = None) -> WordCodes:
-    """One coder per worker process. By default the ranks of ``byte_bpe_50k``, which are the ids of its JSON form."""
+def word_codes(ranks_file: str | None = None, tokenizer_file: str | None = None) -> WordCodes:
+    """One coder per worker process. By default the ranks of ``byte_bpe_50k``, which are the ids of its JSON form, and the special
+    tokens that the JSON form names."""
     import public_tokenizers
 
-    where = (ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    where = (ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), tokenizer_file or public_tokenizers.path("byte_bpe_50k.json"))
     if where not in _CODES:
-        _CODES[where] = WordCodes(*where)
+        with open(where[1], encoding="utf-8") as f:
+            specials = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", []) if t["special"]}
+        _CODES[where] = WordCodes(where[0], public_tokenizers.PATTERN, specials)
     return _CODES[where]
 
 
@@ -71,13 +79,13 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, n)] if n <= size else [(0, first), *((s, size) for s in range(first, n, size))]
 
 
-def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 2, ranks_file: str | None = None, keep_ids: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 2, ranks_file: str | None = None, keep_ids: bool = False, tokenizer_file: str | None = None) -> DataFrame:
     """Rows (key, piece, start, length, ids_crc32), with ``ids`` on demand."""
     kind = df.schema[key].dataType.simpleString()
     last = np.array([end], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, row = word_codes(ranks_file).ids, []
+        ids, row = word_codes(ranks_file, tokenizer_file).ids, []
         piece, start, length, crc, kept = [], [], [], [], []
         for i, value in enumerate(batch.column(1).to_pylist()):
             packed = memoryview(ids(value) + last)
@@ -146,25 +154,33 @@ def ranked_within_length(pieces: DataFrame, counts: dict[int, int], *order: str,
 
 
 def pack(pieces: DataFrame, key: str = "doc_id", size: int = 1024) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to the pieces. The pieces are read twice: give a written table."""
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+    """Adds ``sequence_id`` and ``offset`` to the pieces. The pieces are read several times: give a written table.
+
+    A piece of full length is a sequence of its own, with a negative number, and needs no rank; so the most frequent length of a large corpus is
+    neither shuffled nor sorted.
+    """
+    full = pieces.where(F.col("length") == size).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    shorter = pieces.where(F.col("length") < size)
+    counts = {r["length"]: r["n"] for r in shorter.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
     slots, _ = best_fit_plan(counts, size)
     lengths, ranks, firsts, offsets = (np.array(x, np.int64) for x in (zip(*slots, strict=True) if slots else ([],) * 4))
-    steps = lengths.astype(np.float64) * 2.0**42 + ranks if len(slots) else np.zeros(0)
-    ranked = ranked_within_length(pieces, counts, key, "piece") if counts else pieces.withColumn("rank", F.lit(0))
+    wide = max(counts.values(), default=0) + 1
+    assert wide * (size + 1) < 2**63, "a slot's number has to fit 64 bits"
+    steps = lengths * wide + ranks  # in order of length and rank
+    ranked = ranked_within_length(shorter, counts, key, "piece") if counts else shorter.withColumn("rank", F.lit(0).cast("long"))
     columns = [c for c in ranked.columns if c != "rank"]
 
     def run(batch: pa.RecordBatch) -> dict:
         length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-        at = np.searchsorted(steps, length * 2.0**42 + rank, "right") - 1
+        at = np.searchsorted(steps, length * wide + rank, "right") - 1
         return {c: batch.column(c) for c in columns} | {"sequence_id": firsts[at] + rank - ranks[at], "offset": offsets[at]}
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.select(columns).schema)
-    return arrow_map(ranked.select(*columns, "rank"), run, f"{kinds}, sequence_id long, offset long")
+    return arrow_map(ranked.select(*columns, "rank"), run, f"{kinds}, sequence_id long, offset long").unionByName(full)
 
 
-def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 2, ranks_file: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, end: int = 2, ranks_file: str | None = None, keep_ids: bool = False, tokenizer_file: str | None = None) -> DataFrame:
     """Tokenise, cut, plan and place: one row per piece."""
-    pieces = materialize(token_pieces(df, key, text, size, end, ranks_file, keep_ids), "pieces")
+    pieces = materialize(token_pieces(df, key, text, size, end, ranks_file, keep_ids, tokenizer_file), "pieces")
     out = pack(pieces, key, size)
     return out.select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))

@@ -11,14 +11,12 @@ from tokenizers import Tokenizer
 from fleetlens.llm import packing, queries
 
 DATA = "/root/testdata/sf0.001"
-TRICKY = ["", " ", "  a  b", "a\n\n b\t\tc  ", "it's  they'll x", "\x1c!\x1c!", "<|endoftext|> end", "日本語 テキスト", "é" * 300, "a" * 5000, "x   y", "tab\tend\n", "1234 5678,90!!"]
+TRICKY = ["", " ", "  a  b", "a\n\n b\t\tc  ", "it's  they'll x", "\x1c!\x1c!", "<|endoftext|> end", "a<|endoftext|>b", " <|endoftext|> <|endoftext|><|endoftext |>", "<|endoftext|>", "日本語 テキスト", "é" * 300, "a" * 5000, "x   y", "tab\tend\n", "1234 5678,90!!"]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(text):
@@ -102,3 +100,22 @@ def test_odd_rows(spark, tokenizer):
     df = spark.createDataFrame([(i, t or None, "x") for i, t in texts.items()], "doc_id long, text string, length string")
     check(packing.pack_documents(df, size=64).collect(), texts, tokenizer, 64)
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [3000, 8192])
+def test_large_sizes_null_keys_and_repeated_rows(spark, tokenizer, size):
+    texts = {i: " ".join(f"w{i * 7 + j}" for j in range(i * 37 % 2500)) for i in range(130)}
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, length string")
+    check(packing.pack_documents(df, size=size).collect(), texts, tokenizer, size)
+    rows = packing.pack_documents(spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None), (5, "x"), (5, "x"), (5, "y " * 40)], "doc_id long, text string"), size=16).collect()
+    assert sum(r["doc_id"] is None for r in rows) == 3
+    places = [(r["sequence_id"], r["offset"] + n) for r in rows for n in range(r["length"])]
+    assert len(places) == len(set(places))
+
+
+def test_full_pieces_are_sequences_of_their_own(spark):
+    pieces = spark.createDataFrame([(i, 0, 0, 8 if i % 3 else 1 + i % 7, 0) for i in range(200)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(pieces, size=8).collect()
+    places = [(r["sequence_id"], r["offset"] + n) for r in rows for n in range(r["length"])]
+    assert len(rows) == 200 and len(places) == len(set(places)) == sum(r["length"] for r in rows)
+    assert len({r["sequence_id"] for r in rows if r["length"] == 8}) == sum(r["length"] == 8 for r in rows)
