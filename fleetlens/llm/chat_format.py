@@ -33,7 +33,7 @@ _MARK, _MARKED = re.compile(MARK), re.compile(MARKED)
 #: Declarative mappings: the field paths that make the layout, paths that may be missing, and the steps that emit turns.
 MAPPINGS = [
     {"name": "messages", "paths": ["messages[].role", "messages[].content"], "steps": [{"each": "messages", "role": "role", "text": "content"}]},
-    {"name": "no_messages", "paths": ["messages"], "steps": []},
+    {"name": "no_messages", "paths": ["messages[none]"], "steps": []},
     {"name": "shared_chats", "paths": ["conversations[].from", "conversations[].value"], "optional": ["id", "system"],
      "steps": [{"role": "system", "texts": ["system"], "if_present": True}, {"each": "conversations", "role": "from", "text": "value"}]},
     {"name": "instruction", "paths": ["instruction", "output"], "optional": ["input", "system"],
@@ -55,16 +55,16 @@ SCHEMA = "fingerprint string, mapping string, n_turns long, formatted string, lo
 
 
 def field_paths(value: object, path: str = "") -> set[str]:
-    """Nested field paths; elements of a list share the path ``[]``."""
+    """Nested field paths; elements of a list share the path ``[]``, a list without elements has the path ``[none]``."""
     if isinstance(value, dict) and value:
         return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()))
-    if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{path}[]") for v in value))
+    if isinstance(value, list):
+        return set().union(*(field_paths(v, f"{path}[]") for v in value)) if value else {f"{path}[none]"}
     return {path}
 
 
 def fingerprint(paths: set[str] | list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:32]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:32]
 
 
 def mapping_table(mappings: list[dict] = MAPPINGS) -> dict[str, dict]:
@@ -144,13 +144,14 @@ def format_chats(df: DataFrame, key: str, record: str, mappings: list[dict] = MA
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("fingerprint", "mapping", "n_turns", "formatted", "loss_spans")}
         for raw in batch.column(1).to_pylist():
+            mark, mapping, turns = None, None, []
             try:
                 value = json.loads(raw) if raw else None
-            except ValueError:
-                value = None
-            mark = fingerprint(field_paths(value)) if isinstance(value, dict) else None
-            mapping = known.get(mark)
-            turns = turns_of(value, mapping, roles) if mapping else []
+                mark = fingerprint(field_paths(value)) if isinstance(value, dict) else None
+                mapping = known.get(mark)
+                turns = turns_of(value, mapping, roles) if mapping else []
+            except (ValueError, RecursionError):  # no JSON, or nested too deeply to be read
+                mark, mapping = None, None
             text, spans = render(turns)
             for c, v in zip(out, (mark, mapping and mapping["name"], len(turns), text, spans), strict=True):
                 out[c].append(v)

@@ -60,3 +60,13 @@ def test_reading_gives_what_was_rendered(turns):
     assert chat.read_back(text) == turns and text.count("</s>") == len(turns)
     assert "".join(chat.unescape(text[s["start"]:s["start"] + s["length"]]) for s in spans) == "".join(t for r, t in turns if r == "assistant")
     assert hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_deep_and_odd_records_have_no_turns(spark):
+    deep = '{"messages": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    good = json.dumps({"messages": [{"role": "user", "content": "hi"}]})
+    rows = [(1, deep), (2, '{"a": ' * 3000 + "1" + "}" * 3000), (3, '{"\\ud800": 1}'), (4, '{"messages": "hello"}'), (5, '{"messages": []}'), (6, good), (6, good), (7, "[" * 100_000), (8, None)]
+    got = chat.format_chats(spark.createDataFrame(rows, "k long, record string"), "k", "record").collect()
+    found = sorted((r["k"], r["mapping"], r["n_turns"]) for r in got if r["mapping"])
+    assert found == [(5, "no_messages", 0), (6, "messages", 1), (6, "messages", 1)]
+    assert len(got) == len(rows) and all(r["formatted"] == "" for r in got if r["k"] != 6)
