@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import keyed_text
+from fleetlens.llm.common import keyed_text, unused
 from fleetlens.session import materialize
 
 EDITS, MIN_CHARS, CROWD = 2, 20, 64
@@ -165,8 +165,8 @@ def removed_numbers(docs: DataFrame, key: str, text: str, edits: int, min_chars:
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set(number)).alias("removed"))
 
 
-def kept_lines(text: str) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+def kept_lines(text: str, removed: str = "removed") -> Column:
+    return F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(removed, i)), "\n")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
@@ -180,6 +180,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: i
 
 def without_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """The rows, with all their columns, without their repeated lines; a document that lost lines and has but blank ones left goes."""
-    lists = removed_numbers(keyed_text(df, key, text), key, text, edits, min_chars, crowd).withColumnRenamed("doc", "_doc")
-    rows = df.join(lists, F.col(key) == F.col("_doc"), "left").withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept_lines(text)))
-    return rows.where(F.col("removed").isNull() | (F.trim(F.regexp_replace(text, "\n", "")) != "")).select(*df.columns)
+    doc, removed = unused(df, "doc"), unused(df, "removed")
+    lists = removed_numbers(keyed_text(df, key, text), key, text, edits, min_chars, crowd).select(F.col("doc").alias(doc), F.col("removed").alias(removed))
+    rows = df.join(lists, F.col(key) == F.col(doc), "left").withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(kept_lines(text, removed)))
+    return rows.where(F.col(removed).isNull() | (F.trim(F.regexp_replace(text, "\n", "")) != "")).select(*df.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import arrow_map, by_group, keyed_text, mix64
+from fleetlens.llm.common import arrow_map, by_group, keyed_text, mix64, unused
 from fleetlens.llm.words import Words, hashed_words, shingles
 from fleetlens.session import materialize
 
@@ -278,8 +278,10 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """The rows, with all their columns, without words that an earlier document has: a text that loses words is its kept words joined
     by a space, other texts stay as they are, and a document of which nothing is left goes."""
-    spans = repeated_spans(df, key, text, size, gram, shard).withColumnRenamed("spans", "_spans")
-    rows = df.join(spans, (F.col(key) == F.col("_key")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_row")), "left").select(*df.columns, "_spans")
+    named = {c: unused(df, c) for c in ("_key", "_row", "spans")}
+    spans = repeated_spans(keyed_text(df, key, text), key, text, size, gram, shard).select(*(F.col(c).alias(n) for c, n in named.items()))
+    same = (F.col(key) == F.col(named["_key"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(named["_row"]))
+    rows = df.join(spans, same, "left").select(*df.columns, named["spans"])
     at = df.columns.index(text)
 
     def run(batches):

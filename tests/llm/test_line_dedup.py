@@ -116,3 +116,11 @@ def brute_by_blocks(rows):
         kept = "\n".join(x for n, x in enumerate(here) if n not in set(gone))
         out.append((k, len(here), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=str)
+
+
+def test_clashing_names_stay(spark):
+    rows = [(1, "a line of some length here\nshort", "x", 5, 7), (2, "a line of some length here\nother", "y", 6, 8), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string, doc int, place int")
+    got = line_dedup.without_repeated_lines(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [rows[0], (2, "other", "y", 6, 8), rows[2]]

@@ -64,3 +64,21 @@ def test_substring_dedup(stages):
 def test_packing(stages):
     before, after = stages["best_fit_packing"]
     assert {r["doc_id"] for r in after.collect()} == set(texts(before))
+
+
+def test_odd_rows_and_empty_tables_go_through_all_stages(spark):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns with clashing names; the clean, distinct document stays as it is."""
+    long = " ".join(f"w{i % 4999}x{i}" for i in range(40_000))
+    rows = [(1, "One clean document of its own.", "en", "s", 30), (1, "One clean document of its own.", "en", "s", 30), (None, "no key", None, None, None), (2, None, "en", "s", None),
+            (3, "", None, "s", 0), (4, long, "de", None, 7), (5, long, "de", None, 7), (None, None, None, None, None), (6, "\n\n", "en", "s", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, removed string, _spans string, named int, length long, class_id string"
+    df = spark.createDataFrame([(*r, "r", "s", 3, 4, "c") for r in rows], schema)
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, materialize(stage(spark, docs, DATA), name)
+            if name != "best_fit_packing":
+                assert docs.columns == before.columns
+                found = {tuple(r)[:2] for r in docs.collect()}
+                assert (1, "One clean document of its own.") in found or before.isEmpty()
+                assert (4, long) in found or before.isEmpty()
+        assert {r["doc_id"] for r in docs.collect()} >= ({1, 4} if not before.isEmpty() else set())

@@ -62,3 +62,13 @@ def test_automaton_knows_first_documents():
         asked = r.choices([1, 2, 3], k=20)
         want = [min((d for d, t in texts if any(t[j:j + 4] == asked[i:i + 4] for j in range(len(t) - 3))), default=None) for i in range(17)]
         assert automaton.first_documents(asked, 4) == want
+
+
+def test_clashing_names_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage + " x", "x", 5, 7), (2, "y " + passage, "y", 6, 8), (3, passage, "z", 1, 2), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans string, _key int, _row int")
+    df = df.withColumn("spans", df["_key"])
+    got = sd.without_repeats(df)
+    assert got.columns == df.columns
+    assert sorted((tuple(r) for r in got.collect()), key=str) == [(*rows[0], 5), (2, "y", "y", 6, 8, 6), (*rows[3], None)]
