@@ -9,21 +9,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.drift_windows import DriftConfig, severity_name, severity_rank
+from fleetlens.operators.events import trailing_moments
 from fleetlens.operators.sequential import PageHinkley, SplitWindow, detect
 from fleetlens.ordering import OrderBlocks
 
 RECORD_WIDTH = 6
 WINDOW_WIDTH = 4
+RESIDUALS = 500
 EVIDENCE = "map<string,struct<statistic:double,severity:string>>"
 
 
 def residual_alarms(df: DataFrame, keys: Sequence[str], order: Sequence[str], error: str,
                     cfg: DriftConfig = DriftConfig(), blocks: OrderBlocks | None = None,
                     alarms_only: bool = True) -> DataFrame:
-    """Both sequential detectors over the same errors."""
-    found = [detect(df, keys, order, error, d, alarms_only, blocks)
-             for d in (PageHinkley.from_config(cfg), SplitWindow.from_config(cfg))]
-    return reduce(DataFrame.unionByName, found)
+    """Both sequential detectors over the same errors, in one pass over rows that carry the trailing mean and variance of a key's
+    last ``RESIDUALS`` errors; alarm rows, or all rows with their warnings."""
+    columns = list(dict.fromkeys([*keys, *order, error]))
+    rows = trailing_moments(df.select(*columns), order, error, RESIDUALS, blocks=blocks, keys=keys)
+    found = detect(rows, keys, order, error, (PageHinkley.from_config(cfg), SplitWindow.from_config(cfg)), alarms_only, blocks,
+                   carry=("mean_residual", "variance_residual"))
+    return found.withColumn("threshold", F.when(F.col("detector") == PageHinkley.name, cfg.ph_lambda).otherwise(cfg.adwin_delta))
 
 
 def concept_events(alarms: DataFrame, keys: Sequence[str], cfg: DriftConfig = DriftConfig()) -> DataFrame:

@@ -141,18 +141,21 @@ def merge_latest(current: DataFrame, updates: DataFrame, key: str, order: Sequen
 
 
 def trailing_moments(df: DataFrame, order: Sequence[str], value: str, width: int = 500,
-                     span: int = 100_000, blocks: OrderBlocks | None = None) -> DataFrame:
-    """Mean and population variance of the last ``width`` values at every record.
+                     span: int = 100_000, blocks: OrderBlocks | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Mean and population variance of the last ``width`` values at every record, of all records or of each key's.
 
     Records are grouped in spans of consecutive positions; each span also gets the
-    ``width - 1`` records before it, so no task holds more than a span.
+    ``width - 1`` records before it, so no task holds more than a span. Without keys the position stays as ``idx``.
     """
-    placed = with_index(df, list(order), "idx", blocks=blocks)
-    own = F.floor(F.col("idx") / span)
-    late = F.col("idx") % span >= span - width + 1
+    if keys:
+        placed = Ordered(df, list(keys), list(order), blocks).row_number("_at").frame().withColumn("_at", F.col("_at") - 1)
+    else:
+        placed = with_index(df, list(order), "idx", blocks=blocks).withColumn("_at", F.col("idx"))
+    own = F.floor(F.col("_at") / span)
+    late = F.col("_at") % span >= span - width + 1
     spans = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
     spread = placed.withColumn("_own", own).withColumn("_span", F.explode(spans))
-    ordered = Window.partitionBy("_span").orderBy("idx")
+    ordered = Window.partitionBy(*keys, "_span").orderBy("_at")
     running = ordered.rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(value).cast("double")
     totals = spread.withColumns({"_c": F.count(x).over(running), "_s": F.coalesce(F.sum(x).over(running), F.lit(0.0)),
@@ -163,4 +166,4 @@ def trailing_moments(df: DataFrame, order: Sequence[str], value: str, width: int
     mean = F.col("_s") / n
     return inside.withColumns({
         "mean_residual": mean, "variance_residual": F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0)),
-    }).filter(F.col("_span") == F.col("_own")).drop("_own", "_span", "_c", "_s", "_q")
+    }).filter(F.col("_span") == F.col("_own")).drop("_own", "_span", "_at", "_c", "_s", "_q")

@@ -1,19 +1,23 @@
 """Sequential change detectors over ordered errors.
 
-Page-Hinkley and the split-window detector fold a stream row by row.  The folds
-below take and return a small state, so the same code serves three uses: a
-single bounded group, blocks of a long key, and micro-batches of a stream.
+Page-Hinkley and the split-window detector fold a stream from a small state. A fold looks at whole stretches between alarms at
+once: the deviation is an affine function of the one it starts from, its minimum a running minimum, and the halves of a window
+are differences of running sums. The folds serve three uses: a single bounded group, blocks of a long key, and micro-batches of a stream.
+
+Blocks of a long key are folded in parallel and compose: a block without an alarm takes deviation U to a*U + c and lowers the
+minimum to its own, a block with one leaves with its own state. One scan over the blocks' summaries gives every block
+its entry; a quiet key needs three rounds however many blocks it has.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,22 +44,53 @@ class PageHinkley:
         spread = math.sqrt(max(cfg.reference_rmse**2 - cfg.reference_mae**2, 25.0))
         return cls(cfg.reference_mae, spread, cfg.ph_delta, cfg.ph_lambda, cfg.ph_alpha)
 
+    def _stretches(self, state: Sequence[float], errors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(deviations, statistics, whether the last is an alarm) of consecutive stretches; the length doubles while it is quiet."""
+        deviation, minimum = state
+        steps = (np.abs(errors) - self.mean) / max(self.std, 5.0) - self.delta
+        longest = int(math.log(0.01) / math.log(self.alpha)) + 1 if self.alpha < 1 else 1 << 16  # powers stay well above 0
+        at, reach = 0, 64
+        while at < len(steps):
+            part = steps[at:at + min(reach, longest)]
+            powers = self.alpha ** np.arange(1, len(part) + 1)
+            moved = powers * (deviation + np.cumsum(part / powers))
+            lows = np.minimum(np.minimum.accumulate(moved), minimum)
+            values = np.maximum(moved - lows, 0.0)
+            hit = np.flatnonzero(values >= self.threshold)
+            end = hit[0] + 1 if len(hit) else len(part)
+            yield moved[:end], values[:end], len(hit) > 0
+            deviation, minimum = (0.0, 0.0) if len(hit) else (float(moved[-1]), float(lows[-1]))
+            at, reach = at + end, 64 if len(hit) else 2 * reach
+
     def fold(self, state: Sequence[float], errors: np.ndarray):
         """(new state, statistic per row, severity per row); an alarm clears the state."""
-        deviation, minimum = state
-        std = max(self.std, 5.0)
-        statistics, severities = np.empty(len(errors)), []
-        for i, step in enumerate((np.abs(errors) - self.mean) / std - self.delta):
-            deviation = self.alpha * deviation + step
-            minimum = min(minimum, deviation)
-            value = max(0.0, deviation - minimum)
-            statistics[i] = value
-            if value >= self.threshold:
-                severities.append("CRITICAL" if value >= 1.5 * self.threshold else "HIGH")
-                deviation = minimum = 0.0
-            else:
-                severities.append("MEDIUM" if value >= 0.6 * self.threshold else "NONE")
-        return (float(deviation), float(minimum)), statistics, severities
+        found = list(self._stretches(state, errors))
+        statistics = np.concatenate([v for _, v, _ in found]) if found else np.empty(0)
+        shares = ((1.5, "CRITICAL"), (1.0, "HIGH"), (0.6, "MEDIUM"))
+        severities = np.select([statistics >= share * self.threshold for share, _ in shares], [name for _, name in shares], "NONE")
+        deviation, minimum = map(float, state)
+        for moved, _, alarm in found:
+            deviation, minimum = (0.0, 0.0) if alarm else (float(moved[-1]), min(minimum, float(moved.min())))
+        return (deviation, minimum), statistics, severities
+
+    def summary(self, state: Sequence[float], errors: np.ndarray) -> tuple[tuple, list[float]]:
+        """The state after a block, and (a, c, least deviation, alarm): how it would take other states on."""
+        after, alarmed, least = state, False, math.inf
+        for moved, _, alarm in self._stretches(state, errors):
+            alarmed, least = alarmed or alarm, min(least, float(moved.min()))
+            after = (0.0, 0.0) if alarm else (float(moved[-1]), min(after[1], float(moved.min())))
+        share = self.alpha ** len(errors)
+        return after, [share, after[0] - share * state[0], least, float(alarmed)]
+
+    def entries(self, blocks: list[tuple[Sequence[float], Sequence[float], Sequence[float]]]) -> list[tuple]:
+        """The state before each of a key's blocks, from what they did (entry, exit, summary) when they were last folded."""
+        state, found = self.start, []
+        for entry, after, (share, moved, least, alarmed) in blocks:
+            same = np.allclose(entry, state, rtol=1e-12, atol=1e-9)
+            state = tuple(entry) if same else state
+            found.append(state)
+            state = tuple(after) if same or alarmed else (share * state[0] + moved, min(state[1], least))
+        return found
 
     @property
     def alarm_levels(self) -> tuple[str, ...]:
@@ -85,32 +120,39 @@ class SplitWindow:
         values = np.concatenate([kept, np.abs(errors)])
         total = np.concatenate([[0.0], np.cumsum(values)])
         squares = np.concatenate([[0.0], np.cumsum(values * values)])
-        statistics, severities = np.zeros(len(errors)), []
-        low = 0
-        for i in range(len(errors)):
-            high = len(kept) + i + 1
-            low = max(low, high - self.max_window)
-            severities.append("NONE")
+        statistics, severities = np.zeros(len(errors)), np.full(len(errors), "NONE", dtype=object)
+        low, i, reach = 0, 0, 64
+        while i < len(errors):
             if wait > 0:
-                wait -= 1
-                continue
-            n = high - low
-            if n < self.min_window:
+                skipped = min(wait, len(errors) - i)
+                wait, i = wait - skipped, i + skipped
                 continue
-            mid = low + n // 2
-            older, newer = mid - low, high - mid
-            before = (total[mid] - total[low]) / older
-            after = (total[high] - total[mid]) / newer
-            gap = abs(after - before)
-            mean = (total[high] - total[low]) / n
-            variance = max((squares[high] - squares[low]) / n - mean * mean, 0.0)
-            cut = math.sqrt(2.0 * (1.0 / older + 1.0 / newer) * math.log(2.0 / self.delta)) * (math.sqrt(variance) + 1.0)
-            statistics[i] = gap
-            if gap > cut and after > before and gap >= self.min_gain:
-                severities[-1] = "HIGH" if gap > 1.5 * cut else "MEDIUM"
-                low, wait = mid, self.cooldown
+            high = len(kept) + 1 + np.arange(i, min(i + reach, len(errors)))
+            low_at = np.maximum(low, high - self.max_window)
+            n = high - low_at
+            mid = low_at + n // 2
+            older, newer = np.maximum(mid - low_at, 1), high - mid
+            before, after = (total[mid] - total[low_at]) / older, (total[high] - total[mid]) / newer
+            gap, mean = np.abs(after - before), (total[high] - total[low_at]) / n
+            variance = np.maximum((squares[high] - squares[low_at]) / n - mean * mean, 0.0)
+            cut = np.sqrt(2.0 * (1.0 / older + 1.0 / newer) * math.log(2.0 / self.delta)) * (np.sqrt(variance) + 1.0)
+            full = n >= self.min_window
+            hit = np.flatnonzero(full & (gap > cut) & (after > before) & (gap >= self.min_gain))
+            end = hit[0] + 1 if len(hit) else len(high)
+            statistics[i:i + end] = np.where(full, gap, 0.0)[:end]
+            i, reach = i + end, 64 if len(hit) else min(2 * reach, 1 << 16)
+            if len(hit):
+                severities[i - 1] = "HIGH" if gap[end - 1] > 1.5 * cut[end - 1] else "MEDIUM"
+                low, wait = int(mid[end - 1]), self.cooldown
         return (float(wait), *values[max(low, len(values) - self.max_window):].tolist()), statistics, severities
 
+    def summary(self, state: Sequence[float], errors: np.ndarray) -> tuple[tuple, list[float]]:
+        return self.fold(state, errors)[0], []
+
+    def entries(self, blocks: list[tuple[Sequence[float], Sequence[float], Sequence[float]]]) -> list[tuple]:
+        """A window is forgotten after ``max_window`` quiet rows, so the exit of the block before is mostly right at once."""
+        return [self.start, *(tuple(after) for _, after, _ in blocks[:-1])]
+
     @property
     def alarm_levels(self) -> tuple[str, ...]:
         return ("MEDIUM", "HIGH")
@@ -118,80 +160,92 @@ class SplitWindow:
 
 Detector = PageHinkley | SplitWindow
 RESULT = [T.StructField("detector", T.StringType()), T.StructField("statistic", T.DoubleType()),
-          T.StructField("severity", T.StringType()), T.StructField("in_drift", T.IntegerType())]
+          T.StructField("severity", T.StringType()), T.StructField("in_warning", T.IntegerType()), T.StructField("in_drift", T.IntegerType())]
 
 
 def annotate(rows: pd.DataFrame, detector: Detector, state, error: str):
     """Rows in order with the detector's columns, and the state after them."""
     state, statistics, severities = detector.fold(state, rows[error].to_numpy(dtype=float))
     out = rows.assign(detector=detector.name, statistic=statistics, severity=severities)
-    return out.assign(in_drift=out["severity"].isin(detector.alarm_levels).astype("int32")), state
+    return out.assign(in_warning=out["severity"].isin(("LOW", "MEDIUM")).astype("int32"), in_drift=out["severity"].isin(detector.alarm_levels).astype("int32")), state
 
 
 def _fields(df: DataFrame, columns: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in columns]
 
 
-def detect(df: DataFrame, keys: Sequence[str], order: Sequence[str], error: str, detector: Detector,
-           alarms_only: bool = True, blocks: OrderBlocks | None = None) -> DataFrame:
-    """Detector output per row of every key (alarm rows only by default).
+def detect(df: DataFrame, keys: Sequence[str], order: Sequence[str], error: str, detector: Detector | Sequence[Detector],
+           alarms_only: bool = True, blocks: OrderBlocks | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Output of one detector or of several per row of every key (alarm rows only by default), with the columns ``carry``.
 
-    A key that fits one block is folded once.  A longer key is cut into blocks
-    that are folded in parallel from a guessed entry state; each round passes the
-    exit states on, and only (key, block) pairs whose entry changed are folded
-    again.  The loop ends when no entry changes, at which point the result is the
-    sequential one.  Round r settles at least the first r blocks of every key.
+    A key that fits one block is folded once, by all detectors in one pass. A longer key is cut into blocks
+    that are folded in parallel from a guessed entry state; each round scans the blocks' summaries for better entries, and
+    only (key, block) pairs whose entry changed are folded again. The loop ends when none does, at which point the result is
+    the sequential one: round r settles at least the first r blocks of every key, and all of them up to the next alarm in three.
     """
     keys, order = list(keys), list(order)
-    columns = list(dict.fromkeys([*keys, *order, error]))
+    detectors = [detector] if isinstance(detector, Detector) else list(detector)
+    columns = list(dict.fromkeys([*keys, *order, error, *carry]))
     narrow = df.select(*columns)
     blocks = blocks or order_blocks(narrow, order[0])
     schema = T.StructType(_fields(df, columns) + RESULT)
 
-    def finish(rows: pd.DataFrame, state) -> pd.DataFrame:
-        out, _ = annotate(rows.sort_values(order, kind="stable"), detector, state, error)
+    def finish(rows: pd.DataFrame, states) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        out = pd.concat([annotate(rows, d, state, error)[0] for d, state in states], ignore_index=True)
         out = out[out["in_drift"] == 1] if alarms_only else out
         return out[schema.names]
 
     if blocks.single:
+        begin = [(d, d.start) for d in detectors]
         if not keys:
             one = narrow.withColumn("_k", F.lit(1))
-            return one.groupBy("_k").applyInPandas(lambda g: finish(g[columns], detector.start), schema)
-        return narrow.groupBy(*keys).applyInPandas(lambda g: finish(g, detector.start), schema)
-
-    part = [*keys, BLOCK]
-    tagged = materialize(blocks.tag(narrow), "sequence")
-    state_fields = [tagged.schema[c] for c in part] + [T.StructField("state", T.ArrayType(T.DoubleType()))]
-    exit_schema = T.StructType(state_fields)
-
-    def pair(final: Callable) -> Callable:
-        def run(_key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-            return final(rows.sort_values(order, kind="stable"), tuple(entry["state"].iloc[0]))
-        return run
+            return one.groupBy("_k").applyInPandas(lambda g: finish(g[columns], begin), schema)
+        return narrow.groupBy(*keys).applyInPandas(lambda g: finish(g, begin), schema)
 
-    def leave(rows: pd.DataFrame, state) -> pd.DataFrame:
-        after, _, _ = detector.fold(state, rows[error].to_numpy(dtype=float))
-        return pd.DataFrame([[*[rows[c].iloc[0] for c in part], list(after)]], columns=exit_schema.names)
+    def entered(d: Detector):
+        return lambda rows, entry: finish(rows, [(d, tuple(entry["entry"].iloc[0]))])
 
-    def cogroup(rows: DataFrame, entries: DataFrame, function: Callable, out: T.StructType) -> DataFrame:
-        return rows.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(pair(function), out)
+    tagged = materialize(blocks.tag(narrow), "sequence")
+    found = None
+    for d in detectors:
+        entries = _settled(tagged, keys, order, error, d)
+        rows = tagged.groupBy(*keys, BLOCK).cogroup(entries.groupBy(*keys, BLOCK)).applyInPandas(entered(d), schema)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _settled(tagged: DataFrame, keys: list[str], order: list[str], error: str, detector: Detector) -> DataFrame:
+    """(keys, block, entry) with the state in which a sequential fold enters each block."""
+    part, numbers = [*keys, BLOCK], T.ArrayType(T.DoubleType())
+    names = T.StructType([tagged.schema[c] for c in part])
+    known_schema = T.StructType([*names, *(T.StructField(c, numbers) for c in ("entry", "exit", "summary"))])
+    moved_schema = T.StructType([*names, T.StructField("entry", numbers), T.StructField("was", numbers)])
+
+    def folded(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        state = tuple(entries["entry"].iloc[0])
+        after, summary = detector.summary(state, rows.sort_values(order, kind="stable")[error].to_numpy(dtype=float))
+        return pd.DataFrame([[*[rows[c].iloc[0] for c in part], list(state), list(after), list(summary)]], columns=known_schema.names)
+
+    def scanned(known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values(BLOCK, kind="stable")
+        states = detector.entries([tuple(x) for x in zip(known["entry"], known["exit"], known["summary"], strict=True)])
+        return known[part].assign(entry=[list(map(float, s)) for s in states], was=[list(x) for x in known["entry"]])[moved_schema.names]
+
+    def fold(entries: DataFrame) -> DataFrame:
+        rows = tagged.join(entries.select(*part), part, "left_semi")
+        return rows.groupBy(*part).cogroup(entries.groupBy(*part)).applyInPandas(folded, known_schema)
 
     begin = F.array(*[F.lit(float(v)) for v in detector.start])
-    entries = materialize(tagged.select(*part).distinct().withColumn("state", begin), "entries")
-    known = materialize(cogroup(tagged, entries, leave, exit_schema), "exits")
+    known = materialize(fold(materialize(tagged.select(*part).distinct().withColumn("entry", begin), "entries")), "folded-blocks")
     while True:
-        previous = F.lag("state").over(Window.partitionBy(*keys).orderBy(BLOCK))
-        moved = known.withColumn("state", F.coalesce(previous, begin))
-        old = entries.select(*part, F.col("state").alias("_old"))
-        compared = materialize(moved.join(old, part), "entries")
-        changed = compared.filter(F.col("state") != F.col("_old")).drop("_old")
-        entries = compared.drop("_old")
+        # a row per block: a key of 10^11 rows has some 25,000 of them
+        entries = materialize((known if keys else known.withColumn("_k", F.lit(1))).groupBy(*(keys or ["_k"])).applyInPandas(
+            lambda g: scanned(g[known_schema.names]), moved_schema), "entries")
+        changed = entries.filter(F.col("entry") != F.col("was")).drop("was")
         if changed.isEmpty():
-            break
-        redo = tagged.join(changed.select(*part), part, "left_semi")
-        fresh = cogroup(redo, changed, leave, exit_schema)
-        known = materialize(known.join(changed.select(*part), part, "left_anti").unionByName(fresh), "exits")
-    return cogroup(tagged, entries, lambda rows, state: finish(rows, state), schema)
+            return entries.drop("was")
+        known = materialize(known.join(changed.select(*part), part, "left_anti").unionByName(fold(changed)), "folded-blocks")
 
 
 def stream_detect(stream: DataFrame, keys: Sequence[str], order: Sequence[str], error: str, detector: Detector,

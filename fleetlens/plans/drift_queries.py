@@ -327,24 +327,67 @@ def _alarms(rows: DataFrame, keys: list[str]) -> DataFrame:
     return drift_events.residual_alarms(rows, keys, ["idx"], "signed_error_sec", CFG)
 
 
-@query("o14_page_hinkley")
+def _page_hinkley_sql(source: str, key: str, cfg: DriftConfig) -> str:
+    """Row by row: the deviation moves, its minimum follows, an alarm clears both."""
+    std = repr(max((cfg.reference_rmse**2 - cfg.reference_mae**2), 25.0) ** 0.5)
+    return f"""WITH RECURSIVE placed AS MATERIALIZED (SELECT {key}, idx, (abs(signed_error_sec) - {cfg.reference_mae}) / {std}::DOUBLE - {cfg.ph_delta}::DOUBLE AS step,
+    row_number() OVER (PARTITION BY {key} ORDER BY idx) AS k FROM {source}),
+  fold({key}, k, idx, u, low, statistic) AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM placed
+    UNION ALL SELECT {key}, k, idx, CASE WHEN u - low >= {cfg.ph_lambda} THEN 0 ELSE u END, CASE WHEN u - low >= {cfg.ph_lambda} THEN 0 ELSE low END, u - low
+    FROM (SELECT {key}, k, idx, u, least(low, u) AS low FROM (SELECT p.{key}, p.k, p.idx, {cfg.ph_alpha}::DOUBLE * f.u + p.step AS u, f.low FROM fold f JOIN placed p ON p.{key} = f.{key} AND p.k = f.k + 1)))
+  SELECT {key}, idx, 'PageHinkley' AS detector, statistic, CASE WHEN statistic >= 1.5 * {cfg.ph_lambda} THEN 'CRITICAL' WHEN statistic >= {cfg.ph_lambda} THEN 'HIGH'
+    WHEN statistic >= 0.6 * {cfg.ph_lambda} THEN 'MEDIUM' ELSE 'NONE' END AS severity, CAST(statistic >= {cfg.ph_lambda} AS INTEGER) AS in_drift FROM fold WHERE k > 0"""
+
+
+def _split_window_sql(source: str, key: str, detector: sequential.SplitWindow) -> str:
+    """Row by row: the window's start and the rows still to wait; halves come from running sums."""
+    return f"""WITH RECURSIVE placed AS MATERIALIZED (SELECT {key}, idx, k, sum(e) OVER w AS total, sum(e * e) OVER w AS squares FROM (
+      SELECT {key}, idx, abs(signed_error_sec) AS e, row_number() OVER (PARTITION BY {key} ORDER BY idx) AS k FROM {source}) WINDOW w AS (PARTITION BY {key} ORDER BY k)),
+  sums AS MATERIALIZED (SELECT {key}, list_prepend(0::DOUBLE, list(total ORDER BY k)) AS t, list_prepend(0::DOUBLE, list(squares ORDER BY k)) AS q, max(k) AS rows FROM placed GROUP BY 1),
+  fold({key}, k, low, wait, statistic, severity) AS (SELECT {key}, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, 0::DOUBLE, 'NONE' FROM sums
+    UNION ALL SELECT {key}, k, CASE WHEN alarm THEN mid ELSE low END, CASE WHEN alarm THEN {detector.cooldown} ELSE greatest(wait - 1, 0) END, CASE WHEN judged THEN abs(gap) ELSE 0 END,
+      CASE WHEN NOT alarm THEN 'NONE' WHEN gap > 1.5 * cut THEN 'HIGH' ELSE 'MEDIUM' END
+    FROM (SELECT *, coalesce(judged AND gap > cut AND gap >= {detector.min_gain}, false) AS alarm FROM (
+      SELECT *, wait = 0 AND n >= {detector.min_window} AS judged, (t[k + 1] - t[mid + 1]) / (k - mid) - (t[mid + 1] - t[low + 1]) / greatest(mid - low, 1) AS gap,
+        sqrt(2 * (1 / greatest(mid - low, 1) + 1 / (k - mid)) * ln(2 / {detector.delta}::DOUBLE)) * (sqrt(greatest((q[k + 1] - q[low + 1]) / n - pow((t[k + 1] - t[low + 1]) / n, 2), 0)) + 1) AS cut
+      FROM (SELECT *, k - low AS n, low + (k - low) // 2 AS mid FROM (SELECT f.{key}, f.k + 1 AS k, greatest(f.low, f.k + 1 - {detector.max_window}) AS low, f.wait, s.t, s.q
+        FROM fold f JOIN sums s ON s.{key} = f.{key} AND f.k < s.rows)))))
+  SELECT {key}, idx, 'ADWIN' AS detector, statistic, severity, CAST(severity <> 'NONE' AS INTEGER) AS in_drift FROM fold JOIN placed USING ({key}, k)"""
+
+
+_SMALL_GAIN = sequential.SplitWindow(min_gain=2.0)
+cte("hinkley", _page_hinkley_sql("scored", "deviceid", CFG), "scored")
+cte("split_small", _split_window_sql("scored", "direction", _SMALL_GAIN), "scored")
+cte("split_device", _split_window_sql("scored", "deviceid", sequential.SplitWindow.from_config(CFG)), "scored")
+_FOUND = f"detector, {s6('statistic')} AS statistic, severity, CAST(severity = 'MEDIUM' AS INTEGER) AS in_warning, in_drift"
+
+
+@query("o14_page_hinkley", f"SELECT deviceid, idx, signed_error_sec, {_FOUND} FROM hinkley JOIN scored USING (deviceid, idx)", ("hinkley", "scored"))
 def page_hinkley(spark, d):
     rows = T.scored_stream(spark, d).select("deviceid", "idx", "signed_error_sec")
     detector = sequential.PageHinkley.from_config(CFG)
     return rounded(sequential.detect(rows, ["deviceid"], ["idx"], "signed_error_sec", detector, alarms_only=False), "statistic")
 
 
-@query("o15_split_window")
+@query("o15_split_window", f"SELECT direction, idx, signed_error_sec, {_FOUND} FROM split_small JOIN scored USING (direction, idx)", ("split_small", "scored"))
 def split_window(spark, d):
     rows = T.scored_stream(spark, d).select("direction", "idx", "signed_error_sec")
-    detector = sequential.SplitWindow(min_gain=2.0)
-    return rounded(sequential.detect(rows, ["direction"], ["idx"], "signed_error_sec", detector, alarms_only=False), "statistic")
+    return rounded(sequential.detect(rows, ["direction"], ["idx"], "signed_error_sec", _SMALL_GAIN, alarms_only=False), "statistic")
 
 
-@query("o16_residual_alarms")
+@query("o16_residual_alarms", f"""SELECT deviceid, idx, signed_error_sec, {_FOUND}, mean_residual, variance_residual, CASE detector WHEN 'ADWIN' THEN {CFG.adwin_delta}::DOUBLE ELSE {CFG.ph_lambda}::DOUBLE END AS threshold
+  FROM (SELECT * FROM hinkley UNION ALL SELECT * FROM split_device) JOIN (SELECT deviceid, idx, signed_error_sec, {s6('avg(signed_error_sec) OVER w')} AS mean_residual, {s6('var_pop(signed_error_sec) OVER w')} AS variance_residual
+    FROM scored WINDOW w AS (PARTITION BY deviceid ORDER BY idx ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)) USING (deviceid, idx)
+  WHERE in_drift = 1 OR severity = 'MEDIUM'""", ("hinkley", "split_device", "scored"))
 def residual_alarms(spark, d):
+    """Alarms and warnings of both detectors per device."""
     rows = T.scored_stream(spark, d).select("deviceid", "idx", "signed_error_sec")
-    return rounded(_alarms(rows, ["deviceid"]), "statistic")
+    found = drift_events.residual_alarms(rows, ["deviceid"], ["idx"], "signed_error_sec", CFG, alarms_only=False)
+    return rounded(found.filter("in_drift = 1 or in_warning = 1"), "statistic", "mean_residual", "variance_residual")
+
+
+def _alarms(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return drift_events.residual_alarms(rows, keys, ["idx"], "signed_error_sec", CFG)
 
 
 _EVENT = ["scenario_id", "event_id", "drift_type", "severity", "detector", "window_start_idx", "window_end_idx"]

@@ -9,7 +9,7 @@ from fleetlens.operators import sequential, whatif
 from fleetlens.operators.drift_windows import DriftConfig
 from fleetlens.plans import testbed as T
 from fleetlens.plans.decision_queries import LABEL
-from fleetlens.plans.drift_queries import CFG
+from fleetlens.plans.drift_queries import CFG, _FOUND
 from fleetlens.plans.evaluation_queries import _LATEST, scenario_sql
 from fleetlens.plans.registry import clean_time, query, rounded, s6
 from fleetlens.session import materialize, scratch_path
@@ -96,7 +96,7 @@ def count_windows(spark, d):
     return rounded(out.drop("severity"), "mae", "rmse", "mean_signed_error")
 
 
-@query("stream_o14_page_hinkley")
+@query("stream_o14_page_hinkley", f"SELECT deviceid, event_id, signed_error_sec, {_FOUND} FROM hinkley JOIN scored USING (deviceid, idx)", ("hinkley", "scored"))
 def page_hinkley(spark, d):
     rows = T.scored(spark, d).select("deviceid", "timestamp_utc", "event_id", "signed_error_sec")
     stream = sequential.stream_detect(replayed(rows, "ph-rows"), ["deviceid"], T.TIME_ORDER, "signed_error_sec",
@@ -104,7 +104,7 @@ def page_hinkley(spark, d):
     return rounded(jobs.collect_stream(stream, "ph").drop("timestamp_utc"), "statistic")
 
 
-@query("stream_o15_split_window")
+@query("stream_o15_split_window", f"SELECT direction, event_id, signed_error_sec, {_FOUND} FROM split_small JOIN scored USING (direction, idx)", ("split_small", "scored"))
 def split_window(spark, d):
     rows = T.scored(spark, d).select("direction", "timestamp_utc", "event_id", "signed_error_sec")
     stream = sequential.stream_detect(replayed(rows, "sw-rows"), ["direction"], T.TIME_ORDER, "signed_error_sec",

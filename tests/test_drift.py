@@ -202,6 +202,71 @@ def test_streamed_detector_equals_batch(spark, error_stream, detector, loop):
     np.testing.assert_allclose(got.statistic, want.statistic, atol=1e-9)
 
 
+def rows_of_loop(detector, errors):
+    """Statistic of every row by plain loops."""
+    found, u, low = [], 0.0, 0.0
+    if isinstance(detector, sequential.PageHinkley):
+        for e in errors:
+            u = detector.alpha * u + (abs(e) - detector.mean) / max(detector.std, 5.0) - detector.delta
+            low = min(low, u)
+            found.append(u - low)
+            if u - low >= detector.threshold:
+                u = low = 0.0
+        return found
+    window, wait = [], 0
+    for e in errors:
+        window = (window + [abs(e)])[-detector.max_window:]
+        found.append(0.0)
+        if wait:
+            wait -= 1
+        elif len(window) >= detector.min_window:
+            m = len(window) // 2
+            a, b = np.array(window[:m]), np.array(window[m:])
+            cut = math.sqrt(2 * (1 / len(a) + 1 / len(b)) * math.log(2 / detector.delta)) * (np.std(window) + 1)
+            found[-1] = abs(b.mean() - a.mean())
+            if b.mean() - a.mean() > cut and found[-1] >= detector.min_gain:
+                window, wait = window[m:], detector.cooldown
+    return found
+
+
+@pytest.mark.parametrize("detector", [d for d, _ in DETECTORS] + [sequential.PageHinkley(25.0, 20.0, threshold=2.0), sequential.PageHinkley(25.0, 20.0, alpha=1.0)])
+@pytest.mark.parametrize("scale", [1.0, 30.0, 90.0])
+def test_statistics_of_rows_equal_plain_loops(detector, scale):
+    errors = np.random.default_rng(3).normal(0, scale, 7000) * np.where(np.arange(7000) % 2300 > 1700, 3.0, 1.0)
+    state, found = detector.start, []
+    for part in np.array_split(errors, [1, 1, 90, 4000]):
+        state, statistics, _ = detector.fold(state, part)
+        found.append(statistics)
+    np.testing.assert_allclose(np.concatenate(found), rows_of_loop(detector, errors), atol=1e-8)
+
+
+def rounds_of(detector, errors, parts):
+    """Entries of blocks as the distributed loop finds them, and its rounds."""
+    blocks = np.array_split(errors, parts)
+    entries, known, rounds = [detector.start] * parts, [None] * parts, 0
+    while True:
+        rounds += 1
+        for k, b in enumerate(blocks):
+            if known[k] is None or known[k][0] != entries[k]:
+                known[k] = (entries[k], *detector.summary(entries[k], b))
+        after = detector.entries(known)
+        if after == entries:
+            return entries, rounds
+        entries = after
+
+
+@pytest.mark.parametrize("detector", [sequential.PageHinkley(25.0, 20.0, threshold=1e9), sequential.PageHinkley(25.0, 20.0, threshold=20.0), sequential.SplitWindow(min_gain=10.0)])
+def test_blocks_compose(detector):
+    errors = np.random.default_rng(4).normal(0, 30, 120_000)
+    entries, rounds = rounds_of(detector, errors, 100)
+    state = detector.start
+    for entry, block in zip(entries, np.array_split(errors, 100), strict=True):
+        np.testing.assert_allclose(entry, state, atol=1e-7)
+        state = detector.fold(state, block)[0]
+    if getattr(detector, "threshold", 0) == 1e9 or isinstance(detector, sequential.SplitWindow):
+        assert rounds <= 3
+
+
 def test_page_hinkley_quiet_then_alarm():
     det = sequential.PageHinkley(5.0, 3.0, 0.2, 20.0)
     state, stat, sev = det.fold(det.start, np.random.default_rng(0).normal(0, 5, 100))
