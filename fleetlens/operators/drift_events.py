@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators.drift_windows import DriftConfig, severity_name, severity_rank
 from fleetlens.operators.events import trailing_moments
 from fleetlens.operators.sequential import PageHinkley, SplitWindow, detect
+from fleetlens.operators.whatif import Scenario
 from fleetlens.ordering import OrderBlocks
 
 RECORD_WIDTH = 6
@@ -41,7 +42,7 @@ def concept_events(alarms: DataFrame, keys: Sequence[str], cfg: DriftConfig = Dr
         F.format_string(f"DRIFT_RES_%s_%0{RECORD_WIDTH}d_%s", scope, F.col("idx"), F.col("detector")).alias("event_id"),
         F.lit("CONCEPT_DRIFT").alias("drift_type"), "severity", "detector",
         F.greatest(F.lit(1).cast("long"), F.col("idx") - 100).alias("window_start_idx"),
-        F.col("idx").alias("window_end_idx"), F.col("idx").alias("_at"), "statistic",
+        F.col("idx").alias("window_end_idx"), F.col("idx").alias("_at"), (F.col("idx") + 1).alias("sample_count"), "statistic",
         threshold.cast("double").alias("threshold"), F.lit(None).cast("double").alias("p_value"),
         F.lit(0.0).alias("baseline_metric"), mean.alias("current_metric"),
         F.array(F.lit("eta_to_next_stop_sec_residual")).alias("affected_features"),
@@ -63,7 +64,8 @@ def data_events(results: DataFrame, bounds: DataFrame, keys: Sequence[str], cfg:
         *keys,
         F.format_string(f"DRIFT_DATA_%s_W%0{WINDOW_WIDTH}d", scope, F.col("window_id") + 1).alias("event_id"),
         F.lit("DATA_DRIFT").alias("drift_type"), severity_name(F.col("_rank")).alias("severity"),
-        F.lit("PSI_KS_HYBRID").alias("detector"), "window_start_idx", "window_end_idx", "statistic",
+        F.lit("PSI_KS_HYBRID").alias("detector"), "window_start_idx", "window_end_idx",
+        (F.col("window_end_idx") - F.col("window_start_idx") + 1).alias("sample_count"), "statistic",
         F.lit(cfg.psi_drift).alias("threshold"), "p_value", F.lit(0.0).alias("baseline_metric"),
         F.col("statistic").alias("current_metric"), "affected_features", "evidence")
 
@@ -78,7 +80,7 @@ def performance_events(windows: DataFrame, keys: Sequence[str], cfg: DriftConfig
         *keys,
         F.format_string(f"DRIFT_PERF_%s_W%0{WINDOW_WIDTH}d", scope, F.col("window_id") + 1).alias("event_id"),
         F.lit("PERFORMANCE_DRIFT").alias("drift_type"), "severity", F.lit("RollingPerformanceMonitor").alias("detector"),
-        "window_start_idx", "window_end_idx", F.col("mae_ratio").alias("statistic"),
+        "window_start_idx", "window_end_idx", "sample_count", F.col("mae_ratio").alias("statistic"),
         F.lit(cfg.perf_drift).alias("threshold"), F.lit(None).cast("double").alias("p_value"),
         F.lit(reference_mae if reference_mae is not None else cfg.reference_mae).alias("baseline_metric"),
         F.col("mae").alias("current_metric"), F.array(F.lit("mae_sec"), F.lit("rmse_sec")).alias("affected_features"),
@@ -89,6 +91,24 @@ def assemble(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def described(events: DataFrame, rows: DataFrame, scenarios: Sequence[Scenario], model_id: str, model_version: str,
+              source_type: str = "REPLAY", ts: str = "timestamp_utc", status: str = "OPEN") -> DataFrame:
+    """Events with the time of their window's last record, what is known of their scenario, and the source and model behind them.
+
+    The scenarios are a catalog in code, so their table is small; an event of another scenario counts as not synthetic. Only the
+    records that end a window meet events, and each event keeps its row.
+    """
+    spark = events.sparkSession
+    known = spark.createDataFrame([(s.scenario_id, s.name, s.synthetic, float(s.intensity)) for s in scenarios],
+                                  "scenario_id string, scenario_name string, synthetic_disturbance boolean, disturbance_intensity double")
+    times = rows.select("scenario_id", F.col("idx").alias("window_end_idx"), F.col(ts).alias("timestamp_utc"))
+    out = events.join(times, ["scenario_id", "window_end_idx"], "left").join(F.broadcast(known), "scenario_id", "left")
+    return out.withColumns({
+        "scenario_name": F.coalesce("scenario_name", "scenario_id"), "synthetic_disturbance": F.coalesce("synthetic_disturbance", F.lit(False)),
+        "disturbance_intensity": F.coalesce("disturbance_intensity", F.lit(0.0)), "source_type": F.lit(source_type),
+        "model_id": F.lit(model_id), "model_version": F.lit(model_version), "status": F.lit(status)})
+
+
 def summary(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Counts per kind, first detection and worst severity, one row per key."""
     kind = F.col("drift_type")

@@ -10,7 +10,7 @@ from fleetlens.operators.drift_windows import DriftConfig
 from fleetlens.ordering import OrderBlocks, order_blocks, small_like
 from fleetlens.plans import testbed as T
 from fleetlens.plans.evaluation_queries import predict_again, scenario_sql, SCENARIO_SQL
-from fleetlens.plans.registry import cte, query, rounded, s6
+from fleetlens.plans.registry import clean_time, cte, query, rounded, s6
 from fleetlens.schemas import CATEGORICAL_FEATURES, KINEMATIC_FEATURES, WEATHER_FEATURES
 from fleetlens.session import materialize
 
@@ -393,13 +393,23 @@ def _alarms(rows: DataFrame, keys: list[str]) -> DataFrame:
 _EVENT = ["scenario_id", "event_id", "drift_type", "severity", "detector", "window_start_idx", "window_end_idx"]
 
 
+cte("cur_errors", "SELECT scenario_id, idx, timestamp_utc, actual - predicted AS signed_error_sec FROM cur_all", "cur_all")
+cte("hinkley_scenario", _page_hinkley_sql("cur_errors", "scenario_id", CFG), "cur_errors")
+cte("split_scenario", _split_window_sql("cur_errors", "scenario_id", sequential.SplitWindow.from_config(CFG)), "cur_errors")
+cte("every_event", """SELECT *, window_end_idx - window_start_idx + 1 AS sample_count FROM all_events UNION ALL
+  SELECT scenario_id, 'DRIFT_RES_' || scenario_id || printf('_%06d_', idx) || detector, 'CONCEPT_DRIFT', severity, detector, greatest(1, idx - 100), idx, statistic, NULL,
+    'eta_to_next_stop_sec_residual', idx + 1 FROM (SELECT * FROM hinkley_scenario UNION ALL SELECT * FROM split_scenario) WHERE in_drift = 1""", "all_events", "hinkley_scenario", "split_scenario")
+
+
 def window_events(rows: DataFrame, reference: DataFrame) -> DataFrame:
-    """Data and performance events per scenario."""
+    """Data, performance and concept events per scenario."""
     results = judged(rows, reference)
     bounds = drift_windows.window_bounds(drift_windows.sliding_windows(rows), ["scenario_id"])
     perf = drift_windows.performance_windows(rows, ["scenario_id"], CFG)
+    alarms = _alarms(rows.select("scenario_id", "idx", "signed_error_sec"), ["scenario_id"])
     return drift_events.assemble(drift_events.data_events(results, bounds, ["scenario_id"], CFG),
-                                 drift_events.performance_events(perf, ["scenario_id"], CFG))
+                                 drift_events.performance_events(perf, ["scenario_id"], CFG),
+                                 drift_events.concept_events(alarms, ["scenario_id"], CFG))
 
 
 def _disturbed(current: DataFrame, scenario: whatif.Scenario) -> DataFrame:
@@ -407,26 +417,37 @@ def _disturbed(current: DataFrame, scenario: whatif.Scenario) -> DataFrame:
     return evaluation.with_errors(rows, "actual", "predicted")
 
 
-@query("o17_drift_events", f"""SELECT {', '.join(_EVENT)}, {s6('statistic')} AS statistic, {s6('p_value')} AS p_value, affected_features
-  FROM all_events WHERE scenario_id = 'CONGESTION_SURGE'""", ("all_events",))
-def events_of_surge(spark, d):
+_SCENARIOS = ", ".join(f"('{x.scenario_id}', '{x.name}', {x.synthetic}, {x.intensity}::DOUBLE)" for x in whatif.CATALOG.values())
+
+
+def _events_sql(scenario: str) -> str:
+    return f"""SELECT {', '.join(_EVENT)}, {s6('statistic')} AS statistic, {s6('p_value')} AS p_value, affected_features, sample_count, timestamp_utc, scenario_name, synthetic_disturbance,
+  disturbance_intensity, 'REPLAY' AS source_type, 'ridge' AS model_id, 'v1' AS model_version, 'OPEN' AS status
+  FROM every_event JOIN (SELECT scenario_id, idx AS window_end_idx, timestamp_utc FROM cur_errors) USING (scenario_id, window_end_idx)
+  JOIN (VALUES {_SCENARIOS}) c(scenario_id, scenario_name, synthetic_disturbance, disturbance_intensity) USING (scenario_id) WHERE scenario_id = '{scenario}'"""
+
+
+def _described(spark, d, scenario: whatif.Scenario) -> DataFrame:
     reference, current = inputs(spark, d)
-    out = window_events(_disturbed(current, whatif.CONGESTION_SURGE), reference)
-    return rounded(out.select(*_EVENT, "statistic", "p_value", F.concat_ws(",", "affected_features").alias("affected_features")), "statistic", "p_value")
+    rows = materialize(_disturbed(current, scenario).select("scenario_id", "idx", "n", "timestamp_utc", "signed_error_sec", "absolute_error_sec", *FEATURES), "disturbed")
+    out = drift_events.described(window_events(rows, reference), rows, list(whatif.CATALOG.values()), "ridge", "v1")
+    out = out.withColumns({"timestamp_utc": clean_time("timestamp_utc"), "affected_features": F.concat_ws(",", "affected_features")})
+    return rounded(out.select(*_EVENT, "statistic", "p_value", "affected_features", "sample_count", "timestamp_utc", "scenario_name", "synthetic_disturbance",
+                              "disturbance_intensity", "source_type", "model_id", "model_version", "status"), "statistic", "p_value")
+
+
+@query("o17_drift_events", _events_sql("CONGESTION_SURGE"), ("every_event", "cur_errors"))
+def events_of_surge(spark, d):
+    return _described(spark, d, whatif.CONGESTION_SURGE)
 
 
-@query("o17_all_kinds")
+@query("o17_all_kinds", _events_sql("COMBINED_DISRUPTION"), ("every_event", "cur_errors"))
 def all_kinds(spark, d):
     """Data, performance and concept events of one disturbed stream."""
-    reference, current = inputs(spark, d)
-    rows = materialize(_disturbed(current, whatif.COMBINED_DISRUPTION), "disturbed")
-    alarms = _alarms(rows.select("scenario_id", "idx", "signed_error_sec"), ["scenario_id"])
-    concept = drift_events.concept_events(alarms, ["scenario_id"], CFG)
-    out = drift_events.assemble(window_events(rows, reference), concept)
-    return rounded(out.select(*_EVENT, "statistic"), "statistic")
+    return _described(spark, d, whatif.COMBINED_DISRUPTION)
 
 
-@query("a09_drift_event_table", """SELECT drift_type, count(*) AS records FROM all_events WHERE scenario_id = 'HEAVY_RAIN' GROUP BY 1""", ("all_events",))
+@query("a09_drift_event_table", """SELECT drift_type, count(*) AS records FROM every_event WHERE scenario_id = 'HEAVY_RAIN' GROUP BY 1""", ("every_event",))
 def drift_event_table(spark, d):
     from fleetlens.session import scratch_path
     from fleetlens.sources.writers import write_drift_events
@@ -437,21 +458,21 @@ def drift_event_table(spark, d):
 
 
 _SUMMARY = """SELECT scenario_id, count(*) AS total_alerts, count(*) FILTER (WHERE drift_type = 'DATA_DRIFT') AS data_drift_alerts,
-  count(*) FILTER (WHERE drift_type = 'PERFORMANCE_DRIFT') AS performance_drift_alerts, CAST(0 AS BIGINT) AS concept_drift_alerts,
+  count(*) FILTER (WHERE drift_type = 'PERFORMANCE_DRIFT') AS performance_drift_alerts, count(*) FILTER (WHERE drift_type = 'CONCEPT_DRIFT') AS concept_drift_alerts,
   arg_min(window_end_idx, (window_end_idx, event_id)) AS first_detection_index, arg_min(drift_type, (window_end_idx, event_id)) AS first_detection_type,
   arg_min(detector, (window_end_idx, event_id)) AS first_detector_name,
   ['NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['NONE', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity))] AS max_severity
-  FROM all_events"""
+  FROM every_event"""
 
 
-@query("o18_drift_summary", f"{_SUMMARY} WHERE scenario_id = 'HEAVY_RAIN' GROUP BY 1", ("all_events",))
+@query("o18_drift_summary", f"{_SUMMARY} WHERE scenario_id = 'HEAVY_RAIN' GROUP BY 1", ("every_event",))
 def drift_summary(spark, d):
     reference, current = inputs(spark, d)
     return drift_events.summary(window_events(_disturbed(current, whatif.HEAVY_RAIN), reference), ["scenario_id"])
 
 
-@query("o18_frequent_features", """SELECT feature, count(*) AS alerts FROM (SELECT unnest(string_split(affected_features, ',')) AS feature FROM all_events
-  WHERE scenario_id = 'CONGESTION_SURGE' AND drift_type = 'DATA_DRIFT') GROUP BY 1 ORDER BY alerts DESC, feature LIMIT 10""", ("all_events",))
+@query("o18_frequent_features", """SELECT feature, count(*) AS alerts FROM (SELECT unnest(string_split(affected_features, ',')) AS feature FROM every_event
+  WHERE scenario_id = 'CONGESTION_SURGE' AND drift_type = 'DATA_DRIFT') GROUP BY 1 ORDER BY alerts DESC, feature LIMIT 10""", ("every_event",))
 def frequent_features(spark, d):
     reference, current = inputs(spark, d)
     out = drift_events.frequent_features(window_events(_disturbed(current, whatif.CONGESTION_SURGE), reference), ["scenario_id"])
@@ -459,8 +480,8 @@ def frequent_features(spark, d):
 
 
 @query("o19_drift_status", """SELECT scenario_id, CAST(max(CASE drift_type WHEN 'DATA_DRIFT' THEN 1 ELSE 0 END) AS BIGINT) AS data_drift,
-  CAST(max(CASE drift_type WHEN 'PERFORMANCE_DRIFT' THEN 1 ELSE 0 END) AS BIGINT) AS performance_drift, CAST(0 AS BIGINT) AS concept_drift,
-  max(window_end_idx) AS latest_event_idx, count(*) AS events FROM all_events WHERE scenario_id = 'ROAD_INCIDENT' GROUP BY 1""", ("all_events",))
+  CAST(max(CASE drift_type WHEN 'PERFORMANCE_DRIFT' THEN 1 ELSE 0 END) AS BIGINT) AS performance_drift, CAST(max(CASE drift_type WHEN 'CONCEPT_DRIFT' THEN 1 ELSE 0 END) AS BIGINT) AS concept_drift,
+  max(window_end_idx) AS latest_event_idx, count(*) AS events FROM every_event WHERE scenario_id = 'ROAD_INCIDENT' GROUP BY 1""", ("every_event",))
 def drift_status(spark, d):
     reference, current = inputs(spark, d)
     return drift_events.status(window_events(_disturbed(current, whatif.ROAD_INCIDENT), reference), ["scenario_id"])
@@ -474,7 +495,7 @@ def feature_ranking(spark, d):
     return rounded(drift_detect.feature_ranking(judged(one_scenario(current), reference)), "max_psi", "median_psi", "max_ks", "min_p", "max_js")
 
 
-@query("o21_scenario_drift", f"{_SUMMARY} GROUP BY 1", ("all_events",))
+@query("o21_scenario_drift", f"{_SUMMARY} GROUP BY 1", ("every_event",))
 def scenario_drift(spark, d):
     """All scenarios in one job; the scenario leads every key."""
     reference, current = inputs(spark, d)
