@@ -346,7 +346,7 @@ def metric_snapshots(spark, d):
 
 
 @query("n06_snapshot_quantiles", f"""SELECT w.window_index, {s6('median(e)')} AS median_ae_sec, {s6('quantile_cont(e, 0.9)')} AS p90_error_sec
-  FROM (SELECT CAST(unnest(range(greatest(n // 50 - 200, 0) + 1, n // 50 + 1)) AS BIGINT) AS window_index FROM (SELECT max(n) AS n FROM scored)) w
+  FROM (SELECT CAST(unnest(range(1, n // 50 + 1)) AS BIGINT) AS window_index FROM (SELECT max(n) AS n FROM scored)) w
   JOIN (SELECT idx, absolute_error_sec AS e FROM scored) s ON s.idx < w.window_index * 50 GROUP BY 1""", ("scored",))
 def snapshot_quantiles(spark, d):
     out = events.snapshot_quantiles(T.scored(spark, d), T.TIME_ORDER, blocks=T.time_blocks(spark, d))

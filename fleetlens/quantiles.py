@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.ordering import BLOCK, Ordered, OrderBlocks, block_rows, order_blocks
+from fleetlens.ordering import BLOCK, Ordered, OrderBlocks, order_blocks
+from fleetlens.session import materialize
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], column: str, named: dict[str, float],
@@ -112,41 +115,62 @@ def cumulative_counts(df: DataFrame, keys: list[str], column: str, weights: dict
     return seq.lead(column, "next_value").frame()
 
 
+def kth_of_prefixes(ranks: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each (end, k): the least rank r such that the first ``end`` elements have more than k weight at ranks up to r.
+
+    The elements are parted by one bit of their rank after the other, from the top, in stable order (a wavelet matrix); a prefix is a
+    range on every level, so all prefixes go down together, in (elements + prefixes) * bits.
+    """
+    low, high, found, k = np.zeros(len(ends), np.int64), ends.astype(np.int64), np.zeros(len(ends), np.int64), k.astype(np.int64)
+    for bit in range(int(ranks.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (ranks >> bit) & 1 == 1
+        zeros, light = np.r_[0, np.cumsum(~one)], np.r_[0, np.cumsum(np.where(one, 0, weights))]
+        below = light[high] - light[low]
+        up = k >= below
+        found |= up.astype(np.int64) << bit
+        k = np.where(up, k - below, k)
+        low, high = (np.where(up, zeros[-1] + at - zeros[at], zeros[at]) for at in (low, high))
+        ranks, weights = (np.concatenate([x[~one], x[one]]) for x in (ranks, weights))
+    return found
+
+
 def prefix_quantiles(df: DataFrame, column: str, named: dict[str, float], blocks: OrderBlocks | None = None) -> DataFrame:
     """Exact quantiles of the growing prefixes ``_first`` .. ``_last`` of a stepped table.
 
     Rows carry ``_step`` and the constants ``_first`` and ``_last``; prefix s holds
-    the rows with ``_step`` <= s.  Counts per (value block, step) locate the blocks
-    that hold the wanted ranks; only rows of those blocks meet the prefixes.
+    the rows with ``_step`` <= s that have a value.  Equal values of a step are counted first. Running counts per value block
+    tell which block holds a wanted rank of a prefix; within a block all wanted ranks of all prefixes are found together.
     """
-    if blocks is None:
-        fine = max(1000, df.count() // 20_000)
-        blocks = order_blocks(df.select(column), column, min(fine, block_rows(df.sparkSession)))
+    blocks = blocks or order_blocks(df.select(column), column)
     at = F.greatest(F.col("_step"), F.col("_first"))
-    tagged = blocks.tag(df.select(column, at.alias("_step"), "_last"))
-    counted = tagged.groupBy(BLOCK, column, "_step", "_last").agg(F.count(F.lit(1)).alias("_c"))
-    per_block = tagged.groupBy(BLOCK, "_step", "_last").agg(F.count(F.lit(1)).alias("_c"))
-    grown = per_block.select(BLOCK, "_c", F.explode(F.sequence("_step", "_last")).alias("_s")).groupBy(
-        "_s", BLOCK).agg(F.sum("_c").alias("_bc"))
+    tagged = blocks.tag(df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias(column), at.alias("_step"), "_first", "_last"))
+    counted = materialize(tagged.groupBy(BLOCK, column, "_step").agg(F.count(F.lit(1)).alias("_c"), F.min("_first").alias("_first"), F.max("_last").alias("_last")), "counted-values")
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_step")
+        steps = np.arange(int(rows["_first"].iloc[0]), int(rows["_last"].iloc[0]) + 1)
+        total = np.r_[0, np.cumsum(rows["_c"].to_numpy())][np.searchsorted(rows["_step"].to_numpy(), steps, "right")]
+        return pd.DataFrame({"_s": steps, BLOCK: rows[BLOCK].iloc[0], "_bc": total})
+
+    block_type = counted.schema[BLOCK].dataType.simpleString()
+    grown = counted.groupBy(BLOCK).applyInPandas(grow, f"_s long, {BLOCK} {block_type}, _bc long")
     prefix = Window.partitionBy("_s")
     offsets = grown.withColumns({
         "_off": F.sum("_bc").over(prefix.orderBy(BLOCK)) - F.col("_bc"), "_n": F.sum("_bc").over(prefix)})
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in named.items()]))
     exact = F.col("w.p") * (F.col("_n") - 1)
-    targets = offsets.select("*", wanted.alias("w")).select(
-        "_s", BLOCK, "_bc", "_off", F.col("w.name").alias("_name"), (exact - F.floor(exact)).alias("_t"),
-        F.floor(exact).alias("_lo"), F.ceil(exact).alias("_hi"),
-    ).filter((F.col("_lo") < F.col("_off") + F.col("_bc")) & (F.col("_hi") >= F.col("_off")))
-    part = ["_s", "_name", BLOCK]
-    met = counted.join(targets, BLOCK).filter(F.col("_step") <= F.col("_s")).groupBy(
-        *part, "_off", "_lo", "_hi", "_t", column).agg(F.sum("_c").alias("_c"))
-    ranked = met.withColumn(
-        "_to", F.col("_off") + F.sum("_c").over(Window.partitionBy(*part).orderBy(column))
-    ).withColumn("_from", F.col("_to") - F.col("_c"))
-
-    def at_rank(rank: str) -> Column:
-        return F.max(F.when((F.col(rank) >= F.col("_from")) & (F.col(rank) < F.col("_to")), F.col(column)))
-
-    points = ranked.groupBy("_s", "_name").agg(at_rank("_lo").alias("_a"), at_rank("_hi").alias("_b"), F.max("_t").alias("_t"))
+    ends = F.explode(F.array(F.struct(F.lit("a").alias("end"), F.floor(exact).alias("rank")), F.struct(F.lit("b").alias("end"), F.ceil(exact).alias("rank"))))
+    targets = offsets.select("*", wanted.alias("w")).select("_s", BLOCK, "_bc", "_off", F.col("w.name").alias("_name"), (exact - F.floor(exact)).alias("_t"), ends.alias("_r"))
+    targets = targets.select("_s", BLOCK, "_name", "_t", F.col("_r.end").alias("_end"), (F.col("_r.rank") - F.col("_off")).alias("_k"), "_bc").filter("_k >= 0 and _k < _bc").drop("_bc")
+
+    def pick(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_step")
+        values, ranks = np.unique(rows[column].to_numpy(), return_inverse=True)
+        ends = np.searchsorted(rows["_step"].to_numpy(), asked["_s"].to_numpy(), "right")
+        found = kth_of_prefixes(ranks, rows["_c"].to_numpy(), ends, asked["_k"].to_numpy())
+        return asked[["_s", "_name", "_t", "_end"]].assign(_v=values[found] if len(values) else np.nan)
+
+    points = targets.groupBy(BLOCK).cogroup(counted.groupBy(BLOCK)).applyInPandas(pick, "_s long, _name string, _t double, _end string, _v double")
+    point = points.groupBy("_s", "_name").agg(F.max(F.when(F.col("_end") == "a", F.col("_v"))).alias("_a"), F.max(F.when(F.col("_end") == "b", F.col("_v"))).alias("_b"), F.max("_t").alias("_t"))
     lerp = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
-    return points.groupBy(F.col("_s").alias("_step")).agg(*[F.max(F.when(F.col("_name") == n, lerp)).alias(n) for n in named])
+    return point.groupBy(F.col("_s").alias("_step")).agg(*[F.max(F.when(F.col("_name") == n, lerp)).alias(n) for n in named])

@@ -69,3 +69,15 @@ def test_cumulative_counts(spark, skewed):
         for row in grp.itertuples():
             assert row.cum_c == (values <= row.x).sum()
             assert row.all_c == len(values)
+
+
+def test_kth_of_prefixes_equals_sorting():
+    from fleetlens.quantiles import kth_of_prefixes
+
+    r = np.random.default_rng(6)
+    for top in (1, 2, 40, 1000):
+        ranks, weights = r.integers(0, top, 300), r.integers(1, 5, 300)
+        ends = np.repeat(np.arange(1, 301, 7), 5)
+        k = np.array([r.integers(0, weights[:e].sum()) for e in ends])
+        want = [np.sort(np.repeat(ranks[:e], weights[:e]))[i] for e, i in zip(ends, k, strict=True)]
+        assert kth_of_prefixes(ranks, weights, ends, k).tolist() == want
