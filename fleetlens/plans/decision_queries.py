@@ -11,6 +11,7 @@ from fleetlens.operators.decisions import GateLimits, TriggerPolicy
 from fleetlens.plans import testbed as T
 from fleetlens.plans.evaluation_queries import ABS, METRICS, metrics_sql
 from fleetlens.plans.registry import clean_time, cte, query, rounded, s6
+from fleetlens.schemas import CATEGORICAL_FEATURES
 
 # windows of the derived data differ by a few percent, so a low ratio makes runs visible
 POLICY = TriggerPolicy(degradation_ratio=1.02, alarm_threshold=3, alarm_window=2500, cooldown=1500)
@@ -317,12 +318,15 @@ def _scored_by(spark, d, algorithm: str) -> DataFrame:
     return models.score(model, validation, f"model_{algorithm}", "v1")
 
 
-@query("j01_category_codes", """SELECT DISTINCT deviceid, CAST(dense_rank() OVER (ORDER BY deviceid) - 1 AS DOUBLE) AS deviceid_code FROM split_obs WHERE split = 'train'""", ("split_obs",))
+@query("j01_category_codes", " UNION ALL ".join(f"""SELECT DISTINCT '{c}' AS feature, CAST({c} AS VARCHAR) AS category,
+  CAST(dense_rank() OVER (ORDER BY CAST({c} AS VARCHAR)) - 1 AS DOUBLE) AS code FROM split_obs WHERE split = 'train'""" for c in CATEGORICAL_FEATURES), ("split_obs",))
 def category_codes(spark, d):
+    """Codes of all category columns; the fit is one pass over the rows."""
     from pyspark.ml import Pipeline
-    rows = models.coerce(T.split_rows(spark, d).filter(F.col("split") == "train"), ["deviceid"], [])
-    coded = Pipeline(stages=models.tree_stages(["deviceid"], [])[:1]).fit(rows).transform(rows)
-    return coded.select("deviceid", "deviceid_code").distinct()
+    rows = models.coerce(T.split_rows(spark, d).filter(F.col("split") == "train"), CATEGORICAL_FEATURES, [])
+    coded = Pipeline(stages=models.tree_stages(CATEGORICAL_FEATURES, [])[:1]).fit(rows).transform(rows)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("category"), F.col(f"{c}_code").alias("code")) for c in CATEGORICAL_FEATURES]))
+    return coded.select(pairs.alias("p")).select("p.*").distinct()
 
 
 @query("j02_linear_preparation", f"SELECT count(*) AS records, CAST(round(avg(v), 6) AS DOUBLE) + 0.0 AS mean, {s6('stddev_pop(v)')} AS deviation FROM ("

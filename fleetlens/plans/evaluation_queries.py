@@ -330,9 +330,11 @@ _ONLINE = ["mae_sec", "rmse_sec", "bias_sec", "median_ae_sec", "p90_error_sec",
 @query("n05_online_metrics", f"""SELECT count(*) AS records, {s6('avg(absolute_error_sec)')} AS mae_sec,
   {s6('sqrt(avg(absolute_error_sec * absolute_error_sec))')} AS rmse_sec, {s6('avg(signed_error_sec)')} AS bias_sec,
   {s6('median(absolute_error_sec)')} AS median_ae_sec, {s6('quantile_cont(absolute_error_sec, 0.9)')} AS p90_error_sec,
-  {s6('quantile_cont(absolute_error_sec, 0.95)')} AS p95_error_sec FROM scored""", ("scored",))
+  {s6('quantile_cont(absolute_error_sec, 0.95)')} AS p95_error_sec, {s6('avg(event_id % 37)')} AS avg_latency_ms FROM scored""", ("scored",))
 def online_metrics(spark, d):
-    return rounded(events.online_metrics(T.scored(spark, d), blocks=T.fits(spark, d, ABS)), *_ONLINE)
+    """The event number stands for a latency."""
+    rows = T.scored(spark, d).withColumn("latency_ms", (F.col("event_id") % 37).cast("double"))
+    return rounded(events.online_metrics(rows, latency="latency_ms", blocks=T.fits(spark, d, ABS)), *_ONLINE, "avg_latency_ms")
 
 
 _SNAPSHOTS = """SELECT idx, (idx + 1) // 50 AS window_index, count(*) OVER w AS sample_count, avg(absolute_error_sec) OVER w AS mae_sec,

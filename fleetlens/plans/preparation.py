@@ -115,11 +115,17 @@ def file_fingerprints(spark, d):
     return readers.fingerprints(spark, d, "*.parquet").select("file_name", "size_bytes", "sha256")
 
 
-@query("a12_table_hash", """SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(sha256(
-  'v' || CAST(event_id AS VARCHAR) || '|v' || CAST(user_id AS VARCHAR) || '|v' || event_type), 1, 15) AS HUGEINT)) AS VARCHAR)
-  AS content_hash FROM events""")
+def _digest_sql(columns: list[str]) -> str:
+    parts = " || '|' || ".join(f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in columns)
+    return f"CAST(sum(CAST('0x' || substr(sha256({parts}), 1, 15) AS HUGEINT)) AS VARCHAR)"
+
+
+_EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query("a12_table_hash", f"SELECT count(*) AS row_count, {_digest_sql(_EVENT_COLUMNS)} AS content_hash FROM events")
 def table_hash(spark, d):
-    return splits.table_hash(T.table(spark, d, "events"), ["event_id", "user_id", "event_type"])
+    return splits.table_hash(T.table(spark, d, "events"), _EVENT_COLUMNS)
 
 
 @query("a13_source_unchanged", "SELECT CAST(0 AS BIGINT) AS changed_files")
@@ -477,10 +483,10 @@ def keep_first_trips(spark, d):
     return topology.keep_first_trips(T.gtfs(spark, d)["stop_times"], 150).select("trip_id", "stop_sequence", "l_partkey", "l_suppkey")
 
 
-@query("d14_service_timestamps", f"""SELECT trip_id, stop_sequence, l_partkey, l_suppkey, timestamp_utc FROM ({EXPANDED_SQL})
-  WHERE service_date = TIMESTAMP '2023-01-02'""", ("sequences",))
+@query("d14_service_timestamps", f"SELECT trip_id, stop_sequence, l_partkey, l_suppkey, timestamp_utc FROM ({EXPANDED_SQL})", ("sequences",))
 def service_timestamps(spark, d):
-    rows = topology.expand_service_days(T.gtfs(spark, d)["stop_times"], *DAYS).filter(F.col("service_date") == F.lit("2023-01-02").cast("date"))
+    """All service days."""
+    rows = topology.expand_service_days(T.gtfs(spark, d)["stop_times"], *DAYS)
     kept = rows.join(T.gtfs(spark, d)["trips"].select("trip_id"), "trip_id", "left_semi")
     return kept.select("trip_id", "stop_sequence", "l_partkey", "l_suppkey", clean_time("timestamp_utc").alias("timestamp_utc"))
 
@@ -672,7 +678,7 @@ def dwell_default(spark, d):
     return rows.select("event_id", "dwell_time_sec")
 
 
-AUDITED = ["hour", "segment_length_km", "previous_segment_run_time", "rolling_prev_segment_mean", "segment_delay_ratio", "temperature_2m"]
+AUDITED = list(schemas.NUMERICAL_FEATURES)
 
 
 @query("f15_leakage_audit", " UNION ALL ".join(
@@ -741,14 +747,17 @@ def candidate_dataset(spark, d):
         recent.select("event_id", F.lit("recent_holdout").alias("role")))
 
 
+_HASHED = ["event_id", "trip_id", "deviceid", "direction", "segment", "timestamp_utc", "run_time_in_seconds", "length", "event_type"]
+
+
 def _hash_sql(source: str) -> str:
-    return (f"(SELECT CAST(sum(CAST('0x' || substr(sha256('v' || CAST(event_id AS VARCHAR) || '|v' || trip_id), 1, 15) AS HUGEINT)) AS VARCHAR) "
-            f"FROM ({source}))")
+    return f"(SELECT {_digest_sql(_HASHED)} FROM ({source}))"
 
 
-_TRAIN = f"SELECT event_id, trip_id FROM split_obs WHERE split = 'train' UNION ALL SELECT event_id, trip_id FROM ({_STREAM}) WHERE part = 'train'"
-_RECENT = f"SELECT event_id, trip_id FROM ({_STREAM}) WHERE part = 'holdout'"
-_ORIGINAL = "SELECT event_id, trip_id FROM split_obs WHERE split = 'validation'"
+_COLUMNS = ", ".join(_HASHED)
+_TRAIN = f"SELECT {_COLUMNS} FROM split_obs WHERE split = 'train' UNION ALL SELECT {_COLUMNS} FROM ({_STREAM}) WHERE part = 'train'"
+_RECENT = f"SELECT {_COLUMNS} FROM ({_STREAM}) WHERE part = 'holdout'"
+_ORIGINAL = f"SELECT {_COLUMNS} FROM split_obs WHERE split = 'validation'"
 
 
 @query("g06_provenance", f"""SELECT *, CAST(0 AS BIGINT) AS shared_rows, CAST(1 AS BIGINT) AS is_disjoint,
@@ -758,4 +767,4 @@ _ORIGINAL = "SELECT event_id, trip_id FROM split_obs WHERE split = 'validation'"
   (SELECT count(*) FROM ({_RECENT})) AS recent_holdout_rows, {_hash_sql(_RECENT)} AS recent_holdout_hash)""", ("split_obs",))
 def provenance(spark, d):
     train, original, recent = _candidate(spark, d)
-    return rounded(splits.provenance(train, original, recent, ["event_id"], ["event_id", "trip_id"]), "holdout_share")
+    return rounded(splits.provenance(train, original, recent, ["event_id"], _HASHED), "holdout_share")
