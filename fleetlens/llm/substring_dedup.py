@@ -28,7 +28,8 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import arrow_map, by_group, keyed_text, mix64, unused
@@ -91,6 +92,7 @@ def passages(docs: DataFrame, key: str, text: str, size: int, gram: int, shards:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column(3)), 0))
         keys, rows = (batch.column(c).to_pylist() for c in (0, 1))
         found: dict[tuple[int, bytes, bool], list[tuple[int, int]]] = {}
         for part in hashed_words(batch.column(2)):
@@ -231,7 +233,10 @@ def with_row(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(_key, _row, spans) of documents with word spans [start, end) that an earlier document has; ``_row`` is the text's hash."""
+    """(_key, of_rows) of keys with word spans [start, end) that an earlier document has, each with the hash of its row's text.
+
+    All texts travel once, dealt by their key: a caller that joins the same rows to the result by the key alone reads the same shuffle again.
+    """
     docs = with_row(df, key, text)
     kind = docs.schema[key].dataType.simpleString()
     hashes = owner_hashes(docs.where(F.col(key).isNotNull()), key, text, size, gram)
@@ -240,9 +245,17 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     asked = materialize(shared.select(key, F.coalesce("owner", "deal").alias("owner")), "shared-owners")
     apart = materialize(asked.groupBy("owner").agg(F.count("*").alias("n")).where(f"n > {shard}").select("owner", F.col("owner").alias("apart")), "frequent-owners")
     lists = asked.join(apart, "owner", "left").groupBy(key).agg(F.collect_set("owner").alias("asked"), F.collect_set("apart").alias("apart"))
-    found = passages(docs.join(lists, key).select(key, "row", text, "asked", "apart"), key, text, size, gram, max(1, -(-asked.count() // shard)))
+    none = F.array().cast("array<long>")
+    joined = docs.join(lists, key, "left").select(key, "row", text, F.coalesce("asked", none).alias("asked"), F.coalesce("apart", none).alias("apart"))
+    found = passages(joined, key, text, size, gram, max(1, -(-asked.count() // shard)))
     spans = by_group(found, ["shard"], answered(key, size), f"`{key}` {kind}, row long, start int, end int")
-    return spans.groupBy(F.col(key).alias("_key"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("row", "start", "end")).alias("of_rows"))
+
+
+def spans_of(row: Column, of_rows: str) -> Column:
+    """The spans of a row's text; null without any."""
+    mine = F.transform(F.filter(of_rows, lambda s: s["row"] == row), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(F.size(mine) > 0, mine)
 
 
 def kept_words(value: str, spans: list | None) -> tuple[list[bytes], np.ndarray]:
@@ -258,7 +271,7 @@ def kept_words(value: str, spans: list | None) -> tuple[list[bytes], np.ndarray]
 def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(key, n_words, n_removed, kept, spans): the kept words joined by one space, and the word spans [start, end) that were cut."""
     spans, docs = repeated_spans(df, key, text, size, gram, shard), with_row(df, key, text)
-    found = docs.join(spans, (F.col(key) == F.col("_key")) & (F.col("row") == F.col("_row")), "left").select(key, text, "spans")
+    found = docs.join(spans, F.col(key) == F.col("_key"), "left").select(key, text, spans_of(F.col("row"), "of_rows").alias("spans"))
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept", "spans")}
@@ -278,10 +291,10 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """The rows, with all their columns, without words that an earlier document has: a text that loses words is its kept words joined
     by a space, other texts stay as they are, and a document of which nothing is left goes."""
-    named = {c: unused(df, c) for c in ("_key", "_row", "spans")}
+    named = {c: unused(df, c) for c in ("_key", "of_rows")}
     spans = repeated_spans(keyed_text(df, key, text), key, text, size, gram, shard).select(*(F.col(c).alias(n) for c, n in named.items()))
-    same = (F.col(key) == F.col(named["_key"])) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(named["_row"]))
-    rows = df.join(spans, same, "left").select(*df.columns, named["spans"])
+    mine = spans_of(F.xxhash64(F.coalesce(text, F.lit(""))), named["of_rows"])
+    rows = df.join(spans, F.col(key) == F.col(named["_key"]), "left").select(*df.columns, mine.alias(unused(df, "spans")))
     at = df.columns.index(text)
 
     def run(batches):
