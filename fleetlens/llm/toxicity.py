@@ -18,6 +18,9 @@ labels of one document count as toxic if any is; an empty table gives no rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 import zlib
@@ -34,7 +37,7 @@ WINDOW, STRIDE, HIDDEN, ATTENTION = 48, 36, 8, 8
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
 TRIGRAMS, EMBEDDED, TOLD = 4096, 6, 6
 #: bytes of words and their inputs that a worker remembers, and what a word takes besides its letters and inputs
-REMEMBERED, PER_WORD = 100_000_000, 200
+REMEMBERED, PER_WORD = 60_000_000, 200
 THRESHOLD = 0.7
 #: most characters of a word, and how many of them the next piece of a longer run repeats; n-grams have at most 5
 PIECE, OVERLAP = 40, 8
@@ -416,8 +419,17 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
     return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double, predicted int")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that; else it stays with the process."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
-    return train(labelled_sample(docs, labels))
+    model = train(labelled_sample(docs, labels))
+    give_back()  # of the sample and of training, before the driver plans what follows
+    return model
 
 
 def passing(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
