@@ -130,8 +130,10 @@ def table_hash(spark, d):
 
 @query("a13_source_unchanged", "SELECT CAST(0 AS BIGINT) AS changed_files")
 def source_unchanged(spark, d):
-    before, after = readers.fingerprints(spark, d, "*.parquet"), readers.fingerprints(spark, d, "*.parquet")
-    return readers.unchanged(before, after).agg(F.count(F.lit(1)).alias("changed_files"))
+    """Fingerprints are written first and compared with those of the files as they then are."""
+    from fleetlens.session import materialize
+    before = materialize(readers.fingerprints(spark, d, "*.parquet"), "fingerprints")
+    return readers.unchanged(before, readers.fingerprints(spark, d, "*.parquet")).agg(F.count(F.lit(1)).alias("changed_files"))
 
 
 # --- profiling and validation -----------------------------------------------------------

@@ -243,3 +243,18 @@ def test_snapshot_quantiles_keep_all_snapshots(spark):
     for w in (1, 2, 3, 100, 203):
         assert got[w] == pytest.approx(tuple(np.quantile(errors[:50 * w], [0.5, 0.9])))
     assert {r.window_index for r in events.snapshot_quantiles(df, ["event_id"], keep=2).collect()} == {202, 203}
+
+
+def test_changed_new_and_missing_files_are_found(spark, tmp_path):
+    from fleetlens.session import materialize
+    from fleetlens.sources import readers
+
+    for name in ("same", "edited", "gone"):
+        (tmp_path / f"{name}.csv").write_text(f"{name},1\n")
+    before = materialize(readers.fingerprints(spark, f"file://{tmp_path}", "*.csv"), "fingerprints")
+    assert readers.unchanged(before, readers.fingerprints(spark, f"file://{tmp_path}", "*.csv")).isEmpty()
+    (tmp_path / "edited.csv").write_text("edited,2\n")
+    (tmp_path / "gone.csv").unlink()
+    (tmp_path / "new.csv").write_text("new,1\n")
+    changed = readers.unchanged(before, readers.fingerprints(spark, f"file://{tmp_path}", "*.csv")).collect()
+    assert {r["path"].rsplit("/", 1)[-1] for r in changed} == {"edited.csv", "gone.csv", "new.csv"}
