@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.columns import melt
-from fleetlens.functions.stats import kolmogorov_p
+from fleetlens.functions.stats import exact_kolmogorov_p, kolmogorov_p
 from fleetlens.ordering import OrderBlocks, Ordered, order_blocks
 from fleetlens.quantiles import cumulative_counts, exact_quantiles, summarize
 
 BINS = 10
+EXACT_SAMPLES = 10_000
 POINT_MASS_SHARE = 0.25
 POINT_MASS_PAD = 1e-4
 
@@ -138,6 +139,13 @@ def ks_two_sample(reference: DataFrame, current: DataFrame, keys: Sequence[str]
     return out.withColumn("p_value", kolmogorov_p(F.col("ks_statistic"), F.col("reference_count"), F.col("current_count")))
 
 
+def with_exact_p(tests: DataFrame, most: int = EXACT_SAMPLES) -> DataFrame:
+    """Exact p-values of KS tests whose samples both have at most ``most`` values; larger samples keep the asymptotic ones."""
+    small = F.greatest("reference_count", "current_count") <= most
+    n1, n2 = (F.when(small, F.col(c)) for c in ("reference_count", "current_count"))  # null: not computed
+    return tests.withColumn("p_value", F.coalesce(exact_kolmogorov_p(F.col("ks_statistic"), n1, n2), F.col("p_value")))
+
+
 def reference_ranks(reference: DataFrame, values: DataFrame, blocks: OrderBlocks | None = None) -> DataFrame:
     """For each distinct (feature, value): reference rows at, through, and in all.
 

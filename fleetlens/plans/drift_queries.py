@@ -234,6 +234,26 @@ def ks_test(spark, d):
     return rounded(out.select("feature", "ks_statistic", "p_value"), "ks_statistic", "p_value")
 
 
+cte("next_windows", f"""SELECT * FROM (SELECT * REPLACE (CASE side WHEN 'c' THEN window_id - 1 ELSE window_id END AS window_id) FROM (
+    SELECT side, idx // 500 AS window_id, feature, value FROM (SELECT unnest(['r', 'c']) AS side, idx, n, feature, value FROM ({_long_sql('scored', 'idx, n')})) WHERE idx // 500 < n // 500))
+  WHERE window_id >= 0 AND window_id < (SELECT max(n) // 500 - 1 FROM scored)""", "scored")
+
+
+@query("o03_exact_p_values", f"""SELECT window_id, feature, {s6('ks')} AS ks_statistic, {s6("""CASE WHEN h = 0 THEN 1 ELSE least(2 * list_sum(list_transform(range(1, 500 // h + 1),
+    lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(2 * lgamma(501) - lgamma(501 - k * h) - lgamma(501 + k * h)))), 1) END""")} AS p_value
+  FROM (SELECT window_id, feature, ks, CAST(round(ks * 500) AS BIGINT) AS h FROM (SELECT window_id, feature, max(abs(r - c)) / 500.0 AS ks FROM (
+    SELECT window_id, feature, value, sum(sum(CASE side WHEN 'r' THEN 1 ELSE 0 END)) OVER w AS r, sum(sum(CASE side WHEN 'c' THEN 1 ELSE 0 END)) OVER w AS c
+    FROM next_windows GROUP BY window_id, feature, value WINDOW w AS (PARTITION BY window_id, feature ORDER BY value)) GROUP BY 1, 2))""", ("next_windows",))
+def exact_p_values(spark, d):
+    """Each full window of 500 records against the next one."""
+    rows = materialize(T.scored_stream(spark, d), "scored").withColumn("window_id", F.floor(F.col("idx") / 500))
+    rows = rows.filter(F.col("window_id") < F.floor(F.col("n") / 500))
+    late = rows.withColumn("window_id", F.col("window_id") - 1)
+    first, second = (drift_stats.feature_rows(x, ["window_id"], FEATURES) for x in (rows, late))
+    found = drift_stats.with_exact_p(drift_stats.ks_two_sample(first, second, ("window_id", "feature")))
+    return rounded(found.select("window_id", "feature", "ks_statistic", "p_value"), "ks_statistic", "p_value")
+
+
 @query("o06_wasserstein", f"SELECT feature, {s6('coalesce(sum(abs(f1 - f2) * gap), 0)')} AS wasserstein FROM ({_TWO_SAMPLE}) GROUP BY 1", ("ref_long", "cur"))
 def wasserstein(spark, d):
     reference, current = inputs(spark, d)

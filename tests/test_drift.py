@@ -376,3 +376,24 @@ def test_lifecycle_rules(spark):
     assert status.first().status == "PRODUCTION"
     models = spark.createDataFrame([("m", None)], "model_id string, parent_model_id string")
     assert lifecycle.rollback_targets(status, models, "first_champion").first().rollback_to == "first_champion"
+
+
+def test_exact_p_values_equal_enumeration_and_closed_form(spark):
+    from itertools import combinations
+
+    from fleetlens.functions.stats import path_share
+
+    for n1, n2 in ((1, 1), (3, 4), (5, 5), (2, 9)):
+        gaps = []
+        for chosen in combinations(range(n1 + n2), n1):
+            i = np.cumsum([k in chosen for k in range(n1 + n2)])
+            gaps.append(round(np.abs(i * n2 - (np.arange(1, n1 + n2 + 1) - i) * n1).max()))
+        for g in range(n1 * n2 + 1):
+            assert path_share(g / (n1 * n2), n1, n2) == pytest.approx(np.mean(np.array(gaps) >= g))
+    for n, h in ((500, 3), (500, 40), (500, 130), (200, 200)):
+        lg = math.lgamma
+        want = 2 * sum((-1) ** (k + 1) * math.exp(2 * lg(n + 1) - lg(n + 1 - k * h) - lg(n + 1 + k * h)) for k in range(1, n // h + 1))
+        assert path_share(h / n, n, n) == pytest.approx(min(want, 1.0), rel=1e-9)
+    tests = spark.createDataFrame([(0.5, 4, 6, 0.9), (0.5, 20_000, 6, 0.25), (0.1, 0, 5, 0.7)], "ks_statistic double, reference_count long, current_count long, p_value double")
+    got = [r.p_value for r in drift_stats.with_exact_p(tests).orderBy("reference_count").collect()]
+    assert got[0] == 0.7 and got[1] == pytest.approx(path_share(0.5, 4, 6)) and got[2] == 0.25
