@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators import drift_stats as S
-from fleetlens.operators.drift_windows import DriftConfig, pane_counts, panes_to_windows
+from fleetlens.operators.drift_windows import DriftConfig, category_pane_counts, pane_counts, panes_to_windows
 from fleetlens.ordering import OrderBlocks
 from fleetlens.schemas import KINEMATIC_FEATURES, WEATHER_FEATURES
 
@@ -84,10 +84,40 @@ def classify_numeric(stats: DataFrame, cfg: DriftConfig = DriftConfig()) -> Data
         "is_drift", F.when(F.col("severity").isin("MEDIUM", "HIGH", "CRITICAL"), 1).otherwise(0).cast("long"))
 
 
+def window_category_stats(rows: DataFrame, features: Sequence[str], reference: DataFrame, keys: Sequence[str] = (),
+                          cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """PSI per (keys, window, category column) of indexed wide rows.
+
+    ``reference`` is a ``categorical_profile``. Categories are counted per pane, and panes are summed for their windows.
+    ``sample_count`` is the window's records, those without a category too; a window without any category has no PSI.
+    """
+    keys = list(keys)
+    per = [*keys, "window_id", "feature"]
+    panes = category_pane_counts(rows, keys, features, cfg)
+    windows = panes_to_windows(panes, cfg).groupBy(*per, "category").agg(F.sum("records").alias("records"))
+    sizes = windows.groupBy(*per).agg(F.sum("records").alias("sample_count"))
+    psi = S.categorical_psi(reference, windows.filter(F.col("category").isNotNull()), [*keys, "window_id"])
+    known = reference.groupBy("feature").agg(F.sum("records").alias("ref_sample_count"))
+    return sizes.join(psi, per, "left").join(known, "feature")
+
+
 def classify_categorical(stats: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
     """Category shifts warn at most."""
-    return stats.withColumn("severity", F.when(F.col("psi") >= cfg.categorical_low, "LOW").otherwise("NONE")).withColumn(
-        "is_drift", F.lit(0).cast("long"))
+    return stats.withColumns({
+        "category": F.lit("context"), "severity": F.when(F.col("psi") >= cfg.categorical_low, "LOW").otherwise("NONE"),
+        "is_drift": F.lit(0).cast("long")})
+
+
+RESULT = ["feature", "feature_type", "detector", "category", "psi", "threshold", "js_distance", "ks_statistic", "adjusted_p", "curr_mean",
+          "ref_mean", "categories", "sample_count", "ref_sample_count", "severity", "is_drift"]
+
+
+def feature_results(numeric: DataFrame, categorical: DataFrame, keys: Sequence[str] = (), cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """One row per (keys, window, feature) of classified numeric and category columns; what a kind lacks is null."""
+    kinds = ((numeric, "numerical", "PSI_KS_HYBRID", cfg.psi_drift), (categorical, "categorical", "CATEGORICAL_PSI", cfg.categorical_threshold))
+    parts = [stats.withColumns({"feature_type": F.lit(kind), "detector": F.lit(detector), "threshold": F.lit(threshold)})
+             for stats, kind, detector, threshold in kinds]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).select(*keys, "window_id", *RESULT)
 
 
 def feature_ranking(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -89,6 +89,14 @@ def pane_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str], cfg
     return long.groupBy(*ids, "feature", "value").agg(F.count(F.lit(1)).alias("records"))
 
 
+def category_pane_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], cfg: DriftConfig = DriftConfig()) -> DataFrame:
+    """Counts per (keys, pane, feature, category); records without a category have a null one."""
+    ids = [*keys, "n", "pane"]
+    text = df.withColumn("pane", F.floor(F.col("idx") / gcd(cfg.window_size, cfg.step_size)).cast("long")).select(
+        *ids, *[F.col(c).cast("string").alias(c) for c in columns])
+    return text.unpivot(ids, list(columns), "feature", "category").groupBy(*ids, "feature", "category").agg(F.count(F.lit(1)).alias("records"))
+
+
 def panes_to_windows(panes: DataFrame, cfg: DriftConfig = DriftConfig()) -> DataFrame:
     """Repeat pane aggregates for the windows that hold the pane."""
     unit = gcd(cfg.window_size, cfg.step_size)

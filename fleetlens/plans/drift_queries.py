@@ -279,33 +279,44 @@ def jensen_shannon(spark, d):
     return rounded(out.select("window_id", "feature", "js_distance"), "js_distance")
 
 
-@query("o07_categorical_psi", f"""SELECT window_id, feature, {s6('greatest(sum((q - p) * ln(q / p)), 0)')} AS psi, count(*) AS categories FROM (
-  SELECT *, rp / sum(rp) OVER w AS p, cp / sum(cp) OVER w AS q FROM (SELECT k.window_id, k.feature, k.category,
+cte("one_categories", f"""SELECT window_id, feature, greatest(sum((q - p) * ln(q / p)), 0) AS psi, count(*) AS categories, CAST(max(n_cur) AS BIGINT) AS sample_count,
+  CAST(max(n_ref) AS BIGINT) AS ref_sample_count FROM (
+  SELECT *, rp / sum(rp) OVER w AS p, cp / sum(cp) OVER w AS q FROM (SELECT k.window_id, k.feature, k.category, sum(r.records) OVER v AS n_ref, sum(c.records) OVER v AS n_cur,
     greatest(coalesce(r.records, 0) / sum(coalesce(r.records, 0)) OVER v, 1e-4) AS rp, greatest(coalesce(c.records, 0) / sum(coalesce(c.records, 0)) OVER v, 1e-4) AS cp
     FROM (SELECT DISTINCT w.window_id, x.feature, x.category FROM (SELECT DISTINCT window_id FROM one_win) w, ({_categories_sql('ref', '')}) x
           UNION SELECT window_id, feature, category FROM ({_categories_sql('one_win', 'window_id')})) k
     LEFT JOIN ({_categories_sql('ref', '')}) r USING (feature, category)
     LEFT JOIN ({_categories_sql('one_win', 'window_id')}) c ON c.window_id = k.window_id AND c.feature = k.feature AND c.category = k.category
-    WINDOW v AS (PARTITION BY k.window_id, k.feature)) WINDOW w AS (PARTITION BY window_id, feature)) GROUP BY ALL""", ("ref", "one_win"))
+    WINDOW v AS (PARTITION BY k.window_id, k.feature)) WINDOW w AS (PARTITION BY window_id, feature)) GROUP BY ALL""", "ref", "one_win")
+cte("one_results", """SELECT window_id, feature, 'numerical' AS feature_type, 'PSI_KS_HYBRID' AS detector, category, psi, 0.25::DOUBLE AS threshold, js_distance, ks_statistic,
+    adjusted_p, curr_mean, ref_mean, CAST(NULL AS BIGINT) AS categories, sample_count, ref_sample_count, severity FROM one_judged
+  UNION ALL SELECT window_id, feature, 'categorical', 'CATEGORICAL_PSI', 'context', psi, 0.25::DOUBLE, NULL, NULL, NULL, NULL, NULL, categories, sample_count,
+    ref_sample_count, CASE WHEN psi >= 0.6 THEN 'LOW' ELSE 'NONE' END FROM one_categories""", "one_judged", "one_categories")
+
+
+@query("o07_categorical_psi", f"SELECT window_id, feature, {s6('psi')} AS psi, categories FROM one_categories", ("one_categories",))
 def categorical_psi(spark, d):
     reference, current = inputs(spark, d)
-    windows = drift_windows.sliding_windows(current)
-    long = windows.select("window_id", *[F.col(c).cast("string").alias(c) for c in CATEGORICAL_FEATURES]).unpivot(
-        ["window_id"], CATEGORICAL_FEATURES, "feature", "category")
-    counts = long.groupBy("window_id", "feature", "category").agg(F.count(F.lit(1)).alias("records"))
-    out = drift_stats.categorical_psi(drift_stats.categorical_profile(reference, CATEGORICAL_FEATURES), counts, ["window_id"])
-    return rounded(out, "psi")
+    out = drift_detect.window_category_stats(current, CATEGORICAL_FEATURES, drift_stats.categorical_profile(reference, CATEGORICAL_FEATURES))
+    return rounded(out.select("window_id", "feature", "psi", "categories"), "psi")
+
+
+def all_results(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """All 29 inputs of each window, judged."""
+    vocabulary = materialize(drift_stats.categorical_profile(reference, CATEGORICAL_FEATURES), "categories")
+    stats = drift_detect.window_category_stats(rows, CATEGORICAL_FEATURES, vocabulary, ["scenario_id"], CFG)
+    return drift_detect.feature_results(judged(rows, reference), drift_detect.classify_categorical(stats, CFG), ["scenario_id"], CFG)
 
 
 _STATS = ["psi", "js_distance", "ks_statistic", "adjusted_p", "curr_mean", "ref_mean"]
 
 
-@query("o08_window_features", "SELECT window_id, feature, sample_count, ref_sample_count, " + ", ".join(f"{s6(c)} AS {c}" for c in _STATS) + " FROM one_stats", ("one_stats",))
+@query("o08_window_features", "SELECT window_id, feature, feature_type, detector, threshold, categories, sample_count, ref_sample_count, " + ", ".join(f"{s6(c)} AS {c}" for c in _STATS)
+       + " FROM one_results", ("one_results",))
 def window_features(spark, d):
     reference, current = inputs(spark, d)
-    out = drift_detect.window_feature_stats(one_scenario(current), FEATURES, profile_of(reference), reference_long(reference),
-                                            ["scenario_id"], CFG, value_blocks(reference))
-    return rounded(out.select("window_id", "feature", "sample_count", "ref_sample_count", *_STATS), *_STATS)
+    out = all_results(one_scenario(current), reference)
+    return rounded(out.select("window_id", "feature", "feature_type", "detector", "threshold", "categories", "sample_count", "ref_sample_count", *_STATS), *_STATS)
 
 
 @query("o09_count_windows", """SELECT window_id, min(i) AS window_start_idx, max(i) AS window_end_idx, count(*) AS sample_count FROM (
@@ -318,10 +329,10 @@ def count_windows(spark, d):
 
 def _severity_query(name: str, category: str):
     @query(name, f"""SELECT window_id, feature, severity, CAST(severity IN ('MEDIUM', 'HIGH', 'CRITICAL') AS BIGINT) AS is_drift
-      FROM one_judged WHERE category = '{category}'""", ("one_judged",))
+      FROM one_results WHERE category = '{category}'""", ("one_results",))
     def run(spark, d):
         reference, current = inputs(spark, d)
-        out = judged(one_scenario(current), reference).filter(F.col("category") == category)
+        out = all_results(one_scenario(current), reference).filter(F.col("category") == category)
         return out.select("window_id", "feature", "severity", "is_drift")
     return run
 
@@ -509,10 +520,10 @@ def drift_status(spark, d):
 
 @query("o20_feature_ranking", f"""SELECT feature, {s6('max(psi)')} AS max_psi, {s6('median(psi)')} AS median_psi, {s6('max(ks_statistic)')} AS max_ks,
   {s6('min(adjusted_p)')} AS min_p, {s6('max(js_distance)')} AS max_js, CAST(sum(CASE WHEN severity IN ('MEDIUM', 'HIGH', 'CRITICAL') THEN 1 ELSE 0 END) AS BIGINT)
-  AS windows_flagged, count(*) AS windows FROM one_judged GROUP BY 1""", ("one_judged",))
+  AS windows_flagged, count(*) AS windows FROM one_results GROUP BY 1""", ("one_results",))
 def feature_ranking(spark, d):
     reference, current = inputs(spark, d)
-    return rounded(drift_detect.feature_ranking(judged(one_scenario(current), reference)), "max_psi", "median_psi", "max_ks", "min_p", "max_js")
+    return rounded(drift_detect.feature_ranking(all_results(one_scenario(current), reference)), "max_psi", "median_psi", "max_ks", "min_p", "max_js")
 
 
 @query("o21_scenario_drift", f"{_SUMMARY} GROUP BY 1", ("every_event",))
