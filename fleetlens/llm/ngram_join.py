@@ -174,7 +174,7 @@ def leader_edges(batch: pa.RecordBatch, similarity: float) -> dict:
 
 
 def bucket_rows(sets: DataFrame) -> DataFrame:
-    """(bucket, node, members) of buckets that hold several nodes: those of each level that aren't too large, and all that are left
+    """(bucket, node, members), from a row per class of equal sets, of buckets that hold several nodes: those of each level that aren't too large, and all that are left
     on the last."""
     out, large = None, None
     for i in range(LEVELS):
@@ -239,9 +239,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     kind = sets.schema["doc"].dataType.simpleString()
     # 1: classes of equal sets
     classes = materialize(sets.where("size > 0").groupBy("key").agg(F.min("node").alias("node"), F.min("doc").alias("rep"), F.countDistinct("doc").alias("copies")), "ngram-classes")
+    # only the least document of a class goes on; it is met by its own key, as the class's key may be that of very many rows
+    firsts = materialize(sets.join(classes.select(F.col("rep").alias("doc"), "key"), ["doc", "key"], "left_semi").drop("doc", "key"), "ngram-nodes")
     # 2: components of what looks alike, first by each bucket's least node, then among components
-    buckets = materialize(bucket_rows(sets.where("size > 0")), "buckets")
-    slim = sets.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"))
+    buckets = materialize(bucket_rows(firsts), "buckets")
+    slim = firsts.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"))
     slim = materialize(slim, "sketches")
     some = buckets.where(F.pmod("bucket", F.lit(LEADERS)) == 0)
     leads = some.groupBy("bucket").agg(F.min("node").alias("lead"))
