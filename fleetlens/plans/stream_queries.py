@@ -11,7 +11,7 @@ from fleetlens.plans import testbed as T
 from fleetlens.plans.decision_queries import LABEL
 from fleetlens.plans.drift_queries import CFG, _FOUND
 from fleetlens.plans.evaluation_queries import _LATEST, scenario_sql
-from fleetlens.plans.registry import clean_time, query, rounded, s6
+from fleetlens.plans.registry import clean_time, cte, query, rounded, s6
 from fleetlens.session import materialize, scratch_path
 from fleetlens.sources import readers, writers
 from fleetlens.streaming import jobs
@@ -56,6 +56,30 @@ def resolution(spark, d):
     return rounded(out.select("idx", "predicted", "actual", clean_time("predicted_at").alias("predicted_at")), "predicted", "actual")
 
 
+# every 7th outcome never comes, every 11th comes three hours after its time
+cte("told", """SELECT idx, predicted, actual, timestamp_utc AS predicted_at, timestamp_utc + to_microseconds(CAST(round(actual * 1e6) AS BIGINT)) +
+  CASE WHEN event_id % 11 = 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END AS observed_at, event_id % 7 <> 0 AS comes FROM scored""", "scored")
+cte("judged_outcomes", """SELECT *, comes AND observed_at BETWEEN predicted_at AND predicted_at + INTERVAL 2 HOUR AS fits,
+  greatest(max(predicted_at) OVER (), max(CASE WHEN comes THEN observed_at END) OVER ()) AS clock FROM told""", "told")
+
+
+@query("stream_n02_late_outcomes", f"""SELECT idx, {s6('predicted')} AS predicted, {s6('CASE WHEN fits THEN actual END')} AS actual,
+    CASE WHEN fits THEN 'RESOLVED' WHEN predicted_at + INTERVAL 26 HOUR < clock THEN 'UNRESOLVED' ELSE 'OPEN' END AS status FROM judged_outcomes
+  UNION ALL SELECT idx, NULL, {s6('actual')}, CASE WHEN observed_at + INTERVAL 24 HOUR < clock THEN 'ORPHAN' ELSE 'OPEN' END FROM judged_outcomes WHERE comes AND NOT fits""", ("judged_outcomes",))
+def late_outcomes(spark, d):
+    """Predictions and outcomes of which some are missing or too late: each row leaves once."""
+    rows = T.scored_stream(spark, d)
+    rows = materialize(rows.select("idx", "predicted", "actual", "timestamp_utc", "event_id"), "stream-rows")
+    predicted = replayed(rows.select(F.col("idx").alias("prediction_id"), "predicted", F.col("timestamp_utc").alias("predicted_at")), "predictions", ("predicted_at", "prediction_id"))
+    late = F.when(F.col("event_id") % 11 == 0, 3 * 3600 * 1_000_000).otherwise(0)
+    seen = F.timestamp_micros(F.unix_micros("timestamp_utc") + F.round(F.col("actual") * 1e6).cast("long") + late)
+    observed = replayed(rows.filter("event_id % 7 != 0").select(F.col("idx").alias("prediction_id"), "actual", seen.alias("observed_at")), "outcomes", ("observed_at", "prediction_id"))
+    folder = scratch_path(spark, "outcomes-settled")
+    jobs.settle_outcomes(predicted, observed, folder, scratch_path(spark, "checkpoint"), delay="2 HOURS", late="24 HOURS").awaitTermination()
+    out = jobs.settled_outcomes(spark, folder)
+    return rounded(out.select(F.col("id").alias("idx"), "prediction.predicted", "outcome.actual", "status"), "predicted", "actual")
+
+
 @query("stream_n04_latest_state", _LATEST, ("obs",))
 def latest_state(spark, d):
     rows = T.observations(spark, d).select("deviceid", "event_id", "timestamp_utc", "segment")

@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -66,6 +67,70 @@ def resolve_outcomes(predicted: DataFrame, observed: DataFrame, delay: str = "1
     return p.join(o, (F.col("prediction_id") == F.col("_pid")) & bound).drop("_pid")
 
 
+def settle_outcomes(predicted: DataFrame, observed: DataFrame, folder: str, checkpoint: str, key: str = "prediction_id", predicted_at: str = "predicted_at",
+                    observed_at: str = "observed_at", delay: str = "1 hour", late: str = "1 hour") -> StreamingQuery:
+    """Every prediction and every outcome leaves exactly once: resolved, unresolved or orphaned; read them with ``settled_outcomes``.
+
+    An outcome resolves the prediction of its id if it was observed within ``delay`` after it. What found no partner waits in a table
+    of open rows, and leaves once the newest time seen is more than ``late`` beyond its last chance: a prediction as UNRESOLVED, an
+    outcome as ORPHAN. Unlike with a join by watermark, an outcome that comes too late is kept, as an orphan. Open rows are those of the last
+    ``delay`` + ``late``, so a batch's work doesn't grow with the history.
+
+    Batch n reads the open rows that batch n - 1 wrote and writes its own to the other of two folders, and its results to a folder of
+    its number, so a repeated batch gives the same files. Of several fitting outcomes the earliest counts and the others become orphans;
+    predictions that share an id share its outcome if they are open together; rows without an id or a time find no partner, and those
+    without a time leave at once.
+    """
+    p, o = F.struct(*predicted.columns).alias("prediction"), F.struct(*observed.columns).alias("outcome")
+    left = predicted.select(F.col(key).alias("id"), F.col(predicted_at).cast("timestamp").alias("at"), p)
+    right = observed.select(F.col(key).alias("id"), F.col(observed_at).cast("timestamp").alias("at"), o)
+    both = left.unionByName(right, allowMissingColumns=True)
+    wait, grace = F.expr(f"INTERVAL {delay}"), F.expr(f"INTERVAL {late}")
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, mine, other = batch.sparkSession, number % 2, (number + 1) % 2
+        rows, clocks = batch, batch.agg(F.max("at").alias("clock"))
+        if number:
+            rows = rows.unionByName(spark.read.schema(both.schema).parquet(f"{folder}/open/{other}"))
+            clocks = clocks.unionByName(spark.read.parquet(f"{folder}/clock/{other}").select("clock"))
+        clocks.agg(F.max("clock").alias("clock")).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/clock/{mine}")
+        clock = F.lit(spark.read.parquet(f"{folder}/clock/{mine}").first()["clock"]).cast("timestamp")
+        made, seen = rows.filter(F.col("prediction").isNotNull()), rows.filter(F.col("outcome").isNotNull())
+        first = made.groupBy("id").agg(F.min("at").alias("_from"))
+        fitting = seen.join(first, "id").filter(F.col("at").between(F.col("_from"), F.col("_from") + wait))
+        taken = fitting.groupBy("id").agg(F.min("at").alias("_taken"), F.min(F.struct("at", "outcome"))["outcome"].alias("_outcome"))
+
+        def state(last: Column, gone: str) -> Column:
+            return F.when(F.coalesce(last + grace < clock, F.lit(True)), gone).otherwise("OPEN")
+
+        kept = [*both.columns, "status"]
+        predictions = made.join(taken, "id", "left").withColumn("outcome", F.col("_outcome")).withColumn(
+            "status", F.when(F.col("_taken").isNotNull(), "RESOLVED").otherwise(state(F.col("at") + wait, "UNRESOLVED"))).select(*kept)
+        same = F.col("outcome").eqNullSafe(F.col("_outcome"))
+        outcomes = seen.join(taken, "id", "left").filter(~F.coalesce(same & F.col("_taken").isNotNull(), F.lit(False))).withColumn(
+            "status", state(F.col("at"), "ORPHAN")).select(*kept)
+        judged = predictions.unionByName(outcomes).persist()
+        judged.filter("status != 'OPEN'").write.mode("overwrite").parquet(f"{folder}/settled/batch={number}")
+        judged.filter("status = 'OPEN'").drop("status").write.mode("overwrite").parquet(f"{folder}/open/{mine}")
+        judged.unpersist()
+
+    return both.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def settled_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, at, prediction, outcome, status) of a stopped ``settle_outcomes``; what still waits is OPEN."""
+    last = max((spark.read.parquet(f"{folder}/clock/{side}").first()["batch"], side) for side in (0, 1) if _written(spark, f"{folder}/clock/{side}"))[1]
+    settled = spark.read.parquet(f"{folder}/settled").drop("batch")
+    return settled.unionByName(spark.read.parquet(f"{folder}/open/{last}").withColumn("status", F.lit("OPEN")))
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def latest_state(stream: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Newest row per key; one row of state per key."""
     return latest_per_key(stream, key, order)

@@ -62,7 +62,7 @@ def main() -> int:
     import __spark_entry__ as entry
     from fleetlens.session import build_session
 
-    spark = build_session("oracle-check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+    spark = build_session("oracle-check", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
                           spark__driver__memory="12g", spark__driver__host="127.0.0.1")
     spark.sparkContext.setLogLevel("ERROR")
     if args.blocks:

@@ -397,3 +397,35 @@ def test_exact_p_values_equal_enumeration_and_closed_form(spark):
     tests = spark.createDataFrame([(0.5, 4, 6, 0.9), (0.5, 20_000, 6, 0.25), (0.1, 0, 5, 0.7)], "ks_statistic double, reference_count long, current_count long, p_value double")
     got = [r.p_value for r in drift_stats.with_exact_p(tests).orderBy("reference_count").collect()]
     assert got[0] == 0.7 and got[1] == pytest.approx(path_share(0.5, 4, 6)) and got[2] == 0.25
+
+
+def test_categories_of_windows(spark):
+    """Category columns against the plain formula; records without a category, a new one, and a window that has none."""
+    from math import log
+
+    from fleetlens.operators import drift_detect, drift_stats
+    from fleetlens.operators.drift_windows import DriftConfig
+    cfg = DriftConfig(window_size=4, step_size=2, min_window_size=2)
+    line = ["a", "b", "a", None, "c", "c", "c", "c", None, None, None, None]
+    rows = spark.createDataFrame([(i, len(line), v) for i, v in enumerate(line)], "idx long, n long, segment string")
+    reference = drift_stats.categorical_profile(spark.createDataFrame([(x,) for x in "aaabbd"], "segment string"), ["segment"])
+    stats = drift_detect.classify_categorical(drift_detect.window_category_stats(rows, ["segment"], reference, cfg=cfg), cfg)
+    got = {r["window_id"]: r for r in stats.collect()}
+
+    def plain(values):
+        ref = {"a": 3, "b": 2, "d": 1}
+        names = sorted({*ref, *values})
+        p = [max(ref.get(x, 0) / 6, 1e-4) for x in names]
+        q = [max(values.count(x) / len(values), 1e-4) for x in names]
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return sum((b - a) * log(b / a) for a, b in zip(p, q, strict=True))
+
+    starts = range(0, 11, 2)
+    assert sorted(got) == list(range(len(starts)))
+    for w, start in enumerate(starts):
+        values = [v for v in line[start:start + 4] if v]
+        assert got[w]["sample_count"] == len(line[start:start + 4]) and got[w]["ref_sample_count"] == 6 and got[w]["is_drift"] == 0
+        if values:
+            assert abs(got[w]["psi"] - plain(values)) < 1e-9 and got[w]["severity"] == ("LOW" if plain(values) >= 0.6 else "NONE")
+        else:
+            assert got[w]["psi"] is None and got[w]["severity"] == "NONE"
