@@ -20,6 +20,7 @@ still have to confirm).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import product
 
@@ -103,6 +104,31 @@ def beside(family: str) -> list[list[str]]:
     return [[f"{b} {w}"] for w in words for b in BEFORE] + [[f"{w} {a}"] for w in words for a in [*AFTER, *firsts]]
 
 
+def plain(template: str) -> list[str]:
+    """The words of a template; templates are plain ASCII."""
+    return re.findall("[a-z0-9]+", template.lower())
+
+
+def hint_words() -> list[str]:
+    """Words of which a paragraph has at least one if any template can confirm it.
+
+    A template is confirmed by ``CONFIRMED`` of its pairs, so words are taken from it, longest first, until the pairs without one of
+    them are too few. Pairs that stand beside a one-word name hold the name itself.
+    """
+    hints: set[str] = set()
+    for template in sorted(t for texts in (*NAMES.values(), *TEXTS.values()) for t in texts):
+        words = plain(template)
+        pairs = set(zip(words, words[1:], strict=False)) or {(words[0],)}
+        while len(left := [p for p in pairs if hints.isdisjoint(p)]) >= CONFIRMED * len(pairs):
+            hints.add(max((w for p in left for w in p), key=lambda w: (len(w), w)))
+    return sorted(hints)
+
+
+def worth_judging(words: Column) -> Column:
+    """Whether a template can be confirmed by these words; all others are left out before they are counted and scored."""
+    return F.arrays_overlap(words, F.lit(hint_words()))
+
+
 def features(df: DataFrame, text: str) -> DataFrame:
     """Adds ``words`` and the sparse counts ``features``."""
     return counted(df.withColumn("words", words_of(F.col(text))))
@@ -120,13 +146,14 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, said, block, line, words) of lines, and of windows over blocks (line is null); ``said`` tells texts of one key apart."""
+    """(key, said, block, line, words) of lines, and of windows over blocks (line is null), that a template may confirm; ``said`` tells
+    texts of one key apart."""
     blocks = docs.select(key, F.xxhash64(text).alias("said"), F.posexplode(F.split(text, r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*")).alias("block", "body"))
-    lines = blocks.select(key, "said", "block", F.posexplode(F.split("body", "\n")).alias("line", "text")).where(F.trim("text") != "").withColumn("words", words_of(F.col("text"))).drop("text")
-    joined = blocks.withColumn("words", words_of(F.regexp_replace("body", r"(?mi)^\s*(rem|dnl)\b", " "))).where(F.contains("body", F.lit("\n")) | (F.size("words") > WINDOW))
+    lines = blocks.select(key, "said", "block", F.posexplode(F.split("body", "\n")).alias("line", "text")).where(F.trim("text") != "").withColumn("words", words_of(F.col("text"))).drop("text").where(worth_judging(F.col("words")))
+    joined = blocks.withColumn("words", words_of(F.regexp_replace("body", r"(?mi)^\s*(rem|dnl)\b", " "))).where((F.contains("body", F.lit("\n")) | (F.size("words") > WINDOW)) & worth_judging(F.col("words")))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - (WINDOW - STRIDE) - 1), F.lit(STRIDE))
     wide = joined.withColumn("start", F.explode(starts)).select(key, "said", "block", F.lit(None).cast("int").alias("line"), F.slice("words", F.col("start") + 1, F.lit(WINDOW)).alias("words"))
-    return lines.unionByName(wide)
+    return lines.unionByName(wide.where(worth_judging(F.col("words"))))
 
 
 def template_share(told: Column, pairs: Column) -> Column:

@@ -54,3 +54,26 @@ def test_wrapped_notices_and_dual_licences(spark):
     got = {r["doc_id"]: r["families"] for r in licences.documents_with_licences(df, model).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
     assert max(len(re.findall(r"[^\W_]+", t)) for texts in (*licences.NAMES.values(), *licences.TEXTS.values()) for t in texts) <= licences.WINDOW - licences.STRIDE
+
+
+def test_hint_words_are_in_all_that_can_be_confirmed():
+    hints = set(licences.hint_words())
+    for family, texts in licences.NAMES.items():
+        for template in (*texts, *licences.TEXTS.get(family, [])):
+            words = licences.plain(template)
+            pairs = set(zip(words, words[1:])) or {tuple(words)}
+            assert sum(1 for p in pairs if not hints & set(p)) < licences.CONFIRMED * len(pairs)
+        assert all(hints & set(p.split()) for one in licences.beside(family) for p in one)
+
+
+def test_units_without_hint_words_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(-i, t) for i, t in enumerate([*WRAPPED.values(), "Licensed under Apache-2.0 OR MIT", "mit und ohne", "CC0", "The Unlicense"], 1)], "doc_id long, text string")
+    model = licences.fit(docs)
+
+    def rows():
+        return sorted(tuple(r) for r in licences.documents_with_licences(docs.unionByName(more), model).select("doc_id", "n_paragraphs", "n_licences", "families", "probability").collect())
+
+    got = rows()
+    monkeypatch.setattr(licences, "worth_judging", lambda words: licences.F.lit(True))
+    assert got == rows()
