@@ -53,15 +53,16 @@ def replay(df: DataFrame, where: dict[str, object] | None = None, order: tuple[s
     return out.orderBy(*order)
 
 
-def write_replay_files(df: DataFrame, path: str, order: tuple[str, ...], rows_per_file: int = 1_000_000) -> None:
-    """Time-ordered files for a replayed stream, of bounded size.
+def write_replay_files(df: DataFrame, path: str, order: tuple[str, ...], rows_per_file: int = 1_000_000, least: int = 1) -> None:
+    """Time-ordered files for a replayed stream, of bounded size; small tables are dealt over at least ``least``.
 
     The file source reads files by modification time, so the time ranges are
     written one after another; rows are tagged with their range and stored once.
     """
     spark = df.sparkSession
     stored = materialize(df, "replay-rows")
-    blocks = order_blocks(stored.select(order[0]), order[0], rows_per_file)
+    rows = max(min(rows_per_file, -(-stored.count() // least)), 1)
+    blocks = order_blocks(stored.select(order[0]), order[0], rows)
     ranged = scratch_path(spark, "replay-ranges")
     blocks.tag(stored, "_range").write.partitionBy("_range").parquet(ranged)
     source = spark.read.parquet(ranged)
