@@ -499,8 +499,11 @@ _SPEED = """coalesce(CASE WHEN segment_time_sec > 0 THEN least(greatest(segment_
 
 
 def _trajectory(spark, d):
-    rows = topology.expand_service_days(T.sequences(spark, d), *DAYS)
-    return topology.scheduled_trajectory(rows, ["timestamp_utc", "l_partkey", "l_suppkey", "l_extendedprice"])
+    blocks = T.stop_blocks(spark, d)
+    rows = topology.expand_service_days(T.sequences(spark, d, blocks), *DAYS)
+    # a trip that fits a block does so on every service day
+    return topology.scheduled_trajectory(rows, ["timestamp_utc", "l_partkey", "l_suppkey", "l_extendedprice"],
+                                         blocks=blocks if blocks.fits(["trip_id"]) else None)
 
 
 @query("d15_scheduled_speed", f"""SELECT CAST(service_date AS DATE) AS service_date, stop_sequence, count(segment_time_sec) AS segments,

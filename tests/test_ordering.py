@@ -81,3 +81,32 @@ def test_kth_of_prefixes_equals_sorting():
         k = np.array([r.integers(0, weights[:e].sum()) for e in ends])
         want = [np.sort(np.repeat(ranks[:e], weights[:e]))[i] for e, i in zip(ends, k, strict=True)]
         assert kth_of_prefixes(ranks, weights, ends, k).tolist() == want
+
+
+def ordered(df, blocks):
+    return (Ordered(df, ["key"], ["ts", "event_id"], blocks).row_number("rn").lag("x", 2, "l2").lead("x", "nx").running_sum("x", "run")
+            .total("count", "x", "n").frame())
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_that_fit_a_block_take_the_plain_window(spark, skewed):
+    rows = skewed.filter("key <> 'hot'")
+    blocks = order_blocks(rows, "ts", rows_per_block=150)
+    assert len(blocks.cuts) > 1
+    for known in (blocks, blocks.settle(rows, ["key"])):
+        out = ordered(rows, known)
+        assert "Join" not in plan(out)
+        pd.testing.assert_frame_equal(out.orderBy("event_id").toPandas(), ordered(rows, order_blocks(rows, "ts", 10**9)).orderBy("event_id").toPandas())
+    assert blocks.settle(rows, ["key"]).fits(["day", "key"]) and not blocks.settle(skewed, ["key"]).fits(["key"])
+
+
+def test_long_keys_that_hold_most_rows_and_null_keys(spark, skewed):
+    for key in (F.when(F.col("event_id") % 9 != 0, "hot").otherwise(F.col("key")), F.when(F.col("key") != "hot", F.col("key"))):
+        rows = skewed.withColumn("key", key)
+        got = ordered(rows, order_blocks(rows, "ts", rows_per_block=60))
+        assert "Join" in plan(got)
+        want = ordered(rows, order_blocks(rows, "ts", 10**9))
+        pd.testing.assert_frame_equal(got.orderBy("event_id").toPandas(), want.orderBy("event_id").toPandas(), check_dtype=False)
