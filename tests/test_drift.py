@@ -429,3 +429,15 @@ def test_categories_of_windows(spark):
             assert abs(got[w]["psi"] - plain(values)) < 1e-9 and got[w]["severity"] == ("LOW" if plain(values) >= 0.6 else "NONE")
         else:
             assert got[w]["psi"] is None and got[w]["severity"] == "NONE"
+
+
+def test_equal_exact_p_values_are_counted_once_and_dealt_over_tasks(spark):
+    from fleetlens.functions import stats
+    stats._share_beyond.cache_clear()
+    assert len({stats.path_share(0.25, 40, 60) for _ in range(5)}) == 1 and stats._share_beyond.cache_info().hits == 4
+    tests = spark.range(200).select((F.col("id") % 20 / 20).alias("ks_statistic"), F.lit(20).cast("long").alias("reference_count"),
+                                    F.lit(20).cast("long").alias("current_count"), F.lit(0.5).alias("p_value"), "id").coalesce(1)
+    found = drift_stats.with_exact_p(tests)
+    by_task = found.select("ks_statistic", "p_value", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(by_task) == 20 and len({r.task for r in by_task}) > 1
+    assert all(r.p_value == pytest.approx(stats.path_share(r.ks_statistic, 20, 20)) for r in by_task)
