@@ -93,8 +93,9 @@ def fit(train: DataFrame, algorithm: str, target: str = TARGET, categorical: Seq
         stages = [*linear_stages(size["n"], categorical, numerical),
                   ridge(size["n"], size["s"], params.pop("alpha", 10.0), target)]
     elif algorithm == "random_forest":
+        # deep trees: rows remember their node, so that a pass neither ships the trees so far nor walks them from the root
         settings = {"numTrees": 100, "maxDepth": 16, "minInstancesPerNode": 4, "seed": 42, "maxBins": widest,
-                    "maxMemoryInMB": 1024, **params}
+                    "maxMemoryInMB": 1024, "cacheNodeIds": True, **params}
         stages = [*tree_stages(categorical, numerical),
                   RandomForestRegressor(featuresCol="features", labelCol=target, **settings)]
     elif algorithm == "boosted_trees":

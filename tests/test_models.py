@@ -49,6 +49,15 @@ def test_learners_beat_the_median(spark, rows):
     assert [r.mae_sec for r in board] == sorted(r.mae_sec for r in board)
 
 
+def test_forest_rows_remember_their_node(spark, rows):
+    """Else every pass over the rows ships the trees grown so far and walks them from the root; the trees are the same."""
+    same = {"numTrees": 5, "maxDepth": 8}
+    kept = models.fit(rows, "random_forest", "y", CAT, NUM, **same).stages[-1]
+    walked = models.fit(rows, "random_forest", "y", CAT, NUM, cacheNodeIds=False, **same).stages[-1]
+    assert kept.getOrDefault("cacheNodeIds") is True
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+
+
 def test_early_stopping_and_importances(spark, rows):
     held = rows.withColumn("is_validation", F.col("id") % 5 == 0)
     model = models.fit(held, "boosted_trees", "y", CAT, NUM, validation="is_validation", maxIter=30)
