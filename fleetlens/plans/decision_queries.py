@@ -12,6 +12,7 @@ from fleetlens.plans import testbed as T
 from fleetlens.plans.evaluation_queries import ABS, METRICS, metrics_sql
 from fleetlens.plans.registry import clean_time, cte, query, rounded, s6
 from fleetlens.schemas import CATEGORICAL_FEATURES
+from fleetlens.session import materialize
 
 # windows of the derived data differ by a few percent, so a low ratio makes runs visible
 POLICY = TriggerPolicy(degradation_ratio=1.02, alarm_threshold=3, alarm_window=2500, cooldown=1500)
@@ -74,14 +75,15 @@ def _branch(position: int, default: str) -> str:
 
 def trigger_points(spark, d) -> DataFrame:
     """Evaluation points every 500 records with what the policy needs to know at each."""
-    rows = T.scored_stream(spark, d)
-    history = decisions.metric_history(rows)
+    rows = T.stored_stream(spark, d, "event_id", "absolute_error_sec")
+    history = materialize(decisions.metric_history(rows), "history")
     at = (F.col("window_index") + 1) * 500
     points = history.select("window_index", at.alias("stream_index"), F.when(at > 2000, F.lit(2000).cast("long")).alias("last_retrain_index"),
                             (at - F.when(at > 2000, 2000).otherwise(0)).alias("buffer_size"))
     runs = decisions.degraded_runs(history, POLICY).select(
         F.explode(F.sequence("trigger_window", "last_window")).alias("window_index"), F.lit(1).cast("long").alias("sustained"))
-    alarms = decisions.repeated_alarms(decisions.recent_alarms(_alarms(rows), POLICY)).drop("alarm_set")
+    recent = materialize(decisions.recent_alarms(_alarms(rows), POLICY), "recent-alarms")
+    alarms = decisions.repeated_alarms(recent).drop("alarm_set")
     return points.join(runs, "window_index", "left").join(alarms, "stream_index", "left").fillna(
         0, ["sustained", "recent_alarms", "same_alarms"]).withColumn("data_drift_events", F.col("window_index") % 2).drop("window_index")
 
@@ -295,7 +297,6 @@ LABEL = "run_time_in_seconds"
 
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
-    from fleetlens.session import materialize
     rows = materialize(T.split_rows(spark, d, T.feature_table(spark, d)).withColumn(
         "label", F.col(LABEL)), "features")
     return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "validation")
