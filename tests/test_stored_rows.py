@@ -55,3 +55,17 @@ def test_rescored_and_disturbed_rows_are_stored(spark, folder, monkeypatch):
     assert labels == ["rescored"]
     entry.queries()["o18_drift_summary"](spark, folder)
     assert {"disturbed", "pane-counts"} <= set(labels)
+
+
+def test_blocks_of_several_detectors_and_a_null_key(spark):
+    """Both detectors fold a block in one round; a null key is folded like others."""
+    from fleetlens.operators.sequential import PageHinkley, SplitWindow, detect
+    from fleetlens.ordering import OrderBlocks, order_blocks
+
+    detectors = (PageHinkley(threshold=12.0), SplitWindow(max_window=60, min_window=20, min_gain=2.0, cooldown=10))
+    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.col("id").alias("at"),
+                                   ((F.col("id") * 37) % 50 + F.when(F.col("id") % 400 > 250, 120).otherwise(0)).cast("double").alias("e"))
+    whole = detect(rows, ["k"], ["at"], "e", detectors, False, OrderBlocks("at"))
+    cut = detect(rows, ["k"], ["at"], "e", detectors, False, order_blocks(rows, "at", 150))
+    assert _plain(cut.collect()) == _plain(whole.collect()) and cut.count() == 1800
+    assert cut.where("in_drift = 1").select("detector").distinct().count() == 2
