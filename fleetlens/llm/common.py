@@ -44,15 +44,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function that returns the columns of a batch as a dict of arrays."""
+def slices(batch: pa.RecordBatch, most: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch, or parts of it of at most so many rows; a batch without rows is one part."""
+    most = most or max(1, batch.num_rows)
+    return (batch.slice(k, most) for k in range(0, max(1, batch.num_rows), most))
+
+
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str, most: int | None = None) -> DataFrame:
+    """``mapInArrow`` for a function that returns the columns of a batch as a dict of arrays; it gets at most ``most`` rows at once."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, most)):
             columns = function(batch)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array | pa.ChunkedArray) else columns[f.name].cast(f.type) for f in target], schema=target)

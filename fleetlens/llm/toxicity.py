@@ -25,13 +25,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import arrow_map, keyed_text
+from fleetlens.llm.common import arrow_map, keyed_text, slices
 
 WINDOW, STRIDE, HIDDEN, ATTENTION = 48, 36, 8, 8
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
@@ -39,6 +40,10 @@ TRIGRAMS, EMBEDDED, TOLD = 4096, 6, 6
 #: bytes of words and their inputs that a worker remembers, and what a word takes besides its letters and inputs
 REMEMBERED, PER_WORD = 60_000_000, 200
 THRESHOLD = 0.7
+#: windows that are scored together, and fresh words that are looked up together
+SCORED, LOOKED_UP = 512, 5_000
+#: rows whose texts a worker holds as Python strings
+ROWS = 500
 #: most characters of a word, and how many of them the next piece of a longer run repeats; n-grams have at most 5
 PIECE, OVERLAP = 40, 8
 WORD = re.compile(r"\w+").findall
@@ -62,17 +67,38 @@ def trigram_rows(word: str) -> list[int]:
     return [zlib.crc32(marked[i:i + 3].encode("utf-8", "replace")) % TRIGRAMS for i in range(len(marked) - 2)]
 
 
+def trigram_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``trigram_rows`` of all words, one after another, and how many each has; equal trigrams are hashed once."""
+    sizes = np.fromiter(map(len, words), int, len(words))
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    at = np.arange(sizes.sum()) + 2 * np.repeat(np.arange(len(words)), sizes)
+    found, place = np.unique(points[at] << np.uint64(42) | points[at + 1] << np.uint64(21) | points[at + 2], return_inverse=True)
+    parts = (found >> np.uint64(42), found >> np.uint64(21) & np.uint64(2**21 - 1), found & np.uint64(2**21 - 1))
+    texts = zip(*(map(chr, p.tolist()) for p in parts), strict=True)
+    return np.fromiter((zlib.crc32("".join(t).encode("utf-8", "replace")) % TRIGRAMS for t in texts), int, len(found))[place], sizes
+
+
 class Evidence:
     """What single words and character n-grams tell, as log odds of their document frequencies."""
 
     def __init__(self, word_odds: dict[str, float], gram_odds: dict[str, float]) -> None:
         self.word_odds, self.gram_odds = word_odds, gram_odds
 
-    def inputs(self, word: str) -> list[float]:
-        """The told inputs of a word: its own odds; highest, mean, highest at its beginning and lowest of its n-grams; its length."""
-        gs = grams(word)
-        g = [self.gram_odds.get(x, 0.0) for x in gs]
-        return [self.word_odds.get(word, 0.0), max(g), sum(g) / len(g), max(x for x, s in zip(g, gs, strict=True) if s[0] == "<"), min(g), min(len(word), 20) / 10 - 1]
+    def inputs(self, words: list[str]) -> np.ndarray:
+        """The told inputs of words: their own odds; highest, mean, highest at the beginning and lowest of their n-grams; their length."""
+        if not words:
+            return np.zeros((0, TOLD), "f4")
+        chars = np.fromiter(map(len, words), int, len(words))
+        threes, fours, fives = (np.maximum(chars + 3 - n, 0) for n in (3, 4, 5))  # n-grams of a marked word, shorter ones first
+        sizes = threes + fours + fives
+        starts = np.cumsum(sizes) - sizes
+        g = np.fromiter(map(self.gram_odds.get, chain.from_iterable(map(grams, words)), repeat(0.0)), float, sizes.sum())
+        opening = g[starts]
+        for some, before in ((fours, threes), (fives, threes + fours)):
+            has = some > 0
+            opening[has] = np.maximum(opening[has], g[(starts + before)[has]])
+        own = np.fromiter(map(self.word_odds.get, words, repeat(0.0)), float, len(words))
+        return np.stack([own, np.maximum.reduceat(g, starts), np.add.reduceat(g, starts) / sizes, opening, np.minimum.reduceat(g, starts), np.minimum(chars, 20) / 10 - 1], 1).astype("f4")
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, scale: float) -> np.ndarray:
@@ -335,17 +361,18 @@ class Scorer:
         self.fresh, self.letters, self.table = [], 0, np.empty((1 << 12, 6 * HIDDEN), "f4")
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        for word in dict.fromkeys(words):
-            if word not in self.types:
-                self.types[word] = len(self.types)
-                self.fresh.append(word)
-                self.letters += len(word)
-        return np.fromiter(map(self.types.__getitem__, words), np.int32, len(words))
+        types = self.types
+        new = [w for w in dict.fromkeys(words) if w not in types]
+        if new:
+            types.update(zip(new, range(len(types), len(types) + len(new)), strict=True))
+            self.fresh += new
+            self.letters += sum(map(len, new))
+        return np.fromiter(map(types.__getitem__, words), np.int32, len(words))
 
     def learn(self) -> None:
-        for k in range(0, len(self.fresh), 20_000):
-            part = self.fresh[k:k + 20_000]
-            made = self.net.project(np.concatenate([self.net.embed(*Ragged([trigram_rows(w) for w in part]).of(np.arange(len(part)))), np.array([self.evidence.inputs(w) for w in part], "f4")], 1))
+        for k in range(0, len(self.fresh), LOOKED_UP):
+            part = self.fresh[k:k + LOOKED_UP]
+            made = self.net.project(np.concatenate([self.net.embed(*trigram_table(part)), self.evidence.inputs(part)], 1))
             first = len(self.types) - len(self.fresh) + k
             while len(self.table) < first + len(part):
                 self.table = np.concatenate([self.table, np.empty_like(self.table)])
@@ -363,8 +390,8 @@ class Scorer:
             if spans:
                 self.learn()
                 flat, who = np.concatenate(ids), np.array(owner)
-                for k in range(0, len(spans), 2048):
-                    np.maximum.at(worst, who[k:k + 2048], self.net.forward(*gather(self.table, flat, spans[k:k + 2048])))
+                for k in range(0, len(spans), SCORED):
+                    np.maximum.at(worst, who[k:k + SCORED], self.net.forward(*gather(self.table, flat, spans[k:k + SCORED])))
             ids, owner, spans, at = [], [], [], 0
             if 4 * self.letters + (self.table.itemsize * self.table.shape[1] + PER_WORD) * len(self.types) > REMEMBERED:
                 self.forget()
@@ -401,6 +428,7 @@ def shared_scorer(spark: SparkSession, model: dict) -> Callable[[], Scorer]:
     def get() -> Scorer:
         if name not in _SCORERS:
             _SCORERS.clear()
+            give_back()  # of another model's scorer, and of what the worker did before
             _SCORERS[name] = Scorer(shared.value)
         return _SCORERS[name]
 
@@ -416,7 +444,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
         return {key: batch.column(0), "score": got, "predicted": (got >= threshold).astype("i4")}
 
     slim = keyed_text(docs, key, text)
-    return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double, predicted int")
+    return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double, predicted int", ROWS)
 
 
 def give_back() -> None:
@@ -439,7 +467,7 @@ def passing(docs: DataFrame, model: dict, text: str = "text", threshold: float =
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
             got = scorer().scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(got < threshold))
 

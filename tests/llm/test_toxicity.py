@@ -91,3 +91,30 @@ def test_pieces_of_long_runs_hold_all_their_grams():
         run = "".join(chr(0x4E00 + i) for i in range(n))
         pieces = toxicity.words_of(f"a {run} b")[1:-1]
         assert {g for p in pieces for g in toxicity.grams(p)} >= set(toxicity.grams(run)) and max(map(len, pieces)) <= 40 and (n > 40 or pieces == [run])
+
+
+def test_words_looked_up_together_have_the_inputs_of_single_words():
+    rng = np.random.default_rng(5)
+    words = ["a", "ab", "abc", "日本", "é\U0001f600x", "stupidfool", *("".join(chr(c) for c in rng.integers(97, 105, n)) for n in rng.integers(1, 40, 200))]
+    odds = {g: float(rng.standard_normal()) for w in words for g in toxicity.grams(w) if rng.random() < 0.5}
+    evidence = toxicity.Evidence({"ab": 1.5}, odds)
+    for word, got in zip(words, evidence.inputs(words), strict=True):
+        g = [odds.get(x, 0.0) for x in toxicity.grams(word)]
+        opening = max(x for x, s in zip(g, toxicity.grams(word), strict=True) if s[0] == "<")
+        assert np.allclose(got, [1.5 if word == "ab" else 0, max(g), sum(g) / len(g), opening, min(g), min(len(word), 20) / 10 - 1], atol=1e-6)
+    rows, sizes = toxicity.trigram_table(words)
+    assert rows.tolist() == [x for w in words for x in toxicity.trigram_rows(w)] and sizes.tolist() == [len(toxicity.trigram_rows(w)) for w in words]
+
+
+def test_a_worker_holds_few_texts_at_once(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def scores(self, texts):
+            seen.add(len(texts) > toxicity.ROWS)
+            return np.zeros(len(texts))
+
+    monkeypatch.setattr(toxicity, "shared_scorer", lambda spark, model: Counting)
+    assert toxicity.score(docs, {}).count() == toxicity.passing(docs, {}).count() == 3000
+    assert toxicity.score(docs, {}).select("score").collect() and seen.value == 0
