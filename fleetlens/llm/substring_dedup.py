@@ -86,6 +86,11 @@ def owner_hashes(docs: DataFrame, key: str, text: str, size: int, gram: int) ->
     return arrow_map(docs.select(key, text), run, f"deal long, owner long, `{key}` {docs.schema[key].dataType.simpleString()}")
 
 
+def shards_of(deal: list[int], shards: int) -> np.ndarray:
+    """Shards by scrambled 64 bits, all of a batch at once."""
+    return (mix64(np.array([x & (2**64 - 1) for x in deal], np.uint64)) % np.uint64(shards)).astype("i4")
+
+
 def passages(docs: DataFrame, key: str, text: str, size: int, gram: int, shards: int) -> DataFrame:
     """(shard, owner, symbols, keys, rows, starts): passages of a batch with their occurrences. ``docs`` has the columns key, row,
     text, the asked owners and those of them that are taken apart."""
@@ -114,7 +119,7 @@ def passages(docs: DataFrame, key: str, text: str, size: int, gram: int, shards:
                 for a, b in [(k, k + size) for k in range(s, e - size + 1)] if single else [(s, e)]:
                     found.setdefault((owner, short[4 * a:4 * b], single), []).append((part.first + d, a - offsets[d]))
         deal = [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") if single else o for o, w, single in found]
-        return {"shard": [(int(mix64(np.array([x & (2**64 - 1)], np.uint64))[0]) % shards) for x in deal], "owner": [o for o, _, _ in found], "symbols": [w for _, w, _ in found],
+        return {"shard": shards_of(deal, shards), "owner": [o for o, _, _ in found], "symbols": [w for _, w, _ in found],
                 "keys": [[keys[d] for d, _ in x] for x in found.values()], "rows": [[rows[d] for d, _ in x] for x in found.values()], "starts": [[at for _, at in x] for x in found.values()]}
 
     return arrow_map(docs, run, f"shard int, owner long, symbols binary, keys array<{kind}>, rows array<long>, starts array<int>")

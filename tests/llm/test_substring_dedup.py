@@ -2,10 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from fleetlens.llm import substring_dedup as sd
+from fleetlens.llm.common import mix64
 
 
 def brute(rows, size=13):
@@ -72,3 +74,9 @@ def test_clashing_names_stay(spark):
     got = sd.without_repeats(df)
     assert got.columns == df.columns
     assert sorted((tuple(r) for r in got.collect()), key=str) == [(*rows[0], 5), (2, "y", "y", 6, 8, 6), (*rows[3], None)]
+
+
+def test_shards_of_a_batch_are_those_of_single_owners():
+    deal = [0, 1, -1, -(2**63), 2**63 - 1, 2**64 - 1]
+    assert sd.shards_of(deal, 7).tolist() == [int(mix64(np.array([x % 2**64], np.uint64))[0]) % 7 for x in deal]
+    assert sd.shards_of([], 7).tolist() == []
