@@ -33,7 +33,11 @@ from fleetlens.llm.common import arrow_map, keyed_text
 SAMPLES, ALPHA = 2, 1.0
 SPACE = "▁"
 #: lattice places and characters of a unit up to which a worker remembers them
-PLACES, UNIT = 4_000_000, 48
+PLACES, UNIT = 1_000_000, 48
+#: characters of units whose lattices are made together, and rows that are sampled before they leave
+TOGETHER, ROWS = 50_000, 200
+#: bits of a code point; one that no piece has
+POINT, NONE = 21, 2**21 - 1
 
 
 class Pieces:
@@ -54,7 +58,14 @@ class Pieces:
         self.pieces = {model.id_to_piece(i): (i, float(s)) for i, s in zip(plain, scores, strict=True)}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown = float(scores.min()) - 10.0
-        self.beginnings = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
+        self.beginnings = {b: n for n, b in enumerate(sorted({p[:n] for p in self.pieces for n in range(1, len(p) + 1)}), 1)}
+        # the beginnings as a tree: (node, code point) leads to a node, from 0 on; a node may be a piece
+        step = np.array([self.beginnings.get(b[:-1], 0) << POINT | ord(b[-1]) for b in self.beginnings], np.int64)
+        order = np.argsort(step)
+        self.steps, self.nodes = np.r_[step[order], np.iinfo(np.int64).max], np.r_[order + 1, 0].astype(np.int32)
+        self.piece, self.score = np.full(len(step) + 1, -1, np.int32), np.zeros(len(step) + 1)
+        for p, (i, x) in self.pieces.items():
+            self.piece[self.beginnings[p]], self.score[self.beginnings[p]] = i, x
         self.spelt = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.spelt[i] = p.replace(SPACE, " ").encode()
@@ -115,9 +126,85 @@ class Pieces:
             code += ids
         return base + n - 1
 
+    def lattices(self, units: list[str]) -> None:
+        """Remember several units; what ``lattice`` does, for all of their places at once. Places run by their distance to the unit's end."""
+        sizes = np.fromiter(map(len, units), int, len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        raw, ends = points, np.repeat(np.cumsum(sizes), sizes)
+        points = np.where(points == ord(SPACE), NONE, np.where(points == 32, ord(SPACE), points))
+        n = len(points)
+        left = ends - np.arange(n)
+        order = np.argsort(left, kind="stable")
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        # edges: start, characters, id, score
+        at, node, far, found, alone = np.arange(n), np.zeros(n, np.int64), 0, [], np.ones(n, bool)
+        while len(at):
+            step = node << POINT | points[at + far]
+            k = np.searchsorted(self.steps, step)
+            on = self.steps[k] == step
+            at, node, far = at[on], self.nodes[k[on]].astype(np.int64), far + 1
+            has = self.piece[node] >= 0
+            found.append((at[has], np.full(has.sum(), far), self.piece[node[has]], self.score[node[has]]))
+            if far == 1:
+                alone[at[has]] = False
+            more = left[at] > far
+            at, node = at[more], node[more]
+        spelt = np.flatnonzero(alone)
+        spellings = [[self.bytes[b] for b in chr(c).encode()] for c in raw[spelt].tolist()]
+        found.append((spelt, np.full(len(spelt), 1), -len(self.spellings) - 1 - np.arange(len(spelt)), self.unknown * np.fromiter(map(len, spellings), float, len(spelt))))
+        self.spellings += spellings
+        start, chars, code, x = (np.concatenate(c) for c in zip(*found, strict=True))
+        rank = np.r_[chars[:len(chars) - len(spelt)], np.full(len(spelt), UNIT + 1)]  # a spelt character comes behind the pieces
+        by = np.argsort(place[start] * (UNIT + 2) + rank)
+        start, chars, code, x = start[by], chars[by], code[by], x[by]
+        target = np.where(chars == left[start], n, place[np.minimum(start + chars, n - 1)])
+        counts = np.bincount(place[start], minlength=n)
+        first = np.r_[0, np.cumsum(counts)]
+        beta, share = np.zeros(n + 1), np.empty(len(x))
+        bounds = np.r_[0, np.cumsum(np.bincount(left)[1:])]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            s, e = first[a], first[b]
+            x[s:e] += beta[target[s:e]]
+            begin, some = first[a:b] - s, counts[a:b]
+            top = np.maximum.reduceat(x[s:e], begin)
+            weight = np.exp(x[s:e] - np.repeat(top, some))
+            total = np.add.reduceat(weight, begin)
+            share[s:e] = weight / np.repeat(total, some)
+            beta[a:b] = whole = np.where(some == 1, top, top + np.log(total))
+            x[s:e] -= np.repeat(whole, some)
+        number = np.arange(len(x)) - np.repeat(first[:-1], counts)
+        later = np.flatnonzero(number)
+        for k in range(1, int(counts.max())):
+            later = later[number[later] >= k]
+            now = later[number[later] == k]
+            share[now] += share[now - 1]
+        share[first[1:] - 1] = 2.0
+        base = self.places
+        self.append(self.edges + first[:-1], share, x, np.where(target == n, -1, base + target), code)
+        self.known.update(zip(units, (base + place[np.cumsum(sizes) - sizes]).tolist(), strict=True))
+
+    def learn(self, units: list[str]) -> None:
+        """Remember the units that aren't too long; what was known before may be forgotten."""
+        if self.places > PLACES:
+            self.forget()
+        some, chars = [], 0
+        for unit in dict.fromkeys(units):
+            if unit not in self.known and len(unit) <= UNIT:
+                some.append(unit)
+                chars += len(unit)
+                if chars > TOGETHER:
+                    self.lattices(some)
+                    some, chars = [], 0
+        if some:
+            self.lattices(some)
+
     def settle(self) -> None:
         """Append the fresh places and edges to the arrays."""
-        first, *edges = self.fresh
+        fresh, self.fresh = self.fresh, ([], [], [], [], [])
+        self.append(*fresh)
+
+    def append(self, first: list | np.ndarray, *edges: list | np.ndarray) -> None:
         while len(self.first) <= self.places + len(first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         total = self.edges + len(edges[0])
@@ -127,22 +214,20 @@ class Pieces:
         self.first[self.places + len(first)] = total
         for mine, values in zip((self.cdf, self.lp, self.next, self.code), edges, strict=True):
             mine[self.edges:total] = values
-        self.places, self.edges, self.fresh = self.places + len(first), total, ([], [], [], [], [])
+        self.places, self.edges = self.places + len(first), total
 
     def starts(self, text: str) -> np.ndarray:
         """First places of the units of a text."""
-        if self.places > PLACES:
-            self.forget()
-        out = []
-        for unit in self.units(" " + text):
-            at = self.known.get(unit)
-            if at is None:
-                at = self.lattice(unit)
-                if len(unit) <= UNIT:
-                    self.known[unit] = at
-            out.append(at)
-        if self.fresh[0]:
-            self.settle()
+        units = self.units(" " + text)
+        out = list(map(self.known.get, units))
+        if None in out or self.places > 2 * PLACES:
+            self.learn(units)
+            out = list(map(self.known.get, units))
+            for i, unit in enumerate(units):
+                if out[i] is None:
+                    out[i] = self.lattice(unit)
+            if self.fresh[0]:
+                self.settle()
         return np.array(out, np.int32)
 
     def draw(self, places: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -248,6 +333,7 @@ def encode_samples(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
     """(key, sample, ids, score, inclusion): up to k distinct segmentations of each text."""
     def run(batch: pa.RecordBatch) -> dict:
         p, row, sample, ids, score, inclusion = pieces_of(model_file, alpha), [], [], [], [], []
+        p.learn([u for value in batch.column(1).to_pylist() for u in p.units(" " + value)])
         for i, (me, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
             for n, (codes, lp, share) in enumerate(p.samples(value, k, seeded(me, seed)), 1):
                 row.append(i)
@@ -260,7 +346,7 @@ def encode_samples(df: DataFrame, key: str = "doc_id", text: str = "text", k: in
         return {key: batch.column(0).take(pa.array(row, pa.int64())), "sample": sample, "ids": flat, "score": score, "inclusion": inclusion}
 
     slim = keyed_text(df, key, text)
-    return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, sample int, ids array<int>, score double, inclusion double")
+    return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, sample int, ids array<int>, score double, inclusion double", ROWS)
 
 
 def decode_samples(df: DataFrame, ids: str = "ids", text: str = "decoded", model_file: str | None = None) -> DataFrame:
@@ -287,4 +373,4 @@ def checksums(encoded: DataFrame, key: str = "doc_id", model_file: str | None =
         return {c: batch.column(c) for c in (key, "sample", "score", "inclusion")} | out
 
     kind = encoded.schema[key].dataType.simpleString()
-    return arrow_map(encoded, run, f"`{key}` {kind}, sample int, n_pieces long, score double, inclusion double, ids_crc32 long, text_crc32 long")
+    return arrow_map(encoded, run, f"`{key}` {kind}, sample int, n_pieces long, score double, inclusion double, ids_crc32 long, text_crc32 long", ROWS)

@@ -80,3 +80,23 @@ def test_odd_rows_do_not_depend_on_partitions(spark):
     texts = {r["doc_id"]: r["decoded"] for r in sp.decode_samples(sp.encode_samples(df)).collect()}
     assert texts == {k: t or "" for k, t in rows} and key
     assert sp.encode_samples(df.limit(0)).count() == 0
+
+
+def test_lattices_of_many_units_are_those_of_single_ones(pieces):
+    texts = ["the cat sat  on\n\n the mat", "▁a b▁ ▁", "日本語 é\U0001f600x", "internationalisation of ab1c2 http://x.y/z?q=1", " ", "x" * 47 + " " + "y" * 48]
+    alone, together = sp.Pieces(None, 1.0), sp.Pieces(None, 1.0)
+    together.learn([u for t in texts for u in together.units(" " + t)])
+    assert together.places and not together.fresh[0]
+    alone.learn = lambda units: None  # each unit by ``lattice``
+    for n, t in enumerate(texts):
+        a, b = (p.samples(t, 20, np.random.default_rng(n)) for p in (alone, together))
+        assert [(x[0].tolist(), x[1:]) for x in a] == [(x[0].tolist(), x[1:]) for x in b]
+
+
+def test_a_worker_forgets(pieces, monkeypatch):
+    monkeypatch.setattr(sp, "PLACES", 300)
+    p, r = sp.Pieces(None, 1.0), np.random.default_rng(4)
+    for n in range(200):
+        text = " ".join("".join(chr(c) for c in r.integers(97, 123, 6)) for _ in range(10))
+        assert p.decode(p.samples(text, 1, np.random.default_rng(n))[0][0].tolist()) == text
+        assert p.places < 900
