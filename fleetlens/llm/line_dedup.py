@@ -5,8 +5,10 @@ segments of the shorter line, unchanged and hardly moved: each line is listed un
 length that a partner can have, under the substrings of its own that can be such a segment (probes, the positions that
 multi-match-aware selection leaves). Keys that different lines share give candidates. A key with more than ``CROWD``
 lines in its index is split again: what is left of its lines without the shared segment must be within t edits as well, so it
-is cut into segments in turn, until keys are small or hardly anything is left. Candidates are verified by a banded
-bit-parallel edit distance: one bit per diagonal of the band, one integer per number of edits.
+is cut into segments in turn, until keys are small or hardly anything is left. As one earlier near line is enough, the lines of
+a key first meet its earliest line alone; all pairs are made only where a line behind it is left open. Candidates are verified by a banded
+bit-parallel edit distance: one bit per diagonal of the band, one integer per number of edits; those that the built-in bounded distance
+rules out don't come to it.
 
 Defined results: blank lines always stay; lines with fewer than ``MIN_CHARS`` characters go only if equal; null and empty texts are
 one blank line; rows that share a key are one document whose rows keep the same lines; rows with a null key stay whole and are
@@ -87,16 +89,21 @@ def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
         return F.aggregate(F.sequence(F.lit(0), c["n"] - 1), first, step, lambda acc: acc[f"r{edits}"].bitwiseAND(done) != 0)
 
     # one binding of the split texts, so that they are split once
-    return F.when(F.char_length(b) - F.char_length(a) > edits, F.lit(False)).otherwise(F.element_at(F.transform(F.array(chars), run), 1))
+    far = (F.char_length(b) - F.char_length(a) > edits) | (F.levenshtein(a, b, edits) < 0)
+    return F.when(far, F.lit(False)).otherwise(F.element_at(F.transform(F.array(chars), run), 1))
 
 
 def crowded_pairs(index: DataFrame, probe: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Candidates (a, b) of keys that several lines share. Crowded keys are split by segments of what is left of their lines."""
-    spark, pairs = index.sparkSession, None
+    """Candidates (a, b) of keys that several lines share, of which the later line is open; ``id`` is (place, id, open) of a line.
+    Crowded keys are split by segments of what is left of their lines."""
+    pairs = None
     while True:
         sizes = index.groupBy("key").agg(F.count("*").alias("lines"))
         index = materialize(index.join(sizes, "key").withColumn("split", (F.col("lines") > crowd) & (F.char_length("rest") > edits)), "crowded-index")
-        found = index.where("not split").select("key", F.col("id").alias("a")).join(probe.select("key", F.col("id").alias("b")), "key").where("a != b").select("a", "b").distinct()
+        later = F.greatest("a", "b")
+        mine, theirs = index.where("not split").select("key", F.col("id").alias("a")), probe.select("key", F.col("id").alias("b"))
+        met = mine.where("a.open").join(theirs, "key").unionByName(mine.where("not a.open").join(theirs.where("b.open"), "key"))
+        found = met.where((F.col("a.id") != F.col("b.id")) & later["open"]).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
         again = index.where("split")
         if again.isEmpty():
@@ -116,12 +123,30 @@ def met_segments(lines: DataFrame, edits: int) -> DataFrame:
     return probe.join(index, (probe.key == index.key) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("id")))).select(index.key, "low", "high", "id").distinct()
 
 
-def candidates(met: DataFrame, texts: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Pairs (a, b) of ids of different lines that share a segment; ``texts`` holds the lines of ``met``."""
-    alone = met.where("low = high").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    shared = met.where("low != high").select("key").distinct()
-    rows = [materialize(rests_of(texts.select("id", "line"), None, "line", edits, probes).join(shared, "key", "left_semi").distinct(), "shared-segments") for probes in (False, True)]
-    return alone.unionByName(crowded_pairs(*rows, edits, crowd))
+def led_lines(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(key, lead, id): lines with the earliest line that has a segment they meet."""
+    shared = met.where("low != high")
+    index = keys_of(texts.select(F.struct("place", "id").alias("id"), "line"), edits, False).join(shared.select("key").distinct(), "key", "left_semi")
+    leads = index.groupBy("key").agg(F.min("id").alias("least")).select("key", F.col("least.id").alias("lead"))
+    return met.where("low = high").select("key", F.col("low").alias("lead"), "id").unionByName(shared.join(leads, "key").where("id != lead").select("key", "lead", "id"))
+
+
+def open_pairs(led: DataFrame, texts: DataFrame, settled: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of ids of different lines that share a segment with each other and an earlier line, the later one not settled."""
+    lines = texts.join(settled.withColumn("done", F.lit(True)), "id", "left").select(F.struct("place", "id", F.col("done").isNull().alias("open")).alias("id"), "line")
+    left = led.join(settled, "id", "left_anti").select("key").distinct()
+    rows = [materialize(rests_of(lines, None, "line", edits, probes).join(left, "key", "left_semi").distinct(), "shared-segments") for probes in (False, True)]
+    return crowded_pairs(*rows, edits, crowd)
+
+
+def near_ids(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Ids of the later lines of the pairs (a, b) that are near."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (texts.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "place", "line"))) for side in "ab")
+    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+    a_longer = F.char_length("a_line") > F.char_length("b_line")
+    short, long = F.when(a_longer, F.col("b_line")).otherwise(F.col("a_line")), F.when(a_longer, F.col("a_line")).otherwise(F.col("b_line"))
+    return both.where(edit_distance_within(short, long, edits)).select(F.when(F.col("a_place") > F.col("b_place"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
 
 def numbered_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -147,12 +172,10 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS, min_
     met = materialize(met_segments(every.where(F.char_length("line") >= min_chars).select("id", "line"), edits), "met-segments")
     ids = met.select(F.explode(F.array("low", "high", "id")).alias("id")).distinct()
     texts = materialize(lines_at(docs, key, text, firsts.join(ids, "id", "left_semi").select("id", "place")), "line-texts")
-    pairs = candidates(met, texts, edits, crowd).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (texts.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "place", "line"))) for side in "ab")
-    both = pairs.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
-    a_longer = F.char_length("a_line") > F.char_length("b_line")
-    short, long = F.when(a_longer, F.col("b_line")).otherwise(F.col("a_line")), F.when(a_longer, F.col("a_line")).otherwise(F.col("b_line"))
-    near = both.where(edit_distance_within(short, long, edits)).select(F.when(F.col("a_place") > F.col("b_place"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("near", F.lit(True))
+    led = materialize(led_lines(met, texts, edits), "led-lines")
+    settled = materialize(near_ids(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), texts, edits), "settled-lines")
+    more = near_ids(open_pairs(led, texts, settled, edits, crowd), texts, edits)
+    near = settled.unionByName(more).distinct().withColumn("near", F.lit(True))
     return firsts.join(near, "id", "left").where("near or n > 1").select("id", F.when(F.col("near").isNull(), F.col("place")).alias("place"))
 
 

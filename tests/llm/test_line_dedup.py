@@ -124,3 +124,34 @@ def test_clashing_names_stay(spark):
     got = line_dedup.without_repeated_lines(df)
     assert got.columns == df.columns
     assert sorted((tuple(r) for r in got.collect()), key=str) == [rows[0], (2, "other", "y", 6, 8), rows[2]]
+
+
+def test_a_family_of_near_lines_does_not_make_all_pairs(spark):
+    r = random.Random(5)
+    base = "".join(r.choices("abcdefgh", k=60))
+    lines = [base] + [base[:at] + c + base[at + 1:] for at in range(0, 60, 2) for c in "XYZ"]
+    texts = spark.createDataFrame([*enumerate(lines)], "id long, line string").withColumn("place", F.col("id").cast("decimal(38,0)"))
+    met = line_dedup.met_segments(texts.select("id", "line"), 2)
+    led = line_dedup.led_lines(met, texts, 2)
+    settled = line_dedup.near_ids(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), texts, 2)
+    assert {x["id"] for x in settled.collect()} == set(range(1, len(lines)))
+    assert line_dedup.open_pairs(led, texts, settled, 2, 1000).count() == 0
+    none = settled.limit(0)
+    assert line_dedup.open_pairs(led, texts, none, 2, 1000).count() > 20 * len(lines)
+
+
+def test_families_whose_earliest_line_is_far_from_the_rest(spark):
+    r = random.Random(6)
+    rows = []
+    for family in range(6):
+        base = "".join(r.choices("abcé", k=r.randrange(20, 40)))
+        for _ in range(25):
+            line = list(base)
+            for _ in range(r.randrange(0, 4)):
+                at = r.randrange(len(line) + 1)
+                line[at:at + r.randrange(2)] = r.choices("abé", k=r.randrange(2))
+            rows.append("".join(line))
+    r.shuffle(rows)
+    docs = [(k, "\n".join(rows[k::30])) for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows_of(line_dedup.dedup_lines(df, crowd=3)) == brute(docs)
