@@ -24,7 +24,7 @@ import gc
 import re
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import arrow_map, keyed_text, slices
+from fleetlens.llm.common import arrow_map, keyed_text
 
 WINDOW, STRIDE, HIDDEN, ATTENTION = 48, 36, 8, 8
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2000
@@ -41,7 +41,7 @@ TRIGRAMS, EMBEDDED, TOLD = 4096, 6, 6
 REMEMBERED, PER_WORD = 60_000_000, 200
 THRESHOLD = 0.7
 #: windows that are scored together, and fresh words that are looked up together
-SCORED, LOOKED_UP = 512, 5_000
+SCORED, LOOKED_UP = 2048, 20_000
 #: rows whose texts a worker holds as Python strings
 ROWS = 500
 #: most characters of a word, and how many of them the next piece of a longer run repeats; n-grams have at most 5
@@ -379,10 +379,12 @@ class Scorer:
             self.table[first:first + len(part)] = made
         self.fresh = []
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: Iterable[str], n: int | None = None) -> np.ndarray:
+        """Scores of n texts, which may come one by one."""
+        n = len(texts) if n is None else n
         if "constant" in self.model:
-            return np.full(len(texts), self.model["constant"])
-        worst = np.full(len(texts), -np.inf, "f4")
+            return np.full(n, self.model["constant"])
+        worst = np.full(n, -np.inf, "f4")
         ids, owner, spans, at = [], [], [], 0
 
         def flush() -> None:
@@ -418,6 +420,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC
     return [(r["text"], r["toxic"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """The texts, null as empty, of which only ``ROWS`` at a time are Python strings."""
+    return (text or "" for k in range(0, len(column), ROWS) for text in column.slice(k, ROWS).to_pylist())
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -440,11 +447,11 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text",
     scorer = shared_scorer(docs.sparkSession, model)
 
     def run(batch: pa.RecordBatch) -> dict:
-        got = scorer().scores(batch.column(1).to_pylist())
+        got = scorer().scores(texts_of(batch.column(1)), batch.num_rows)
         return {key: batch.column(0), "score": got, "predicted": (got >= threshold).astype("i4")}
 
     slim = keyed_text(docs, key, text)
-    return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double, predicted int", ROWS)
+    return arrow_map(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, score double, predicted int")
 
 
 def give_back() -> None:
@@ -467,8 +474,8 @@ def passing(docs: DataFrame, model: dict, text: str = "text", threshold: float =
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole, ROWS)):
-            got = scorer().scores([t or "" for t in batch.column(at).to_pylist()])
+        for batch in batches:
+            got = scorer().scores(texts_of(batch.column(at)), batch.num_rows)
             yield batch.filter(pa.array(got < threshold))
 
     return docs.mapInArrow(run, kind)

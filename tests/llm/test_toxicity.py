@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 from fleetlens.llm import toxicity
@@ -106,15 +107,9 @@ def test_words_looked_up_together_have_the_inputs_of_single_words():
     assert rows.tolist() == [x for w in words for x in toxicity.trigram_rows(w)] and sizes.tolist() == [len(toxicity.trigram_rows(w)) for w in words]
 
 
-def test_a_worker_holds_few_texts_at_once(spark, monkeypatch):
-    docs = spark.range(3000).selectExpr("id as doc_id", "concat('word ', id) as text").coalesce(1)
-    seen = spark.sparkContext.accumulator(0)
-
-    class Counting:
-        def scores(self, texts):
-            seen.add(len(texts) > toxicity.ROWS)
-            return np.zeros(len(texts))
-
-    monkeypatch.setattr(toxicity, "shared_scorer", lambda spark, model: Counting)
-    assert toxicity.score(docs, {}).count() == toxicity.passing(docs, {}).count() == 3000
-    assert toxicity.score(docs, {}).select("score").collect() and seen.value == 0
+def test_texts_come_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "ROWS", 3)
+    texts = ["you stupid fool", None, "", "kind words", "word " * 500, "kind", "fool"]
+    assert list(toxicity.texts_of(pa.array(texts))) == [t or "" for t in texts] and list(toxicity.texts_of(pa.array([], pa.string()))) == []
+    scorer = toxicity.Scorer(toxicity.train([("you stupid fool", 1), ("kind words", 0)]))
+    assert (scorer.scores(toxicity.texts_of(pa.array(texts)), len(texts)) == scorer.scores([t or "" for t in texts])).all()
