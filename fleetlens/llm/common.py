@@ -44,6 +44,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])
 
 
+#: slots of a bitmap of keys, 64 of them to a row
+SLOTS = 2**24
+
+
+def likely_among(df: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """The rows whose key shares a hashed slot with one of ``others``: all rows that a join on it needs and few more, so that wide rows
+    without a partner aren't shuffled. The bitmap of slots is broadcast; it has at most ``SLOTS`` / 64 rows, whatever the tables."""
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("string")), F.lit(SLOTS))
+
+    word, bits, at = unused(df, "slot_word"), unused(df, "slot_bits"), slot(key)
+    slots = others.select(slot(other).alias("slot"))
+    marks = slots.groupBy(F.floor(F.col("slot") / 64).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias(bits))
+    marked = F.call_function("getbit", F.col(bits), (at % 64).cast("int")) == 1
+    return df.join(F.broadcast(marks), (F.floor(at / 64) == F.col(word)) & marked, "left_semi")
+
+
 def slices(batch: pa.RecordBatch, most: int | None) -> Iterator[pa.RecordBatch]:
     """The batch, or parts of it of at most so many rows; a batch without rows is one part."""
     most = most or max(1, batch.num_rows)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import arrow_map, by_group, keyed_text, mix64
+from fleetlens.llm.common import arrow_map, by_group, keyed_text, likely_among, mix64
 from fleetlens.llm.components import components
 from fleetlens.llm.words import hashed_words, shingles
 from fleetlens.session import materialize
@@ -131,36 +131,42 @@ def in_blocks(members: DataFrame, group: str, member: str, size: str, small: int
 
 
 def linked_by_sketch(similarity: float):
-    """Spanning edges among members of different components whose sketches look alike."""
+    """Spanning edges among the components whose members' sketches look alike, as edges between their roots."""
 
     def compare(group: pa.Table) -> dict:
-        labels, docs, mine = (group.column(c).to_numpy() for c in ("root", "node", "mine"))
+        labels, mine = (group.column(c).to_numpy() for c in ("root", "mine"))
         if labels.min() == labels.max():
             return {"a": [], "b": []}
         bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
-        left, right = np.triu_indices(len(docs), 1)
+        left, right = np.triu_indices(len(labels), 1)
         keep = labels[left] != labels[right]
         if bi != bj:
             keep &= mine[left] != mine[right]
         left, right = left[keep], right[keep]
         sketches = [np.frombuffer(s, "<u4") for s in group.column("sketch").to_pylist()]
         hit = alike(sketches, group.column("size").to_numpy() <= SKETCH, left, right) >= similarity - SLACK
-        return {"a": docs[left[hit]].tolist(), "b": docs[right[hit]].tolist()} if hit.sum() <= len(docs) else spanning(docs, left[hit], right[hit])
+        roots, place = np.unique(labels, return_inverse=True)
+        return spanning(roots, place[left[hit]], place[right[hit]])
 
     return compare
 
 
-def spanning(docs: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
-    """Edges from each node to the least node of its component, instead of all edges."""
-    lowest = np.arange(len(docs))
+def lowest_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least of the n nodes that each one is connected to."""
+    lowest = np.arange(n)
     while True:
         new = lowest.copy()
         np.minimum.at(new, left, lowest[right])
         np.minimum.at(new, right, lowest[left])
         new = new[new]
         if (new == lowest).all():
-            break
+            return lowest
         lowest = new
+
+
+def spanning(docs: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict:
+    """Edges from each node to the least node of its component, instead of all edges."""
+    lowest = lowest_of(len(docs), left, right)
     moved = lowest != np.arange(len(docs))
     return {"a": docs[moved].tolist(), "b": docs[lowest[moved]].tolist()}
 
@@ -212,9 +218,12 @@ def exact_links(similarity: float):
             common += x @ x.T
         near = common >= similarity * (sizes[:, None] + sizes - common) - 1e-6
         np.fill_diagonal(near, False)
+        tied = np.arange(len(docs))
         if bi != bj:
-            near &= mine[:, None] != mine
-        found = spanning(docs, *np.nonzero(near))
+            across = mine[:, None] != mine
+            tied = lowest_of(len(docs), *np.nonzero(near & ~across))  # the blocks' own groups give these edges
+            near &= across
+        found = spanning(docs, *(tied[x] for x in np.nonzero(near)))
         links = near @ copies
         return {"doc": [*docs.tolist(), *found["a"]], "links": [*links.tolist(), *[0] * len(found["a"])], "near": [*[None] * len(docs), *found["b"]]}
 
@@ -258,7 +267,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     # 3: exact links within components
     sizes = loose.groupBy("root").agg(F.count("*").alias("members"))
     asked = materialize(loose.join(sizes, "root").join(classes, "node").select(F.col("rep").alias("doc"), "root", "members", "copies"), "asked")
-    whole = token_sets(asked.join(docs.select(F.col(key).alias("doc"), text), "doc"), text, n)
+    texts = likely_among(docs.select(F.col(key).alias("doc"), text), "doc", asked, "doc")
+    whole = token_sets(asked.join(texts, "doc"), text, n)
     exact = materialize(by_group(in_blocks(whole, "root", "doc", "members"), ["root", "bi", "bj"], exact_links(similarity), f"doc {kind}, links long, near {kind}"), "exact-links")
     final = components(exact.where("near is not null").select(F.col("doc").alias("a"), F.col("near").alias("b")))
     links = exact.groupBy(F.col("doc").alias("rep")).agg(F.sum("links").alias("links"))

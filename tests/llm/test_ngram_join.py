@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
-from fleetlens.llm import components, ngram_join, words
+from fleetlens.llm import common, components, ngram_join, words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -109,3 +109,37 @@ def test_estimates_are_near_the_similarity():
     est = ngram_join.alike(sketches, np.array([False] * 3), np.array([0, 0]), np.array([1, 2]))
     assert abs(est[0] - 900 / 1100) < 0.2 and est[1] == 1
     assert ngram_join.runs() == 15
+
+
+def group_of(**columns):
+    return pa.table({"bi": [0] * len(columns["mine"]), "bj": [1] * len(columns["mine"]), **columns})
+
+
+def test_blocks_that_hang_together_are_tied_by_one_edge():
+    """Near copies within a block are tied by the block's own group; a pair of blocks adds what joins them and all its links."""
+    tokens = np.arange(1, 101, dtype=np.uint64)
+    sets = [np.delete(tokens, i).tobytes() for i in range(6)] + [np.arange(500, 600, dtype=np.uint64).tobytes()]
+    found = ngram_join.exact_links(0.8)(group_of(doc=list(range(7)), mine=[0, 0, 0, 1, 1, 1, 1], copies=[1] * 7, tokens=sets))
+    links = [n for n, near in zip(found["links"], found["near"], strict=True) if near is None]
+    assert links == [3, 3, 3, 3, 3, 3, 0]
+    assert [(d, near) for d, near in zip(found["doc"], found["near"], strict=True) if near is not None] == [(3, 0)]
+
+
+def test_alike_members_tie_their_roots_once():
+    sketch = np.arange(1, 65, dtype="<u4").tobytes()
+    group = group_of(root=[1, 1, 1, 7, 7, 9], node=[1, 2, 3, 7, 8, 9], mine=[0, 1, 0, 1, 0, 1], size=[500] * 6, sketch=[sketch] * 6)
+    found = ngram_join.linked_by_sketch(0.8)(group)
+    assert sorted(zip(found["a"], found["b"], strict=True)) == [(7, 1), (9, 1)]
+
+
+def test_components_of_a_long_path(spark):
+    edges = [(i, i + 1) for i in range(0, 400)] + [(1000 + (7 * i) % 101, 1000 + (7 * i + 7) % 101) for i in range(101)] + [(5, None), (9999, 9999)]
+    rows = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert rows == {i: 0 for i in range(401)} | {i: 1000 for i in range(1000, 1101)}
+
+
+def test_rows_without_a_partner_stay_out_of_a_join(spark):
+    df, others = spark.range(-1000, 20_000).selectExpr("cast(id as int) as doc", "id as slot"), spark.range(0, 20_000, 100).selectExpr("id as other")
+    kept = {r["doc"] for r in common.likely_among(df, "doc", others, "other").collect()}
+    assert set(range(0, 20_000, 100)) <= kept and len(kept) < 300
+    assert common.likely_among(df, "doc", others.limit(0), "other").count() == 0
