@@ -6,7 +6,8 @@ length that a partner can have, under the substrings of its own that can be such
 multi-match-aware selection leaves). Keys that different lines share give candidates. A key with more than ``CROWD``
 lines in its index is split again: what is left of its lines without the shared segment must be within t edits as well, so it
 is cut into segments in turn, until keys are small or hardly anything is left. As one earlier near line is enough, the lines of
-a key first meet its earliest line alone; all pairs are made only where a line behind it is left open. Candidates are verified by a banded
+a key first meet its earliest line alone; all pairs are made only where a line behind it is left open, less those whose counts of
+characters differ too much. Candidates are verified by a banded
 bit-parallel edit distance: one bit per diagonal of the band, one integer per number of edits; those that the built-in bounded distance
 rules out don't come to it.
 
@@ -20,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import keyed_text, unused
+from fleetlens.llm.common import keyed_text, likely_among, unused
 from fleetlens.session import materialize
 
 EDITS, MIN_CHARS, CROWD = 2, 20, 64
 #: line numbers below a key in the number that orders lines
 PER_DOC = 2**31
+#: kinds of characters that are counted to rule pairs of lines out
+KINDS = 16
 
 
 def segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -52,7 +55,11 @@ def segment_rows(lines: DataFrame, above: str | None, text: str, edits: int, pro
     chars = F.col("chars") - F.col("look.shorter")
     start, size = segment(chars, F.col("look.i"), edits + 1)
     rows = rows.where(chars > edits).select("*", (start + F.col("look.shift")).alias("at"), size.alias("size"), chars.alias("theirs")).where("at >= 0 and at + size <= chars")
-    key = F.xxhash64(*([F.col(above)] if above else []), F.col("look.i"), F.col("theirs"), F.substring(text, F.col("at") + 1, F.col("size")))
+    def hashed(line: Column) -> Column:
+        return F.xxhash64(*([F.col(above)] if above else []), F.col("look.i"), F.col("theirs"), F.substring(line, F.col("at") + 1, F.col("size")))
+
+    # where each character is a byte, places of bytes are found without reading what is before them; equal bytes have equal hashes
+    key = F.when(F.octet_length(text) == F.col("chars"), hashed(F.col(text).cast("binary"))).otherwise(hashed(F.col(text)))
     left = F.concat(F.substring(text, F.lit(1), F.col("at")), F.substring(text, F.col("at") + F.col("size") + 1, F.col("chars")))
     return rows.select("id", key.alias("key"), *([left.alias("rest")] if rest else []))
 
@@ -65,6 +72,17 @@ def rests_of(rows: DataFrame, above: str | None, text: str, edits: int, probes:
     return segment_rows(rows, above, text, edits, probes, True)
 
 
+def bag(text: str) -> Column:
+    """How many characters of each of some kinds a text has; characters beyond ASCII are of none."""
+    kinds = ["".join(chr(c) for c in range(32, 127) if c % KINDS == k) for k in range(KINDS)]
+    return F.array(*(F.char_length(text) - F.char_length(F.translate(text, kind, "")) for kind in kinds))
+
+
+def bags_within(a: Column, b: Column, edits: int) -> Column:
+    """Whether texts with such bags can be within so many edits: an edit takes a character from one kind and adds one to another at most."""
+    return sum((F.abs(F.get(a, F.lit(k)) - F.get(b, F.lit(k))) for k in range(KINDS)), F.lit(0)) <= 2 * edits
+
+
 def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
     """Whether b (not shorter than a) is within so many edits of a.
 
@@ -94,8 +112,8 @@ def edit_distance_within(a: Column, b: Column, edits: int) -> Column:
 
 
 def crowded_pairs(index: DataFrame, probe: DataFrame, edits: int, crowd: int) -> DataFrame:
-    """Candidates (a, b) of keys that several lines share, of which the later line is open; ``id`` is (place, id, open) of a line.
-    Crowded keys are split by segments of what is left of their lines."""
+    """Candidates (a, b) of keys that several lines share, of which the later line is open and which their characters don't rule out;
+    ``id`` is (place, id, open, bag) of a line. Crowded keys are split by segments of what is left of their lines."""
     pairs = None
     while True:
         sizes = index.groupBy("key").agg(F.count("*").alias("lines"))
@@ -103,7 +121,7 @@ def crowded_pairs(index: DataFrame, probe: DataFrame, edits: int, crowd: int) ->
         later = F.greatest("a", "b")
         mine, theirs = index.where("not split").select("key", F.col("id").alias("a")), probe.select("key", F.col("id").alias("b"))
         met = mine.where("a.open").join(theirs, "key").unionByName(mine.where("not a.open").join(theirs.where("b.open"), "key"))
-        found = met.where((F.col("a.id") != F.col("b.id")) & later["open"]).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        found = met.where((F.col("a.id") != F.col("b.id")) & later["open"] & bags_within(F.col("a.bag"), F.col("b.bag"), edits)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
         pairs = found if pairs is None else pairs.unionByName(found)
         again = index.where("split")
         if again.isEmpty():
@@ -120,6 +138,7 @@ def met_segments(lines: DataFrame, edits: int) -> DataFrame:
     with the segment. A line probes its own segments too, so all lines of a segment that several have are among its ids."""
     index = keys_of(lines, edits, False).groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     probe = keys_of(lines, edits, True)
+    index = index.hint("shuffle_hash")  # a row per key, so what a task holds is as small as its share of the keys; neither side is sorted
     return probe.join(index, (probe.key == index.key) & ~((F.col("low") == F.col("high")) & (F.col("low") == F.col("id")))).select(index.key, "low", "high", "id").distinct()
 
 
@@ -133,7 +152,7 @@ def led_lines(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 def open_pairs(led: DataFrame, texts: DataFrame, settled: DataFrame, edits: int, crowd: int) -> DataFrame:
     """Pairs (a, b) of ids of different lines that share a segment with each other and an earlier line, the later one not settled."""
-    lines = texts.join(settled.withColumn("done", F.lit(True)), "id", "left").select(F.struct("place", "id", F.col("done").isNull().alias("open")).alias("id"), "line")
+    lines = texts.join(settled.withColumn("done", F.lit(True)), "id", "left").select(F.struct("place", "id", F.col("done").isNull().alias("open"), bag("line").alias("bag")).alias("id"), "line")
     left = led.join(settled, "id", "left_anti").select("key").distinct()
     rows = [materialize(rests_of(lines, None, "line", edits, probes).join(left, "key", "left_semi").distinct(), "shared-segments") for probes in (False, True)]
     return crowded_pairs(*rows, edits, crowd)
@@ -161,7 +180,8 @@ def lines_at(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFra
     doc = F.floor(F.col("place") / F.lit(PER_DOC).cast("decimal(11,0)")).cast("long")
     asked = places.withColumn("doc", doc).withColumn("number", (F.col("place") - F.col("doc").cast("decimal(20,0)") * F.lit(PER_DOC).cast("decimal(11,0)")).cast("int"))
     lists = asked.groupBy("doc").agg(F.collect_list(F.struct("id", "place", "number")).alias("asked"))
-    rows = docs.join(lists, docs[key] == lists.doc).select(F.split(text, "\n").alias("lines"), F.explode("asked").alias("p"))
+    holders = likely_among(docs, key, asked, "doc")
+    rows = holders.join(lists, F.col(key) == lists.doc).select(F.split(text, "\n").alias("lines"), F.explode("asked").alias("p"))
     return rows.select("p.id", "p.place", F.get("lines", F.col("p.number")).alias("line")).dropDuplicates(["id"])
 
 
@@ -171,7 +191,8 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS, min_
     firsts = materialize(every.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), "first-lines")
     met = materialize(met_segments(every.where(F.char_length("line") >= min_chars).select("id", "line"), edits), "met-segments")
     ids = met.select(F.explode(F.array("low", "high", "id")).alias("id")).distinct()
-    texts = materialize(lines_at(docs, key, text, firsts.join(ids, "id", "left_semi").select("id", "place")), "line-texts")
+    asked = materialize(firsts.join(ids, "id", "left_semi").select("id", "place"), "asked-lines")
+    texts = materialize(lines_at(docs, key, text, asked), "line-texts")
     led = materialize(led_lines(met, texts, edits), "led-lines")
     settled = materialize(near_ids(led.select(F.col("lead").alias("a"), F.col("id").alias("b")), texts, edits), "settled-lines")
     more = near_ids(open_pairs(led, texts, settled, edits, crowd), texts, edits)

@@ -155,3 +155,28 @@ def test_families_whose_earliest_line_is_far_from_the_rest(spark):
     docs = [(k, "\n".join(rows[k::30])) for k in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows_of(line_dedup.dedup_lines(df, crowd=3)) == brute(docs)
+
+
+def test_lines_of_other_characters_make_no_pairs(spark):
+    """Lines that share their first half and differ in the rest meet their earliest line, but not each other."""
+    rng = random.Random(3)
+    lines = ["the same first half of each of these lines, " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44)) for _ in range(60)]
+    texts = spark.createDataFrame([*enumerate(lines)], "id long, line string").withColumn("place", F.col("id").cast("decimal(38,0)"))
+    met = line_dedup.met_segments(texts.select("id", "line"), 2)
+    led = line_dedup.led_lines(met, texts, 2)
+    none = spark.createDataFrame([], "id long")
+    assert led.count() >= len(lines) - 1
+    assert line_dedup.open_pairs(led, texts, none, 2, 1000).count() < len(lines)
+
+
+def test_counts_of_characters_never_rule_a_near_line_out(spark):
+    rng, rows = random.Random(4), []
+    for _ in range(300):
+        a = [rng.choice("abcxyz é你\t/~") for _ in range(rng.randint(3, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(b))
+            b[k:k + rng.randint(0, 1)] = rng.choices("abcqr0é~", k=rng.randint(0, 1))
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(~line_dedup.bags_within(line_dedup.bag("a"), line_dedup.bag("b"), 2)).count() == 0
