@@ -8,8 +8,8 @@ recurrent units read windows of ``WINDOW`` words that start every ``STRIDE`` wor
 window into one logit. A document's logit is that of its worst window, calibrated on the training documents. A training
 document sees frequencies without its own words (leave one out), else rare words would look telling.
 
-Training takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents, those with the smallest hashes of their
-ids; this bounds what reaches the driver. Scoring covers every word of every document.
+Training is one task. It takes at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents, those with the smallest hashes of their
+ids; this bounds what reaches that task. Scoring covers every word of every document.
 
 Defined results: null and empty texts get the calibrated logit of an empty window; without labels of both kinds each score is
 the share of toxic labels (0.5 without any); equal texts get equal scores; a null key can't be labelled and is scored; several
@@ -21,6 +21,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import pickle
 import re
 import uuid
 import zlib
@@ -411,13 +412,17 @@ class Scorer:
         return sigmoid(self.model["slope"] * worst.astype(float) + self.model["base"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> list[tuple[str, int]]:
-    """At most so many labelled texts of each kind, by smallest hash of the id. Rows held out by their id are never read."""
+def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> DataFrame:
+    """(doc_id, text, toxic): at most so many labelled texts of each kind, by smallest hash of the id. Rows held out by their id are never read."""
     marks = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = marks.where("toxic = 1").orderBy(*by_hash).limit(toxic).unionByName(marks.where("toxic = 0").orderBy(*by_hash).limit(clean))
-    rows = keyed_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # the broadcast is bounded by the limits
-    return [(r["text"], r["toxic"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+    return keyed_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # the broadcast is bounded by the limits
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> list[tuple[str, int]]:
+    """(text, toxic) of the sample, in order of the id."""
+    return [(r["text"], r["toxic"]) for r in sorted(sample_rows(docs, labels, toxic, clean).collect(), key=lambda r: r["doc_id"])]
 
 
 def texts_of(column: pa.Array) -> Iterator[str]:
@@ -462,9 +467,16 @@ def give_back() -> None:
 
 
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict:
-    model = train(labelled_sample(docs, labels))
-    give_back()  # of the sample and of training, before the driver plans what follows
-    return model
+    """The model of the bounded sample, trained by one task: neither the sample nor what training takes is in the driver, only the model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        made = pickle.dumps(train([(text, toxic) for _, text, toxic in rows]))
+        del rows
+        give_back()  # before the worker scores
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
+
+    made = sample_rows(docs, labels).select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([])
 
 
 def passing(docs: DataFrame, model: dict, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -113,3 +113,16 @@ def test_texts_come_in_parts(monkeypatch):
     assert list(toxicity.texts_of(pa.array(texts))) == [t or "" for t in texts] and list(toxicity.texts_of(pa.array([], pa.string()))) == []
     scorer = toxicity.Scorer(toxicity.train([("you stupid fool", 1), ("kind words", 0)]))
     assert (scorer.scores(toxicity.texts_of(pa.array(texts)), len(texts)) == scorer.scores([t or "" for t in texts])).all()
+
+
+def test_the_sample_does_not_reach_the_driver(spark, monkeypatch):
+    """A task trains; what it returns scores as a model that is trained here."""
+    texts = [(i, f"plain words of number {i} and more") for i in range(40)] + [(100 + i, f"you horrid fool number {i} and worse") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in texts], "doc_id long, toxic int")
+    here = toxicity.train(toxicity.labelled_sample(docs, labels))
+    monkeypatch.setattr(toxicity, "labelled_sample", None)
+    there = toxicity.fitted(spark, docs, labels)
+    want, got = (toxicity.Scorer(model).scores([t for _, t in texts]) for model in (here, there))
+    assert abs(want - got).max() < 1e-3
+    assert toxicity.fitted(spark, docs.limit(0), labels) == toxicity.train([])
