@@ -9,7 +9,7 @@ from math import sqrt
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from fleetlens.columns import clip, round_to
 from fleetlens.operators.decisions import reasons
 from fleetlens.operators.evaluation import regression_metrics
 from fleetlens.operators.features import check_feature_names
+from fleetlens.operators.forest import ForestRegressor
 from fleetlens.quantiles import exact_quantiles
 from fleetlens.schemas import CATEGORICAL_FEATURES, NUMERICAL_FEATURES, TARGET
 
@@ -93,11 +94,10 @@ def fit(train: DataFrame, algorithm: str, target: str = TARGET, categorical: Seq
         stages = [*linear_stages(size["n"], categorical, numerical),
                   ridge(size["n"], size["s"], params.pop("alpha", 10.0), target)]
     elif algorithm == "random_forest":
-        # deep trees: rows remember their node, so that a pass neither ships the trees so far nor walks them from the root
         settings = {"numTrees": 100, "maxDepth": 16, "minInstancesPerNode": 4, "seed": 42, "maxBins": widest,
                     "maxMemoryInMB": 1024, "cacheNodeIds": True, **params}
         stages = [*tree_stages(categorical, numerical),
-                  RandomForestRegressor(featuresCol="features", labelCol=target, **settings)]
+                  ForestRegressor(featuresCol="features", labelCol=target, **settings)]
     elif algorithm == "boosted_trees":
         settings = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": 42, "maxBins": widest, **params}
         if validation:
