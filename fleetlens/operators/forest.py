@@ -24,7 +24,7 @@ from fleetlens.session import materialize
 CHUNK_ROWS = 4096
 PIECE_ROWS = 1 << 17
 PIECE_CELLS = 1 << 20
-TREE = ("tree long, feature binary, cut binary, left binary, value binary, gain binary, rows binary, sets binary")
+TREE = "tree long, feature binary, cut binary, leaf binary, sets binary, gains binary"
 
 
 def columns_per_node(strategy: str, columns: int, trees: int) -> int:
@@ -220,6 +220,32 @@ def walk(trees: list[dict[str, np.ndarray]], codes: np.ndarray, nominal: np.ndar
     return total / len(trees)
 
 
+def packed(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What a tree needs: children follow from the order of the inner nodes, and only leaves have values."""
+    small = np.min_scalar_type(-1 - int(t["cut"].max(initial=0)))
+    return {"feature": t["feature"], "cut": t["cut"].astype(small), "leaf": t["value"][t["feature"] < 0], "sets": t["sets"]}
+
+
+class Trees:
+    """Packed trees, unpacked once in every process that walks them."""
+
+    def __init__(self, packs: list[dict[str, np.ndarray]]):
+        self.packs, self._open = packs, None
+
+    def __getstate__(self):
+        return {"packs": self.packs, "_open": None}
+
+    def open(self) -> list[dict[str, np.ndarray]]:
+        if self._open is None:
+            self._open = []
+            for t in self.packs:
+                inner = t["feature"] >= 0
+                value = np.zeros(len(inner))
+                value[~inner] = t["leaf"]
+                self._open.append(t | {"left": np.where(inner, 2 * np.cumsum(inner) - 1, -1).astype(np.int32), "value": value})
+        return self._open
+
+
 class ForestRegressor(Regressor, _RandomForestRegressorParams):
     """Parameters are those of Spark's regressor. Rows always remember their node, and memory does not grow with
     the nodes of a pass, so ``cacheNodeIds`` and ``maxMemoryInMB`` change nothing."""
@@ -272,26 +298,30 @@ class ForestRegressor(Regressor, _RandomForestRegressorParams):
             codes, label = np.concatenate(codes), np.concatenate(label)
             order = _settled(codes, label)
             grown = grow(codes[order], label[order], named, bins, tree, p)
-            yield pa.record_batch({"tree": pa.array([tree], pa.int64()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in grown.items()}})
+            inner = grown["feature"] >= 0
+            gains = np.bincount(grown["feature"][inner], (grown["gain"] * grown["rows"])[inner], width)
+            kept = packed(grown) | {"gains": gains}
+            yield pa.record_batch({"tree": pa.array([tree], pa.int64()), **{k: pa.array([kept[k].tobytes()], pa.binary()) for k in ("feature", "cut", "leaf", "sets", "gains")}})
 
         spark = dataset.sparkSession
         chunks = materialize(rows.mapInArrow(encode, "codes binary, label binary"), "forest-rows").coalesce(1)
         # a partition for each tree, through which the rows stream from the shared folder
         pairs = chunks.hint("shuffle_replicate_nl").crossJoin(spark.range(0, p["numTrees"], 1, p["numTrees"]).withColumnRenamed("id", "tree"))
-        grown = pairs.select("codes", "label", "tree").mapInArrow(plant, TREE).collect()
-        kinds = {"feature": np.int16, "cut": np.int32, "left": np.int32, "value": float, "gain": float, "rows": float, "sets": np.uint8}
-        trees = [{k: np.frombuffer(bytes(r[k]), t) for k, t in kinds.items()} for r in sorted(grown, key=lambda r: r["tree"])]
-        for t in trees:
-            t["sets"] = t["sets"].reshape(-1, -(-bins // 8))
-        return self._copyValues(ForestModel(trees, cuts, named, kind))
+        packs, gains = [], []
+        for r in sorted(pairs.select("codes", "label", "tree").mapInArrow(plant, TREE).collect(), key=lambda r: r["tree"]):
+            feature = np.frombuffer(r["feature"], np.int16)
+            packs.append({"feature": feature, "cut": np.frombuffer(r["cut"], f"i{len(r['cut']) // len(feature)}"), "leaf": np.frombuffer(r["leaf"], float),
+                          "sets": np.frombuffer(r["sets"], np.uint8).reshape(-1, -(-bins // 8))})
+            gains.append(np.frombuffer(r["gains"], float))
+        return self._copyValues(ForestModel(Trees(packs), np.array(gains), cuts, named, kind))
 
 
 class ForestModel(RegressionModel, _RandomForestRegressorParams):
-    """Grown trees as arrays; scoring broadcasts them once."""
+    """Grown trees as arrays, and each tree's gains times rows per feature; scoring broadcasts the trees once."""
 
-    def __init__(self, trees: list[dict[str, np.ndarray]], cuts: dict[int, np.ndarray], nominal: np.ndarray, kind: np.dtype):
+    def __init__(self, trees: Trees, gains: np.ndarray, cuts: dict[int, np.ndarray], nominal: np.ndarray, kind: np.dtype):
         super().__init__()
-        self.trees, self.cuts, self.nominal, self.kind = trees, cuts, nominal, kind
+        self.trees, self.gains, self.cuts, self.nominal, self.kind = trees, gains, cuts, nominal, kind
         self._shipped = None
 
     @property
@@ -301,16 +331,12 @@ class ForestModel(RegressionModel, _RandomForestRegressorParams):
     @property
     def featureImportances(self) -> DenseVector:
         """Gains times rows per feature, of equal weight in every tree, normalised."""
-        total = np.zeros(self.numFeatures)
-        for t in self.trees:
-            inner = t["feature"] >= 0
-            own = np.bincount(t["feature"][inner], t["gain"][inner] * t["rows"][inner], self.numFeatures)
-            total += own / own.sum() if own.sum() > 0 else own
+        total = (self.gains / np.maximum(self.gains.sum(axis=1, keepdims=True), 1e-300)).sum(axis=0)
         return Vectors.dense(total / total.sum() if total.sum() > 0 else total)
 
     @property
     def toDebugString(self) -> str:
-        lines = [f"ForestModel: uid={self.uid}, numTrees={len(self.trees)}, numFeatures={self.numFeatures}"]
+        lines = [f"ForestModel: uid={self.uid}, numTrees={len(self.gains)}, numFeatures={self.numFeatures}"]
 
         def told(t: dict, node: int, depth: int) -> None:
             pad, f = " " * (depth + 2), t["feature"][node]
@@ -324,24 +350,23 @@ class ForestModel(RegressionModel, _RandomForestRegressorParams):
             lines.append(f"{pad}Else (feature {f} not {rule})")
             told(t, t["left"][node] + 1, depth + 1)
 
-        for number, t in enumerate(self.trees):
+        for number, t in enumerate(self.trees.open()):
             lines.append(f"  Tree {number} (weight 1.0):")
             told(t, 0, 2)
         return "\n".join(lines)
 
     def predict(self, value) -> float:
         x = np.asarray(value.toArray(), float)[None, :]
-        return float(walk(self.trees, coded(x, self.cuts, self.kind), self.nominal)[0])
+        return float(walk(self.trees.open(), coded(x, self.cuts, self.kind), self.nominal)[0])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         if self._shipped is None:
-            needed = [{k: t[k] for k in ("feature", "cut", "left", "value", "sets")} for t in self.trees]
-            self._shipped = dataset.sparkSession.sparkContext.broadcast(needed)
+            self._shipped = dataset.sparkSession.sparkContext.broadcast(self.trees)
         shipped, cuts, nominal, kind, width = self._shipped, self.cuts, self.nominal, self.kind, self.numFeatures
 
         @F.arrow_udf("double")
         def predicted(x: pa.Array) -> pa.Array:
             values = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            return pa.array(walk(shipped.value, coded(values, cuts, kind), nominal), pa.float64())
+            return pa.array(walk(shipped.value.open(), coded(values, cuts, kind), nominal), pa.float64())
 
         return dataset.withColumn(self.getPredictionCol(), predicted(vector_to_array(F.col(self.getFeaturesCol()))))

@@ -1,5 +1,7 @@
 """The forest against exhaustive search, and its independence of how rows are dealt out."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +75,10 @@ def test_every_split_is_the_best_one():
 
     visit(0, np.arange(300), 0)
     assert {0, 1} <= set(checked) and len(checked) == len(t["feature"]) > 20
-    leaves = forest.walk([t], x, nominal)
+    again = pickle.loads(pickle.dumps(forest.Trees([forest.packed(t)]))).open()[0]
+    inner = t["feature"] >= 0
+    assert (again["left"] == t["left"]).all() and (again["value"][~inner] == t["value"][~inner]).all()
+    leaves = forest.walk([again], x, nominal)
     assert ((y - leaves) ** 2).mean() < 0.5 * y.var()
 
 
@@ -99,3 +104,16 @@ def test_odd_tables(spark, rows):
     assert models.score(one, rows.limit(5), categorical=CAT, numerical=NUM).count() == 5
     with pytest.raises(ValueError):
         models.fit(rows.withColumn("y", F.lit(None).cast("double")), "random_forest", "y", CAT, NUM)
+
+
+def test_leaderboard_of_a_deep_forest(spark, rows):
+    """Trees reach scoring as arrays: the model is a few bytes a node."""
+    train, valid = rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0")
+    model = models.fit(train, "random_forest", "y", CAT, NUM)
+    trees = model.stages[-1].trees
+    nodes = sum(len(t["feature"]) for t in trees.packs)
+    assert len(trees.packs) == 100 and len(pickle.dumps(trees)) < 12 * nodes + 100_000
+    scored = {"random_forest": models.score(model, valid, categorical=CAT, numerical=NUM),
+              "median": models.median_prediction(train, valid, "y").withColumnRenamed("prediction", "predicted")}
+    board = models.leaderboard(scored, "y", "predicted").collect()
+    assert [r.model for r in board] == ["random_forest", "median"] and board[0].mae_sec < 0.4 * board[1].mae_sec
