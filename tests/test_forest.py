@@ -117,3 +117,11 @@ def test_leaderboard_of_a_deep_forest(spark, rows):
               "median": models.median_prediction(train, valid, "y").withColumnRenamed("prediction", "predicted")}
     board = models.leaderboard(scored, "y", "predicted").collect()
     assert [r.model for r in board] == ["random_forest", "median"] and board[0].mae_sec < 0.4 * board[1].mae_sec
+
+
+def test_importances_follow_the_gains(spark, rows):
+    model = models.fit(rows, "random_forest", "y", CAT, NUM, numTrees=4, maxDepth=6)
+    forest_ = model.stages[-1]
+    own = forest_.gains / forest_.gains.sum(axis=1, keepdims=True)
+    got = {r.feature: r.importance for r in models.importances(model, spark, CAT, NUM).collect()}
+    assert got == pytest.approx(dict(zip([*CAT, *NUM], own.mean(axis=0)))) and max(got, key=got.get) == "u"
