@@ -43,3 +43,13 @@ def test_files_of_any_size_and_content(spark, folder, no_large_values):
 def test_one_part_per_file(spark, folder):
     got = {r.file_name: r.sha256 for r in readers.fingerprints(spark, f"file://{folder}", "*.bin").collect()}
     assert got == {n.split("/")[-1]: hashlib.sha256(c).hexdigest() for n, c in FILES.items() if n.endswith(".bin")}
+
+
+def test_a_changed_byte_of_a_large_file_is_found(spark, folder, no_large_values):
+    before = materialize(readers.fingerprints(spark, f"file://{folder}"), "fingerprints")
+    assert readers.unchanged(before, readers.fingerprints(spark, f"file://{folder}")).isEmpty()
+    content = FILES["a.bin"]
+    (folder / "a.bin").write_bytes(content[:200_000] + bytes([content[200_000] ^ 1]) + content[200_001:])
+    (folder / "m.bin").write_bytes(FILES["m.bin"] + b"\n")
+    changed = readers.unchanged(before, readers.fingerprints(spark, f"file://{folder}")).collect()
+    assert sorted(r.path.split("/")[-1] for r in changed) == ["a.bin", "m.bin"]
