@@ -265,7 +265,7 @@ class ForestRegressor(Regressor, _RandomForestRegressorParams):
         column, target = self.getFeaturesCol(), self.getLabelCol()
         nominal = arities(dataset, column)
         rows = dataset.select(vector_to_array(F.col(column)).alias("x"), F.col(target).cast("double").alias("y"))
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("known"), F.max(F.size("x")).alias("width")).first()
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y").isNotNull() & ~F.isnan("y")).alias("known"), F.max(F.size("x")).alias("width")).first()
         if not size["n"] or size["known"] < size["n"]:
             raise ValueError("a forest needs rows, each with a label")
         bins, width = min(self.getOrDefault("maxBins"), size["n"]), size["width"]

@@ -102,8 +102,9 @@ def test_odd_tables(spark, rows):
     assert sum(r.importance for r in models.importances(model, spark, CAT, NUM).collect()) == 0.0
     one = models.fit(rows.limit(1), "random_forest", "y", CAT, NUM, numTrees=3, maxDepth=4)
     assert models.score(one, rows.limit(5), categorical=CAT, numerical=NUM).count() == 5
-    with pytest.raises(ValueError):
-        models.fit(rows.withColumn("y", F.lit(None).cast("double")), "random_forest", "y", CAT, NUM)
+    for bad in (None, float("nan")):
+        with pytest.raises(ValueError):
+            models.fit(rows.withColumn("y", F.when(F.col("id") != 5, F.col("y")).otherwise(F.lit(bad).cast("double"))), "random_forest", "y", CAT, NUM)
 
 
 def test_leaderboard_of_a_deep_forest(spark, rows):
